@@ -7,6 +7,9 @@ import importlib
 #: name: (module, function, name of its SQL or None)
 ENTRIES = {
     "op9_mixing": ("mixing", "op9_mixing", "OP9_SQL"),
+    "op10_decontamination": ("decontamination", "op10_decontamination", "OP10_SQL"),
+    "op5_quality_rules": ("quality_rules", "op5_quality_rules", None),
+    "op8_token_counts": ("tokens", "op8_token_counts", None),
 }
 
 
