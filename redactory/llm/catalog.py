@@ -10,6 +10,8 @@ ENTRIES = {
     "op10_decontamination": ("decontamination", "op10_decontamination", "OP10_SQL"),
     "op5_quality_rules": ("quality_rules", "op5_quality_rules", None),
     "op8_token_counts": ("tokens", "op8_token_counts", None),
+    "op7_token_files": ("huffman", "op7_token_files", None),
+    "op2_line_dedup": ("line_dedup", "op2_line_dedup", "OP2_SQL"),
 }
 
 

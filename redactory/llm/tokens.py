@@ -1,12 +1,13 @@
 """Token ids and counts with public tokenizer files.
 
-PieceEncoder encodes each distinct blank-separated piece of a partition once.
+PieceEncoder encodes each distinct blank-separated piece that a Python worker meets once.
 HugeEncoder encodes texts beyond a length in overlapping chunks and splices them.
 Both give exactly the ids of the library for the whole text.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -15,14 +16,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from redactory.llm.common import small_batches, table
 
 #: A blank after a character that is no white space. A byte-level pre-tokenizer never joins what stands on its two sides, and what it does from the blank on doesn't depend on what stands before.
 BREAK = re.compile(r"(?<=\S) ")
-#: Something that keeps a plain split at blanks from being one at BREAK.
-UNSURE = re.compile(r"\s |^ ")
+#: What keeps a plain split at blanks from being one at BREAK: a blank at the start or after white space.
+UNSURE = r"^ |[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 
@@ -35,54 +37,86 @@ def open_tokenizer(path: str):
 
 
 class PieceEncoder:
-    """Ids of whole texts under a byte-level BPE without prefix blank, as bytes of little-endian unsigned 32-bit integers.
+    """Ids of whole texts under a byte-level BPE without prefix blank.
 
-    A piece is what stands between two BREAKs, with its blank. Pieces not seen yet
-    are joined, encoded by the library in one call and cut where an id starts with
-    a blank. kept bounds the number of pieces in memory; beyond it they are forgotten.
+    A piece is what stands between two BREAKs, with its blank; a text's first piece
+    has none. The pieces of a batch are made distinct, those not seen yet are joined,
+    encoded by the library and cut where an id starts with a blank, and the texts'
+    ids are gathered from the pieces'. kept bounds the number of pieces in memory;
+    beyond it they are forgotten.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec["pre_tokenizer"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"]):
             raise ValueError("pieces are proven for byte-level BPE without normalizer and prefix blank only")
-        self.tokenizer, self.kept, self.known, self.first = open_tokenizer(path), kept, {}, {}
+        self.tokenizer, self.kept = open_tokenizer(path), kept
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.blank[i] = token.startswith("Ġ")  # the byte-level alphabet's blank
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, pieces: set[str]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}  # of a piece with its blank
+        self.heads: dict[str, int] = {}  # of a first piece
+        self.ids, self.ends, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0  # ends[k]: where row k of ids ends
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        at = int(self.ends[self.n - 1]) if self.n else 0
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(lengths) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[at : at + len(ids)] = ids
+        self.ends[self.n : self.n + len(lengths)] = at + np.cumsum(lengths)
+        self.n += len(lengths)
+        return range(self.n - len(lengths), self.n)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if p and " " not in p]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = self._ids(" " + " ".join(some))
+        if plain:
+            joined = [" " + " ".join(plain[i : i + 100]) for i in range(0, len(plain), 100)]
+            ids = np.fromiter(itertools.chain.from_iterable(self._encode(joined)), np.uint32)
             starts = np.flatnonzero(self.blank[ids])
-            if len(starts) != len(some):
-                raise AssertionError("a blank inside a piece")
-            raw, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
-        for p in pieces.difference(plain):
-            self.known[p] = self._ids(" " + p).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.kept:
-            self.known.clear()
-        if len(self.first) > self.kept // 8:
-            self.first.clear()
-        cut = [(BREAK.split(t) if UNSURE.search(t) else t.split(" ")) for t in texts]
-        new = set().union(*(p[1:] for p in cut)).difference(self.known)
-        self._learn(new)
-        out = []
-        for pieces in cut:
-            head = pieces[0]
-            if (ids := self.first.get(head)) is None:
-                ids = self.first[head] = self._ids(head).tobytes()
-            out.append(ids + b"".join(map(self.known.__getitem__, pieces[1:])))
-        return out
+            self.rows.update(zip(plain, self._add(ids, np.diff(starts, append=len(ids))), strict=True))
+        if odd := [p for p in pieces if not p or " " in p]:
+            self._learn_alone(odd, self.rows, " ")
+
+    def _learn_alone(self, pieces: list[str], rows: dict[str, int], before: str = "") -> None:
+        ids = self._encode([before + p for p in pieces])
+        rows.update(zip(pieces, self._add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.rows) + len(self.heads) > self.kept:
+            self._forget()
+        column = pa.array(texts, pa.large_string())
+        unsure = pc.match_substring_regex(column, UNSURE)
+        split = pc.split_pattern(pc.if_else(unsure, "", column), " ")
+        pieces, edges = split.flatten(), split.offsets.to_numpy()
+        if pc.any(unsure).as_py():
+            lists = [BREAK.split(t) if u else None for t, u in zip(texts, unsure.to_pylist(), strict=True)]
+            both = [x if x is not None else split[i].as_py() for i, x in enumerate(lists)]
+            pieces, edges = pa.array(itertools.chain.from_iterable(both), pa.large_string()), np.cumsum([0, *map(len, both)])
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        at = edges[:-1]
+        heads = pieces.take(pa.array(at)).to_pylist()
+        if new := [p for p in names if p not in self.rows]:
+            self._learn(new)
+        if new := list({p for p in heads if p not in self.heads}):
+            self._learn_alone(new, self.heads)
+        rows = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        rows[at] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
+        ends = self.ends[rows]
+        lengths = ends - np.where(rows > 0, self.ends[rows - 1], 0)
+        upto = np.cumsum(lengths)
+        ids = self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends - upto, lengths)]
+        total = np.concatenate([[0], upto])[edges]
+        return [ids[a:b] for a, b in itertools.pairwise(total.tolist())]
 
 
 class HugeEncoder:
@@ -171,11 +205,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
             try:
                 encode = pieces_of(path).encode
             except ValueError:
-                encode = lambda texts: [np.array(huge.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+                encode = lambda texts: [np.array(huge.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
 
             def lengths(texts: list[str]) -> list[int]:
                 short = iter(encode([t for t in texts if len(t) <= chunk]))
-                return [len(next(short)) // 4 if len(t) <= chunk else len(huge.encode(t)) for t in texts]
+                return [len(next(short)) if len(t) <= chunk else len(huge.encode(t)) for t in texts]
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
