@@ -12,6 +12,7 @@ ENTRIES = {
     "op8_token_counts": ("tokens", "op8_token_counts", None),
     "op7_token_files": ("huffman", "op7_token_files", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "OP2_SQL"),
+    "op6_simhash": ("simhash", "op6_simhash", None),
 }
 
 
