@@ -13,6 +13,7 @@ ENTRIES = {
     "op7_token_files": ("huffman", "op7_token_files", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "OP2_SQL"),
     "op6_simhash": ("simhash", "op6_simhash", None),
+    "op4_suffix_dedup": ("suffix_dedup", "op4_suffix_dedup", None),
 }
 
 
