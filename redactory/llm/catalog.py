@@ -14,6 +14,7 @@ ENTRIES = {
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "OP2_SQL"),
     "op6_simhash": ("simhash", "op6_simhash", None),
     "op4_suffix_dedup": ("suffix_dedup", "op4_suffix_dedup", None),
+    "op1_quality_classifier": ("quality_classifier", "op1_quality_classifier", None),
 }
 
 

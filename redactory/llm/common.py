@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,19 @@ def if_small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts can be long: bounds the rows that one Arrow batch hands to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Characters of text that a Python worker takes up together.
+TEXTS = 1 << 22
+
+
+def text_runs(texts: list[str], size: int = TEXTS) -> Iterator[range]:
+    """Consecutive texts of about size characters together, one at least."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > size:
+            yield range(start, k)
+            start, held = k, 0
+        held += len(t)
+    if start < len(texts):
+        yield range(start, len(texts))
