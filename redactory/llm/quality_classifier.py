@@ -149,6 +149,23 @@ def learnt(docs: DataFrame, labels: DataFrame, settings: Settings):
     return (*fit(np.stack([np.frombuffer(r.x, "<f4") for r in found]), settings), np.array([r.y for r in found], np.float64))
 
 
+def judged(docs: DataFrame, labels: DataFrame, settings: Settings):
+    """A function that gives the scores of texts, for the executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, settings))
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        found = np.full(len(texts), 0.5)
+        if shared.value is not None:
+            idf, projection, vectors, y = shared.value
+            whole = [t or "" for t in texts]
+            for group in text_runs(whole):
+                z = unit(weighted(terms([whole[k] for k in group]), idf) @ projection)
+                found[group.start : group.stop] = vote(z, vectors, y, settings)
+        return found
+
+    return scores
+
+
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on) for each row of docs (doc_id, text; other columns are left alone).
 
@@ -157,23 +174,28 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> D
     alike, by the bins of their ratios. Without usable labels every score is 0.5.
     """
     small_batches(docs.sparkSession)
-    model = learnt(docs, labels, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scores = judged(docs, labels, settings)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores = np.full(len(texts), 0.5)
-            if shared.value is not None:
-                idf, projection, vectors, y = shared.value
-                for group in text_runs(texts):
-                    z = unit(weighted(terms([texts[k] for k in group]), idf) @ projection)
-                    scores[group.start : group.stop] = vote(z, vectors, y, settings)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            s = scores(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The rows of docs, with all their columns, that score() predicts 1 for."""
+    small_batches(docs.sparkSession)
+    scores = judged(docs, labels, settings)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) >= 0.5))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def fold(column: str = "doc_id"):
     """crc32 of the id as text, modulo 3."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
