@@ -37,7 +37,7 @@ def coverage(gold: DataFrame, predicted: DataFrame, *by: str) -> DataFrame:
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     union = predicted.select(*by, "start", "end").withColumn("fresh", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     union = union.groupBy(*by, "island").agg(F.min("start").alias("u_start"), F.max("end").alias("u_end"))
-    both = gold.join(union, list(by), "left").withColumn("shared", F.greatest(F.lit(0), F.least("end", "u_end") - F.greatest("start", "u_start")))
+    both = gold.join(union, list(by), "left").withColumn("shared", F.when(F.col("u_start").isNotNull(), F.greatest(F.lit(0), F.least("end", "u_end") - F.greatest("start", "u_start"))))
     return both.groupBy(*by, "start", "end").agg(F.coalesce(F.sum("shared"), F.lit(0)).cast("long").alias("covered"))
 
 

@@ -26,7 +26,8 @@ TABLES: dict[str, str] = {
         UNION ALL SELECT concat('P', CAST(p_partkey AS STRING)), p_name, CASE WHEN p_size % 3 = 0 THEN 'PRODUCT' ELSE 'ITEM' END FROM {part}""",
     "claims": """SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS source_id, concat('S', CAST(l_suppkey AS STRING)) AS subject_id, concat('P', CAST(l_partkey AS STRING)) AS object_id,
         CASE l_returnflag WHEN 'A' THEN 'supplies' WHEN 'N' THEN 'owns' ELSE 'partners_with' END AS predicate,
-        CASE WHEN l_linestatus = 'O' THEN 'positive' ELSE 'negative' END AS polarity, l_shipdate AS window_start, l_shipdate + INTERVAL 200 DAYS AS window_end, CAST(l_quantity AS INT) AS char_start FROM {lineitem}""",
+        CASE WHEN l_linestatus = 'O' THEN 'positive' ELSE 'negative' END AS polarity, l_shipdate AS window_start, l_shipdate + INTERVAL 200 DAYS AS window_end, CAST(l_quantity AS INT) AS char_start
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag, l_linestatus) AS rn FROM {lineitem}) AS l WHERE rn = 1""",
     "evidence": """SELECT claim_id AS candidate_id, source_id, char_start, char_start + 10 AS char_end FROM claims
         UNION ALL SELECT claim_id, source_id + 1, char_start, char_start + 7 FROM claims WHERE claim_id % 3 = 0""",
     "governance": """SELECT source_id * 10 + 1 AS governance_id, tenant_id, domain, source_id, CAST(NULL AS BIGINT) AS supersedes_id, observed_at AS valid_from, observed_at + INTERVAL 900 DAYS AS valid_until,
