@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection, governed
+from redactory.plans import detection, governed, quality
 
-MODULES = (detection, governed)
+MODULES = (detection, governed, quality)
 
 
 def queries() -> dict:
