@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +31,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/redactory-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written once and read back: later steps neither repeat its work nor depend on the executors that did it."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing reads it any more, and lets Spark drop the shuffle files behind it."""
+    """Deletes what stored() wrote, once nothing reads it any more."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps once the JVM collects what stands for them; this asks for it now, before a large step. What Python holds goes first, hence twice."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
@@ -68,13 +78,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 TEXTS = 1 << 22
 
 
-def text_runs(texts: list[str], size: int = TEXTS) -> Iterator[range]:
-    """Consecutive texts of about size characters together, one at least."""
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        if held and held + len(t) > size:
+def size_runs(sizes: Iterable[int], most: int = TEXTS) -> Iterator[range]:
+    """Consecutive texts, by their sizes, of about most characters together, one at least."""
+    start, held, k = 0, 0, -1
+    for k, n in enumerate(sizes):
+        if k > start and held + n > most:
             yield range(start, k)
             start, held = k, 0
-        held += len(t)
-    if start < len(texts):
-        yield range(start, len(texts))
+        held += n
+    if k >= start:
+        yield range(start, k + 1)
+
+
+def text_runs(texts: list[str]) -> Iterator[range]:
+    return size_runs(map(len, texts))

@@ -4,6 +4,9 @@ Documents go, in the order of their ids, into blocks of a few megabytes, so that
 string that an earlier block holds is one of a smaller doc_id. A suffix matters by
 its first WIDTH bytes only, so the order sought is that of these.
 
+Of equal texts only the one with the smallest doc_id takes part; the others go as a
+whole. The rest takes two rounds and a last step:
+
 1. Sample. Of each document, the suffixes at places whose remainder by PERIOD is in
    COVER are named by the TAIL bytes that they start with. For any two suffixes
    there is a shift below PERIOD that takes both into the sample, and TAIL is WIDTH
@@ -33,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, small_batches, stored, table
+from redactory.llm.common import discard, free_shuffles, id_back, id_key, small_batches, stored, table
 
 WIDTH = 50
 #: A perfect difference set: each remainder by PERIOD but 0 is the difference of just one pair.
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 TAIL = WIDTH - (PERIOD - 1)
 #: Bytes of text after which a block is closed, and the most documents of one.
 BLOCK, MOST_DOCS = 4 << 20, 60_000
@@ -91,7 +94,7 @@ def flags(raw: bytes, n: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block: data (their bytes, one after the other), ends, doc (document of each byte), left (bytes from each one to its document's end)."""
+    """The documents of a block: data (their bytes, one after the other), lengths and ends."""
 
     def __init__(self, raw: bytes, lengths: list[int]):
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
@@ -131,14 +134,19 @@ class Block:
         return np.searchsorted(self.ends, places, side="right")
 
 
-def sample_names(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the sample, in the order of their names (48 bits, in the high bits of 64) and documents; names, sorted, each once; and for each place the number of its name."""
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys; the keys, each once; the number of each sorted one; where each begins."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return order, keys[new], np.repeat(np.arange(len(new)), np.diff(new, append=len(keys))), new
+
+
+def sample_names(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the sample in the order of their names, their documents; the names (48 bits), sorted, each once; the number of each place's name; the first place of each name."""
     at, doc = block.sample()
-    name = hashes(block.data, at, TAIL, 1) >> np.uint64(16)
-    order = np.argsort(name, kind="stable")
-    at, doc, name = at[order], doc[order], name[order]
-    new = np.flatnonzero(np.diff(name, prepend=~name[:1]))
-    return at, doc, name[new] << np.uint64(16), np.cumsum(np.bincount(new, minlength=len(name))[: len(name)]) - 1, new  # type: ignore[return-value]
+    order, names, number, new = grouped(hashes(block.data, at, TAIL, 1) >> np.uint64(16))
+    return at[order], doc[order], names, number, new
 
 
 def tied_sample(block: Block, elsewhere: np.ndarray, names: tuple) -> np.ndarray:
@@ -152,52 +160,69 @@ def tied_sample(block: Block, elsewhere: np.ndarray, names: tuple) -> np.ndarray
 
 def suffix_keys(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """places in the order of their keys; the keys, each once, sorted; the number of each place's key; the first place of each key."""
-    key = hashes(block.data, places, WIDTH, 2)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    number = np.cumsum(np.bincount(new, minlength=len(key))[: len(key)]) - 1
-    return places[order], key[new], number, new
+    order, keys, number, new = grouped(hashes(block.data, places, WIDTH, 2))
+    return places[order], keys, number, new
 
 
 def split_keys(keys: np.ndarray, buckets: int, salt: int) -> list[np.ndarray]:
     """For each bucket, the numbers of its keys, in their order. The bucket comes from other bits than the sorted key shows."""
-    bucket = (mixed(keys * M2 + np.uint64(salt)) & np.uint64(buckets - 1)).astype(np.int64)
+    bucket = (mixed(keys * M2 + np.uint64(salt)) & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     return np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """rows: k, th, t2 (two hashes of a text of WIDTH bytes or more). k, th of those whose text a smaller k has."""
+    first = rows.groupBy("th", "t2").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "t2", "first")
+    return rows.join(first, ["th", "t2"]).where(F.col("k") > F.col("first")).select("k", "th").distinct()
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """block (rising with doc_id), keys, lengths and raw (compressed bytes) of whole documents. Documents with the same doc_id share a block."""
+    """block (rising with doc_id), keys, lengths and raw (compressed bytes) of whole documents; copy_keys and copy_lengths of copies among them. Documents with the same doc_id share a block."""
     small_batches(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         keys: list[int] = []
         parts: list[bytes] = []
-        size = 0
+        copied: list[tuple[int, int]] = []
+        size, last, whole = 0, None, None
 
         def close() -> pa.RecordBatch:
-            nonlocal n, keys, parts, size
-            row = ((part << 32) + n, keys, [len(p) for p in parts], zstandard.ZstdCompressor(level=3).compress(b"".join(parts)))
-            n, keys, parts, size = n + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES, strict=True)], names=["block", "keys", "lengths", "raw"])
+            nonlocal n, keys, parts, copied, size
+            row = ((part << 32) + n, keys, [len(p) for p in parts], zstandard.ZstdCompressor(level=3).compress(b"".join(parts)), [k for k, _ in copied], [c for _, c in copied])
+            n, keys, parts, copied, size = n + 1, [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
 
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if keys and k != keys[-1] and (size >= BLOCK or len(keys) >= MOST_DOCS):
+            for k, th, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if copy:
+                    whole = (k, th)
+                    continue
+                if k != last and (size >= BLOCK or len(keys) + len(copied) >= MOST_DOCS):
                     yield close()
-                keys.append(k)
-                parts.append((text or "").encode())
-                size += len(parts[-1])
-        if keys:
+                last = k
+                raw = (text or "").encode()
+                if (k, th) == whole:
+                    copied.append((k, len(raw)))
+                else:
+                    keys.append(k)
+                    parts.append(raw)
+                    size += len(raw)
+        if keys or copied:
             yield close()
 
-    ranged = docs.select(id_key().alias("k"), "text").repartitionByRange("k").sortWithinPartitions("k")
-    return ranged.mapInArrow(build, "block long, keys array<long>, lengths array<long>, raw binary")
+    rows = docs.select(id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    long = rows.where(F.octet_length("text") >= WIDTH).select("k", "th", F.xxhash64(F.lit("second"), "text").alias("t2"))
+    marks = copies(long).select("k", "th", F.lit(True).alias("copy"), F.lit(None).cast("string").alias("text"))  # a mark comes just before the texts that it is about
+    both = rows.select("k", "th", F.lit(False).alias("copy"), "text").unionByName(marks)
+    ranged = both.repartitionByRange("k").sortWithinPartitions("k", "th", F.col("copy").desc())
+    return ranged.mapInArrow(build, BLOCK_SCHEMA)
 
 
-BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+BLOCK_SCHEMA = "block long, keys array<long>, lengths array<long>, raw binary, copy_keys array<long>, copy_lengths array<long>"
+BLOCK_NAMES = ["block", "keys", "lengths", "raw", "copy_keys", "copy_lengths"]
+BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def sent(held: DataFrame, buckets: int, names_of, salt: int) -> DataFrame:
@@ -258,12 +283,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     held = stored(blocks(docs))
+    free_shuffles(spark)
     small_batches(spark, 2)
     total = held.select(F.sum(F.expr("aggregate(lengths, 0L, (a, b) -> a + b)"))).first()[0] or 0
     buckets = 1 << max(4, (total // BUCKET).bit_length())
 
     names = sent(held, buckets, lambda row: sample_names(Block(row["raw"], row["lengths"]))[2], 1)
-    ties = answered(names, buckets, False)
+    ties = stored(answered(names, buckets, False))
+    del names
+    free_shuffles(spark)
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,16 +301,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 tied = tied_sample(block, merged(row["answers"], found[2], buckets, 1), found)
                 near = np.zeros(len(block.data), bool)
                 near[block.candidates(tied)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in zip(("block", "keys", "lengths", "raw"), BLOCK_TYPES, strict=True)] + [pa.array([bits(near)], pa.binary())], names=["block", "keys", "lengths", "raw", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in zip(BLOCK_NAMES, BLOCK_TYPES, strict=True)] + [pa.array([bits(near)], pa.binary())], names=[*BLOCK_NAMES, "near"])
 
-    sifted = stored(held.join(ties, "block", "left").mapInArrow(tie, "block long, keys array<long>, lengths array<long>, raw binary, near binary"))
-    discard(held)
+    sifted = stored(held.join(ties, "block", "left").mapInArrow(tie, f"{BLOCK_SCHEMA}, near binary"))
+    discard(held, ties)
+    free_shuffles(spark)
 
     def keys_of(row: dict) -> tuple[Block, tuple]:
         block = Block(row["raw"], row["lengths"])
         return block, suffix_keys(block, np.flatnonzero(flags(row["near"], len(block.data))))
 
-    order = answered(sent(sifted, buckets, lambda row: keys_of(row)[1][1], 2), buckets, True)
+    order = stored(answered(sent(sifted, buckets, lambda row: keys_of(row)[1][1], 2), buckets, True))
+    free_shuffles(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +333,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     turns = np.flatnonzero(np.diff(mask, prepend=False, append=False)).reshape(-1, 2).tolist()
                     kept.append(block.data[a:b][~mask].tobytes() if turns else block.data[a:b].tobytes())
                     spans.append([{"start": s, "end": e} for s, e in turns])
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], names=["k", "n_bytes", "spans", "kept"])
+                spans += [[{"start": 0, "end": n}] for n in row["copy_lengths"]]
+                kept += [b""] * len(row["copy_keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["keys"] + row["copy_keys"], pa.int64()), pa.array(row["lengths"] + row["copy_lengths"], pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], names=["k", "n_bytes", "spans", "kept"])
 
     done = sifted.join(order, "block", "left").mapInArrow(cut, "k long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return done.select(id_back("k").alias("doc_id"), "n_bytes", "spans", "kept")
