@@ -21,19 +21,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, shared_folder, small_batches, stored, table
-from redactory.llm.tokens import pieces_of, public_file
+from redactory.llm.common import discard, id_back, id_key, shared_folder, size_runs, small_batches, stored, table
+from redactory.llm.tokens import TOGETHER, pieces_of, public_file
 
-LIMIT, STRIDE = 20, 128
+LIMIT, STRIDE = 18, 128
 #: A block is closed once it has so many ids.
 BLOCK = 1 << 18
-#: Characters of text that are encoded together.
-TEXTS = 1 << 23
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -81,33 +80,36 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def tables(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and lengths by id; ids and lengths by the next LIMIT bits."""
+def tables(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and lengths by id; by the next LIMIT bits the id, times 32, plus the length."""
     by_id = np.frombuffer(lengths, np.uint8)
     codes, order = canonical(by_id)
     room = 1 << (LIMIT - by_id[order].astype(np.int64))
-    ids, size = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.uint8)
-    ids[: room.sum()], size[: room.sum()] = np.repeat(order, room), np.repeat(by_id[order], room)
-    return codes, by_id.astype(np.int64), ids, size
+    next_bits = np.ones(1 << LIMIT, np.uint32)
+    next_bits[: room.sum()] = np.repeat(order << 5 | by_id[order], room)
+    return codes, by_id.astype(np.int64), next_bits
 
 
 def pack(ids: np.ndarray, lengths: bytes) -> tuple[bytes, bytes]:
     """Checkpoints and payload."""
-    codes, sizes, _, _ = tables(lengths)
+    codes, sizes, _ = tables(lengths)
     size = sizes[ids]
     ends = np.cumsum(size)
     at = ends - size
     shifted = codes[ids] << (64 - (at & 31) - size).astype(np.uint64)
     word = at >> 5
-    n = (int(ends[-1]) + 31 >> 5) + 1 if len(ids) else 1
-    # sums of disjoint bits below 2^32, which doubles hold exactly
-    words = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), n + 1) + np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1)
-    return at[::STRIDE].astype("<u4").tobytes(), words[:n].astype(">u4").tobytes()
+    words = np.zeros((int(ends[-1]) + 31 >> 5) + 1 if len(ids) else 1, np.uint64)
+    if len(ids):  # codes that begin in one word have bits of their own, so their sum joins them
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        into = word[first]
+        words[into] = np.add.reduceat(shifted >> np.uint64(32), first)
+        words[into + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
+    return at[::STRIDE].astype("<u4").tobytes(), words.astype(">u4").tobytes()
 
 
 def unpack(n: int, checkpoints: bytes, payload: bytes, lengths: bytes) -> np.ndarray:
     """The n ids of a block."""
-    _, _, ids, sizes = tables(lengths)
+    _, _, table = tables(lengths)
     words = np.frombuffer(payload, ">u4").astype(np.uint64)
     words = (words << np.uint64(32)) | np.append(words[1:], np.uint64(0))
     at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
@@ -115,18 +117,21 @@ def unpack(n: int, checkpoints: bytes, payload: bytes, lengths: bytes) -> np.nda
     last, down = len(words) - 1, np.uint64(64 - LIMIT)
     for k in range(STRIDE):
         bits = (words[np.minimum(at >> 5, last)] << (at & 31).astype(np.uint64)) >> down
-        out[k] = ids[bits]
-        at += sizes[bits]
+        found = table[bits]
+        out[k] = found >> np.uint32(5)
+        at += found & np.uint32(31)
     return out.T.reshape(-1)[:n]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """docs -> blocks of whole documents in ascending doc_id order: part, before (ids of the part before the block), doc_ids, n_tokens, n_ids, ids (compressed)."""
-    small_batches(docs.sparkSession, 2000)
+    """docs -> blocks of whole documents in ascending doc_id order: part, before (ids of the part before the block), doc_ids, n_tokens, n_ids, ids (compressed). A last row of each part has counts of its ids instead, so that the blocks need not be read for them."""
+    small_batches(docs.sparkSession, 1200)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, press = TaskContext.get().partitionId(), pieces_of(path), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], np.uint32)
+        wide = encoder.tokenizer.get_vocab_size() > 1 << 16
+        total = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
         before = 0
         keys: list[int | None] = []
         parts: list[np.ndarray] = []
@@ -134,17 +139,19 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal before, keys, parts
             n = [len(p) for p in parts]
-            raw = np.concatenate(parts).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of like weight together
-            row = {"part": [part], "before": [before], "doc_ids": [keys], "n_tokens": [n], "n_ids": [sum(n)], "ids": [press.compress(raw)]}
+            ids = np.concatenate(parts)
+            total[:] += np.bincount(ids, minlength=len(total))
+            raw = ids.astype("<u4" if wide else "<u2").tobytes()
+            row = {"part": [part], "before": [before], "doc_ids": [keys], "n_tokens": [n], "n_ids": [sum(n)], "wide": [wide], "ids": [press.compress(raw)], "counts": [None]}
             before, keys, parts = before + sum(n), [], []
             return pa.RecordBatch.from_pydict(row, BLOCKS)
 
         waiting = 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = pc.fill_null(batch.column(1), "")
             doc_ids = batch.column(0).to_pylist()
-            for group in runs(texts):
-                for k, ids in zip(group, encoder.encode([texts[k] for k in group]), strict=True):
+            for group in size_runs(pc.utf8_length(texts).to_pylist(), TOGETHER):
+                for k, ids in zip(group, encoder.encode(texts.slice(group.start, len(group))), strict=True):
                     keys.append(doc_ids[k])
                     parts.append(np.append(ids, end))
                     waiting += len(ids) + 1
@@ -153,46 +160,33 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         waiting = 0
         if parts:
             yield block()
+        if before:
+            yield pa.RecordBatch.from_pydict({"part": [part], "before": [before], "doc_ids": [None], "n_tokens": [None], "n_ids": [0], "wide": [wide], "ids": [None], "counts": [press.compress(total.tobytes())]}, BLOCKS)
 
     ranged = docs.select(id_key().alias("k"), "text").repartitionByRange("k").sortWithinPartitions("k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return ranged.select(id_back("k").alias("doc_id"), "text").mapInArrow(encode, "part int, before long, doc_ids array<long>, n_tokens array<long>, n_ids long, ids binary")
+    return ranged.select(id_back("k").alias("doc_id"), "text").mapInArrow(encode, "part int, before long, doc_ids array<long>, n_tokens array<long>, n_ids long, wide boolean, ids binary, counts binary")
 
 
-BLOCKS = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("ids", pa.binary())])
+BLOCKS = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def runs(texts: list[str]) -> Iterator[range]:
-    """Consecutive texts of about TEXTS characters together, one at least."""
-    start, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > TEXTS:
-            yield range(start, k)
-            start, size = k, 0
-        size += len(t)
-    if start < len(texts):
-        yield range(start, len(texts))
-
-
-def plain(compressed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(compressed)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def plain(compressed: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(compressed), "<u4" if wide else "<u2")
 
 
 def counted(blocks: DataFrame) -> DataFrame:
-    """id, n over all blocks. Each task sums its own first, so that it sends a row per id at most."""
+    """id, n over all parts. Each task sums its parts' counts first, so that it sends a row per id at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for compressed in batch.column(0):
-                n = np.bincount(plain(compressed.as_py()))
-                if len(n) > len(total):
-                    n, total = total, n.astype(np.int64)
-                total[: len(n)] += n
+                n = np.frombuffer(zstandard.ZstdDecompressor().decompress(compressed.as_py()), np.int64)
+                total = n + total if len(total) else n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
@@ -203,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> No
     table of no blocks.
     """
     spark = docs.sparkSession
-    blocks = stored(encoded(docs, path, end_id))
+    blocks = stored(encoded(docs, path, end_id), compression="none")
     small_batches(spark, 8)
     counts = counted(blocks).collect()  # bounded by the vocabulary
     by_id = np.zeros(max([0, *(r.id for r in counts)]) + 1, np.int64)
@@ -213,13 +207,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> No
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [pack(plain(c.as_py()), lengths) for c in batch.column("ids")]
+            packed = [pack(plain(c.as_py(), w.as_py()), lengths) for c, w in zip(batch.column("ids"), batch.column("wide"), strict=True)]
             columns = [batch.column(n) for n in ("part", "first", "doc_ids", "n_tokens", "n_ids")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([c for c, _ in packed], pa.binary()), pa.array([p for _, p in packed], pa.binary())], names=["part", "first", "doc_ids", "n_tokens", "n_ids", "checkpoints", "payload"])
 
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per range
     offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-    placed = blocks.join(F.broadcast(offsets), "part").select("part", (F.col("offset") + F.col("before")).alias("first"), "doc_ids", "n_tokens", "n_ids", "ids")
+    placed = blocks.where("counts IS NULL").join(F.broadcast(offsets), "part").select("part", (F.col("offset") + F.col("before")).alias("first"), "doc_ids", "n_tokens", "n_ids", "wide", "ids")
     placed.mapInArrow(code, "part int, first long, doc_ids array<long>, n_tokens array<long>, n_ids long, checkpoints binary, payload binary").write.partitionBy("part").option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codes")
     discard(blocks)

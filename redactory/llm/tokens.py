@@ -19,14 +19,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from redactory.llm.common import small_batches, table
+from redactory.llm.common import size_runs, small_batches, table
 
-#: A blank after a character that is no white space. A byte-level pre-tokenizer never joins what stands on its two sides, and what it does from the blank on doesn't depend on what stands before.
-BREAK = re.compile(r"(?<=\S) ")
-#: What keeps a plain split at blanks from being one at BREAK: a blank at the start or after white space.
-UNSURE = r"^ |[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+#: A blank or line end after a character that is no white space. A byte-level pre-tokenizer never joins what stands before it with what follows, and what it does from there on doesn't depend on what stands before.
+BREAK = re.compile(r"(?<=\S)(?=[ \n])")
+#: What keeps a plain split at blanks and line ends from being one at BREAK: one of them at the start or after white space.
+UNSURE = r"^[ \n]|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][ \n]|\x00"
+
+#: Names of pieces that don't end where the next blank or line end begins, so that they can't be joined.
+ODD = r"(?s)^$|^ |^\x00|.[ \n]|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$"
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Characters of text whose pieces are made distinct together.
+TOGETHER = 1 << 22
 
 
 def open_tokenizer(path: str):
@@ -39,14 +44,14 @@ def open_tokenizer(path: str):
 class PieceEncoder:
     """Ids of whole texts under a byte-level BPE without prefix blank.
 
-    A piece is what stands between two BREAKs, with its blank; a text's first piece
-    has none. The pieces of a batch are made distinct, those not seen yet are joined,
-    encoded by the library and cut where an id starts with a blank, and the texts'
-    ids are gathered from the pieces'. kept bounds the number of pieces in memory;
-    beyond it they are forgotten.
+    A piece is what stands between two BREAKs, with its blank or line end; a text's
+    first piece has none. The pieces of a batch are made distinct, those not seen yet
+    are joined, encoded by the library and cut where an id starts with a blank or a
+    line end, and the texts' ids are gathered from the pieces'. kept bounds the
+    number of pieces in memory; beyond it they are forgotten.
     """
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 450_000):
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec["pre_tokenizer"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"]):
@@ -54,11 +59,11 @@ class PieceEncoder:
         self.tokenizer, self.kept = open_tokenizer(path), kept
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.blank[i] = token.startswith("Ġ")  # the byte-level alphabet's blank
+            self.blank[i] = token.startswith(("Ġ", "Ċ"))  # the byte-level alphabet's blank and line end
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[str, int] = {}  # of a piece with its blank
+        self.rows: dict[str, int] = {}  # by name, see _name
         self.heads: dict[str, int] = {}  # of a first piece
         self.ids, self.ends, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0  # ends[k]: where row k of ids ends
 
@@ -76,40 +81,57 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p and " " not in p]
-        if plain:
-            joined = [" " + " ".join(plain[i : i + 100]) for i in range(0, len(plain), 100)]
-            ids = np.fromiter(itertools.chain.from_iterable(self._encode(joined)), np.uint32)
+    @staticmethod
+    def _name(piece: str) -> str:
+        """A piece without its blank; with its line end; other pieces after a NUL."""
+        if piece[0] == " " and piece[1:2] not in ("\n", "\0"):
+            return piece[1:]
+        return piece if piece[0] == "\n" else "\0" + piece
+
+    @staticmethod
+    def _piece(name: str) -> str:
+        return name[1:] if name[:1] == "\0" else name if name[:1] == "\n" else " " + name
+
+    def _learn(self, names: list[str]) -> None:
+        odd = pc.match_substring_regex(pa.array(names, pa.string()), ODD)
+        if alone := list(itertools.compress(names, odd.to_pylist())) if pc.any(odd).as_py() else []:
+            apart = set(alone)
+            names = [n for n in names if n not in apart]
+        if names:
+            pieces = [n if n[0] == "\n" else " " + n for n in names]
+            ids = np.fromiter(itertools.chain.from_iterable(self._encode(["".join(pieces[i : i + 50]) for i in range(0, len(pieces), 50)])), np.uint32)
             starts = np.flatnonzero(self.blank[ids])
-            self.rows.update(zip(plain, self._add(ids, np.diff(starts, append=len(ids))), strict=True))
-        if odd := [p for p in pieces if not p or " " in p]:
-            self._learn_alone(odd, self.rows, " ")
+            self.rows.update(zip(names, self._add(ids, np.diff(starts, append=len(ids))), strict=True))
+        if alone:
+            self._learn_alone(alone, self.rows, self._piece)
 
-    def _learn_alone(self, pieces: list[str], rows: dict[str, int], before: str = "") -> None:
-        ids = self._encode([before + p for p in pieces])
-        rows.update(zip(pieces, self._add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids])), strict=True))
+    def _learn_alone(self, names: list[str], rows: dict[str, int], piece=str) -> None:
+        ids = self._encode([piece(n) for n in names])
+        rows.update(zip(names, self._add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids])), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """texts: strings without nulls."""
         if len(self.rows) + len(self.heads) > self.kept:
             self._forget()
-        column = pa.array(texts, pa.large_string())
-        unsure = pc.match_substring_regex(column, UNSURE)
-        split = pc.split_pattern(pc.if_else(unsure, "", column), " ")
+        unsure = pc.match_substring_regex(texts, UNSURE)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(unsure, "", texts), "\n", " \n"), " ")
         pieces, edges = split.flatten(), split.offsets.to_numpy()
+        edges = edges - edges[0]
         if pc.any(unsure).as_py():
-            lists = [BREAK.split(t) if u else None for t, u in zip(texts, unsure.to_pylist(), strict=True)]
-            both = [x if x is not None else split[i].as_py() for i, x in enumerate(lists)]
-            pieces, edges = pa.array(itertools.chain.from_iterable(both), pa.large_string()), np.cumsum([0, *map(len, both)])
+            whole = iter(texts.filter(unsure).to_pylist())
+            both = [[x[0], *map(self._name, x[1:])] if u and (x := BREAK.split(next(whole))) else split[i].as_py() for i, u in enumerate(unsure.to_pylist())]
+            pieces, edges = pa.array(itertools.chain.from_iterable(both), texts.type), np.cumsum([0, *map(len, both)])
         coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = edges[:-1]
         heads = pieces.take(pa.array(at)).to_pylist()
-        if new := [p for p in names if p not in self.rows]:
+        found = list(map(self.rows.get, names))
+        if new := [n for n, row in zip(names, found, strict=True) if row is None]:
             self._learn(new)
+            found = [self.rows[n] if row is None else row for n, row in zip(names, found, strict=True)]
         if new := list({p for p in heads if p not in self.heads}):
             self._learn_alone(new, self.heads)
-        rows = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        rows = np.array(found, np.int64)[coded.indices.to_numpy()]
         rows[at] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
         ends = self.ends[rows]
         lengths = ends - np.where(rows > 0, self.ends[rows - 1], 0)
@@ -199,23 +221,26 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path.endswith(".model"):
             whole = sentencepiece_of(path)
-            lengths = lambda texts: [len(whole.encode(t)) for t in texts]
+            lengths = lambda texts, sizes: [len(whole.encode(t)) for t in texts.to_pylist()]
         else:
             huge = huge_of(path, chunk, overlap)
             try:
                 encode = pieces_of(path).encode
             except ValueError:
-                encode = lambda texts: [np.array(huge.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+                encode = lambda texts: [huge.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
 
-            def lengths(texts: list[str]) -> list[int]:
-                short = iter(encode([t for t in texts if len(t) <= chunk]))
-                return [len(next(short)) if len(t) <= chunk else len(huge.encode(t)) for t in texts]
+            def lengths(texts: pa.Array, sizes: np.ndarray) -> list[int]:
+                long = sizes > chunk
+                out = np.zeros(len(texts), np.int64)
+                short = texts.filter(pa.array(~long))
+                out[~long] = [len(ids) for group in size_runs(sizes[~long], TOGETHER) for ids in encode(short.slice(group.start, len(group)))]
+                out[long] = [len(huge.encode(t)) for t in texts.filter(pa.array(long)).to_pylist()]
+                return out.tolist()
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = lengths(texts)
-            size = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            texts = pc.fill_null(batch.column(1), "")
+            n = lengths(texts, pc.utf8_length(texts).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
