@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection, governed, quality
+from redactory.plans import detection, extraction, governed, quality
 
-MODULES = (detection, governed, quality)
+MODULES = (detection, extraction, governed, quality)
 
 
 def queries() -> dict:
