@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection, extraction, governed, quality
+from redactory.plans import detection, extraction, governed, quality, records
 
-MODULES = (detection, extraction, governed, quality)
+MODULES = (detection, extraction, governed, quality, records)
 
 
 def queries() -> dict:
