@@ -15,7 +15,7 @@ ENTRIES = {
     "op6_simhash": ("simhash", "op6_simhash", None),
     "op4_suffix_dedup": ("suffix_dedup", "op4_suffix_dedup", None),
     "op1_quality_classifier": ("quality_classifier", "op1_quality_classifier", None),
-    "op3_chat_format": ("chat_format", "op3_chat_format", None),
+    "op3_chat_format": ("chat_format", "op3_chat_format", "OP3_SQL"),
 }
 
 

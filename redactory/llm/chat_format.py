@@ -174,3 +174,16 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(segments(rows))
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + coalesce(list_sum(list_transform(regexp_extract_all(text, '<</ROLE>>|<</SYS>>|<<ROLE>>|<<TEXT>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>|\\'), lambda m: 2 - length(m))), 0) AS text_chars,
+    length(role) + coalesce(list_sum(list_transform(regexp_extract_all(role, '<</ROLE>>|<</SYS>>|<<ROLE>>|<<TEXT>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>|\\'), lambda m: 2 - length(m))), 0) AS role_chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), 'START') AS before FROM c),
+f AS (SELECT *, text_chars + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 27 + role_chars END AS chars,
+    CASE before WHEN 'START' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AS fits FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (NOT fits)::BIGINT AS n_out_of_order FROM f GROUP BY conv_id
+"""

@@ -19,6 +19,7 @@ ODD = [
     (5, f"{SHARED} ", None, "a", 3), (6, f"{SHARED}\n" * 50, "en", "a", 3), (7, "word " * 5000, "en", "big", 3), (8, f"before {ITEM.upper()}, after", "en", "b", 3), (9, "ten-eleven; " + ITEM, "en", "c", 3), (10, "one two three", "en", None, 3),
     (11, " \t\n\x0b\x0c\r ", "en", "d", 3), (12, "ÉCOLE école Éa naïve", "fr", "a", 3), (12, "ÉCOLE école Éa naïve", "fr", "a", 3), (13, "lone", "en", "a", 1), (14, ITEM, "en", "é", 3), (15, ITEM.replace("six", "SIX."), "en", "Z", 3),
 ]
+TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <s> \\\\ [INST]"), (1, 2, "user", None), (None, 0, "system", "s"), (None, None, None, "n"), (2, 0, "assistant", ""), (2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (3, None, "tool<<SYS>>", "</s>"), (4, 5, "user", "é😀" * 9000)]
 ITEMS = [(1, ITEM), (2, "école éa"), (2, "LONE"), (None, "beta gamma"), (4, None), (5, ""), (10, ITEM), (6, "?!")]
 
 
@@ -26,8 +27,7 @@ ITEMS = [(1, ITEM), (2, "école éa"), (2, "LONE"), (None, "beta gamma"), (4, No
 def odd(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("odd"))
     docs = spark.createDataFrame([(*r, "x", 7) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, key string, size int")
-    docs.toPandas()
-    for name, df in (("documents", docs), ("benchmark", spark.createDataFrame(ITEMS, "item_id long, text string"))):
+    for name, df in (("documents", docs), ("benchmark", spark.createDataFrame(ITEMS, "item_id long, text string")), ("conversations", spark.createDataFrame([(*t, 1) for t in TURNS], "conv_id long, turn long, role string, text string, segment int"))):
         pq.write_table(df.toArrow(), f"{folder}/{name}.parquet")
     return folder
 
