@@ -31,8 +31,8 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
     a, b = fact.where("polarity = 'positive'").alias("a"), fact.where("polarity = 'negative'").alias("b")
     meet = F.coalesce(F.col("a.window_start") <= F.col("b.window_end"), F.lit(True)) & F.coalesce(F.col("b.window_start") <= F.col("a.window_end"), F.lit(True))
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.o") == F.col("b.o")) & meet).select(F.col("a.claim_id").alias("x"), F.col("b.claim_id").alias("y"))
-    both = pairs.groupBy(F.col("x").alias("claim_id")).agg(F.min("y").alias("conflicting_id")).unionByName(pairs.groupBy(F.col("y").alias("claim_id")).agg(F.min("x").alias("conflicting_id")))
-    return both
+    ways = F.explode(F.array(F.struct(F.col("x").alias("claim_id"), F.col("y").alias("other")), F.struct(F.col("y").alias("claim_id"), F.col("x").alias("other"))))
+    return pairs.select(ways.alias("w")).groupBy("w.claim_id").agg(F.min("w.other").alias("conflicting_id"))
 
 
 def cooccurrences(mentions: DataFrame, by: str, name: str, place: str) -> DataFrame:
