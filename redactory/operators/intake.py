@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redactory.sources.tables import rows_per_batch
+
 
 def measured(bodies: DataFrame, key: str, body: str, most: int, needle: bytes = b'"role"') -> DataFrame:
     """key, body_bytes, plain_bytes, n_needles, fault: what a body is when unpacked. gzip bodies are unpacked piece by piece and given up beyond most bytes; the needle is counted over piece borders too."""
@@ -50,7 +52,7 @@ def measured(bodies: DataFrame, key: str, body: str, most: int, needle: bytes =
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[key, "body_bytes", "plain_bytes", "n_needles", "fault"])
 
-    return bodies.select(key, body).mapInArrow(run, f"{key} {bodies.schema[key].dataType.simpleString()}, body_bytes long, plain_bytes long, n_needles long, fault string")
+    return rows_per_batch(bodies.select(key, body), 200).mapInArrow(run, f"{key} {bodies.schema[key].dataType.simpleString()}, body_bytes long, plain_bytes long, n_needles long, fault string")
 
 
 def keyed_digest(rows: DataFrame, value: str, secret: bytes, out: str = "digest") -> DataFrame:

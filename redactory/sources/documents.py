@@ -13,6 +13,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from redactory.sources.tables import rows_per_batch
+
 MOST_BYTES, MOST_CHARS, MOST_CELLS, MOST_COLUMNS = 10 << 20, 200_000, 100_000, 256
 MOST_MEMBERS, MOST_UNPACKED, MOST_RATIO = 2048, 32 << 20, 200
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -150,7 +152,7 @@ def extract(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
 
-    return files.select("path", "content").mapInArrow(run, "path string, format string, n long, kind string, texts array<string>, level int, error string")
+    return rows_per_batch(files.select("path", "content"), 16).mapInArrow(run, "path string, format string, n long, kind string, texts array<string>, level int, error string")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_per_batch(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with the number of rows that an Arrow batch hands to Python set for what is run next; texts can be long, and other queries of the session may have set it otherwise."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def fingerprint(df: DataFrame) -> str:
     """SHA-256 of the schema; a load can insist on the one it was written for."""
     import hashlib

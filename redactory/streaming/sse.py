@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from redactory.sources.tables import rows_per_batch
+
 #: Most bytes of one event.
 MOST = 1 << 20
 
@@ -88,7 +90,7 @@ def parse(chunks: DataFrame) -> DataFrame:
             yield rows(end())
 
     ordered = chunks.repartition("stream_id").sortWithinPartitions("stream_id", "seq").select("stream_id", "chunk")
-    return ordered.mapInArrow(run, "stream_id long, n long, event string, data string")
+    return rows_per_batch(ordered).mapInArrow(run, "stream_id long, n long, event string, data string")
 
 
 #: The most characters that the beginning of a placeholder can have.
