@@ -172,9 +172,9 @@ def split_keys(keys: np.ndarray, buckets: int, salt: int) -> list[np.ndarray]:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """rows: k, th, t2 (two hashes of a text of WIDTH bytes or more). k, th of those whose text a smaller k has."""
-    first = rows.groupBy("th", "t2").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "t2", "first")
-    return rows.join(first, ["th", "t2"]).where(F.col("k") > F.col("first")).select("k", "th").distinct()
+    """rows: k, th, t2 (two hashes of a text of WIDTH bytes or more). k, th of those whose text a smaller k has; repeated rows are repeated."""
+    first = stored(rows.groupBy("th", "t2").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "t2", "first"))  # a table of its own, so that Spark can split a large group in the join
+    return rows.join(first, ["th", "t2"]).where(F.col("k") > F.col("first")).select("k", "th")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
