@@ -155,11 +155,11 @@ PAGE_SQL = f"{with_tables('publications')} SELECT strftime(published_at, '%Y-%m-
 
 
 def dict_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived(spark, sf_dir, "entities").where(F.col("name").contains("ed w") & (F.col("entity_type") == "ITEM"))
+    e = derived(spark, sf_dir, "entities").where(F.col("name").contains("ed ") & (F.col("entity_type") == "ITEM"))
     return e.orderBy("name", "entity_id").offset(2).limit(30).select("entity_id", "name")
 
 
-SEARCH_SQL = f"{with_tables('entities')} SELECT entity_id, name FROM entities WHERE contains(name, 'ed w') AND entity_type = 'ITEM' ORDER BY name, entity_id LIMIT 30 OFFSET 2"
+SEARCH_SQL = f"{with_tables('entities')} SELECT entity_id, name FROM entities WHERE contains(name, 'ed ') AND entity_type = 'ITEM' ORDER BY name, entity_id LIMIT 30 OFFSET 2"
 
 
 def candidates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
