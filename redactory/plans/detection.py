@@ -11,7 +11,7 @@ from redactory.functions import checks
 from redactory.functions.recognizers import detect
 from redactory.operators import fragments as fr
 from redactory.operators import spans as sp
-from redactory.sources.tables import table
+from redactory.sources.tables import stored, table
 
 TODAY = datetime.date(2024, 1, 1)
 
@@ -40,7 +40,7 @@ c AS (SELECT frag_id, request_id, text, source, entity_type, priority, v, (instr
 
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = fragments(spark, sf_dir)
-    return f, detect(f, "frag_id", today=TODAY)
+    return f, stored(detect(f, "frag_id", today=TODAY))
 
 
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

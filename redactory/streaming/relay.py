@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.sources.tables import table
-
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "redactory-streams")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from redactory.sources.tables import shared_folder, table
 
 
 def run_once(stream: DataFrame, batch, folder: str) -> None:
