@@ -133,7 +133,7 @@ SELECT word, CASE WHEN word IN ('red', 'blue') THEN 'COLOR' WHEN word = 'widget'
 
 def quick_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("text").unionByName(fragments(spark, sf_dir).select("text"))
-    return texts.groupBy(checks.risk(F.col("text")).alias("score")).agg(F.count("*").alias("n"), F.count_if(checks.risk(F.col("text")) >= 0.35).alias("n_detect"))
+    return texts.select(checks.risk(F.col("text")).alias("score")).groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.35).alias("n_detect"))
 
 
 QUICK_SQL = rf"""WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM ({FRAGMENTS_SQL})), s AS (SELECT CASE
