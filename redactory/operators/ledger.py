@@ -2,24 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.sources.tables import rows_per_batch
+
 #: From which states a command leads where; other commands leave the state alone.
 STEPS = {("proposed", "publish"): "published", ("proposed", "reject"): "rejected", ("proposed", "dispute"): "disputed", ("disputed", "reject"): "rejected", ("published", "withdraw"): "withdrawn", ("proposed", "withdraw"): "withdrawn", ("rejected", "revise"): "proposed", ("withdrawn", "revise"): "proposed"}
 
 
+def fold_ranges(rows: DataFrame, key: str, states: list[str]) -> DataFrame:
+    """rows: key, o, command, sorted in their partitions. Returns a row per key and partition: key, o, command (its first), and for each state that it may start in, by the state's number, the last state's number, the revisions and the commands applied. Rows stream by in constant memory."""
+    n = len(states)
+    moves: dict[str, list[int]] = {}
+    for (s, c), to in STEPS.items():
+        moves.setdefault(c, list(range(n)))[states.index(s)] = states.index(to)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
+        first: list[pa.Array] = []
+        for batch in batches:
+            keys, done = batch.column(0).to_pylist(), []
+            for i, (k, c) in enumerate(zip(keys, batch.column(2).to_pylist(), strict=True)):
+                if held is None or k != held[0]:
+                    if held:
+                        done.append((first, held))
+                    held, first = [k, list(range(n)), [0] * n, [0] * n], [batch.column(j).slice(i, 1) for j in range(3)]
+                if (to := moves.get(c)) is None:
+                    continue
+                _, at, revised, applied = held
+                for s in range(n):
+                    if to[at[s]] != at[s]:
+                        at[s] = to[at[s]]
+                        revised[s] += c == "revise"
+                        applied[s] += 1
+            if done:
+                yield packed(done)
+        if held:
+            yield packed([(first, held)])
+
+    def packed(done: list) -> pa.RecordBatch:
+        heads = [pa.concat_arrays([f[j] for f, _ in done]) for j in range(3)]
+        return pa.RecordBatch.from_arrays([*heads, *(pa.array([h[j] for _, h in done], pa.list_(pa.int64())) for j in (1, 2, 3))], names=[key, "o", "command", "at", "revised", "applied"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(fold, f"{kinds}, at array<long>, revised array<long>, applied array<long>")
+
+
 def fold_states(commands: DataFrame, key: str, order: str, command: str, first: str = "proposed") -> DataFrame:
-    """key, state, version (1 and one more per revision), n_applied: the commands of a key in order. A key's commands are folded in its own row, so a key should have thousands, not millions."""
-    table = F.create_map(*[F.lit(x) for (s, c), to in STEPS.items() for x in (f"{s} {c}", to)])
-    start = F.struct(F.lit(first).alias("state"), F.lit(1).alias("version"), F.lit(0).alias("n_applied"))
+    """key, state, version (1 and one more per revision), n_applied: the commands of a key in order, those of one order by name.
+
+    Commands are dealt by ranges of key and order, so one key may span partitions.
+    Each range gives its outcome for every state that it may start in; a key's
+    ranges, a row per partition at most, are then composed.
+    """
+    states = sorted({first, *(s for s, _ in STEPS), *STEPS.values()})
+    rows = commands.select(key, F.col(order).alias("o"), F.col(command).alias("command")).repartitionByRange(key, "o", "command").sortWithinPartitions(key, "o", "command")
+    parts = fold_ranges(rows_per_batch(rows, 10_000), key, states).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "command", "at", "revised", "applied"))).alias("c"))
+    start = F.struct(F.lit(states.index(first)).cast("long").alias("at"), F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("n_applied"))
 
     def step(acc: Column, c: Column) -> Column:
-        to = F.try_element_at(table, F.concat_ws(" ", acc["state"], c["command"]))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["version"] + F.when(to.isNotNull() & (c["command"] == "revise"), 1).otherwise(0)).alias("version"), (acc["n_applied"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("n_applied"))
+        told = lambda name: F.element_at(c[name], (acc["at"] + 1).cast("int"))
+        return F.struct(told("at").alias("at"), (acc["version"] + told("revised")).alias("version"), (acc["n_applied"] + told("applied")).alias("n_applied"))
 
-    rows = commands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(command).alias("command")))).alias("c"))
-    return rows.select(key, F.aggregate("c", start, step).alias("s")).select(key, "s.*")
+    names = F.array(*map(F.lit, states))
+    return parts.select(key, F.aggregate("c", start, step).alias("s")).select(key, F.element_at(names, (F.col("s.at") + 1).cast("int")).alias("state"), "s.version", "s.n_applied")
 
 
 def history(requests: DataFrame, now: Column, model: str | None = None, protocol: str | None = None, status: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:

@@ -26,7 +26,8 @@ COMMANDS = "SELECT user_id % 60 AS candidate, event_id, CASE event_type WHEN 'vi
 
 
 def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.fold_states(spark.sql(COMMANDS, events=table(spark, sf_dir, "events")), "candidate", "event_id", "command")
+    folded = ledger.fold_states(spark.sql(COMMANDS, events=table(spark, sf_dir, "events")), "candidate", "event_id", "command")
+    return folded.withColumns({c: F.col(c).cast("int") for c in ("version", "n_applied")})
 
 
 FOLD_SQL = f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY event_id) AS i FROM ({COMMANDS.replace("{events}", "events")})),
@@ -36,6 +37,16 @@ f AS (SELECT candidate, 0::BIGINT AS i, 'proposed' AS state, 1 AS version, 0 AS
         WHEN 'proposed withdraw' THEN 'withdrawn' WHEN 'rejected revise' THEN 'proposed' WHEN 'withdrawn revise' THEN 'proposed' END AS nxt FROM f JOIN c ON c.candidate = f.candidate AND c.i = f.i + 1) x)
 SELECT candidate, arg_max(state, i) AS state, arg_max(version, i)::INT AS version, arg_max(n_applied, i)::INT AS n_applied FROM f GROUP BY 1"""
 
+#: state_fold and its SQL stop at an event_id; these take all events.
+ALL_COMMANDS = COMMANDS.removesuffix(" WHERE event_id < 1500")
+
+
+def state_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.fold_states(spark.sql(ALL_COMMANDS, events=table(spark, sf_dir, "events")), "candidate", "event_id", "command")
+
+
+FOLD_ALL_SQL = FOLD_SQL.replace(COMMANDS.replace("{events}", "events"), ALL_COMMANDS.replace("{events}", "events")).replace("::INT", "::BIGINT")
+
 REQUESTS = "SELECT o_orderkey AS record_id, CASE WHEN o_custkey % 2 = 0 THEN 'm-1' ELSE 'm-2' END AS model, 'chat' AS protocol, o_orderstatus AS status, o_orderdate AS created_at, o_orderdate + INTERVAL 365 DAYS AS expires_at FROM {orders}"
 
 
@@ -66,4 +77,4 @@ def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UPSERT_SQL = "SELECT user_id % 50 AS k, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, 'last' AS rule FROM events GROUP BY 1 UNION ALL SELECT user_id % 50, min(event_id), arg_min(event_type, event_id), 'first' FROM events GROUP BY 1"
 
-QUERIES = {"relation_extract": (relation_extract, RELATION_SQL), "state_fold": (state_fold, FOLD_SQL), "history_list": (history_list, HISTORY_SQL), "label_decode": (label_decode, DECODE_SQL), "upsert_last": (upsert_last, UPSERT_SQL)}
+QUERIES = {"relation_extract": (relation_extract, RELATION_SQL), "state_fold": (state_fold, FOLD_SQL), "state_fold_all": (state_fold_all, FOLD_ALL_SQL), "history_list": (history_list, HISTORY_SQL), "label_decode": (label_decode, DECODE_SQL), "upsert_last": (upsert_last, UPSERT_SQL)}
