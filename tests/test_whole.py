@@ -1,7 +1,10 @@
 """Queries over whole tables, and operators on groups that hold most rows, against plain Python."""
 
+import hashlib
 import random
 
+import pytest
+
 from redactory.operators.ledger import STEPS, fold_states
 from redactory.plans import catalog
 from redactory.sources.tables import table
@@ -36,3 +39,21 @@ def test_state_fold_all_reads_all_events(spark):
         want.setdefault(r.user_id % 60, []).append(names.get(r.event_type, "dispute"))
     got = catalog.queries()["state_fold_all"](spark, SF).collect()
     assert {r.candidate: (r.state, r.version, r.n_applied) for r in got} == {k: folded(c) for k, c in want.items()}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_protected_stream_all_reads_all_events(spark, size):
+    sf = f"/root/testdata/{size}"
+    sent: dict[int, list] = {}
+    for r in table(spark, sf, "events").orderBy("event_id").collect():
+        sent.setdefault(r.event_id // 40 * 8 + r.user_id % 8, []).append(r)
+    want = {}
+    for stream, events in sent.items():
+        data = ["[DONE]" if r.event_id % 37 == 0 or r is events[-1] and stream % 3 else r.event_type + " " for r in events]
+        marks = data.count("[DONE]")
+        fault = "TOO_LARGE" if sum(map(len, data)) > 40 else "TRUNCATED" if not marks else "AFTER_END" if data[-1] != "[DONE]" or marks > 1 else None
+        text = "".join(d for d in data if d != "[DONE]")
+        want[stream] = (None if fault else hashlib.sha256(text.encode()).hexdigest(), fault)
+    got = {r.stream: (r.digest, r.fault) for r in catalog.queries()["protected_stream_all"](spark, sf).collect()}
+    assert got == want
+    assert {f for _, f in got.values()} == {None, "TOO_LARGE", "TRUNCATED", "AFTER_END"}
