@@ -57,3 +57,15 @@ def test_protected_stream_all_reads_all_events(spark, size):
     got = {r.stream: (r.digest, r.fault) for r in catalog.queries()["protected_stream_all"](spark, sf).collect()}
     assert got == want
     assert {f for _, f in got.values()} == {None, "TOO_LARGE", "TRUNCATED", "AFTER_END"}
+
+
+def test_roles_assign_all_reads_all_orders(spark):
+    names = {r.s_suppkey: r.s_name for r in table(spark, SF, "supplier").collect()}
+    told: dict[tuple, set] = {}
+    for r in table(spark, SF, "orders").collect():
+        role = {0: "PARTYA", 1: "PARTYB", 3: "PARTYA"}.get((r.o_custkey if r.o_orderkey % 3 == 0 else r.o_orderkey) % 5)
+        if role and r.o_custkey % 40 in names:
+            told.setdefault((r.o_orderkey % 50, names[r.o_custkey % 40]), set()).add(role)
+    got = {(r.request_id, r.original): {r.role} for r in catalog.queries()["roles_assign_all"](spark, SF).collect()}
+    assert got == {k: v for k, v in told.items() if len(v) == 1}
+    assert len(got) < len(told)
