@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.sources.tables import stored
+
+#: Ranks of at most so many times are broadcast; with more, Spark shuffles both sides.
+MOST_BROADCAST = 100_000
+
 
 def schema_guard(claims: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds violation: unknown_predicate, domain_mismatch or range_mismatch, or null. rules: predicate, domain, range (arrays, '*' for any), a table of fixed size."""
@@ -16,11 +21,63 @@ def schema_guard(claims: DataFrame, entities: DataFrame, rules: DataFrame) -> Da
     )
 
 
+def ranked(fact: DataFrame) -> tuple[DataFrame, int]:
+    """fact with lo and hi, the ranks of window_start and window_end among all such times from 1 on (0 and one past the last where they are missing), and the bits that the ranks take."""
+    times = stored(fact.select(F.explode(F.array("window_start", "window_end")).alias("t")).where("t IS NOT NULL").distinct().repartitionByRange("t").sortWithinPartitions("t").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before, n = [], 0
+    for r in times.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        before += [F.lit(r.part), F.lit(n)]
+        n += r.n
+    base = F.try_element_at(F.create_map(*before), part) if before else F.lit(0)
+    ranks = times.select("t", (base + F.col("at").bitwiseAND(F.lit(2**33 - 1)) + 1).cast("long").alias("rank"))
+    if n <= MOST_BROADCAST:
+        ranks = F.broadcast(ranks)
+    for bound, out, open_ in (("window_start", "lo", 0), ("window_end", "hi", n + 1)):
+        fact = fact.join(ranks.withColumnsRenamed({"t": bound, "rank": out}), bound, "left").withColumn(out, F.coalesce(out, F.lit(open_).cast("long"))).drop(bound)
+    return fact, (n + 1).bit_length()
+
+
+def above(point: Column, bits: int) -> Column:
+    """The nodes of a binary tree over ranks that hold a rank: level, node."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(point, k).alias("node")) for k in range(bits + 1)])
+
+
+def cover(low: Column, high: Column, bits: int) -> Column:
+    """The fewest nodes that hold the ranks from low to high and no others, two a level at most; none if low is above high."""
+    found = []
+    for k in range(bits + 1):
+        a, b = F.shiftright(low + ((1 << k) - 1), k), F.shiftright(high + 1, k)
+        for fits, node in ((a % 2 == 1, a), (b % 2 == 1, b - 1)):
+            found.append(F.when((a < b) & fits, F.struct(F.lit(k).alias("level"), node.alias("node"))))
+    return F.array_compact(F.array(*found))
+
+
+def crossed(a: Column, b: Column, side: int) -> Column:
+    """Places in a plane of two such trees: each node of a with each of b."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y")))))
+
+
+def smallest(offers: DataFrame, asks: DataFrame, offered: Column, asked: Column) -> DataFrame:
+    """claim_id, other: for each place that an asking claim names, the smallest claim of the other polarity that is offered there. Offers are reduced to a row per place before the join."""
+    keys = ["p", "s", "o", "polarity", "place"]
+    best = offers.select("p", "s", "o", "polarity", F.explode(offered).alias("place"), "claim_id").groupBy(*keys).agg(F.min("claim_id").alias("other"))
+    against = F.when(F.col("polarity") == "positive", "negative").otherwise("positive")
+    return asks.select("p", "s", "o", against.alias("polarity"), F.explode(asked).alias("place"), "claim_id").join(best, keys).groupBy("claim_id").agg(F.min("other").alias("other"))
+
+
 def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
     """claim_id, conflicting_id: for each claim the first (smallest) other of opposite polarity about the same fact, directly or by the inverse predicate, whose window overlaps.
 
     Facts are turned to one direction first, so both cases meet in one equi-join.
-    Windows are closed; a missing bound is open.
+    Windows are closed; a missing bound is open. A window that ends before it starts
+    meets those that hold both its bounds.
+
+    No pairs are made. Of two windows that overlap, the one that starts later starts
+    inside the other. Bounds become ranks; a window is cut into nodes of a binary tree
+    over them, a start lies in one node of each level, and claims meet in nodes, each
+    reduced to its smallest claim. Rows per claim grow with the logarithm of the number
+    of distinct times.
     """
     turned = F.create_map(*[F.lit(x) for pair in inverse.items() for x in pair]) if inverse else F.create_map().cast("map<string,string>")
     other = F.try_element_at(turned, "predicate")
@@ -28,11 +85,20 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
     fact = claims.select(
         "claim_id", "polarity", "window_start", "window_end", F.when(flip, other).otherwise(F.col("predicate")).alias("p"), F.when(flip, F.col("object_id")).otherwise(F.col("subject_id")).alias("s"), F.when(flip, F.col("subject_id")).otherwise(F.col("object_id")).alias("o")
     )
-    a, b = fact.where("polarity = 'positive'").alias("a"), fact.where("polarity = 'negative'").alias("b")
-    meet = F.coalesce(F.col("a.window_start") <= F.col("b.window_end"), F.lit(True)) & F.coalesce(F.col("b.window_start") <= F.col("a.window_end"), F.lit(True))
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.o") == F.col("b.o")) & meet).select(F.col("a.claim_id").alias("x"), F.col("b.claim_id").alias("y"))
-    ways = F.explode(F.array(F.struct(F.col("x").alias("claim_id"), F.col("y").alias("other")), F.struct(F.col("y").alias("claim_id"), F.col("x").alias("other"))))
-    return pairs.select(ways.alias("w")).groupBy("w.claim_id").agg(F.min("w.other").alias("conflicting_id"))
+    fact, bits = ranked(fact.where("polarity IN ('positive', 'negative')"))
+    fact = stored(fact)
+    lo, hi = F.col("lo"), F.col("hi")
+    start, window = above(lo, bits), cover(lo, hi, bits)
+    sided = lambda nodes, side: F.transform(nodes, lambda x: F.struct(F.lit(side).alias("side"), x.alias("x")))
+    straight, turned_back = fact.where("lo <= hi"), fact.where("lo > hi")
+    found = smallest(straight, straight, F.concat(sided(start, 0), sided(window, 1)), F.concat(sided(window, 0), sided(start, 1)))
+    if not turned_back.isEmpty():
+        # Overlap as it is defined: the other starts at hi or before, and ends at lo or after.
+        of_fact = straight.join(turned_back.select("p", "s", "o").distinct(), ["p", "s", "o"], "left_semi")
+        offered = crossed(above(lo, bits), above(hi, bits), 0)
+        asked = crossed(cover(F.lit(0).cast("long"), hi, bits), cover(lo, F.lit((1 << bits) - 1).cast("long"), bits), 0)
+        found = found.unionByName(smallest(of_fact, turned_back, offered, asked)).unionByName(smallest(turned_back, of_fact, offered, asked))
+    return found.groupBy("claim_id").agg(F.min("other").alias("conflicting_id"))
 
 
 def cooccurrences(mentions: DataFrame, by: str, name: str, place: str) -> DataFrame:

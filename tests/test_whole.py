@@ -1,10 +1,12 @@
 """Queries over whole tables, and operators on groups that hold most rows, against plain Python."""
 
+import datetime
 import hashlib
 import random
 
 import pytest
 
+from redactory.operators.knowledge import conflicts
 from redactory.operators.ledger import STEPS, fold_states
 from redactory.plans import catalog
 from redactory.sources.tables import table
@@ -69,3 +71,54 @@ def test_roles_assign_all_reads_all_orders(spark):
     got = {(r.request_id, r.original): {r.role} for r in catalog.queries()["roles_assign_all"](spark, SF).collect()}
     assert got == {k: v for k, v in told.items() if len(v) == 1}
     assert len(got) < len(told)
+
+
+def test_conflicts_of_a_hot_fact(spark):
+    rng = random.Random(5)
+    day = lambda: rng.choice([None, *(datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=7 * rng.randrange(60)) for _ in range(9))])
+    rows = []
+    for i in range(400):
+        s, o = ("A", "B") if rng.random() < 0.7 else (rng.choice("AC"), rng.choice(["B", "D", None]))
+        turn = rng.random() < 0.4
+        a, z = day(), day()
+        if a and z and rng.random() < 0.8:
+            a, z = min(a, z), max(a, z)
+            z = min(z, a + datetime.timedelta(hours=14))
+        rows.append((i * 7 % 401, o if turn else s, s if turn else o, "supplied_by" if turn else "supplies", rng.choice(["positive", "positive", "negative", "unknown"]), a, z))
+    turned = lambda r: (r[2], r[1]) if r[3] == "supplies" else (r[1], r[2])
+    want = {}
+    for x in rows:
+        meet = [y[0] for y in rows if {x[4], y[4]} == {"positive", "negative"} and turned(x) == turned(y) and None not in turned(x) and (not x[5] or not y[6] or x[5] <= y[6]) and (not y[5] or not x[6] or y[5] <= x[6])]
+        if meet:
+            want[x[0]] = min(meet)
+    claims = spark.createDataFrame(rows, "claim_id long, subject_id string, object_id string, predicate string, polarity string, window_start timestamp, window_end timestamp")
+    inverse = {"supplies": "supplied_by", "supplied_by": "supplies"}
+    assert {r.claim_id: r.conflicting_id for r in conflicts(claims, inverse).collect()} == want
+    assert len(want) > 100
+    assert conflicts(claims.limit(0), inverse).count() == 0
+
+
+def test_mutual_exclusion_all_reads_every_line_number(spark):
+    got = {r.claim_id % 10 for r in catalog.queries()["mutual_exclusion_all"](spark, SF).collect()}
+    assert {1, 2, 3} < got
+
+
+def test_conflicts_make_no_pairs(spark):
+    n = 2000  # all of one fact, half of each polarity: a million pairs
+    claims = spark.range(n).selectExpr("id AS claim_id", "'A' AS subject_id", "'B' AS object_id", "'supplies' AS predicate", "CASE WHEN id % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity", "timestamp_seconds(id) AS window_start", "CAST(NULL AS timestamp) AS window_end")
+    out = conflicts(claims, {})
+    assert {r.claim_id: r.conflicting_id for r in out.collect()} == {i: 1 - i % 2 for i in range(n)}
+    seen, todo = [], [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if "Join" in kind:
+                seen.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert all(rows < 60 * n for rows in seen)
+    assert seen
