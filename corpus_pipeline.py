@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import stored, table
-from redactory.llm.decontamination import decontaminate
+from redactory.llm.common import id_key, stored, table, text_hash
+from redactory.llm.decontamination import judged
 from redactory.llm.huffman import token_files
 from redactory.llm.mixing import mixed
 from redactory.llm.quality_classifier import fold, keep_good
-from redactory.llm.simhash import near_duplicates
+from redactory.llm.simhash import component_firsts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels").where(fold() != 1))
 
 
+ROW = ["row_k", "row_th"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_k and row_th, which name a row by its doc_id, null too, and its text."""
+    return docs.withColumns({"row_k": id_key(), "row_th": text_hash()})
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id; rows with one doc_id stay or go together."""
-    copies = near_duplicates(docs).where(F.col("doc_id") != F.coalesce("component_id", F.col("doc_id") - 1)).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near-duplicates one row: that with the smallest doc_id (null is smaller than any), then text hash. Of its exact repeats the one with the smallest other columns stays."""
+    firsts = stored(component_firsts(docs).toDF(*ROW))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = keyed(docs).groupBy(*ROW).agg(F.min(F.struct(*rest, "text")).alias("row"))  # reduced before the shuffle, so that no row's repeats make a large group
+    return rows.join(firsts, ROW, "left_semi").select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    hit = stored(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct())
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(*docs.columns)
+    """Rows without a window of a benchmark item, each judged by its own text."""
+    hit = stored(judged(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("k", "th").distinct().toDF(*ROW))
+    return keyed(docs).join(hit, ROW, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,11 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_hash(column: str = "text") -> Column:
+    """With id_key it names a row; null texts count as empty. Two texts of one doc_id share it in about n^2 / 2^65 cases for n rows of that id."""
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
 def id_back(column: str) -> Column:
     return F.when(F.col(column) != F.lit(NO_ID), F.col(column))
 

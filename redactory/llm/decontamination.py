@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import id_back, id_key, if_small, stored, table
+from redactory.llm.common import id_back, id_key, if_small, stored, table, text_hash
 
 #: Broadcast at most so many windows or prefix tokens (some 100 bytes each); with more, Spark shuffles both sides.
 MOST_BROADCAST = 100_000
@@ -58,10 +58,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     a null item_id counts for n_hit but names no item. Rows with the same doc_id are
     judged by their own texts. With no items nothing is hit.
     """
+    return judged(docs, items, width).select(id_back("k").alias("doc_id"), "n_words", "n_hit", "item_ids")
+
+
+def judged(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """decontaminate() with the key of each row, k and th, in place of doc_id."""
     found = stored(windows(items, width))
     prefix = stored(rarest(found, docs))
     n = prefix.count()
-    rows = docs.select(id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    rows = docs.select(id_key().alias("k"), text_hash().alias("th"), "text")
     places = rows.select("k", "th", F.explode(F.array(words(F.col("text")))).alias("w")).select("k", "th", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
     candidates = (
         places.join(if_small(prefix, n, MOST_BROADCAST), "token")
@@ -70,12 +75,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
         .groupBy("k", "th")
         .agg(F.collect_set(F.struct("start", "len", "wtext", "items")).alias("c"))
     )
-    whole = rows.join(candidates, ["k", "th"], "left").select("k", "c", F.explode(F.array(words(F.col("text")))).alias("w"))
-    sure = whole.select("k", F.size("w").alias("n_words"), F.filter("c", lambda c: F.array_join(F.slice(F.col("w"), c.start + 1, c.len), " ") == c.wtext).alias("hits"))
+    whole = rows.join(candidates, ["k", "th"], "left").select("k", "th", "c", F.explode(F.array(words(F.col("text")))).alias("w"))
+    sure = whole.select("k", "th", F.size("w").alias("n_words"), F.filter("c", lambda c: F.array_join(F.slice(F.col("w"), c.start + 1, c.len), " ") == c.wtext).alias("hits"))
     sure = sure.withColumn("hits", F.coalesce("hits", F.array().cast(sure.schema["hits"].dataType)))
     hit = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c.start, c.start + c.len - 1))))
     ids = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hits", lambda c: c["items"])), lambda i: i.cast("string"))))
-    return sure.select(id_back("k").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.size(hit).cast("long").alias("n_hit"), ids.alias("item_ids"))
+    return sure.select("k", "th", F.col("n_words").cast("long").alias("n_words"), F.size(hit).cast("long").alias("n_hit"), ids.alias("item_ids"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

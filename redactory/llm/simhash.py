@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, small_batches, stored, table
+from redactory.llm.common import discard, id_back, id_key, small_batches, stored, table, text_hash
 from redactory.llm.components import connected
 
 TILE = 1024
@@ -42,8 +42,8 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """k (doc_id, or NO_ID for null), fp: a bit is 1 if it is 1 in over half of the text's shingle hashes. Null texts count as empty, with fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int = 3, hashed: bool = False) -> DataFrame:
+    """k (doc_id, or NO_ID for null), fp, and th (the text's hash) if hashed: a bit is 1 if it is 1 in over half of the text's shingle hashes. Null texts count as empty, with fingerprint 0."""
     small_batches(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +54,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                     raw = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
                     n = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
                     out[row] = np.packbits(2 * n > len(hashes)).view(">u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["k", "fp", *more])
 
-    return docs.select(id_key().alias("k"), "text").mapInArrow(build, "k long, fp long")
+    more = ["th"] if hashed else []
+    return docs.select(id_key().alias("k"), "text", *[text_hash().alias(c) for c in more]).mapInArrow(build, ", ".join(f"{c} long" for c in ["k", "fp", *more]))
 
 
 def near_cells(cell: int, radius: int) -> list[int]:
@@ -155,6 +156,22 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.select("own", "other").mapInArrow(lambda batches: compare(batches, radius), "a long, b long")
 
 
+def linked_fingerprints(rows: DataFrame, least: Column, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct fingerprints of rows, each with its smallest least; and node, label: those that have links, with their component."""
+    distinct = stored(rows.groupBy("fp").agg(F.min(least).alias("least")))
+    found = stored(links(distinct.select("fp"), radius))
+    labels = connected(found)
+    discard(found)
+    return distinct, labels
+
+
+def component_firsts(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """k, th: for each component of near-duplicates, of null doc_ids as well, its row with the smallest doc_id and then text hash; null is smaller than any."""
+    distinct, labels = linked_fingerprints(stored(fingerprints(docs, width, hashed=True)), F.struct("k", "th"), radius)
+    of_fp = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    return of_fp.groupBy(F.coalesce("label", "fp").alias("root")).agg(F.min("least").alias("first")).select("first.k", "first.th")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fp, component_id for each row of docs (doc_id, text; other columns are left alone).
 
@@ -164,10 +181,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     Rows with the same doc_id are linked by their fingerprints only.
     """
     rows = stored(fingerprints(docs, width))
-    distinct = stored(rows.groupBy("fp").agg(F.min("k").alias("least")))
-    found = stored(links(distinct.select("fp"), radius))
-    labels = connected(found)
-    discard(found)
+    distinct, labels = linked_fingerprints(rows, F.col("k"), radius)
     linked = stored(labels.join(distinct.withColumnRenamed("fp", "node"), "node").select("node", "label", "least"))
     least = linked.groupBy("label").agg(F.min("least").alias("component"))
     of_fp = distinct.join(linked.join(least, "label").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
