@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors see. Only an unset setting, as in local tests, gets a folder of this machine."""
+    """A new path below spark.checkpoint.dir, which all executors see. Where that is unset, a folder of this machine serves a session that runs on this machine alone; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         base = os.path.join(tempfile.gettempdir(), "redactory-checkpoints")
     return f"{base}/redactory-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, what stored() has written inside it. What is read later must be stored outside, or with kept()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written once and read back: later steps neither repeat its work nor depend on the executors that did it."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
@@ -40,20 +62,18 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return back
 
 
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """kept(), and deleted at the end of the scratch() that it stands in, if any."""
+    back = kept(df, compression)
+    if _scopes:
+        _scopes[-1].append((df.sparkSession, back._stored_at))
+    return back
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished steps once the JVM collects what stands for them; this asks for it now, before a large step. What Python holds goes first, hence twice."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+        delete(df.sparkSession, df._stored_at)
 
 
 def id_key(column: str = "doc_id") -> Column:
@@ -74,9 +94,11 @@ def if_small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long: bounds the rows that one Arrow batch hands to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most rows rows: texts can be long, and Python objects take more room than Arrow. Empty batches are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 #: Characters of text that a Python worker takes up together.

@@ -5,8 +5,8 @@ and the line's places. These rows are range-partitioned by hash and document and
 sorted, largest document first, so that one pass over a partition streams each
 key's documents: the first keeps its lines, the others lose theirs once enough
 documents are seen. A range ends between documents, not between keys, so a very
-frequent key spreads over many partitions; for the first and last key of each,
-only their counts are brought together. The result is a compressed bitmap of kept
+frequent key spreads over many partitions; for the first and last key of each, and
+for keys with very many rows of few documents, only their counts are brought together. The result is a compressed bitmap of kept
 lines for each document that loses some; texts are not moved until it is applied.
 """
 
@@ -22,21 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import WHITE, discard, id_back, id_key, small_batches, stored, table
+from redactory.llm.common import WHITE, discard, id_back, id_key, slices, stored, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DECISION = "kind int, hi long, lo long, k long, th long, n long, n_lines int, places binary"
 FIELDS = pa.schema([("kind", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("k", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("n_lines", pa.int32()), ("places", pa.binary())])
-#: Kinds of decisions: lines to drop; lines of a partition's first or last key, still open; that key's count here, with its largest document.
+#: Kinds of decisions: lines to drop; lines of a key that the partition can't decide, as it is its first or last one or has too many rows; that key's count here, with its largest document.
 DROP, OPEN, COUNT = 0, 1, 2
+#: Rows of a key that are held while it has too few documents.
+HELD = 1000
 
 
 def line_keys(docs: DataFrame, least: int) -> DataFrame:
     """hi, lo (hash of a key of at least least code points), k, th (document and text), n_lines (of the text), places (of the key's lines, as 32-bit integers): a row per key and text."""
-    small_batches(docs.sparkSession, 1000)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             his, los, rows, places, lines = [], [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 if text is None or len(text) < least:
@@ -59,29 +60,29 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
 
 
 def stream(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
-    """Decisions of one sorted partition. Holds the rows of a key until least_docs documents are seen, and the first key's count."""
+    """Decisions of one sorted partition. Holds up to HELD rows of a key until least_docs documents are seen; more of them, as rows with one doc_id can be, stay open."""
     out: list[tuple] = []
     held: list[tuple] = []  # rows of this key, while it has too few documents
     key: tuple[int, int] | None = None
-    first, n, last, top = True, 0, None, None
+    first, counted, n, last, top = True, False, 0, None, None
 
     def close(edge: bool) -> None:
-        if key is not None and edge:
+        if key is not None and (edge or counted):
             out.extend((OPEN, *key, k, th, 0, n_lines, places) for k, th, n_lines, places in held)
             out.append((COUNT, *key, top, 0, n, 0, b""))
 
-    for batch in batches:
+    for batch in slices(batches, 10_000):
         for hi, lo, k, th, n_lines, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (hi, lo) != key:
                 close(first)
                 first = key is None
-                key, held, n, last, top = (hi, lo), [], 0, None, k
+                key, held, counted, n, last, top = (hi, lo), [], False, 0, None, k
             if k != last:
                 n, last = n + 1, k
             if first or n < least_docs:
-                if first and len(held) >= 1000:  # of the first key all rows stay open; they leave at once
+                if len(held) >= HELD:
                     out.extend((OPEN, *key, a, b, 0, *c) for a, b, *c in held)
-                    held = []
+                    held, counted = [], True
                 held.append((k, th, n_lines, places))
             else:
                 out.extend((DROP, *key, a, b, 0, *c) for a, b, *c in held if a != top)
@@ -102,22 +103,23 @@ def line_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     key (stripped of white space, A-Z lower-cased) has at least least_chars code
     points and stands in at least least_docs documents, of which this is not the one
     with the largest doc_id. Rows with equal doc_id count as one document and null
-    as the smallest doc_id. Null, empty and short texts lose nothing.
+    as the smallest doc_id. Null, empty and short texts lose nothing. A very long text
+    is split into lines by one task. An empty table gives no bitmaps.
     """
     rows = docs.select(id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     keys = stored(line_keys(rows, least_chars))
     order = ("hi", "lo", F.col("k").desc())
     decided = stored(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: stream(batches, least_docs), DECISION))
     discard(keys)
-    totals = decided.where(F.col("kind") == COUNT).groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("k").alias("top"))  # two rows per partition at most
-    late = decided.where(F.col("kind") == OPEN).join(F.broadcast(totals), ["hi", "lo"]).where((F.col("docs") >= least_docs) & (F.col("k") != F.col("top")))
+    totals = decided.where(F.col("kind") == COUNT).groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("k").alias("top"))  # few keys: two per partition, and those with over HELD rows of few documents
+    late = decided.where(F.col("kind") == OPEN).join(totals, ["hi", "lo"]).where((F.col("docs") >= least_docs) & (F.col("k") != F.col("top")))
     fields = ("k", "th", "n_lines", "places")
     drops = decided.where(F.col("kind") == DROP).select(*fields).unionByName(late.select(*fields))
     return drops.groupBy("k", "th", "n_lines").agg(F.collect_list("places").alias("places")).mapInArrow(bitmaps, "k long, th long, n_lines int, keep binary")
 
 
 def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1000):
         keep = []
         for n, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             bits = np.ones(n, np.uint8)
@@ -130,7 +132,7 @@ def without_lines(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, kept (the text that stays) for each row of docs, under the bitmaps of line_bitmaps(docs)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             n_lines, n_dropped, kept = [], [], []
             for text, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or ""
@@ -146,7 +148,6 @@ def without_lines(docs: DataFrame, keep: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
     rows = docs.select(id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    small_batches(docs.sparkSession, 1000)
     return rows.join(keep, ["k", "th"], "left").select(id_back("k").alias("doc_id"), "text", "keep").mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept string")
 
 

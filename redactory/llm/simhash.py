@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, small_batches, stored, table, text_hash
+from redactory.llm.common import discard, id_back, id_key, slices, stored, table, text_hash
 from redactory.llm.components import connected
 
 TILE = 1024
@@ -44,10 +44,9 @@ def shingle_hashes(text: str, width: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, width: int = 3, hashed: bool = False) -> DataFrame:
     """k (doc_id, or NO_ID for null), fp, and th (the text's hash) if hashed: a bit is 1 if it is 1 in over half of the text's shingle hashes. Null texts count as empty, with fingerprint 0."""
-    small_batches(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = np.zeros(len(batch), np.uint64)
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if hashes := shingle_hashes(text or "", width):
@@ -131,7 +130,7 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1000):
         a, b = [], []
         for own, other in zip(batch.column(0), batch.column(1), strict=True):
             x, y = np.frombuffer(own.as_buffer(), np.int64), np.frombuffer(other.as_buffer(), np.int64)
@@ -148,9 +147,7 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """fp (distinct) -> a, b: links whose components are those of all pairs within the radius."""
-    small_batches(distinct.sparkSession, 10_000)
     laid = stored(tiles(distinct, radius))
-    small_batches(distinct.sparkSession, 1000)
     left = laid.select(F.explode("near").alias("cell"), F.col("cell").alias("home"), F.col("tile").alias("t"), F.col("fps").alias("own"))
     pairs = left.join(laid.select("cell", "tile", F.col("fps").alias("other")), "cell").where((F.col("home") != F.col("cell")) | (F.col("t") <= F.col("tile")))
     return pairs.select("own", "other").mapInArrow(lambda batches: compare(batches, radius), "a long, b long")
@@ -178,7 +175,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     Documents whose fingerprints differ in radius bits or fewer are linked, and
     component_id is the smallest doc_id that a document reaches; null is smaller
     than any. Null and empty texts have fingerprint 0 and are linked like others.
-    Rows with the same doc_id are linked by their fingerprints only.
+    Rows with the same doc_id are linked by their fingerprints only. A very long text
+    is one task's. An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs, width))
     distinct, labels = linked_fingerprints(rows, F.col("k"), radius)

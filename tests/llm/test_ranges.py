@@ -26,6 +26,14 @@ def resolve(parts, least):
     return sorted(out)
 
 
+def test_many_rows_of_one_document_are_not_held(monkeypatch):
+    monkeypatch.setattr("redactory.llm.line_dedup.HELD", 3)
+    names = ["hi", "lo", "k", "th", "n_lines", "places"]
+    rows = [(0, key, k, th, 1, b"x") for key, ids in ((1, (9,)), (2, (7, 6)), (3, (9, 8, 7, 6, 5)), (4, (3,))) for k in ids for th in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    assert resolve([[batch]], 5) == sorted((0, 3, k, th, b"x") for k in (8, 7, 6, 5) for th in range(20))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_ranges_may_end_anywhere(seed):
     rng = random.Random(seed)
