@@ -7,21 +7,24 @@ its first WIDTH bytes only, so the order sought is that of these.
 Of equal texts only the one with the smallest doc_id takes part; the others go as a
 whole. The rest takes two rounds and a last step:
 
-1. Sample. Of each document, the suffixes at places whose remainder by PERIOD is in
-   COVER are named by the TAIL bytes that they start with. For any two suffixes
-   there is a shift below PERIOD that takes both into the sample, and TAIL is WIDTH
-   less the largest shift. So a suffix whose following sample places all have names
-   of their own ties with none of another document.
-2. Buckets. The remaining suffixes get keys for their first WIDTH bytes, which fall
-   into buckets; each bucket is sorted on its own, and where a key stands in several
-   blocks, all blocks but the earliest are told so.
-3. Each block marks the bytes of the suffixes that stand in an earlier document.
-
-Both times a block sends each key once, sorted and packed, and is answered with one
-bit per key. Neither a frequent string nor a large group of copies makes one task's
-share grow with the number of its documents; it grows with that of the blocks.
-Names and keys are hashes: 48 bits for the sample, where a collision costs only
-work, and 64 bits besides the bucket's own for the keys.
+1. Grams. The least hash of the GRAM bytes long strings in a suffix's first WIDTH
+   bytes names the suffix; neighbours mostly share it. A suffix whose name no other
+   document has stands nowhere else and is left out. Here a collision of hashes
+   costs only work.
+2. Buckets. Runs of neighbouring suffixes of one name go, as the bytes that they
+   cover, to the name's bucket. Each bucket is sorted on its own, by bytes. Suffixes
+   that their first STEP bytes leave tied are told apart by the ranks of a
+   difference-cover sample, sorted before: for any two suffixes some shift below
+   PERIOD takes both into the sample, and the sample's order, with the lengths of the
+   common prefixes of its neighbours, gives ranks for every depth. A suffix's answer
+   is whether an equal one stands in a document with a smaller doc_id.
+3. Each block marks the bytes of the suffixes that do.
+
+A block sends each name and each run of bytes once, packed, and is answered with one
+bit per name and suffix. Neither a frequent string nor a large group of copies makes
+one task's share grow with the number of its documents; it grows with that of the
+blocks. A bucket with more than PASS suffixes is sorted in passes, so that its bytes
+are all that grows with it.
 """
 
 from __future__ import annotations
@@ -36,16 +39,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, free_shuffles, id_back, id_key, small_batches, stored, table
+from redactory.llm.common import discard, id_back, id_key, slices, stored, table
 
-WIDTH = 50
+WIDTH, GRAM = 50, 30
 #: A perfect difference set: each remainder by PERIOD but 0 is the difference of just one pair.
-PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-TAIL = WIDTH - (PERIOD - 1)
+PERIOD, COVER = 7, (1, 2, 4)
+#: Bytes by which suffixes are sorted first; PERIOD at least, so that a shift into the sample leaves out none.
+STEP = 8
 #: Bytes of text after which a block is closed, and the most documents of one.
 BLOCK, MOST_DOCS = 4 << 20, 60_000
 #: Bytes of text for each bucket.
 BUCKET = 16 << 20
+#: Suffixes that are sorted together.
+PASS = 1 << 20
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -59,17 +65,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashes(data: np.ndarray, places: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """64-bit hashes of the width bytes from each place."""
-    words = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
-    h = np.full(len(places), np.uint64(seed)) * M1
+def words(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from each place, as a number."""
+    return np.ndarray((max(len(data) - 7, 0),), kind, data, strides=(1,))
+
+
+def rolled(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the width bytes from each place that has so many."""
+    n = max(len(data) - width + 1, 0)
+    each = words(data)
+    h = np.full(n, M1)
     for k in [*range(0, width - 8, 8), width - 8]:
-        h ^= words[places + k]
+        h ^= each[k : k + n]
         h *= M1
         h ^= h >> np.uint64(31)
     return mixed(h)
 
 
+def least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of the width values from each place."""
+    n, low, step = len(h) - width + 1, h, 1
+    while 2 * step <= width:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    return np.minimum(low[:n], low[width - step : width - step + n])
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Rising 64-bit keys: the low halves as they are, the steps of the high halves compressed."""
     high = (keys >> np.uint64(32)).astype("<u4")
@@ -94,93 +115,151 @@ def flags(raw: bytes, n: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block: data (their bytes, one after the other), lengths and ends."""
+    """The texts of a block: data (their bytes, one after the other), lengths, ends, and owner (the number of each text's doc_id)."""
 
-    def __init__(self, raw: bytes, lengths: list[int]):
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-        self.lengths = np.array(lengths, np.int64)
+    def __init__(self, row: dict):
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["raw"]), np.uint8)
+        self.lengths = np.array(row["lengths"], np.int64)
         self.ends = np.cumsum(self.lengths)
-
-    def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the sample that have TAIL bytes, and their documents."""
-        rows = np.flatnonzero(self.lengths >= TAIL)
-        room = self.lengths[rows] - TAIL + 1
-        longest = int(room.max()) if len(room) else 0
-        inside = np.flatnonzero(np.isin(np.arange(longest) % PERIOD, COVER))
-        n = np.searchsorted(inside, room)
-        ends = np.cumsum(n)
-        doc = np.repeat(rows, n)
-        at = inside[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)] + (self.ends - self.lengths)[doc]
-        return at, doc
-
-    def candidates(self, tied: np.ndarray) -> np.ndarray:
-        """Places with WIDTH bytes that have a tied place of the sample within PERIOD."""
-        n = len(self.data)
-        edge = np.zeros(n + 1, np.int32)
-        np.add.at(edge, np.maximum(tied - PERIOD + 1, 0), 1)
-        np.add.at(edge, tied + 1, -1)
-        near = np.cumsum(edge[:n]) > 0
-        for k in self.cut():
-            near[k] = False
-        return np.flatnonzero(near)
-
-    def cut(self) -> list[np.ndarray]:
-        """Places with fewer than WIDTH bytes to their document's end."""
+        self.owner = np.cumsum(np.diff(np.array(row["keys"], np.int64), prepend=row["keys"][:1]) != 0)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place, place after the last, and name: neighbouring suffixes of WIDTH bytes, inside one document, that share their name."""
+        n = len(self.data) - WIDTH + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        low = least(rolled(self.data, GRAM), WIDTH - GRAM + 1)
+        whole = np.ones(n, bool)
         tails = np.minimum(self.lengths, WIDTH - 1)
-        ends = np.cumsum(tails)
-        return [np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - tails, tails) + np.repeat(self.ends - tails, tails)]
+        upto = np.cumsum(tails)
+        short = np.arange(upto[-1]) - np.repeat(upto - tails, tails) + np.repeat(self.ends - tails, tails)
+        whole[short[short < n]] = False
+        new = np.ones(n, bool)
+        new[1:] = (low[1:] != low[:-1]) | (whole[1:] != whole[:-1])
+        first = np.flatnonzero(new)
+        stop = np.append(first[1:], n)
+        taken = whole[first]
+        return first[taken], stop[taken], low[first[taken]]
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, places, side="right")
+        return self.owner[np.searchsorted(self.ends, places, side="right")]
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grouped(keys: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts keys; the keys, each once; the number of each sorted one; where each begins."""
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind=kind)
     keys = keys[order]
     new = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
     return order, keys[new], np.repeat(np.arange(len(new)), np.diff(new, append=len(keys))), new
 
 
-def sample_names(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the sample in the order of their names, their documents; the names (48 bits), sorted, each once; the number of each place's name; the first place of each name."""
-    at, doc = block.sample()
-    order, names, number, new = grouped(hashes(block.data, at, TAIL, 1) >> np.uint64(16))
-    return at[order], doc[order], names, number, new
-
-
-def tied_sample(block: Block, elsewhere: np.ndarray, names: tuple) -> np.ndarray:
-    """Places of the sample whose name another document has. elsewhere: for each name, whether another block has it."""
-    at, doc, name, number, new = names
-    if not len(at):
-        return at
-    several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-    return at[(several | elsewhere)[number]]
-
-
-def suffix_keys(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """places in the order of their keys; the keys, each once, sorted; the number of each place's key; the first place of each key."""
-    order, keys, number, new = grouped(hashes(block.data, places, WIDTH, 2))
-    return places[order], keys, number, new
-
-
-def split_keys(keys: np.ndarray, buckets: int, salt: int) -> list[np.ndarray]:
-    """For each bucket, the numbers of its keys, in their order. The bucket comes from other bits than the sorted key shows."""
-    bucket = (mixed(keys * M2 + np.uint64(salt)) & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+def names_of(block: Block) -> np.ndarray:
+    return np.unique(block.runs()[2])
+
+
+class Runs:
+    """The runs of a block whose names other documents have as well, and their distinct bytes in the order of their names."""
+
+    def __init__(self, block: Block, told):
+        """told(names): for each name, sorted and each once, whether another block has it."""
+        first, stop, name = block.runs()
+        order, names, number, new = grouped(name, "stable")
+        first, stop, doc = first[order], stop[order], block.doc_of(first[order])
+        if len(new):
+            several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+            tied = (several | told(names))[number]
+            first, stop, doc, name = first[tied], stop[tied], doc[tied], names[number[tied]]
+        self.first, self.stop, self.doc = first, stop, doc
+        raw = block.data.tobytes()
+        known: dict[bytes, int] = {}
+        self.number = np.fromiter((known.setdefault(raw[a : b + WIDTH - 1], len(known)) for a, b in zip(first.tolist(), stop.tolist(), strict=True)), np.int64, len(first))  # places of a name rise, so a run's first place is in its smallest document
+        self.bytes = list(known)
+        self.leader = np.flatnonzero(np.diff(np.maximum.accumulate(self.number), prepend=-1)) if len(first) else np.zeros(0, np.int64)
+        self.name = name[self.leader]
+
+    def sizes(self) -> np.ndarray:
+        """Suffixes of each distinct run."""
+        return self.stop[self.leader] - self.first[self.leader]
+
+    def marked(self, repeats: np.ndarray, n: int) -> np.ndarray:
+        """Which of n bytes lie in suffixes that repeat. repeats: a bit per suffix of the distinct runs. A run that a smaller document of the block has repeats as a whole."""
+        size = self.sizes()
+        begin = np.cumsum(size) - size
+        lead = self.doc[self.leader][self.number]
+        own = size[self.number]
+        places = np.repeat(self.first - np.cumsum(own) + own, own) + np.arange(own.sum())
+        hit = repeats[np.repeat(begin[self.number] - np.cumsum(own) + own, own) + np.arange(own.sum())] | np.repeat(self.doc > lead, own)
+        edge = np.zeros(n + WIDTH + 1, np.int32)
+        np.add.at(edge, places[hit], 1)
+        np.add.at(edge, places[hit] + WIDTH, -1)
+        return np.cumsum(edge)[:n] > 0
+
+
+def sample_order(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at places by their first WIDTH bytes, and how many bytes each shares with the one before it. data has WIDTH bytes or more beyond each place."""
+    each = words(data, ">u8")
+    depths = [*range(0, WIDTH - 8, 8), WIDTH - 8]
+    keys = [each[places + k].astype(np.uint64) for k in depths]
+    order = np.lexsort(keys[::-1])
+    shared = np.full(len(places), WIDTH)
+    open_ = np.ones(len(places), bool)
+    for k, key in zip(depths, keys, strict=True):
+        key = key[order]
+        other = np.append(np.uint64(0), key[1:] ^ key[:-1])
+        differ = open_ & (other != 0)
+        shared[differ] = k + sum((other[differ] < np.uint64(1 << 8 * b)).astype(np.int64) for b in range(1, 8))
+        open_ &= ~differ
+    shared[:1] = 0
+    return order, shared
+
+
+def repeated(data: np.ndarray, places: np.ndarray, age: np.ndarray) -> np.ndarray:
+    """For each suffix whether one of lower age has the same first WIDTH bytes. data has 2 * WIDTH bytes or more beyond each place."""
+    out = np.zeros(len(places), bool)
+    order, _, number, new = grouped(words(data, ">u8")[places].astype(np.uint64))
+    if not len(new):
+        return out
+    tied = np.minimum.reduceat(age[order], new) != np.maximum.reduceat(age[order], new)
+    group = np.empty(len(places), np.int64)
+    group[order] = number
+    left = np.flatnonzero(tied[group])  # STEP bytes tell the others apart
+    if not len(left):
+        return out
+    at, age, group = places[left], age[left], group[left]
+    moved = [at[np.isin((at + d) % PERIOD, COVER)] + d for d in range(PERIOD)]
+    sample = np.unique(np.concatenate(moved))
+    by_bytes, shared = sample_order(data, sample)
+    place = np.empty(len(sample), np.int64)
+    place[by_bytes] = np.arange(len(sample))
+    hit = np.zeros(len(left), bool)
+    for d in range(PERIOD):
+        own = np.flatnonzero(np.isin((at + d) % PERIOD, COVER))
+        if not len(own):
+            continue
+        rank = np.cumsum(shared < WIDTH - d)  # of the sample, by the bytes that the shift leaves
+        key = group[own] * (len(sample) + 1) + rank[place[np.searchsorted(sample, at[own] + d)]]
+        order, _, number, new = grouped(key)
+        first = np.minimum.reduceat(age[own][order], new)
+        hit[own[order]] |= age[own][order] > first[number]
+    out[left] = hit
+    return out
+
+
+def split_keys(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """For each bucket, the numbers of its keys, in their order."""
+    bucket = (mixed(keys * M2) & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     return np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """rows: k, th, t2 (two hashes of a text of WIDTH bytes or more). k, th of those whose text a smaller k has; repeated rows are repeated."""
-    first = stored(rows.groupBy("th", "t2").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "t2", "first"))  # a table of its own, so that Spark can split a large group in the join
-    return rows.join(first, ["th", "t2"]).where(F.col("k") > F.col("first")).select("k", "th")
+    """rows: k, digest (of a text of WIDTH bytes or more). k, digest of those whose text a smaller k has; repeated rows are repeated."""
+    first = stored(rows.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))  # a table of its own, so that Spark can split a large group in the join
+    return rows.join(first, "digest").where(F.col("k") > F.col("first")).select("k", "digest")
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """block (rising with doc_id), keys, lengths and raw (compressed bytes) of whole documents; copy_keys and copy_lengths of copies among them. Documents with the same doc_id share a block."""
-    small_batches(docs.sparkSession)
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         keys: list[int] = []
@@ -194,16 +273,16 @@ def blocks(docs: DataFrame) -> DataFrame:
             n, keys, parts, copied, size = n + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
 
-        for batch in batches:
-            for k, th, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in slices(batches):
+            for k, digest, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if copy:
-                    whole = (k, th)
+                    whole = (k, digest)
                     continue
-                if k != last and (size >= BLOCK or len(keys) + len(copied) >= MOST_DOCS):
+                if k != last and (size >= block_bytes or len(keys) + len(copied) >= MOST_DOCS):
                     yield close()
                 last = k
                 raw = (text or "").encode()
-                if (k, th) == whole:
+                if (k, digest) == whole:
                     copied.append((k, len(raw)))
                 else:
                     keys.append(k)
@@ -212,11 +291,10 @@ def blocks(docs: DataFrame) -> DataFrame:
         if keys or copied:
             yield close()
 
-    rows = docs.select(id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    long = rows.where(F.octet_length("text") >= WIDTH).select("k", "th", F.xxhash64(F.lit("second"), "text").alias("t2"))
-    marks = copies(long).select("k", "th", F.lit(True).alias("copy"), F.lit(None).cast("string").alias("text"))  # a mark comes just before the texts that it is about
-    both = rows.select("k", "th", F.lit(False).alias("copy"), "text").unionByName(marks)
-    ranged = both.repartitionByRange("k").sortWithinPartitions("k", "th", F.col("copy").desc())
+    rows = docs.select(id_key().alias("k"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
+    marks = copies(rows.where(F.octet_length("text") >= WIDTH).select("k", "digest")).select("k", "digest", F.lit(True).alias("copy"), F.lit(None).cast("string").alias("text"))  # a mark comes just before the texts that it is about
+    both = rows.select("k", "digest", F.lit(False).alias("copy"), "text").unionByName(marks)
+    ranged = both.repartitionByRange("k").sortWithinPartitions("k", "digest", F.col("copy").desc())
     return ranged.mapInArrow(build, BLOCK_SCHEMA)
 
 
@@ -225,119 +303,169 @@ BLOCK_NAMES = ["block", "keys", "lengths", "raw", "copy_keys", "copy_lengths"]
 BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
-def sent(held: DataFrame, buckets: int, names_of, salt: int) -> DataFrame:
-    """bucket, block, keys (packed) for all blocks. names_of(row) gives a block's keys, each once and sorted."""
+def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, as each may hold a block."""
+    for batch in slices(batches, 1):
+        yield batch.to_pylist()[0]
+
+
+def messages(bucket_of: list[tuple[int, int]], **columns: list) -> pa.RecordBatch:
+    keys = {"bucket": pa.array([b for b, _ in bucket_of], pa.int32()), "block": pa.array([k for _, k in bucket_of], pa.int64())}
+    return pa.RecordBatch.from_pydict(keys | {n: pa.array(v, pa.binary()) for n, v in columns.items()})
+
+
+def sent_names(held: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, keys: the names of each block, each once, sorted and packed."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = names_of(row)
-                parts = [(b, packed(keys[own])) for b, own in enumerate(split_keys(keys, buckets, salt)) if len(own)]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([p for _, p in parts], pa.binary())], names=["bucket", "block", "keys"])
+        for row in whole_rows(batches):
+            names = names_of(Block(row))
+            parts = [(b, packed(names[own])) for b, own in enumerate(split_keys(names, buckets)) if len(own)]
+            yield messages([(b, row["block"]) for b, _ in parts], keys=[p for _, p in parts])
 
     return held.mapInArrow(send, "bucket int, block long, keys binary")
 
 
-def answered(keys: DataFrame, buckets: int, earlier_only: bool) -> DataFrame:
-    """block, answers: for each block and bucket, a bit per key: whether another block (or just an earlier one) has it. One bucket is sorted at a time."""
+def seen_elsewhere(names: DataFrame) -> DataFrame:
+    """block, answers: for each block and bucket, a bit per name: whether another block has it."""
 
     def sort_bucket(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["block"].to_numpy(), kind="stable")
-        own = [opened(group["keys"][int(i)].as_py()) for i in order]
+        own = [opened(k.as_py()) for k in group["keys"]]
         every = np.sort(np.concatenate(own))
-        shared = every[1:][every[1:] == every[:-1]]
-        shared = shared[np.flatnonzero(np.diff(shared, prepend=~shared[:1]))]
-        seen = np.zeros(len(shared) + 1, bool)
-        out = []
-        for k in own:
-            at = np.searchsorted(shared, k)
-            hit = np.append(shared, np.uint64(0))[at] == k
-            hit &= at < len(shared)
-            if earlier_only:
-                answer = hit & seen[at]
-                seen[at[hit]] = True
-            else:
-                answer = hit
-            out.append(bits(answer))
-        return pa.table({"bucket": group["bucket"].take(pa.array(order)), "block": group["block"].take(pa.array(order)), "bits": pa.array(out, pa.binary())})
-
-    return keys.groupBy("bucket").applyInArrow(sort_bucket, "bucket int, block long, bits binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-
-
-def merged(answers: list[dict] | None, keys: np.ndarray, buckets: int, salt: int) -> np.ndarray:
-    told = np.zeros(len(keys), bool)
+        shared = np.append(np.unique(every[1:][every[1:] == every[:-1]]), np.uint64(0))
+        found = [np.searchsorted(shared[:-1], k) for k in own]
+        out = [bits((shared[at] == k) & (at < len(shared) - 1)) for at, k in zip(found, own, strict=True)]
+        return pa.table({"bucket": group["bucket"], "block": group["block"], "bits": pa.array(out, pa.binary())})
+
+    return collected(names.groupBy("bucket").applyInArrow(sort_bucket, "bucket int, block long, bits binary"))
+
+
+def collected(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+
+
+def told_by(answers: list[dict] | None, buckets: int):
+    """A function that gives the bits of names, each once and sorted, from the answers of the buckets."""
     got = {a["bucket"]: a["bits"] for a in answers or ()}
-    for b, own in enumerate(split_keys(keys, buckets, salt)):
-        if len(own):
-            told[own] = flags(got[b], len(own))
+
+    def told(names: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(names), bool)
+        for b, own in enumerate(split_keys(names, buckets)):
+            if len(own):
+                out[own] = flags(got[b], len(own))
+        return out
+
     return told
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def sent_runs(sifted: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, bytes (of distinct runs, one after the other), shape (length and document of each, as 32-bit integers; both compressed)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for row in whole_rows(batches):
+            runs = Runs(Block(row), told_by(row["answers"], buckets))
+            doc = runs.doc[runs.leader]
+            size = runs.sizes() + WIDTH - 1
+            parts = []
+            for b, own in enumerate(split_keys(runs.name, buckets)):
+                if len(own):
+                    shape = np.concatenate([size[own], doc[own]]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                    parts.append((b, press.compress(b"".join([runs.bytes[k] for k in own.tolist()])), press.compress(shape)))
+            yield messages([(b, row["block"]) for b, *_ in parts], bytes=[x for _, x, _ in parts], shape=[x for *_, x in parts])
+
+    return sifted.mapInArrow(send, "bucket int, block long, bytes binary, shape binary")
+
+
+def repeated_in(rows: list[tuple[bytes, bytes]], most: int = PASS) -> list[np.ndarray]:
+    """rows: bytes and shape of a bucket's messages, by rising block. For each a bit per suffix of its runs: whether a smaller document has its first WIDTH bytes."""
+    open_ = zstandard.ZstdDecompressor()
+    shapes = [np.frombuffer(open_.decompress(s), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1).astype(np.int64) for _, s in rows]
+    data = np.frombuffer(b"".join([*(open_.decompress(x) for x, _ in rows), bytes(2 * WIDTH)]), np.uint8)
+    size = np.concatenate([s[0] for s in shapes])
+    age = np.concatenate([(k << 32) + s[1] for k, s in enumerate(shapes)])
+    n = size - WIDTH + 1
+    total = int(n.sum())
+    out = np.zeros(total, bool)
+    passes = -(-total // most)
+    if passes > 1:  # equal suffixes share a pass
+        turn = np.empty(len(data) - 2 * WIDTH, np.uint32)
+        for at in range(0, len(turn), 1 << 20):
+            part = rolled(data[at : min(at + (1 << 20), len(turn)) + WIDTH - 1], WIDTH)
+            turn[at : at + len(part)] = (part >> np.uint64(20)) % np.uint64(passes)
+    ends, begin = np.cumsum(n), np.cumsum(size) - size
+    for p in range(passes):
+        places, numbers = [], []
+        for at in range(0, len(n), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            number = np.arange(ends[part][0] - n[part][0], ends[part][-1])
+            place = np.repeat(begin[part] - (ends[part] - n[part]), n[part]) + number
+            if passes > 1:
+                mine = turn[place] == p
+                place, number = place[mine], number[mine]
+            places.append(place)
+            numbers.append(number)
+        place, number = np.concatenate(places), np.concatenate(numbers)
+        out[number] = repeated(data, place, age[np.searchsorted(ends, number, side="right")])
+    return np.split(out, np.cumsum([int((s[0] - WIDTH + 1).sum()) for s in shapes])[:-1])
+
+
+def sorted_buckets(runs: DataFrame) -> DataFrame:
+    """block, answers: for each block and bucket, a bit per suffix of its runs. One bucket is sorted at a time."""
+
+    def sort_bucket(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        found = repeated_in(list(zip(group["bytes"].to_pylist(), group["shape"].to_pylist(), strict=True)))
+        return pa.table({"bucket": group["bucket"], "block": group["block"], "bits": pa.array([bits(f) for f in found], pa.binary())})
+
+    return collected(runs.groupBy("bucket").applyInArrow(sort_bucket, "bucket int, block long, bits binary"))
+
+
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, half-open, maximal), kept (the remaining bytes) for each row of docs (doc_id, text; other columns are left alone).
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of WIDTH
     bytes over it also starts in a document with a smaller doc_id. Rows with equal
     doc_id don't count against each other; null is the smallest doc_id. Texts of
-    fewer bytes keep all.
+    fewer bytes keep all. A very long text is a block of its own, held by one task.
+    An empty table gives an empty result.
+
+    block_bytes, bucket_bytes: text for each block and bucket. Messages are blocks
+    times buckets at most, so both should grow with the square root of the input.
     """
-    spark = docs.sparkSession
-    held = stored(blocks(docs))
-    free_shuffles(spark)
-    small_batches(spark, 2)
+    held = stored(blocks(docs, block_bytes))
     total = held.select(F.sum(F.expr("aggregate(lengths, 0L, (a, b) -> a + b)"))).first()[0] or 0
-    buckets = 1 << max(4, (total // BUCKET).bit_length())
-
-    names = sent(held, buckets, lambda row: sample_names(Block(row["raw"], row["lengths"]))[2], 1)
-    ties = stored(answered(names, buckets, False))
-    del names
-    free_shuffles(spark)
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row["raw"], row["lengths"])
-                found = sample_names(block)
-                tied = tied_sample(block, merged(row["answers"], found[2], buckets, 1), found)
-                near = np.zeros(len(block.data), bool)
-                near[block.candidates(tied)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in zip(BLOCK_NAMES, BLOCK_TYPES, strict=True)] + [pa.array([bits(near)], pa.binary())], names=[*BLOCK_NAMES, "near"])
-
-    sifted = stored(held.join(ties, "block", "left").mapInArrow(tie, f"{BLOCK_SCHEMA}, near binary"))
-    discard(held, ties)
-    free_shuffles(spark)
-
-    def keys_of(row: dict) -> tuple[Block, tuple]:
-        block = Block(row["raw"], row["lengths"])
-        return block, suffix_keys(block, np.flatnonzero(flags(row["near"], len(block.data))))
-
-    order = stored(answered(sent(sifted, buckets, lambda row: keys_of(row)[1][1], 2), buckets, True))
-    free_shuffles(spark)
+    buckets = 1 << max(4, (total // bucket_bytes).bit_length())
+    named = stored(seen_elsewhere(sent_names(held, buckets)))
+    sifted = held.join(named, "block", "left")
+    order = stored(sorted_buckets(sent_runs(sifted, buckets)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block, (places, keys, number, new) = keys_of(row)
-                gone = np.zeros(len(block.data), bool)
-                if len(places):
-                    ids = np.array(row["keys"])[block.doc_of(places)]
-                    first = np.minimum.reduceat(ids, new)
-                    repeat = places[merged(row["answers"], keys, buckets, 2)[number] | (ids > first[number])]
-                    edge = np.zeros(len(block.data) + WIDTH + 1, np.int32)
-                    np.add.at(edge, repeat, 1)
-                    np.add.at(edge, repeat + WIDTH, -1)
-                    gone = np.cumsum(edge)[: len(block.data)] > 0
-                kept, spans = [], []
-                for a, b in itertools.pairwise([0, *block.ends.tolist()]):
-                    mask = gone[a:b]
-                    turns = np.flatnonzero(np.diff(mask, prepend=False, append=False)).reshape(-1, 2).tolist()
-                    kept.append(block.data[a:b][~mask].tobytes() if turns else block.data[a:b].tobytes())
-                    spans.append([{"start": s, "end": e} for s, e in turns])
-                spans += [[{"start": 0, "end": n}] for n in row["copy_lengths"]]
-                kept += [b""] * len(row["copy_keys"])
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"] + row["copy_keys"], pa.int64()), pa.array(row["lengths"] + row["copy_lengths"], pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], names=["k", "n_bytes", "spans", "kept"])
-
-    done = sifted.join(order, "block", "left").mapInArrow(cut, "k long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+        for row in whole_rows(batches):
+            block = Block(row)
+            runs = Runs(block, told_by(row["answers"], buckets))
+            size = runs.sizes()
+            ends = np.cumsum(size)
+            repeats = np.zeros(ends[-1] if len(ends) else 0, bool)
+            got = {a["bucket"]: a["bits"] for a in row["order"] or ()}
+            for b, own in enumerate(split_keys(runs.name, buckets)):
+                if len(own):
+                    n = size[own]
+                    upto = np.cumsum(n)
+                    repeats[np.repeat((ends - size)[own] - upto + n, n) + np.arange(upto[-1])] = flags(got[b], int(upto[-1]))
+            gone = runs.marked(repeats, len(block.data))
+            kept, spans = [], []
+            for a, b in itertools.pairwise([0, *block.ends.tolist()]):
+                mask = gone[a:b]
+                turns = np.flatnonzero(np.diff(mask, prepend=False, append=False)).reshape(-1, 2).tolist()
+                kept.append(block.data[a:b][~mask].tobytes() if turns else block.data[a:b].tobytes())
+                spans.append([{"start": s, "end": e} for s, e in turns])
+            spans += [[{"start": 0, "end": n}] for n in row["copy_lengths"]]
+            kept += [b""] * len(row["copy_keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["keys"] + row["copy_keys"], pa.int64()), pa.array(row["lengths"] + row["copy_lengths"], pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], names=["k", "n_bytes", "spans", "kept"])
+
+    answered = sifted.join(order.withColumnRenamed("answers", "order"), "block", "left")
+    done = answered.mapInArrow(cut, "k long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return done.select(id_back("k").alias("doc_id"), "n_bytes", "spans", "kept")
 
 
