@@ -2,8 +2,10 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows. The
 texts that pass them are judged by zstandard: the ratio of the whole text and of
-its fixed chunks must lie in a band that depends on the length, as short texts
-compress less. A ratio above the band means repetition, one below it noise.
+each of its chunks must lie in a band that depends on the length of what was
+compressed, as short texts compress less. A ratio above the band means repetition
+or few different words, one below it noise. Every byte is in a chunk: the last one
+is as short as the rest of the text, and judged by the band of its own length.
 """
 
 from __future__ import annotations
@@ -16,21 +18,28 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from redactory.llm.common import small_batches, table
+from redactory.llm.common import slices, table
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Bands:
-    """limits: (bytes up to which it holds, least ratio, greatest ratio), by rising length; chunk: bytes of a chunk, with its own least and greatest ratio. At most share_bad of a text's full chunks may be outside theirs."""
+    """knots: bytes, least and greatest ratio there, by rising length; between two knots the limits go straight along the logarithm of the length. chunk: bytes of a chunk. At most share_bad of a text's chunks may be outside their bands, and at most run_bad one after the other."""
 
-    limits: tuple[tuple[float, float, float], ...] = ((256, 0.8, 2.2), (512, 1.0, 2.6), (1024, 1.15, 2.8), (4096, 1.3, 3.2), (float("inf"), 1.5, 4.0))
-    chunk: int = 4096
-    chunk_limits: tuple[float, float] = (1.4, 3.5)
+    knots: tuple[tuple[int, float, float], ...] = (
+        (1, 0.0, 0.95), (16, 0.5, 0.95), (32, 0.62, 1.0), (64, 0.75, 1.22), (90, 0.88, 1.45), (128, 1.0, 1.62), (256, 1.18, 1.8), (512, 1.3, 1.92), (1024, 1.45, 2.06), (2048, 1.6, 2.18), (4096, 1.75, 2.3), (8192, 1.9, 2.45), (16384, 2.0, 2.58), (32768, 2.05, 2.72), (65536, 2.1, 2.9), (1 << 20, 2.2, 3.4),
+    )
+    chunk: int = 2048
     share_bad: float = 0.25
+    run_bad: int = 2
     level: int = 3
 
+    def outside(self, sizes: list[int], ratios: list[float]) -> np.ndarray:
+        at, least, most = np.array(self.knots).T
+        x, r = np.log2(np.maximum(sizes, 1)), np.array(ratios)
+        return (r < np.interp(x, np.log2(at), least)) | (r > np.interp(x, np.log2(at), most))
+
 
 DEFAULT = Bands()
 
@@ -72,13 +81,16 @@ def duplicate_lines(text: str) -> int:
 
 
 def compression(raw: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, number of full chunks, of those outside their band, and the verdict."""
-    ratio = len(raw) / len(press.compress(raw)) if raw else 0.0
-    full = [len(part) / len(press.compress(part)) for i in range(0, len(raw) - bands.chunk + 1, bands.chunk) if (part := raw[i : i + bands.chunk])]
-    low, high = bands.chunk_limits
-    bad = sum(not low <= r <= high for r in full)
-    least, most = next((a, b) for end, a, b in bands.limits if len(raw) <= end)
-    return ratio, len(full), bad, least <= ratio <= most and bad <= bands.share_bad * len(full)
+    """Ratio of the whole, number of chunks, of those outside their band, and the verdict. An empty text has no chunks and is inside."""
+    if not raw:
+        return 0.0, 0, 0, True
+    parts = [raw[i : i + bands.chunk] for i in range(0, len(raw), bands.chunk)]
+    ratio = len(raw) / len(press.compress(raw))
+    bad = bands.outside([len(p) for p in parts], [len(p) / len(press.compress(p)) for p in parts] if len(parts) > 1 else [ratio])
+    edges = np.flatnonzero(np.diff(bad, prepend=False, append=False)).reshape(-1, 2)
+    n, run = int(bad.sum()), int((edges[:, 1] - edges[:, 0]).max(initial=0))
+    whole = bool(bands.outside([len(raw)], [ratio])[0])
+    return ratio, len(parts), n, not whole and n <= bands.share_bad * len(parts) and run <= bands.run_bad
 
 
 def rules(docs: DataFrame, bands: Bands = DEFAULT) -> DataFrame:
@@ -87,13 +99,14 @@ def rules(docs: DataFrame, bands: Bands = DEFAULT) -> DataFrame:
     Words are runs of characters other than space and U+0009 to U+000D. A null or
     empty text has no words and fails the base rules, as does any text of under 20
     words, or with over 30 % of its words in repeated windows of 8 words. kept: the
-    base rules and the compression bands both pass. Repeated rows give repeated results.
+    base rules and the compression bands both pass. Repeated rows give repeated
+    results. A very long text is judged in one piece and in all its chunks, by the
+    task that has its row. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
