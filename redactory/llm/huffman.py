@@ -7,10 +7,12 @@ for the next LIMIT bits, the id and the length of its code.
 
 The format: a table of blocks in a folder per range of documents, and beside it a
 table "codes" with one row, the length of each id's code as a byte (0: no code).
-A block has first (number of ids in all documents before it; the blocks' order),
-doc_ids and n_tokens (its documents, ascending by doc_id, null first, and the
-number of ids of each), checkpoints (little-endian unsigned 32-bit) and payload
-(the codes, first bit highest). A document is never split over blocks.
+A block has first (number of ids before it; the blocks' order), doc_ids and n_tokens
+(its documents, ascending by doc_id, null first, and the number of ids that it holds
+of each), before and after (ids of its first document in earlier blocks, and of its
+last one in later blocks), checkpoints (little-endian unsigned 64-bit) and payload
+(the codes, first bit highest). A document of more ids than a block has is cut into
+blocks of its own; the others are never split.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, shared_folder, size_runs, small_batches, stored, table
+from redactory.llm.common import discard, id_back, id_key, kept, shared_folder, size_runs, slices, table
 from redactory.llm.tokens import TOGETHER, pieces_of, public_file
 
 LIMIT, STRIDE = 18, 128
@@ -104,7 +106,7 @@ def pack(ids: np.ndarray, lengths: bytes) -> tuple[bytes, bytes]:
         into = word[first]
         words[into] = np.add.reduceat(shifted >> np.uint64(32), first)
         words[into + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
-    return at[::STRIDE].astype("<u4").tobytes(), words.astype(">u4").tobytes()
+    return at[::STRIDE].astype("<u8").tobytes(), words.astype(">u4").tobytes()
 
 
 def unpack(n: int, checkpoints: bytes, payload: bytes, lengths: bytes) -> np.ndarray:
@@ -112,7 +114,7 @@ def unpack(n: int, checkpoints: bytes, payload: bytes, lengths: bytes) -> np.nda
     _, _, table = tables(lengths)
     words = np.frombuffer(payload, ">u4").astype(np.uint64)
     words = (words << np.uint64(32)) | np.append(words[1:], np.uint64(0))
-    at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+    at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
     out = np.empty((STRIDE, len(at)), np.uint32)
     last, down = len(words) - 1, np.uint64(64 - LIMIT)
     for k in range(STRIDE):
@@ -123,51 +125,83 @@ def unpack(n: int, checkpoints: bytes, payload: bytes, lengths: bytes) -> np.nda
     return out.T.reshape(-1)[:n]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """docs -> blocks of whole documents in ascending doc_id order: part, before (ids of the part before the block), doc_ids, n_tokens, n_ids, ids (compressed). A last row of each part has counts of its ids instead, so that the blocks need not be read for them."""
-    small_batches(docs.sparkSession, 1200)
+POLYNOMIAL = 0xEDB88320  # of CRC-32, lowest bit first
+
+
+def times(a: int, b: int) -> int:
+    """The product of two polynomials, lowest bit first, modulo that of CRC-32."""
+    product = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            product ^= b
+        b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return product
+
+
+def crc_before(crc: int, n_bytes: int) -> int:
+    """What a CRC-32 adds, by exclusive-or, to that of a text in which n_bytes more bytes follow: its product with x to the power of their bits."""
+    power, square = 1 << 31, times(1 << 27, 1 << 27)  # 1, and x to the 8th
+    while n_bytes:
+        if n_bytes & 1:
+            power = times(power, square)
+        square = times(square, square)
+        n_bytes >>= 1
+    return times(power, crc)
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK) -> DataFrame:
+    """docs -> blocks in ascending doc_id order: part, base (ids of the part before the block), doc_ids, n_tokens, n_ids, before, after, ids (compressed). A last row of each part has counts of its ids instead, so that the blocks need not be read for them."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, press = TaskContext.get().partitionId(), pieces_of(path), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], np.uint32)
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         total = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
-        before = 0
+        base = waiting = 0
         keys: list[int | None] = []
         parts: list[np.ndarray] = []
 
-        def block() -> pa.RecordBatch:
-            nonlocal before, keys, parts
+        def block(before: int = 0, after: int = 0) -> pa.RecordBatch:
+            nonlocal base, keys, parts, waiting
             n = [len(p) for p in parts]
             ids = np.concatenate(parts)
             total[:] += np.bincount(ids, minlength=len(total))
             raw = ids.astype("<u4" if wide else "<u2").tobytes()
-            row = {"part": [part], "before": [before], "doc_ids": [keys], "n_tokens": [n], "n_ids": [sum(n)], "wide": [wide], "ids": [press.compress(raw)], "counts": [None]}
-            before, keys, parts = before + sum(n), [], []
+            row = {"part": [part], "base": [base], "doc_ids": [keys], "n_tokens": [n], "n_ids": [sum(n)], "before": [before], "after": [after], "wide": [wide], "ids": [press.compress(raw)], "counts": [None]}
+            base, keys, parts, waiting = base + sum(n), [], [], 0
             return pa.RecordBatch.from_pydict(row, BLOCKS)
 
-        waiting = 0
-        for batch in batches:
+        for batch in slices(batches, 1200):
             texts = pc.fill_null(batch.column(1), "")
             doc_ids = batch.column(0).to_pylist()
             for group in size_runs(pc.utf8_length(texts).to_pylist(), TOGETHER):
-                for k, ids in zip(group, encoder.encode(texts.slice(group.start, len(group))), strict=True):
+                for k, own in zip(group, encoder.encode(texts.slice(group.start, len(group))), strict=True):
+                    ids = np.append(own, end)
+                    if len(ids) > block_ids:  # blocks of its own
+                        if parts:
+                            yield block()
+                        for at in range(0, len(ids), block_ids):
+                            keys, parts = [doc_ids[k]], [ids[at : at + block_ids]]
+                            yield block(at, max(0, len(ids) - at - block_ids))
+                        continue
                     keys.append(doc_ids[k])
-                    parts.append(np.append(ids, end))
-                    waiting += len(ids) + 1
-                    if waiting >= BLOCK:
+                    parts.append(ids)
+                    waiting += len(ids)
+                    if waiting >= block_ids:
                         yield block()
-                        waiting = 0
         if parts:
             yield block()
-        if before:
-            yield pa.RecordBatch.from_pydict({"part": [part], "before": [before], "doc_ids": [None], "n_tokens": [None], "n_ids": [0], "wide": [wide], "ids": [None], "counts": [press.compress(total.tobytes())]}, BLOCKS)
+        if base:
+            yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(BLOCKS.names, (part, base, None, None, 0, 0, 0, wide, None, press.compress(total.tobytes())), strict=True)}, BLOCKS)
 
     ranged = docs.select(id_key().alias("k"), "text").repartitionByRange("k").sortWithinPartitions("k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return ranged.select(id_back("k").alias("doc_id"), "text").mapInArrow(encode, "part int, before long, doc_ids array<long>, n_tokens array<long>, n_ids long, wide boolean, ids binary, counts binary")
+    return ranged.select(id_back("k").alias("doc_id"), "text").mapInArrow(encode, "part int, base long, doc_ids array<long>, n_tokens array<long>, n_ids long, before long, after long, wide boolean, ids binary, counts binary")
 
 
-BLOCKS = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary())])
+BLOCKS = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary())])
+#: Columns of a block in the files, but for its codes.
+SHAPE = ["part", "first", "doc_ids", "n_tokens", "n_ids", "before", "after"]
+FILE_SCHEMA = "first long, doc_ids array<long>, n_tokens array<long>, n_ids long, before long, after long, checkpoints binary, payload binary"
 
 
 def plain(compressed: bytes, wide: bool) -> np.ndarray:
@@ -189,16 +223,16 @@ def counted(blocks: DataFrame) -> DataFrame:
     return blocks.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
+def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block_ids: int = BLOCK) -> None:
     """Encodes docs (doc_id, text; other columns are left alone) with the tokenizer file at path, end_id after each document, and writes the format to folder.
 
     Null and empty texts have the end id alone. Documents with the same doc_id follow
-    each other in an order that depends on their texts only. An empty table gives a
-    table of no blocks.
+    each other in an order that depends on their texts only; null comes first. A very
+    long text is encoded by one task and written as several blocks. An empty table
+    gives a table of no blocks.
     """
     spark = docs.sparkSession
-    blocks = stored(encoded(docs, path, end_id), compression="none")
-    small_batches(spark, 8)
+    blocks = kept(encoded(docs, path, end_id, block_ids), compression="none")
     counts = counted(blocks).collect()  # bounded by the vocabulary
     by_id = np.zeros(max([0, *(r.id for r in counts)]) + 1, np.int64)
     for r in counts:
@@ -206,36 +240,38 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> No
     lengths = code_lengths(by_id).tobytes()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 8):
             packed = [pack(plain(c.as_py(), w.as_py()), lengths) for c, w in zip(batch.column("ids"), batch.column("wide"), strict=True)]
-            columns = [batch.column(n) for n in ("part", "first", "doc_ids", "n_tokens", "n_ids")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([c for c, _ in packed], pa.binary()), pa.array([p for _, p in packed], pa.binary())], names=["part", "first", "doc_ids", "n_tokens", "n_ids", "checkpoints", "payload"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in SHAPE), pa.array([c for c, _ in packed], pa.binary()), pa.array([p for _, p in packed], pa.binary())], names=[*SHAPE, "checkpoints", "payload"])
 
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per range
     offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-    placed = blocks.where("counts IS NULL").join(F.broadcast(offsets), "part").select("part", (F.col("offset") + F.col("before")).alias("first"), "doc_ids", "n_tokens", "n_ids", "wide", "ids")
-    placed.mapInArrow(code, "part int, first long, doc_ids array<long>, n_tokens array<long>, n_ids long, checkpoints binary, payload binary").write.partitionBy("part").option("compression", "none").parquet(f"{folder}/blocks")
+    placed = blocks.where("counts IS NULL").join(F.broadcast(offsets), "part").withColumn("first", F.col("offset") + F.col("base")).select(*SHAPE, "wide", "ids")
+    placed.mapInArrow(code, f"part int, {FILE_SCHEMA}").write.partitionBy("part").option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codes")
     discard(blocks)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers), decoded from the files in folder."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers), decoded from the files in folder. Each block is decoded on its own; what the blocks of one document give is joined, as CRC-32 is linear."""
     lengths = bytes(spark.read.parquet(f"{folder}/codes").first()["lengths"])
-    small_batches(spark, 8)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(row["n_ids"], row["checkpoints"], row["payload"], lengths).astype("<u4")
-                ends = np.cumsum(row["n_tokens"])
-                starts = ends - row["n_tokens"]
-                raw = memoryview(ids.tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + starts, pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    blocks = spark.read.schema("first long, doc_ids array<long>, n_tokens array<long>, n_ids long, checkpoints binary, payload binary").parquet(f"{folder}/blocks")
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            ids = unpack(row["n_ids"], row["checkpoints"], row["payload"], lengths).astype("<u4")
+            ends = np.cumsum(row["n_tokens"])
+            starts = ends - row["n_tokens"]
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            crc[-1] = crc_before(crc[-1], 4 * row["after"]) if row["after"] else crc[-1]
+            first = row["first"] + starts
+            first[0] -= row["before"]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(first, pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "crc"])
+
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{folder}/blocks")
+    found = blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, crc long")
+    return found.groupBy("doc_id", "start").agg(F.sum("n_tokens").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
 
 
 def token_files(docs: DataFrame) -> DataFrame:

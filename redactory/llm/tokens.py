@@ -1,8 +1,8 @@
 """Token ids and counts with public tokenizer files.
 
-PieceEncoder encodes each distinct blank-separated piece that a Python worker meets once.
-HugeEncoder encodes texts beyond a length in overlapping chunks and splices them.
-Both give exactly the ids of the library for the whole text.
+Splicer encodes texts beyond a chunk's length in overlapping chunks and splices them.
+PieceEncoder, for files of ids, encodes each distinct blank-separated piece that a
+Python worker meets once. Both give exactly the ids of the library for the whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from redactory.llm.common import size_runs, small_batches, table
+from redactory.llm.common import size_runs, slices, table
 
 #: A blank or line end after a character that is no white space. A byte-level pre-tokenizer never joins what stands before it with what follows, and what it does from there on doesn't depend on what stands before.
 BREAK = re.compile(r"(?<=\S)(?=[ \n])")
@@ -29,7 +29,8 @@ UNSURE = r"^[ \n]|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 #: Names of pieces that don't end where the next blank or line end begins, so that they can't be joined.
 ODD = r"(?s)^$|^ |^\x00|.[ \n]|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$"
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Characters of a chunk without its overlap, and of the overlap at first.
+CHUNK, OVERLAP = 1 << 10, 1 << 7
 #: Characters of text whose pieces are made distinct together.
 TOGETHER = 1 << 22
 
@@ -38,7 +39,10 @@ def open_tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
 
 class PieceEncoder:
@@ -141,54 +145,102 @@ class PieceEncoder:
         return [ids[a:b] for a, b in itertools.pairwise(total.tolist())]
 
 
-class HugeEncoder:
-    """Counts or encodes a huge text chunk by chunk, with the tokenizers library's offsets.
+class Splicer:
+    """Encodes texts chunk by chunk with the tokenizers library and splices the chunks.
 
-    The library's word numbers tell where its pre-tokenizer has cut a chunk. A cut
-    depends on the text from the cut before it up to a few characters beyond, so a
-    cut of the earlier chunk that lies margin characters or more before its end is
-    one of the whole text. Where such a cut is also one of the next chunk, both go
-    on alike from there: that is the splice. If the overlap holds no such place,
-    it is widened, back to the last splice in the end.
+    A cut is a place where the pre-tokenizer has begun a new word of a chunk. Where it
+    cuts depends on the text from the cut before it up to a few characters beyond, so a
+    cut of a chunk that itself begins at one, margin characters or more before its end,
+    is a cut of the whole text. Where such a cut is also one of the next chunk, both go
+    on alike from there: that is the splice. If an overlap holds no such place, it is
+    doubled on both sides, up to the last splice and to the end of the text.
+
+    splices and widened count what was done.
     """
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+        if not 0 < overlap <= chunk:
+            raise ValueError("an overlap is not longer than a chunk")
         self.tokenizer, self.chunk, self.overlap = open_tokenizer(path), chunk, overlap
         spec = json.load(open(path, encoding="utf-8"))
-        self.sure = spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec["normalizer"]
+        pre = spec["pre_tokenizer"]
+        #: Cuts are proven for byte-level pre-tokenizers, which neither prefix a blank nor look at a changed text.
+        self.sure = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre.get("add_prefix_space") and not spec["normalizer"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.margin = max([0, *(len(t["content"]) for t in spec["added_tokens"])]) + 8
+        self.splices = self.widened = 0
 
-    def _encode(self, text: str, at: int, end: int) -> tuple[np.ndarray, dict[int, int]]:
-        """Ids of a chunk and {place in the text of a cut: number of ids before it}."""
-        e = self.tokenizer.encode(text[at:end], add_special_tokens=False)
-        words, offsets = e.word_ids, e.offsets
-        cuts = {at + offsets[k][0]: k for k in range(len(words)) if k == 0 or words[k] != words[k - 1] or words[k] is None}
-        return np.array(e.ids, np.uint32), cuts
+    def _encode(self, text: str, start: int, stop: int):
+        return self.tokenizer.encode(text[start:stop], add_special_tokens=False)
+
+    @staticmethod
+    def _cut(encoding, place: int) -> int | None:
+        """The number of the id that begins a word at place, if one does."""
+        k = encoding.char_to_token(place)
+        if k is None or encoding.token_to_chars(k)[0] != place:
+            return None
+        word = encoding.token_to_word(k)
+        return k if k == 0 or word is None or word != encoding.token_to_word(k - 1) else None
+
+    def _splice(self, one, start: int, other, begin: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """The last place from low to high that is a cut of both chunks, and the number of the id there in each."""
+        for place in range(high, low - 1, -1):
+            if (k := self._cut(one, place - start)) is not None and (j := self._cut(other, place - begin)) is not None:
+                return place, k, j
+        return None
+
+    def _parts(self, text: str, known: dict[int, object]) -> Iterator[tuple[object, int, int]]:
+        """Encodings, each with the first id that counts and the one after the last. known: encodings of chunks by their start, for overlaps of the usual width."""
+        n, start, stop, head, floor = len(text), 0, min(len(text), self.chunk + self.overlap), 0, 0
+        one = known.get(0) or self._encode(text, start, stop)
+        while stop < n:
+            overlap, begin = self.overlap, stop - self.overlap
+            end = min(n, begin + self.chunk + self.overlap)
+            other = known.get(begin) or self._encode(text, begin, end)
+            while not (found := self._splice(one, start, other, begin, max(begin + 1, floor), stop - self.margin)):
+                self.widened += 1
+                overlap *= 2
+                stop = min(n, stop + overlap)
+                one = self._encode(text, start, stop)
+                if stop == n:
+                    break
+                begin, end = max(floor, stop - 2 * overlap), min(n, stop + self.chunk)
+                other = self._encode(text, begin, end)
+            if not found:
+                break
+            self.splices += 1
+            yield one, head, found[1]
+            floor, start, stop, one, head = found[0], begin, end, other, found[2]
+        yield one, head, len(one)
+
+    def _chunks(self, texts: list[str]) -> Iterator[tuple[str, dict[int, object]]]:
+        """Long texts, each with its chunks' encodings, a batch of chunks at a time."""
+        spans = [[(a, min(len(t), a + self.chunk + self.overlap)) for a in range(0, max(1, len(t) - self.overlap), self.chunk)] for t in texts]
+        for group in size_runs(map(len, texts), TOGETHER):
+            both = [(k, a, b) for k in group for a, b in spans[k][: TOGETHER // self.chunk]]  # of a huge text the first ones; the others are encoded one by one
+            coded = iter(self.tokenizer.encode_batch([texts[k][a:b] for k, a, b in both], add_special_tokens=False))
+            for k in group:
+                yield texts[k], {a: next(coded) for a, _ in spans[k][: TOGETHER // self.chunk]}
+
+    def _long(self, text: str) -> bool:
+        return self.sure and len(text) > self.chunk + self.overlap
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        out = [0] * len(texts)
+        long = [k for k, t in enumerate(texts) if self._long(t)]
+        apart = set(long)
+        short = [k for k in range(len(texts)) if k not in apart]
+        for k, e in zip(short, self.tokenizer.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
+            out[k] = len(e)
+        for k, (text, known) in zip(long, self._chunks([texts[k] for k in long]), strict=True):
+            out[k] = sum(b - a for _, a, b in self._parts(text, known))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        n = len(text)
-        if n <= self.chunk or not self.sure:
+        """The ids of a text."""
+        if not self._long(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts: list[np.ndarray] = []
-        at, end = 0, self.chunk
-        ids, cuts = self._encode(text, at, end)
-        spliced = 0  # ids before it are in parts
-        floor = 0  # place of the last splice
-        while end < n:
-            overlap = self.overlap
-            while True:
-                start = max(floor, end - overlap)
-                stop = min(n, start + self.chunk + overlap)
-                following, next_cuts = self._encode(text, start, stop)
-                common = [p for p in cuts.keys() & next_cuts.keys() if floor <= p <= end - self.margin and (p > start or p == floor)]
-                if common:
-                    break
-                overlap *= 2
-            place = max(common)
-            parts.append(ids[spliced : cuts[place]])
-            ids, cuts, spliced, floor, end = following, next_cuts, next_cuts[place], place, stop
-        parts.append(ids[spliced:])
-        return np.concatenate(parts)
+        return np.concatenate([np.array(e.ids[a:b], np.uint32) for e, a, b in self._parts(text, {})])
 
 
 @lru_cache(maxsize=4)
@@ -197,8 +249,8 @@ def pieces_of(path: str) -> PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def huge_of(path: str, chunk: int, overlap: int) -> HugeEncoder:
-    return HugeEncoder(path, chunk, overlap)
+def splicer_of(path: str, chunk: int, overlap: int) -> Splicer:
+    return Splicer(path, chunk, overlap)
 
 
 @lru_cache(maxsize=4)
@@ -209,40 +261,32 @@ def sentencepiece_of(path: str):
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row of docs (doc_id, text; other columns are left alone).
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_chunks (that the text was encoded in) for each row of docs (doc_id, text; other columns are left alone).
 
     path: a tokenizers .json or a sentencepiece .model, which every executor has.
-    Null counts as empty: no bytes, no tokens. Texts beyond chunk characters are
-    encoded by HugeEncoder, shorter ones by pieces where those are proven for the
-    tokenizer, else in one call. Repeated rows give repeated results.
+    Null counts as empty: no bytes, no tokens. Texts beyond a chunk and its overlap are
+    encoded in overlapping chunks and spliced; where no cut is proven for the tokenizer
+    (.model files, normalizers, other pre-tokenizers) a text is one chunk. A very long
+    text is one task's, which holds the text and some chunks' ids at a time. Repeated
+    rows give repeated results, an empty table an empty one.
     """
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path.endswith(".model"):
-            whole = sentencepiece_of(path)
-            lengths = lambda texts, sizes: [len(whole.encode(t)) for t in texts.to_pylist()]
-        else:
-            huge = huge_of(path, chunk, overlap)
-            try:
-                encode = pieces_of(path).encode
-            except ValueError:
-                encode = lambda texts: [huge.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
-
-            def lengths(texts: pa.Array, sizes: np.ndarray) -> list[int]:
-                long = sizes > chunk
-                out = np.zeros(len(texts), np.int64)
-                short = texts.filter(pa.array(~long))
-                out[~long] = [len(ids) for group in size_runs(sizes[~long], TOGETHER) for ids in encode(short.slice(group.start, len(group)))]
-                out[long] = [len(huge.encode(t)) for t in texts.filter(pa.array(long)).to_pylist()]
-                return out.tolist()
-
-        for batch in batches:
+        whole = sentencepiece_of(path) if path.endswith(".model") else None
+        splicer = None if whole else splicer_of(path, chunk, overlap)
+        for batch in slices(batches):
             texts = pc.fill_null(batch.column(1), "")
-            n = lengths(texts, pc.utf8_length(texts).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            n, chunks = [], []
+            for group in size_runs(pc.utf8_length(texts).to_pylist(), TOGETHER):
+                own = texts.slice(group.start, len(group)).to_pylist()
+                n += [len(whole.encode(t)) for t in own] if whole else splicer.counts(own)
+                chunks += [1 + (len(t) - overlap - 1) // chunk if splicer and splicer._long(t) else 1 for t in own]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(chunks, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long")
 
 
 def public_file(name: str) -> str:

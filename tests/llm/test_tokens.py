@@ -1,5 +1,6 @@
 """Token ids, counts and files against the libraries' results for whole texts."""
 
+import os
 import random
 import zlib
 
@@ -7,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from redactory.llm.common import shared_folder
-from redactory.llm.huffman import STRIDE, code_lengths, pack, read_tokens, unpack, write_tokens
-from redactory.llm.tokens import HugeEncoder, PieceEncoder, count_tokens, open_tokenizer, public_file, sentencepiece_of
+from redactory.llm.common import shared_folder, table
+from redactory.llm.huffman import STRIDE, code_lengths, crc_before, pack, read_tokens, unpack, write_tokens
+from redactory.llm.tokens import PieceEncoder, Splicer, count_tokens, open_tokenizer, public_file, sentencepiece_of
 
+SF = "/root/testdata/sf0.001"
 PATH = public_file("byte_bpe_50k.json")
 BITS = ["\0", "a", "the", " ", "  ", "\n", " \n", "\n\n", "'s", "'re", "’", "é", "1", "23", ".", "!!", "<|endoftext|>", "<|end", "　", "\x1c", "漢", "😀", "\t", " x", "ing", "\x85", "oftext|>"]
 
@@ -33,11 +35,35 @@ def test_pieces_equal_library():
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(40, 8), (100, 3)])
-def test_huge_equals_library(chunk, overlap):
-    encoder = HugeEncoder(PATH, chunk, overlap)
-    for text in [*texts(150, 300, 2), "a" * 1000, " " * 500 + "x", "é" * 300, ""]:
-        assert (encoder.encode(text) == whole(text)).all()
+@pytest.mark.parametrize(("chunk", "overlap"), [(40, 8), (100, 3), (100, 60)])
+def test_spliced_equals_library(chunk, overlap):
+    splicer = Splicer(PATH, chunk, overlap)
+    some = [*texts(150, 300, 2), "a" * 1000, " " * 500 + "x", "é" * 300, "", "<|endoftext|>" * 90, "word " * 60 + "x" * 900 + " é" * 90, "1'll've " * 99]
+    for text, n in zip(some, splicer.counts(some), strict=True):
+        ids = whole(text)
+        assert n == len(ids)
+        assert (splicer.encode(text) == ids).all()
+    assert splicer.splices > 500
+    assert splicer.widened > 0
+
+
+def test_words_with_ends_are_encoded_whole(spark):
+    """Its pre-tokenizer and normalizer prove no cuts."""
+    path = public_file("word_bpe_49k.json")
+    some = ["", "Ein Wort", *texts(30, 300, 5)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_chunks) for r in count_tokens(docs, path, chunk=50, overlap=10).collect()}
+    assert got == {i: (len(open_tokenizer(path).encode(t, add_special_tokens=False).ids), 1) for i, t in enumerate(some)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
+def test_sample_texts_are_spliced(spark):
+    docs = table(spark, SF, "documents")
+    library = open_tokenizer(PATH)
+    rows = {r.doc_id: r for r in count_tokens(docs, PATH, chunk=300, overlap=16).collect()}
+    for r in docs.collect():
+        assert rows[r.doc_id].n_tokens == len(library.encode(r.text, add_special_tokens=False))
+    assert sum(r.n_chunks > 1 for r in rows.values()) > len(rows) / 2
 
 
 def test_counts(spark):
@@ -68,6 +94,26 @@ def test_files_hold_the_ids(spark):
         start += len(match[1])
 
 
+@pytest.mark.parametrize("block_ids", [1, 7, 300])
+def test_long_documents_span_blocks(spark, block_ids):
+    some = [(1, "a"), (None, "some words here " * 9), (2, "long " * 100), (3, ""), (4, "x y z " * 50), (4, "x y z " * 51), (5, None)]
+    folder = shared_folder(spark)
+    write_tokens(spark.createDataFrame(some, "doc_id long, text string").repartition(2), PATH, folder, block_ids=block_ids)
+    assert spark.read.parquet(f"{folder}/blocks").where("before > 0").count() > 0 or block_ids > 200
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in read_tokens(spark, folder).collect())
+    ids = [(d, np.append(whole(t or ""), 0).astype("<u4")) for d, t in some]
+    assert got == sorted((d is not None, d or 0, len(x), zlib.crc32(x.tobytes())) for d, x in ids)
+    starts = sorted((r.start, r.n_tokens) for r in read_tokens(spark, folder).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def test_crc_of_parts():
+    rng = random.Random(3)
+    for a, b in ((0, 5), (1, 0), (9, 1000), (300, 70_001)):
+        x, y = rng.randbytes(a), rng.randbytes(b)
+        assert crc_before(zlib.crc32(x), b) ^ zlib.crc32(y) == zlib.crc32(x + y)
+
+
 def test_no_documents(spark):
     folder = shared_folder(spark)
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH, folder)
