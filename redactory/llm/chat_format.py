@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import small_batches, table
+from redactory.llm.common import shared_folder, slices, table
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,8 @@ class Escaper:
 
     def __init__(self, template: Template):
         controls = template.controls()
+        if "" in controls:
+            raise ValueError("a control string needs a character other than white space")
         if len(controls) > 26 or any(ESCAPE in c for c in controls):
             raise ValueError("at most 26 control strings, without the escape character")
         self.out = {ESCAPE: ESCAPE * 2} | {c: ESCAPE + chr(ord("a") + i) for i, c in enumerate(controls)}
@@ -70,21 +72,23 @@ SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("text",
 
 
 def segments(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """conv_id, segment (from 0), text, loss, in_order: the segments of each conversation, one conversation after the other and in order within each partition.
+    """conv_id, segment (from 0, in the conversation's order), text, loss, in_order: the segments of each conversation.
 
     conversations: conv_id, turn, role, text; other columns are left alone. Rows are
     taken by turn (null first), ties by role and text; repeated rows are repeated
     turns. A null text or role counts as empty; null conv_id is one conversation.
     in_order tells whether the turn's role may follow the one before it; turns that
-    may not are kept and marked. An empty text has an empty segment.
+    may not are kept and marked. An empty text has an empty segment. A very long text is
+    one segment; a conversation is one task's, which holds one turn of it at a time. An
+    empty table gives no segments.
     """
-    small_batches(conversations.sparkSession, 1000)
+    Escaper(template)  # a template that can't be read back fails here
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         escaper = Escaper(template)
         current: object = walk  # no conv_id
         state, n = "START", 0
-        for batch in batches:
+        for batch in slices(batches, 1000):
             out: list[tuple] = []
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv != current:
@@ -120,6 +124,7 @@ class Reading:
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_out_of_order, from segments() alone.
 
+    formatted: conv_id, segment, text, loss, in_order, its rows in any order and place.
     Control strings tell turns and roles; a turn's text is what stands between its
     two, unescaped.
     """
@@ -135,7 +140,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
         def row() -> tuple:
             return (current, r.n_turns, r.turns.hexdigest(), r.loss_chars, r.loss.hexdigest(), r.formatted_chars, r.n_out_of_order)
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             done = []
             for conv, text, loss, fits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv != current:
@@ -167,13 +172,20 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_out_of_order"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return formatted.select("conv_id", "text", "loss", "in_order").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_out_of_order long")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.select("conv_id", "text", "loss", "in_order").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_out_of_order long")
+
+
+def written(formatted: DataFrame, folder: str) -> DataFrame:
+    """Segments as Parquet files in folder, and read from there."""
+    formatted.write.parquet(folder)
+    return formatted.sparkSession.read.schema(formatted.schema).parquet(folder)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(segments(rows))
+    return read_back(written(segments(rows), shared_folder(spark)))
 
 
 OP3_SQL = r"""

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from redactory.llm.chat_format import DEFAULT, Escaper, read_back, segments
+from redactory.llm.chat_format import DEFAULT, Escaper, Template, Turn, read_back, segments, written
+from redactory.llm.common import shared_folder
 
 
 def brute(rows):
@@ -29,7 +30,7 @@ def test_round_trip(spark):
     rows += [(9, 0, "system", "s"), (9, 1, "user", "u"), (9, 2, "assistant", "a"), (8, 0, "assistant", "first"), rows[0], rows[1]]
     rows += [(10, i, ("user", "assistant")[i % 2], "t" * 50) for i in range(3000)]
     table = spark.createDataFrame([(*r, True, 3) for r in rows], "conv_id long, turn long, role string, text string, loss boolean, segment int").repartition(5)
-    got = {r.conv_id: r for r in read_back(segments(table)).collect()}
+    got = {r.conv_id: r for r in read_back(written(segments(table), shared_folder(spark)).repartition(7)).collect()}
     assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == brute(rows)
     assert got[9].n_out_of_order == got[10].n_out_of_order == 0
     assert got[8].n_out_of_order == 1
@@ -42,6 +43,11 @@ def test_segments_of_one_turn(spark):
     assert all(c not in got[1].text for c in DEFAULT.controls())
 
 
+def test_blank_control_strings_are_refused():
+    with pytest.raises(ValueError, match="control string"):
+        Escaper(Template(turns={"user": Turn(" ", "</u>")}))
+
+
 def test_empty_table(spark):
     assert read_back(segments(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
