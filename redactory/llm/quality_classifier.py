@@ -1,11 +1,11 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 A text's terms are hashed trigrams of its bytes and of their shapes (letters of one
-case are alike, punctuation is itself) and bins of a few ratios of its words. Terms
-are weighted by TF-IDF and projected on the leading singular vectors of the labelled
-sample. That sample is bounded, so its vectors and the projection are broadcast;
-every document is compared with all of them by blocked cosine products, and its
-score is the mean label of its nearest, weighted by similarity.
+case are alike, punctuation is itself). Terms are weighted by TF-IDF and projected on
+the leading singular vectors of the labelled sample. That sample is bounded, so its
+vectors and the projection are broadcast; every document is compared with all of them
+by blocked cosine products, and its score is the mean label of its nearest, weighted
+by similarity.
 """
 
 from __future__ import annotations
@@ -18,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import small_batches, table, text_runs
+from redactory.llm.common import slices, table, text_runs
 
-HASHED, BINS = 1024, 12
-RATIOS = 5
-TERMS = 2 * HASHED + RATIOS * BINS
+#: Cells of the hashed trigrams of shapes, and of those of bytes.
+HASHED = 1024
+TERMS = 2 * HASHED
 #: Bytes whose trigrams are counted at a time.
 PART = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: the most labelled rows that are learnt from, those with the lowest hash of doc_id. rank: dimensions of the vectors. neighbours: how many vote. sharpness: power of the similarity in a vote's weight."""
+    """sample: the most labelled rows that are learnt from, those with the lowest hash of doc_id among those that have a document. rank: dimensions of the vectors. neighbours: how many vote. sharpness: power of the similarity in a vote's weight."""
 
     sample: int = 6000
     rank: int = 64
@@ -53,18 +53,8 @@ def shapes() -> np.ndarray:
 SHAPES = shapes()
 
 
-def ratios(raw: bytes) -> list[float]:
-    """Share of words equal to the one before, of distinct words, of capitals and of other ASCII than letters, digits and blanks in bytes; and the number of words, on a scale of 0 to 1 by its logarithm."""
-    words = raw.split()
-    n, size = max(len(words), 1), max(len(raw), 1)
-    same = sum(map(bytes.__eq__, words, words[1:]))
-    kinds = np.bincount(SHAPES[np.frombuffer(raw, np.uint8)], minlength=256)
-    odd = kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum()
-    return [same / n, len(set(words)) / n, kinds[ord("A")] / size * 2, odd / size * 4, np.log1p(len(words)) / 12]
-
-
 def terms(texts: list[str]) -> np.ndarray:
-    """A row of TERMS counts per text. A bin's count is the share that the ratio has in it, between the two nearest bins."""
+    """A row of TERMS counts per text."""
     raws = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raws), np.uint8)
     lengths = np.array([len(r) for r in raws])
@@ -83,17 +73,11 @@ def terms(texts: list[str]) -> np.ndarray:
             first = int(doc[0]) if len(doc) else 0
             n = int(doc[-1]) - first + 1 if len(doc) else 0
             out[first : first + n, base : base + HASHED] += np.bincount(((doc - first) * HASHED + cell)[whole], minlength=n * HASHED).reshape(n, HASHED)
-    scaled = np.clip(np.array([ratios(r) for r in raws]).reshape(-1, RATIOS), 0, 1) * (BINS - 1)
-    low = np.minimum(scaled.astype(int), BINS - 2)
-    rows = np.arange(len(raws))
-    for k in range(RATIOS):
-        out[rows, 2 * HASHED + k * BINS + low[:, k]] = 1 - (scaled - low)[:, k]
-        out[rows, 2 * HASHED + k * BINS + low[:, k] + 1] = (scaled - low)[:, k]
     return out
 
 
 #: Where each family of terms begins, and its weight; each is scaled to length 1 first, as a long family would drown the others.
-FAMILIES = ((0, HASHED, 1.0), (HASHED, 2 * HASHED, 0.4), (2 * HASHED, TERMS, 0.8))
+FAMILIES = ((0, HASHED, 1.0), (HASHED, TERMS, 0.4))
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -119,34 +103,68 @@ def fit(counts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray,
     return idf, projection, unit(x @ projection)
 
 
+@dataclass(frozen=True)
+class Model:
+    """What fit() gives of a sample, its labels, and bare: the score of texts without a term, the mean label of the sample's such texts, or else of all."""
+
+    idf: np.ndarray
+    projection: np.ndarray
+    vectors: np.ndarray
+    labels: np.ndarray
+    bare: float
+
+
 def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, settings: Settings) -> np.ndarray:
+    """Scores of unit vectors z. Of vectors equally near, those of the smaller labels' ids come first."""
     k = min(settings.neighbours, len(vectors))
     out = np.empty(len(z))
     for at in range(0, len(z), 256):
         near = z[at : at + 256] @ vectors.T
-        top = np.argpartition(near, -k, axis=1)[:, -k:]
-        weight = np.clip(np.take_along_axis(near, top, 1), 1e-6, 1).astype(np.float64) ** settings.sharpness
-        out[at : at + 256] = (weight * labels[top]).sum(axis=1) / weight.sum(axis=1)
+        least = np.partition(near, -k, axis=1)[:, -k]
+        above, equal = near > least[:, None], near == least[:, None]
+        free = k - np.count_nonzero(above, axis=1)
+        if (np.count_nonzero(equal, axis=1) > free).any():
+            equal &= np.cumsum(equal, axis=1) <= free[:, None]
+        row, top = np.nonzero(above | equal)  # k a row
+        weight = np.clip(near[row, top].reshape(-1, k), 1e-6, 1).astype(np.float64) ** settings.sharpness
+        out[at : at + 256] = (weight * labels[top].reshape(-1, k)).sum(axis=1) / weight.sum(axis=1)
     return np.clip(out, 0, 1)
 
 
-def learnt(docs: DataFrame, labels: DataFrame, settings: Settings):
-    """fit() and the labels of the sample, or None without labelled rows."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y"))
-    sample = known.distinct().orderBy(F.xxhash64("label_id"), "label_id", "y").limit(settings.sample)
+def scored(texts: list[str], model: Model, settings: Settings) -> np.ndarray:
+    counts = terms(texts)
+    some = counts.any(axis=1)
+    found = np.full(len(texts), model.bare)
+    if some.any():
+        found[some] = vote(unit(weighted(counts[some], model.idf) @ model.projection), model.vectors, model.labels, settings)
+    return found
+
+
+def labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, y, text: the sample. Of several texts of a doc_id the smallest is taken; a doc_id with both labels is there with each."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y")).distinct()
+    sample = known.join(docs.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi").orderBy(F.xxhash64("label_id"), "label_id", "y").limit(settings.sample)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # settings.sample bounds what is broadcast
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def learnt(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model | None:
+    """None without labelled rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            texts = batch.column(2).to_pylist()
             for group in text_runs(texts):
                 rows = terms([texts[k] for k in group]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.start, len(group)), batch.column(2).slice(group.start, len(group)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(group.start, len(group)) for c in (0, 1)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id", "y"])
-    found = sorted(rows.mapInArrow(count, "id long, y int, x binary").collect(), key=lambda r: (r.id, r.y))  # bounded by settings.sample
+    found = sorted(labelled(docs, labels, settings).mapInArrow(count, "id long, y int, x binary").collect(), key=lambda r: (r.id, r.y))  # bounded by settings.sample
     if not found:
         return None
-    return (*fit(np.stack([np.frombuffer(r.x, "<f4") for r in found]), settings), np.array([r.y for r in found], np.float64))
+    counts, y = np.stack([np.frombuffer(r.x, "<f4") for r in found]), np.array([r.y for r in found], np.float64)
+    some = counts.any(axis=1)
+    bare = float(y[~some].mean() if not some.all() else y.mean())
+    return Model(*fit(counts[some], settings), y[some], bare) if some.any() else Model(*[np.zeros((0, 0))] * 4, bare)
 
 
 def judged(docs: DataFrame, labels: DataFrame, settings: Settings):
@@ -154,14 +172,10 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings):
     shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, settings))
 
     def scores(texts: list[str | None]) -> np.ndarray:
-        found = np.full(len(texts), 0.5)
-        if shared.value is not None:
-            idf, projection, vectors, y = shared.value
-            whole = [t or "" for t in texts]
-            for group in text_runs(whole):
-                z = unit(weighted(terms([whole[k] for k in group]), idf) @ projection)
-                found[group.start : group.stop] = vote(z, vectors, y, settings)
-        return found
+        model, whole = shared.value, [t or "" for t in texts]
+        if model is None or not len(model.vectors):
+            return np.full(len(whole), 0.5 if model is None else model.bare)
+        return np.concatenate([scored([whole[k] for k in group], model, settings) for group in text_runs(whole)])
 
     return scores
 
@@ -169,15 +183,18 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings):
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on) for each row of docs (doc_id, text; other columns are left alone).
 
-    labels: doc_id, quality (0 or 1; other values are left out). At most
-    settings.sample of its rows are learnt from. Null and empty texts are scored
-    alike, by the bins of their ratios. Without usable labels every score is 0.5.
+    labels: doc_id, quality (0 or 1; other values and null ids are left out). At most
+    settings.sample of its rows are learnt from. Null and empty texts, and others of
+    under three bytes, have no terms: their score is the mean label of the sample's
+    texts without terms, or else of the whole sample. Without usable labels every score
+    is 0.5. Equal texts have equal scores, whatever their ids; of repeated ids the
+    smallest text is learnt from. A very long text is counted piece by piece by one
+    task. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     scores = judged(docs, labels, settings)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -185,12 +202,11 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The rows of docs, with all their columns, that score() predicts 1 for."""
-    small_batches(docs.sparkSession)
+    """The rows of docs, with all their columns, that score() predicts 1 for, under its rules for nulls, ties and empty tables."""
     scores = judged(docs, labels, settings)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) >= 0.5))
 
     return docs.mapInArrow(sift, docs.schema)

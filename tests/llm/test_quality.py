@@ -1,5 +1,8 @@
 """Quality rules against plain Python, the classifier by held-out accuracy, the pipeline against its parts."""
 
+import dataclasses
+import itertools
+import math
 import os
 import random
 import zlib
@@ -9,8 +12,8 @@ import pytest
 import zstandard
 
 from redactory.llm.common import table
-from redactory.llm.quality_classifier import Settings, fold, score
-from redactory.llm.quality_rules import DEFAULT, repeat_words, rules
+from redactory.llm.quality_classifier import Settings, fit, fold, keep_good, labelled, learnt, score, terms, weighted
+from redactory.llm.quality_rules import DEFAULT, compression, repeat_words, rules
 
 SF = "/root/testdata/sf0.01"
 WHITE = " \t\n\x0b\x0c\r"
@@ -47,13 +50,41 @@ def test_rules_equal_plain_python(spark):
         assert r.base_failed == (len(words) < 20 or 100 * repeats > 30 * len(words))
         press = zstandard.ZstdCompressor(level=DEFAULT.level)
         raw = t.encode()
-        low, high = next((a, b) for end, a, b in DEFAULT.limits if len(raw) <= end)
-        chunks = [DEFAULT.chunk / len(press.compress(raw[k : k + DEFAULT.chunk])) for k in range(0, len(raw) - DEFAULT.chunk + 1, DEFAULT.chunk)]
-        bad = sum(not DEFAULT.chunk_limits[0] <= c <= DEFAULT.chunk_limits[1] for c in chunks)
-        good = bool(raw) and low <= len(raw) / len(press.compress(raw)) <= high and bad <= DEFAULT.share_bad * len(chunks)
+
+        def inside(part):
+            x, ratio = math.log2(len(part)), len(part) / len(press.compress(part))
+            i = next((i for i, k in enumerate(DEFAULT.knots) if len(part) <= k[0]), len(DEFAULT.knots) - 1)
+            (a, low_a, high_a), (b, low_b, high_b) = DEFAULT.knots[max(i - 1, 0)], DEFAULT.knots[i]
+            w = min(1, (x - math.log2(a)) / (math.log2(b) - math.log2(a))) if a < b else 1
+            return low_a + w * (low_b - low_a) <= ratio <= high_a + w * (high_b - high_a)
+
+        chunks = [inside(raw[k : k + DEFAULT.chunk]) for k in range(0, len(raw), DEFAULT.chunk)]
+        runs = [len(list(g)) for ok, g in itertools.groupby(chunks) if not ok]
+        good = not raw or (inside(raw) and sum(runs) <= DEFAULT.share_bad * len(chunks) and max(runs, default=0) <= DEFAULT.run_bad)
+        assert (r.n_chunks, r.n_bad_chunks) == (len(chunks), sum(runs))
         assert r.kept == (not r.base_failed and good)
 
 
+def test_a_bad_tail_or_run_is_seen():
+    rng = random.Random(1)
+    lots = " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 5))) * 2 for _ in range(6000))[: 20 * DEFAULT.chunk].encode()
+    press = zstandard.ZstdCompressor(level=DEFAULT.level)
+    wide = dataclasses.replace(DEFAULT, knots=((1, 0.0, 3.0), (1 << 20, 0.0, 3.0)))
+    assert compression(lots, wide, press)[2:] == (0, True)
+    assert compression(lots[:4000] + b"z" * 96, wide, press)[1:] == (2, 0, True)
+    assert compression(lots[:4096] + b"z" * 900, wide, press)[1:] == (3, 1, False)  # the tail alone is bad
+    assert compression(lots[: 10 * DEFAULT.chunk] + b"z" * 3 * DEFAULT.chunk + lots[10 * DEFAULT.chunk :], wide, press)[1:] == (23, 3, False)  # few, but in a row
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
+def test_bands_reject_bad_rows_only(spark):
+    verdicts = {r.doc_id: r for r in rules(table(spark, SF, "documents")).collect()}
+    both = [(verdicts[r.doc_id], r.quality) for r in table(spark, SF, "labels").collect() if r.doc_id in verdicts]
+    judged = [(v.kept, q) for v, q in both if not v.base_failed]
+    assert all(k for k, q in judged if q)
+    assert sum(not k for k, q in judged if not q) > len([q for _, q in judged if not q]) / 3
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
 def test_classifier_on_held_out_rows(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
@@ -77,11 +108,59 @@ def test_classifier_on_odd_rows(spark):
 
 
 def test_sample_is_bounded(spark):
-    from redactory.llm.quality_classifier import learnt
-
     docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(50)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
-    assert len(learnt(docs, labels, Settings(sample=20))[2]) == 20
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    assert len(learnt(docs, labels, Settings(sample=20)).vectors) == 20
+    assert len(learnt(docs, labels, Settings(sample=80)).vectors) == 50  # labels without a document take no place
+
+
+def test_repeated_ids_are_learnt_alike(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    for shuffled in (docs, docs.orderBy("text"), docs.orderBy("doc_id").repartition(3)):
+        assert sorted(tuple(r) for r in labelled(shuffled, labels, Settings()).collect()) == [(1, 0, ""), (1, 1, ""), (2, 0, "c")]
+
+
+@pytest.mark.parametrize(("sample", "neighbours"), [(400, 24), (30, 50)])
+def test_votes_equal_brute_force(spark, sample, neighbours):
+    """Cosines one by one, the nearest by a full sort, in plain Python; terms counted by a dictionary."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["alpha", "Beta!", "12", "é", "$$", "the", "of"])
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 30))) if i % 11 else None) for i in range(400)]
+    rows += [(900 + i, rows[i][1]) for i in range(40)] + [(990, "ab"), (991, "long " * 30_000)]
+    docs = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.5)) for i in range(400)], "doc_id long, quality int")
+    settings = Settings(sample=sample, neighbours=neighbours)
+    learn = sorted(((r.doc_id, r.y, r.text) for r in labelled(docs, labels, settings).collect()), key=lambda r: r[:2])
+    some = [r for r in learn if len(r[2].encode()) >= 3]
+    idf, projection, vectors = fit(terms([t for *_, t in some]), settings)
+    bare = [y for _, y, t in learn if len(t.encode()) < 3]
+    want = {}
+    for i, text in rows:
+        if len((text or "").encode()) < 3:
+            want[i] = sum(bare) / len(bare) if bare else sum(y for _, y, _ in learn) / len(learn)
+            continue
+        z = (weighted(terms([text]), idf) @ projection)[0].astype(float)
+        z = z / max(math.sqrt(sum(x * x for x in z)), 1e-9)
+        near = sorted((-float(sum(a * b for a, b in zip(z.tolist(), v, strict=True))), k) for k, v in enumerate(vectors.tolist()))[:neighbours]
+        weights = [min(max(-c, 1e-6), 1.0) ** settings.sharpness for c, _ in near]
+        want[i] = sum(w * some[k][1] for w, (_, k) in zip(weights, near, strict=True)) / sum(weights)
+    got = {r.doc_id: r.score for r in score(docs, labels, settings).collect()}
+    assert got.keys() == want.keys()
+    close = [abs(got[i] - want[i]) < 1e-3 for i in want]
+    assert sum(close) >= len(close) - 3  # a tie at the last neighbour may fall either way by rounding
+    assert all(got[900 + i] == got[i] for i in range(40))
+    kept = keep_good(docs, labels, settings)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, s in got.items() if s >= 0.5)
+
+
+def test_terms_are_trigrams():
+    text = "Ab1é ab1"
+    raw = text.encode()
+    assert terms([text]).sum() == 2 * (len(raw) - 2)
+    assert (terms([text, "xy", "", "Ab1"]) == np.concatenate([terms([t]) for t in (text, "xy", "", "Ab1")])).all()
+    assert not terms(["xy"]).any()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
