@@ -11,6 +11,10 @@ from redactory.functions.checks import first_reason
 REASONS = ("source_withdrawn", "source_expired", "governance_missing", "governance_superseded", "evidence_unavailable", "publication_revoked", "audience_denied", "purpose_denied", "fact_disputed", "schema_violation")
 
 
+#: What names one version of a source; every join of sources with what rests on them compares it all.
+SOURCE = ["tenant_id", "domain", "source_id", "version"]
+
+
 def in_order(reasons: Column) -> Column:
     """Distinct reasons in canonical order, then the others."""
     canonical = F.array(*map(F.lit, REASONS))
@@ -25,7 +29,7 @@ def current_governance(versions: DataFrame, now: Column) -> DataFrame:
     """Of each source the newest version in force that none supersedes."""
     replaced = versions.select(F.col("supersedes_id").alias("governance_id")).where("governance_id IS NOT NULL").distinct()
     valid = versions.join(replaced, "governance_id", "left_anti").where((F.col("valid_from") <= now) & (F.col("valid_until") > now) & (F.col("state") == "approved"))
-    newest = F.row_number().over(Window.partitionBy("tenant_id", "domain", "source_id").orderBy(F.col("valid_from").desc(), F.col("governance_id")))
+    newest = F.row_number().over(Window.partitionBy(*SOURCE).orderBy(F.col("valid_from").desc(), F.col("governance_id")))
     return valid.withColumn("n", newest).where("n = 1").drop("n")
 
 
@@ -39,14 +43,14 @@ def shared_members(rows: DataFrame, key: str, members: str) -> DataFrame:
 
 def linked(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """A row per candidate and source of its evidence."""
-    return evidence.select("candidate_id", "source_id").distinct().join(sources, "source_id")
+    return evidence.select("candidate_id", *SOURCE).distinct().join(sources, SOURCE)
 
 
 def admission(candidates: DataFrame, evidence: DataFrame, sources: DataFrame, governance: DataFrame, use_audience: str, now: Column) -> DataFrame:
     """candidate_id, n_sources, reasons (in canonical order), first_code, admitted, bound: what keeps each candidate from being published to the audience, for all at once."""
-    current = current_governance(governance, now).select("source_id", "audiences", F.col("valid_until").alias("g_until"))
-    known = governance.groupBy("source_id").agg(F.bool_or(F.col("supersedes_id").isNotNull()).alias("chained"))
-    per_source = linked(evidence, sources).join(current, "source_id", "left").join(known, "source_id", "left")
+    current = current_governance(governance, now).select(*SOURCE, "audiences", F.col("valid_until").alias("g_until"))
+    known = governance.groupBy(*SOURCE).agg(F.bool_or(F.col("supersedes_id").isNotNull()).alias("chained"))
+    per_source = linked(evidence, sources).join(current, SOURCE, "left").join(known, SOURCE, "left")
     reason = first_reason(
         ("source_withdrawn", F.col("withdrawn")),
         ("source_expired", F.col("retention_until") <= now),
@@ -69,7 +73,7 @@ def active_publications(publications: DataFrame, tombstones: DataFrame, now: Col
 
 def evidence_status(candidates: DataFrame, evidence: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """candidate_id, n_links, status: unknown without evidence or with evidence of unknown sources, expired if any source is, else available."""
-    links = evidence.join(sources.select("source_id", F.lit(True).alias("known"), (F.col("retention_until") <= now).alias("expired")), "source_id", "left")
+    links = evidence.join(sources.select(*SOURCE, F.lit(True).alias("known"), (F.col("retention_until") <= now).alias("expired")), SOURCE, "left")
     counts = links.groupBy("candidate_id").agg(F.count("*").alias("n_links"), F.count("known").alias("n_known"), F.bool_or("expired").alias("expired"))
     out = candidates.select("candidate_id").join(counts, "candidate_id", "left")
     status = F.when(F.col("n_links").isNull() | (F.col("n_known") < F.col("n_links")), "unknown").when(F.col("expired"), "expired").otherwise("available")
@@ -114,7 +118,7 @@ def availability(candidates: DataFrame, publications: DataFrame, tombstones: Dat
 
 def invalidated(withdrawn: DataFrame, evidence: DataFrame, publications: DataFrame, claims: DataFrame, tombstones: DataFrame) -> DataFrame:
     """What withdrawing sources takes down: per source the candidates, live publications and entities that rest on it."""
-    hit = withdrawn.select("source_id").join(evidence.select("source_id", "candidate_id").distinct(), "source_id")
+    hit = withdrawn.select(*SOURCE).join(evidence.select(*SOURCE, "candidate_id").distinct(), SOURCE)
     pubs = publications.join(tombstones, "publication_id", "left_anti").select("candidate_id", "publication_id")
     about = claims.select(F.col("claim_id").alias("candidate_id"), F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"))
     a = hit.groupBy("source_id").agg(F.count("*").alias("n_candidates"))
@@ -125,9 +129,11 @@ def invalidated(withdrawn: DataFrame, evidence: DataFrame, publications: DataFra
 
 
 def unreceipted(outbox: DataFrame, consumers: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Events that a consumer has no receipt for. consumers is the small table of registered consumers: each event is owed to each."""
-    names = F.array(*[F.lit(r.consumer_id) for r in consumers.orderBy("consumer_id").collect()])
-    return outbox.withColumn("consumer_id", F.explode(names)).join(receipts.select("consumer_id", "outbox_id"), ["consumer_id", "outbox_id"], "left_anti")
+    """Events that a consumer has no receipt for: each event is owed to each of the registered consumers. Receipts are gathered per event first, so only events that lack one become rows."""
+    got = receipts.groupBy("outbox_id").agg(F.collect_set("consumer_id").alias("got"))
+    everyone = consumers.agg(F.collect_set("consumer_id").alias("everyone"))  # one row
+    missing = F.array_except("everyone", F.coalesce("got", F.array().cast("array<string>")))
+    return outbox.join(got, "outbox_id", "left").join(F.broadcast(everyone)).withColumn("consumer_id", F.explode(missing)).drop("got", "everyone")
 
 
 def page(rows: DataFrame, size: int, after: tuple | None, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.sources.tables import rows_per_batch
+from redactory.sources.tables import slices
 
 #: From which states a command leads where; other commands leave the state alone.
 STEPS = {("proposed", "publish"): "published", ("proposed", "reject"): "rejected", ("proposed", "dispute"): "disputed", ("disputed", "reject"): "rejected", ("published", "withdraw"): "withdrawn", ("proposed", "withdraw"): "withdrawn", ("rejected", "revise"): "proposed", ("withdrawn", "revise"): "proposed"}
@@ -24,7 +24,7 @@ def fold_ranges(rows: DataFrame, key: str, states: list[str]) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
         first: list[pa.Array] = []
-        for batch in batches:
+        for batch in slices(batches, 10_000):
             keys, done = batch.column(0).to_pylist(), []
             for i, (k, c) in enumerate(zip(keys, batch.column(2).to_pylist(), strict=True)):
                 if held is None or k != held[0]:
@@ -61,7 +61,7 @@ def fold_states(commands: DataFrame, key: str, order: str, command: str, first:
     """
     states = sorted({first, *(s for s, _ in STEPS), *STEPS.values()})
     rows = commands.select(key, F.col(order).alias("o"), F.col(command).alias("command")).repartitionByRange(key, "o", "command").sortWithinPartitions(key, "o", "command")
-    parts = fold_ranges(rows_per_batch(rows, 10_000), key, states).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "command", "at", "revised", "applied"))).alias("c"))
+    parts = fold_ranges(rows, key, states).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "command", "at", "revised", "applied"))).alias("c"))
     start = F.struct(F.lit(states.index(first)).cast("long").alias("at"), F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("n_applied"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -88,7 +88,7 @@ def history(requests: DataFrame, now: Column, model: str | None = None, protocol
 def decode_labels(tokens: DataFrame, by: str, order: str) -> DataFrame:
     """tokens: by, order, label (B-X, I-X or O), start, end. Returns by, entity_type, start, end: an I after another type or after O begins an entity as a B does."""
     w = Window.partitionBy(by).orderBy(order)
-    kind = F.when(F.col("label") != "O", F.substring("label", 3, 32))
+    kind = F.when(F.col("label") != "O", F.expr("substring(label, 3)"))
     t = tokens.withColumn("entity_type", kind)
     before = F.lag("entity_type").over(w)
     t = t.withColumn("begins", F.when(F.col("entity_type").isNotNull() & (F.col("label").startswith("B-") | before.isNull() | (before != F.col("entity_type"))), 1).otherwise(0))

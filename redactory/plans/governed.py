@@ -43,7 +43,7 @@ def governance_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.current_governance(derived(spark, sf_dir, "governance"), now()).select("tenant_id", "domain", "source_id", "governance_id", F.array_join("audiences", ",").alias("audiences"))
 
 
-CURRENT = f"""cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, domain, source_id ORDER BY valid_from DESC, governance_id) AS rn FROM governance g
+CURRENT = f"""cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, domain, source_id, version ORDER BY valid_from DESC, governance_id) AS rn FROM governance g
     WHERE NOT EXISTS (SELECT 1 FROM governance h WHERE h.supersedes_id = g.governance_id) AND valid_from <= {NOW} AND valid_until > {NOW} AND state = 'approved') WHERE rn = 1)"""
 CURRENT_SQL = f"{with_tables('governance')}, {CURRENT} SELECT tenant_id, domain, source_id, governance_id, array_to_string(audiences, ',') AS audiences FROM cur"
 
@@ -54,7 +54,7 @@ def acl_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.select("candidate_id", F.array_join("shared", ",").alias("shared"), (F.size("shared") == 0).alias("is_empty"))
 
 
-ACL_SQL = f"""{with_tables("sources", "evidence")}, l AS (SELECT DISTINCT candidate_id, source_id FROM evidence), j AS (SELECT candidate_id, acl FROM l JOIN sources USING (source_id)),
+ACL_SQL = f"""{with_tables("sources", "evidence")}, l AS (SELECT DISTINCT candidate_id, tenant_id, domain, source_id, version FROM evidence), j AS (SELECT candidate_id, acl FROM l JOIN sources USING (tenant_id, domain, source_id, version)),
 n AS (SELECT candidate_id, count(*) AS n FROM j GROUP BY 1), m AS (SELECT candidate_id, m, count(*) AS c FROM (SELECT candidate_id, unnest(acl) AS m FROM j) GROUP BY 1, 2),
 s AS (SELECT candidate_id, string_agg(m, ',' ORDER BY m) AS shared FROM m JOIN n USING (candidate_id) WHERE c = n GROUP BY 1)
 SELECT candidate_id, coalesce(shared, '') AS shared, shared IS NULL AS is_empty FROM n LEFT JOIN s USING (candidate_id)"""
@@ -70,10 +70,10 @@ def publish_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("candidate_id", "n_sources", F.array_join("reasons", ",").alias("reasons"), "first_code", "admitted", F.date_format("bound", "yyyy-MM-dd").alias("bound"))
 
 
-JUDGED = f"""{CURRENT}, l AS (SELECT DISTINCT candidate_id, source_id FROM evidence), ch AS (SELECT source_id, bool_or(supersedes_id IS NOT NULL) AS chained FROM governance GROUP BY 1),
+JUDGED = f"""{CURRENT}, l AS (SELECT DISTINCT candidate_id, tenant_id, domain, source_id, version FROM evidence), ch AS (SELECT source_id, bool_or(supersedes_id IS NOT NULL) AS chained FROM governance GROUP BY 1),
 j AS (SELECT l.candidate_id, s.source_kind, least(c.valid_until, s.retention_until) AS b, CASE WHEN s.withdrawn THEN 'source_withdrawn' WHEN s.retention_until <= {NOW} THEN 'source_expired' WHEN c.audiences IS NULL AND chained THEN 'governance_superseded'
     WHEN c.audiences IS NULL THEN 'governance_missing' WHEN NOT list_contains(c.audiences, 'chat') THEN 'audience_denied' END AS reason
-    FROM l JOIN sources s USING (source_id) LEFT JOIN cur c ON c.source_id = s.source_id LEFT JOIN ch ON ch.source_id = s.source_id),
+    FROM l JOIN sources s USING (tenant_id, domain, source_id, version) LEFT JOIN cur c ON c.source_id = s.source_id LEFT JOIN ch ON ch.source_id = s.source_id),
 a AS (SELECT candidate_id, count(*) AS n_sources, list_distinct(list(reason) FILTER (reason IS NOT NULL)) AS found, bool_and(source_kind = 'model_output') AS model_only, min(b) AS bound FROM j GROUP BY 1),
 adm AS (SELECT claim_id AS candidate_id, coalesce(n_sources, 0)::BIGINT AS n_sources, bound, list_filter(['source_withdrawn', 'source_expired', 'governance_missing', 'governance_superseded', 'evidence_unavailable', 'audience_denied'],
     lambda r: list_contains(CASE WHEN n_sources IS NULL OR model_only THEN ['evidence_unavailable'] ELSE coalesce(found, []) END, r)) AS reasons FROM claims LEFT JOIN a ON a.candidate_id = claim_id)"""
@@ -95,7 +95,7 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATUS = f"""es AS (SELECT claim_id AS candidate_id, count(e.source_id) AS n_links, CASE WHEN count(e.source_id) = 0 OR count(s.source_id) < count(e.source_id) THEN 'unknown' WHEN bool_or(s.retention_until <= {NOW}) THEN 'expired' ELSE 'available' END AS status
-    FROM claims c LEFT JOIN evidence e ON e.candidate_id = c.claim_id LEFT JOIN sources s ON s.source_id = e.source_id GROUP BY 1)"""
+    FROM claims c LEFT JOIN evidence e ON e.candidate_id = c.claim_id LEFT JOIN sources s ON s.source_id = e.source_id AND s.version = e.version AND s.tenant_id = e.tenant_id AND s.domain = e.domain GROUP BY 1)"""
 STATUS_SQL = f"{with_tables('claims', 'evidence', 'sources')}, {STATUS} SELECT candidate_id, n_links::BIGINT AS n_links, status FROM es"
 
 
@@ -132,7 +132,7 @@ def source_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.invalidated(s.where("withdrawn"), e, p, c, t)
 
 
-INVALIDATION_SQL = f"""{with_tables("sources", "evidence", "publications", "claims", "tombstones")}, h AS (SELECT DISTINCT source_id, candidate_id FROM evidence JOIN sources USING (source_id) WHERE withdrawn),
+INVALIDATION_SQL = f"""{with_tables("sources", "evidence", "publications", "claims", "tombstones")}, h AS (SELECT DISTINCT source_id, candidate_id FROM evidence JOIN sources USING (tenant_id, domain, source_id, version) WHERE withdrawn),
 p AS (SELECT * FROM publications WHERE publication_id NOT IN (SELECT publication_id FROM tombstones)), n AS (SELECT claim_id, subject_id AS e FROM claims UNION SELECT claim_id, object_id FROM claims)
 SELECT h.source_id, count(DISTINCT h.candidate_id)::BIGINT AS n_candidates, count(DISTINCT p.publication_id)::BIGINT AS n_publications, count(DISTINCT n.e)::BIGINT AS n_entities
 FROM h LEFT JOIN p ON p.candidate_id = h.candidate_id LEFT JOIN n ON n.claim_id = h.candidate_id GROUP BY 1"""
@@ -164,11 +164,11 @@ SEARCH_SQL = f"{with_tables('entities')} SELECT entity_id, name FROM entities WH
 
 def candidates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, e, s = load(spark, sf_dir, "claims", "evidence", "sources")
-    chosen = e.join(s.where(F.array_contains("acl", "g4") & ~F.col("withdrawn")), "source_id", "left_semi")
+    chosen = e.join(s.where(F.array_contains("acl", "g4") & ~F.col("withdrawn")), gov.SOURCE, "left_semi")
     return c.join(chosen, F.col("claim_id") == F.col("candidate_id"), "left_semi").groupBy("predicate", "polarity").agg(F.count("*").alias("n"))
 
 
-BY_SOURCE_SQL = f"{with_tables('claims', 'evidence', 'sources')} SELECT predicate, polarity, count(*)::BIGINT AS n FROM claims WHERE EXISTS (SELECT 1 FROM evidence e JOIN sources s USING (source_id) WHERE e.candidate_id = claim_id AND list_contains(acl, 'g4') AND NOT withdrawn) GROUP BY ALL"
+BY_SOURCE_SQL = f"{with_tables('claims', 'evidence', 'sources')} SELECT predicate, polarity, count(*)::BIGINT AS n FROM claims WHERE EXISTS (SELECT 1 FROM evidence e JOIN sources s USING (tenant_id, domain, source_id, version) WHERE e.candidate_id = claim_id AND list_contains(acl, 'g4') AND NOT withdrawn) GROUP BY ALL"
 
 
 def independent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ def independent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("n_independent").agg(F.count("*").alias("n"))
 
 
-INDEPENDENT_SQL = f"{with_tables('evidence', 'sources')}, x AS (SELECT candidate_id, count(DISTINCT source_id) FILTER (independence_verified AND source_kind <> 'model_output')::BIGINT AS n_independent FROM evidence JOIN sources USING (source_id) GROUP BY 1) SELECT n_independent, count(*)::BIGINT AS n FROM x GROUP BY 1"
+INDEPENDENT_SQL = f"{with_tables('evidence', 'sources')}, x AS (SELECT candidate_id, count(DISTINCT source_id) FILTER (independence_verified AND source_kind <> 'model_output')::BIGINT AS n_independent FROM evidence JOIN sources USING (tenant_id, domain, source_id, version) GROUP BY 1) SELECT n_independent, count(*)::BIGINT AS n FROM x GROUP BY 1"
 
 RULES = [("supplies", ["ORG"], ["ITEM", "PRODUCT"]), ("owns", ["ORG", "PERSON"], ["ITEM"]), ("co_occurs_with", ["*"], ["*"])]
 

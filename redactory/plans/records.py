@@ -61,7 +61,7 @@ def candidate_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("candidate_id").alias("id_sum"))
 
 
-READ_SQL = f"""{with_tables("claims", "evidence", "sources", "publications")}, l AS (SELECT DISTINCT candidate_id, source_id FROM evidence), n AS (SELECT candidate_id, count(*) AS n, count(*) FILTER (list_has_any(acl, ['g3', 'g4'])) AS ok FROM l JOIN sources USING (source_id) GROUP BY 1)
+READ_SQL = f"""{with_tables("claims", "evidence", "sources", "publications")}, l AS (SELECT DISTINCT candidate_id, tenant_id, domain, source_id, version FROM evidence), n AS (SELECT candidate_id, count(*) AS n, count(*) FILTER (list_has_any(acl, ['g3', 'g4'])) AS ok FROM l JOIN sources USING (tenant_id, domain, source_id, version) GROUP BY 1)
 SELECT CASE WHEN n = ok THEN 'evidence' WHEN claim_id IN (SELECT candidate_id FROM publications) THEN 'publication' END AS path, count(*)::BIGINT AS n, sum(claim_id)::BIGINT AS id_sum FROM claims LEFT JOIN n ON n.candidate_id = claim_id GROUP BY 1"""
 
 
@@ -79,7 +79,7 @@ def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SWEEP_SQL = f"""{with_tables("sources", "evidence", "publications")}, d AS (SELECT source_id, strftime(retention_until, '%Y-%m-%d') AS day FROM sources WHERE retention_until > TIMESTAMP '1999-05-01' AND retention_until <= {NOW})
-SELECT day, count(DISTINCT d.source_id)::BIGINT AS n_sources, count(DISTINCT p.publication_id)::BIGINT AS n_publications FROM d LEFT JOIN (SELECT DISTINCT source_id, candidate_id FROM evidence) e ON e.source_id = d.source_id LEFT JOIN publications p ON p.candidate_id = e.candidate_id GROUP BY 1"""
+SELECT day, count(DISTINCT d.source_id)::BIGINT AS n_sources, count(DISTINCT p.publication_id)::BIGINT AS n_publications FROM d LEFT JOIN (SELECT DISTINCT source_id, candidate_id FROM evidence JOIN sources USING (tenant_id, domain, source_id, version)) e ON e.source_id = d.source_id LEFT JOIN publications p ON p.candidate_id = e.candidate_id GROUP BY 1"""
 
 
 def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors see; below this machine's temporary folder only where that is unset, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "redactory-tables")
+    """A new path below spark.checkpoint.dir, which all executors see. Where that is unset, a folder of this machine serves a session that runs on this machine alone; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        base = os.path.join(tempfile.gettempdir(), "redactory-tables")
     return f"{base}/redactory-{uuid.uuid4().hex}"
 
 
@@ -28,10 +36,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_per_batch(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df, with the number of rows that an Arrow batch hands to Python set for what is run next; texts can be long, and other queries of the session may have set it otherwise."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+_made: dict[tuple, tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gave first for the key in this application, stored. The key has to name its inputs, which are taken not to change meanwhile; forget() drops them."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _made:
+        df, path = make(), shared_folder(spark)
+        df.write.parquet(path)
+        _made[key] = path, df.schema
+    path, schema = _made[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables of once() of this application."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop(key)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most rows rows, as Python objects of long texts take more room than Arrow. Empty batches are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def fingerprint(df: DataFrame) -> str:
