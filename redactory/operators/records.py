@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.sources.tables import rows_per_batch
+from redactory.operators.governance import SOURCE
+from redactory.sources.tables import slices
 
 # Endings of parts of an organization.
 UNIT_ENDINGS = (
@@ -18,9 +20,50 @@ UNIT_ENDINGS = (
     "实验室", "研究所", "研究院", "研发院", "科学院", "设计院", "学院", "学部", "系", "教研室", "中台", "平台", "分行", "支行", "网点", "门市部", "科室", "大队", "中队", "小队", "中心", "部门", "处", "室", "科", "所", "院", "馆", "站", "厅", "队", "部", "组",
 )
 # End of fixed values.
-UNIT = re.compile(
-    r"\s*(?:--|[/\\—–\->])\s*(?P<unit>[一-龥a-zA-Z0-9·]{1,30}?(?:" + "|".join(sorted(UNIT_ENDINGS, key=len, reverse=True)) + r")(?:\s*[（(][一-龥a-zA-Z0-9·]+[）)])?)(?=[\\/—–\->\s，。；！？,!?;:：\"'“”‘’]|$)"
-)
+DELIMITERS = "/\\—–->"
+NAME = "一-龥a-zA-Z0-9·"
+LETTER = re.compile(f"[{NAME}]+")
+BRACKET = re.compile(rf"\s*[（(][{NAME}]+[）)]")
+#: What may stand after a unit, besides white space and the text's end.
+AFTER = DELIMITERS + "，。；！？,!?;:：\"'“”‘’"
+LONGEST_FIRST = sorted(UNIT_ENDINGS, key=len, reverse=True)
+#: Characters of a unit before its ending.
+MOST_BEFORE = 30
+
+
+def bounded(text: str, at: int) -> bool:
+    return at == len(text) or text[at] in AFTER or text[at].isspace()
+
+
+def past_blanks(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def unit_at(text: str, at: int) -> tuple[int, int] | None:
+    """The unit that begins at a place: one with the fewest characters before an ending, which a bracket may follow, up to a boundary."""
+    letters = LETTER.match(text, at)
+    if not letters:
+        return None
+    for place in range(at + 1, min(letters.end(), at + MOST_BEFORE + 1)):
+        for ending in LONGEST_FIRST:
+            if text.startswith(ending, place):
+                end = place + len(ending)
+                bracket = BRACKET.match(text, end)
+                for stop in (bracket.end(), end) if bracket else (end,):
+                    if bounded(text, stop):
+                        return at, stop
+    return None
+
+
+def next_unit(text: str, at: int) -> tuple[int, int] | None:
+    """The unit after one delimiter (or two hyphens) at a place, with blanks around it."""
+    at = past_blanks(text, at)
+    if at >= len(text) or text[at] not in DELIMITERS:
+        return None
+    found = unit_at(text, past_blanks(text, at + 1))
+    return found if found or not text.startswith("--", at) else unit_at(text, past_blanks(text, at + 2))
 
 
 def nested_units(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
@@ -28,39 +71,59 @@ def nested_units(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     ends = spans.where("entity_type = 'ORG'").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("end", "priority"))).alias("ends"), F.collect_set(F.struct("start", "end")).alias("known"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, found = [], []
             for row, (text, starts, known) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 seen = {(k["start"], k["end"]) for k in known}
                 for s in starts:
                     at = s["end"]
-                    while (m := UNIT.match(text, at)) and m.span("unit") not in seen:
-                        seen.add(m.span("unit"))
+                    while (unit := next_unit(text, at)) and unit not in seen:
+                        seen.add(unit)
                         rows.append(row)
-                        found.append((*m.span("unit"), s["priority"]))
-                        at = m.end("unit")
+                        found.append((*unit, s["priority"]))
+                        at = unit[1]
             columns = list(zip(*found, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(c, pa.int32()) for c in columns)], names=[key, "start", "end", "priority"])
 
-    return rows_per_batch(texts.join(ends, key).select(key, "text", "ends", "known")).mapInArrow(follow, f"{key} {texts.schema[key].dataType.simpleString()}, start int, end int, priority int")
+    return texts.join(ends, key).select(key, "text", "ends", "known").mapInArrow(follow, f"{key} {texts.schema[key].dataType.simpleString()}, start int, end int, priority int")
+
+
+# Characters that end a line or a sentence, in the order of preference.
+ENDS = ("\n\r", "。；;！!？?")
+# End of fixed values.
 
 
 def sentence_windows(text: str, offsets: list[tuple[int, int]], capacity: int, stride: int) -> list[tuple[int, int]]:
-    """Windows of tokens that end after a line end, else after a sentence mark, where their back half has one; the next begins overlap tokens before."""
-    n, overlap = len(offsets), capacity - stride
-    out, start = [], 0
-    while start < n:
-        end = min(start + capacity, n)
-        if end < n:
-            least = max(start + capacity // 2, start + overlap + max(1, stride // 2))
-            last = [text[b - 1] if b > a else "" for a, b in offsets[least:end]]
-            cut = next((k for marks in ("\n\r", "。；;！!？?") for k in range(len(last) - 1, -1, -1) if last[k] and last[k] in marks), None)
-            end = end if cut is None else least + cut + 1
-        out.append((start, end))
-        if end == n:
-            break
-        start = max(start + 1, end - overlap)
-    return out
+    """Windows of tokens that reach capacity unless a line end, or else a sentence's, stands in their later half; the last such ends them. Neighbours share capacity - stride tokens. offsets: each token's place in the text; a token without characters ends nothing."""
+    shared = capacity - stride
+    shortest = max(capacity // 2, shared + max(1, stride // 2)) + 1  # shorter windows would not get on
+    stops = [[i + 1 for i, (a, b) in enumerate(offsets) if a < b and text[b - 1] in marks] for marks in ENDS]
+
+    def end_of(start: int) -> int:
+        full = start + capacity
+        if full >= len(offsets):
+            return len(offsets)
+        last = (places[k - 1] for places in stops if (k := bisect.bisect_right(places, full)) and places[k - 1] >= start + shortest)
+        return next(last, full)
+
+    windows = [(0, end_of(0))] if offsets else []
+    while windows and windows[-1][1] < len(offsets):
+        start = max(windows[-1][0] + 1, windows[-1][1] - shared)
+        windows.append((start, end_of(start)))
+    return windows
+
+
+def sentence_plan(texts: DataFrame, key: str, text: str, capacity: int, stride: int) -> DataFrame:
+    """key, window_no, start, end: sentence_windows() over the code points of each text."""
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [sentence_windows(t or "", [(i, i + 1) for i in range(len(t or ""))], capacity, stride) for t in batch.column(1).to_pylist()]
+            rows = pa.array([k for k, w in enumerate(found) for _ in w], pa.int32())
+            columns = list(zip(*((n, a, b) for w in found for n, (a, b) in enumerate(w)), strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array(c, pa.int32()) for c in columns)], names=[key, "window_no", "start", "end"])
+
+    return texts.select(key, text).mapInArrow(plan, f"{key} {texts.schema[key].dataType.simpleString()}, window_no int, start int, end int")
 
 
 def dictionary_faults(entries: DataFrame, by: str) -> DataFrame:
@@ -101,9 +164,9 @@ def shadow_hits(texts: DataFrame, batch: str, text: str) -> DataFrame:
 
 def expired_sweep(sources: DataFrame, evidence: DataFrame, publications: DataFrame, since: Column, until: Column) -> DataFrame:
     """day, n_sources, n_publications: what expires in a span of time, by the day of the source's end."""
-    due = sources.where((F.col("retention_until") > since) & (F.col("retention_until") <= until)).select("source_id", F.date_format("retention_until", "yyyy-MM-dd").alias("day"))
-    hit = due.join(evidence.select("source_id", "candidate_id").distinct(), "source_id", "left").join(publications.select("candidate_id", "publication_id"), "candidate_id", "left")
-    return hit.groupBy("day").agg(F.count_distinct("source_id").alias("n_sources"), F.count_distinct("publication_id").alias("n_publications"))
+    due = sources.where((F.col("retention_until") > since) & (F.col("retention_until") <= until)).select(*SOURCE, F.date_format("retention_until", "yyyy-MM-dd").alias("day"))
+    hit = due.join(evidence.select(*SOURCE, "candidate_id").distinct(), SOURCE, "left").join(publications.select("candidate_id", "publication_id"), "candidate_id", "left")
+    return hit.groupBy("day").agg(F.count_distinct(*SOURCE).alias("n_sources"), F.count_distinct("publication_id").alias("n_publications"))
 
 
 def jsonl(rows: DataFrame, key: str, *fields: str) -> DataFrame:
