@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions import checks
-from redactory.functions.recognizers import detect
+from redactory.functions.recognizers import detect, detect_once
 from redactory.operators import fragments as fr
 from redactory.operators import spans as sp
-from redactory.sources.tables import stored, table
+from redactory.sources.tables import once, table
 
 TODAY = datetime.date(2024, 1, 1)
 
@@ -40,7 +40,7 @@ c AS (SELECT frag_id, request_id, text, source, entity_type, priority, v, (instr
 
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = fragments(spark, sf_dir)
-    return f, stored(detect(f, "frag_id", today=TODAY))
+    return f, once(spark, (sf_dir, "fragment spans"), lambda: detect_once(f, "frag_id", today=TODAY))
 
 
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,14 +131,21 @@ DICT_SQL = f"""WITH t AS ({PART_TEXT.replace("{part}", "part")}), m AS (SELECT f
 SELECT word, CASE WHEN word IN ('red', 'blue') THEN 'COLOR' WHEN word = 'widget' THEN 'THING' ELSE 'ITEM' END AS entity_type, count(*)::BIGINT AS n, count(DISTINCT frag_id)::BIGINT AS n_texts FROM m GROUP BY ALL"""
 
 
+#: Texts that turn on the rules for places and surnames, and near misses.
+SMALL_TEXTS = "SELECT CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN '某某街' WHEN 1 THEN '张三' WHEN 2 THEN '他叫欧阳明' WHEN 3 THEN '路x' WHEN 4 THEN '好的张' WHEN 5 THEN '路，远' WHEN 6 THEN '见于张三' WHEN 7 THEN 'xAnna' ELSE 'Привет' END AS text FROM {orders}"
+
+
 def quick_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("text").unionByName(fragments(spark, sf_dir).select("text"))
+    small = spark.sql(SMALL_TEXTS, orders=table(spark, sf_dir, "orders"))
+    texts = table(spark, sf_dir, "documents").select("text").unionByName(fragments(spark, sf_dir).select("text")).unionByName(small)
     return texts.select(checks.risk(F.col("text")).alias("score")).groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.35).alias("n_detect"))
 
 
-QUICK_SQL = rf"""WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM ({FRAGMENTS_SQL})), s AS (SELECT CASE
-    WHEN regexp_matches(text, '(?i)[0-9@]|https?://|sk-|ak-|-----begin|password|passwd|api[_ -]?key|secret|token|姓名|联系人|身份证|手机号|电话|地址|住址|账号|账户|合同|金额|密码|口令|密钥|公司|科技|集团|有限|银行|医院|大学|学校|研究院|事务所|先生|女士') THEN 1.0
-    WHEN regexp_matches(text, '\b[A-Z][a-z]{{1,30}}\b|[\x{{C0}}-\x{{24F}}]') THEN 0.75 ELSE 0.02 END::DOUBLE AS score FROM t)
+QUICK_SQL = rf"""WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM ({FRAGMENTS_SQL}) UNION ALL SELECT text FROM ({SMALL_TEXTS.replace("{orders}", "orders")})), s AS (SELECT CASE
+    WHEN regexp_matches(text, '(?i)[0-9@]|https?://|sk-|ak-|-----begin|password|passwd|api[_ -]?key|secret|token|姓名|联系人|身份证|手机号|电话|地址|住址|账号|账户|合同|金额|密码|口令|密钥|公司|科技|集团|有限|银行|医院|大学|学校|研究院|事务所|先生|女士')
+        OR regexp_matches(text, '[省市县区镇村街路号室]($|[^\pL\pN_]|[\x{{3400}}-\x{{9FFF}}])') THEN 1.0
+    WHEN regexp_matches(text, '(^|[^\pL\pN_])[A-Z][a-z]{{1,30}}($|[^\pL\pN_])|[\x{{C0}}-\x{{24F}}\x{{400}}-\x{{4FF}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}]')
+        OR regexp_matches(text, '(^|[\s，。！？、:：=的叫是为与和])[{checks.SURNAMES}][\x{{3400}}-\x{{9FFF}}]') THEN 0.75 ELSE 0.02 END::DOUBLE AS score FROM t)
 SELECT score, count(*)::BIGINT AS n, count(*) FILTER (score >= 0.35)::BIGINT AS n_detect FROM s GROUP BY score"""
 
 SPANS = "SELECT l_orderkey AS doc, CAST(l_partkey % 60 AS INT) AS s, CAST(l_partkey % 60 + 1 + l_suppkey % 12 AS INT) AS e, CASE l_returnflag WHEN 'A' THEN 'ORG' WHEN 'N' THEN 'PERSON' ELSE 'PHONE' END AS entity_type, CAST(1 + l_linenumber % 3 AS INT) AS priority, concat('rule:', l_linestatus) AS source FROM {lineitem}"
