@@ -12,25 +12,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.sources.tables import rows_per_batch
+from redactory.sources.tables import slices
 
 
 def measured(bodies: DataFrame, key: str, body: str, most: int, needle: bytes = b'"role"') -> DataFrame:
-    """key, body_bytes, plain_bytes, n_needles, fault: what a body is when unpacked. gzip bodies are unpacked piece by piece and given up beyond most bytes; the needle is counted over piece borders too."""
+    """key, body_bytes, plain_bytes, n_needles, fault: what a body is when unpacked. gzip bodies are unpacked piece by piece, all members, and given up beyond most bytes; the needle is counted over piece borders too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces(raw: bytes) -> Iterator[bytes]:
             if raw[:2] != b"\x1f\x8b":
                 yield raw
                 return
-            z = zlib.decompressobj(31)
-            while raw:
-                yield z.decompress(raw, 1 << 16)
-                raw = z.unconsumed_tail
-            if not z.eof:
-                raise zlib.error("truncated")
-
-        for batch in batches:
+            while raw:  # member after member
+                z = zlib.decompressobj(31)
+                while raw and not z.eof:
+                    yield z.decompress(raw, 1 << 16)
+                    raw = z.unconsumed_tail
+                if not z.eof:
+                    raise zlib.error("truncated")
+                raw = z.unused_data
+
+        for batch in slices(batches, 200):
             out = []
             for raw in batch.column(1).to_pylist():
                 raw = raw or b""
@@ -52,7 +54,7 @@ def measured(bodies: DataFrame, key: str, body: str, most: int, needle: bytes =
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[key, "body_bytes", "plain_bytes", "n_needles", "fault"])
 
-    return rows_per_batch(bodies.select(key, body), 200).mapInArrow(run, f"{key} {bodies.schema[key].dataType.simpleString()}, body_bytes long, plain_bytes long, n_needles long, fault string")
+    return bodies.select(key, body).mapInArrow(run, f"{key} {bodies.schema[key].dataType.simpleString()}, body_bytes long, plain_bytes long, n_needles long, fault string")
 
 
 def keyed_digest(rows: DataFrame, value: str, secret: bytes, out: str = "digest") -> DataFrame:

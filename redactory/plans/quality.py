@@ -174,6 +174,55 @@ BLOCKS_SQL = """WITH f AS (SELECT page_id, page_id % 3 = 0 AS csv, page_id % 10
 SELECT CASE WHEN csv THEN 'csv' ELSE 'md' END AS format, CASE WHEN nul THEN NULL WHEN csv THEN 'row' ELSE 'literal' END AS kind, CASE WHEN nul THEN 'NUL' END AS error, sum(CASE WHEN csv AND NOT nul THEN 2 ELSE 1 END)::BIGINT AS n, sum(CASE WHEN nul THEN NULL WHEN csv THEN 4 ELSE length(html) END)::BIGINT AS n_chars FROM f GROUP BY ALL"""
 
 
+def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' notes as CSV files with quoted, barred and uneven rows, as Markdown."""
+    c = table(spark, sf_dir, "customer")
+    rows = F.concat(F.lit("name|x,no\n"), "c_name", F.lit(','), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit("\nalone")).otherwise(F.lit('\n"a\nb",\\')), F.lit("\n"))
+    files = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), rows.cast("binary").alias("content"))
+    return documents.markdown(documents.extract(files))
+
+
+MARKDOWN_SQL = r"""SELECT concat('c', c_custkey, '.csv') AS path, concat('| 列1 | 列2 |', chr(10), '| --- | --- |', chr(10), '| name\|x | no |', chr(10), '| ', c_name, ' | ', c_custkey, ' |', chr(10),
+    CASE WHEN c_custkey % 3 = 0 THEN concat(chr(10), '| 列1 |', chr(10), '| --- |', chr(10), '| alone |') ELSE '| a<br>b | \\ |' END, chr(10)) AS markdown FROM customer"""
+
+
+def relay_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relay.relay_quarantine(spark, sf_dir)
+
+
+QUARANTINE_SQL = """WITH e AS (SELECT user_id, event_type, (props->>'$.k')::BIGINT AS k FROM events), u AS (SELECT DISTINCT 'relayed' AS state, * FROM e WHERE user_id % 10 <> 3), b AS (SELECT * FROM u UNION ALL SELECT 'quarantined', * FROM e WHERE user_id % 10 = 3)
+SELECT state, event_type, count(*)::BIGINT AS n, sum(user_id)::BIGINT AS id_sum FROM b GROUP BY ALL"""
+
+
+def relay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relay.relay_summary(spark, sf_dir)
+
+
+SUMMARY_SQL = """WITH e AS (SELECT user_id, event_type, (props->>'$.k')::BIGINT AS k FROM events), d AS (SELECT DISTINCT * FROM e WHERE user_id % 10 <> 3)
+SELECT (SELECT count(*) FROM d)::BIGINT AS submitted, (SELECT count(*) FROM e WHERE user_id % 10 <> 3)::BIGINT - (SELECT count(*) FROM d)::BIGINT AS skipped, (SELECT count(*) FROM e WHERE user_id % 10 = 3)::BIGINT AS quarantined"""
+
+
+def consumer_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relay.consumer_receipts(spark, sf_dir)
+
+
+RECEIPTS_SQL = "SELECT count(*)::BIGINT AS n_assets, sum(e)::BIGINT AS last_sum, (SELECT count(*) FROM events)::BIGINT AS n_receipts, (SELECT count(DISTINCT event_id) FROM events)::BIGINT AS n_events FROM (SELECT user_id % 40 AS asset, max(event_id) AS e FROM events GROUP BY 1)"
+
+
+def sse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of which some end too early or have a broken byte: what is read of them, and why no more."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("s", F.col("conv_id") * 100 + F.col("turn"))
+    whole = F.concat(F.lit("id: 5\ndata: "), F.md5("text"), F.lit("\n\nretry: 20\ndata: "), F.md5(F.concat("text", F.lit("x"))))
+    end = F.when(F.col("s") % 3 == 0, F.lit("").cast("binary")).when(F.col("s") % 3 == 1, F.unhex(F.lit("ff0a0a"))).otherwise(F.unhex(F.lit("0a0a")))
+    chunks = turns.select(F.col("s").alias("stream_id"), F.lit(0).alias("seq"), whole.cast("binary").alias("chunk")).unionByName(turns.select(F.col("s").alias("stream_id"), F.lit(1).alias("seq"), end.alias("chunk")))
+    return sse.parse(chunks)
+
+
+SSE_ERRORS_SQL = """WITH t AS (SELECT conv_id * 100 + turn AS stream_id, text FROM conversations WHERE role = 'assistant')
+SELECT stream_id, 0::BIGINT AS n, NULL::VARCHAR AS event, md5(text) AS data, '5' AS id, NULL::BIGINT AS retry, NULL::VARCHAR AS error FROM t
+UNION ALL SELECT stream_id, 1, NULL, CASE WHEN stream_id % 3 = 2 THEN md5(concat(text, 'x')) END, CASE WHEN stream_id % 3 = 2 THEN '5' END, CASE WHEN stream_id % 3 = 2 THEN 20 END, CASE stream_id % 3 WHEN 0 THEN 'TRUNCATED' WHEN 1 THEN 'ENCODING' END FROM t"""
+
+
 def relay_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relay.relay_events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.max("k").alias("top"))
 
@@ -201,5 +250,6 @@ QUERIES = {
     "quality_metrics": (quality_metrics, METRICS_SQL), "ner_metrics": (ner_metrics, NER_SQL), "quality_verdict": (quality_verdict, VERDICT_SQL), "split_contamination": (split_contamination, SPLIT_SQL), "latency_percentiles": (latency_percentiles, LATENCY_SQL),
     "throttle_window": (throttle_window, THROTTLE_SQL), "catalog_join": (catalog_join, CATALOG_SQL), "reconcile": (reconcile, RECONCILE_SQL), "egress_decision": (egress_decision, EGRESS_SQL), "admission_dims": (admission_dims, ADMISSION_DIMS_SQL),
     "observability_scan": (observability_scan, OBSERVE_SQL), "capacity_watermark": (capacity_watermark, CAPACITY_SQL), "dictionary_hash": (dictionary_hash, DICT_HASH_SQL), "strict_json": (strict_json, STRICT_SQL), "doc_blocks": (doc_blocks, BLOCKS_SQL),
-    "relay_dedup_stream": (relay_dedup_stream, RELAY_SQL), "outbox_consumer_stream": (outbox_consumer_stream, CONSUMER_SQL), "sse_parse": (sse_parse, SSE_SQL),
+    "relay_dedup_stream": (relay_dedup_stream, RELAY_SQL), "outbox_consumer_stream": (outbox_consumer_stream, CONSUMER_SQL), "sse_parse": (sse_parse, SSE_SQL), "sse_errors": (sse_errors, SSE_ERRORS_SQL),
+    "doc_markdown": (doc_markdown, MARKDOWN_SQL), "relay_quarantine": (relay_quarantine, QUARANTINE_SQL), "relay_summary": (relay_summary, SUMMARY_SQL), "consumer_receipts": (consumer_receipts, RECEIPTS_SQL),
 }

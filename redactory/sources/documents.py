@@ -11,14 +11,16 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from redactory.sources.tables import rows_per_batch
+from redactory.sources.tables import slices
 
-MOST_BYTES, MOST_CHARS, MOST_CELLS, MOST_COLUMNS = 10 << 20, 200_000, 100_000, 256
+MOST_BYTES, MOST_CHARS, MOST_CELLS, MOST_COLUMNS, MOST_BLOCKS = 10 << 20, 200_000, 100_000, 256, 10_000
 MOST_MEMBERS, MOST_UNPACKED, MOST_RATIO = 2048, 32 << 20, 200
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 Block = tuple[str, list[str], int | None]  # kind, texts, heading level
 
 
@@ -97,10 +99,13 @@ def blocks_of_docx(data: bytes) -> list[Block]:
 def blocks_of_xlsx(data: bytes) -> list[Block]:
     z = package(data)
     strings = ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in xml(z, "xl/sharedStrings.xml").iter(f"{SHEET}si")] if "xl/sharedStrings.xml" in z.namelist() else []
-    titles = [s.get("name") or "" for s in xml(z, "xl/workbook.xml").iter(f"{SHEET}sheet")]
-    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    targets = {r.get("Id"): r.get("Target") or "" for r in xml(z, "xl/_rels/workbook.xml.rels")} if "xl/_rels/workbook.xml.rels" in z.namelist() else {}
     out: list[Block] = []
-    for title, name in zip(titles, sheets, strict=False):
+    for sheet in xml(z, "xl/workbook.xml").iter(f"{SHEET}sheet"):
+        title, target = sheet.get("name") or "", targets.get(sheet.get(RELATION), "")
+        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        if name not in z.namelist():
+            raise Rejected("PACKAGE")  # a sheet without its part
         out.append(("paragraph", [title], 2))
         for row in xml(z, name).iter(f"{SHEET}row"):
             cells = []
@@ -128,6 +133,8 @@ def blocks(data: bytes, kind: str) -> list[Block]:
     if len(data) > MOST_BYTES:
         raise Rejected("TOO_LARGE")
     found = PARSERS[kind](data)
+    if len(found) > MOST_BLOCKS:
+        raise Rejected("TOO_MANY_BLOCKS")
     if sum(len(t) for _, texts, _ in found for t in texts) > MOST_CHARS:
         raise Rejected("TOO_MANY_CHARS")
     if sum(len(texts) for _, texts, _ in found) > MOST_CELLS:
@@ -142,7 +149,7 @@ def extract(files: DataFrame) -> DataFrame:
     """files: path, content. A row per block: path, format, n, kind, texts, level; a rejected file has one row with its error code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kind = os.path.splitext(path or "")[1].removeprefix(".").lower()
                 try:
@@ -152,7 +159,7 @@ def extract(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
 
-    return rows_per_batch(files.select("path", "content"), 16).mapInArrow(run, "path string, format string, n long, kind string, texts array<string>, level int, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, format string, n long, kind string, texts array<string>, level int, error string")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -160,18 +167,21 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return extract(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
 
 
-def markdown(found: list[Block]) -> str:
-    """Blocks as Markdown; rows of one width make a table, a change of width begins another."""
-    out: list[str] = []
-    width = None
-    for kind, texts, level in found:
-        if kind == "row":
-            if len(texts) != width:
-                out += ["", "| " + " | ".join(texts) + " |", "|" + " --- |" * len(texts)]
-            else:
-                out.append("| " + " | ".join(texts) + " |")
-            width = len(texts)
-        else:
-            width = None
-            out += ["", ("#" * level + " " if level else "") + texts[0]]
-    return "\n".join(out).strip() + "\n"
+def cell(text: Column) -> Column:
+    """A text inside a table: backslashes and bars are escaped, line feeds become breaks, carriage returns go."""
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.replace(F.replace(escaped, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("<br>"))
+
+
+def markdown(found: DataFrame, column: str = "列") -> DataFrame:
+    """path, markdown: the blocks of each file (as extract() gives them) as one text. Rows of one width that follow each other make a table, with numbered columns; a change of width begins another. A file with an error has none. A file's blocks are bounded, see MOST_BLOCKS."""
+    order = Window.partitionBy("path").orderBy("n")
+    width = F.when(F.col("kind") == "row", F.size("texts")).otherwise(0)
+    rows = found.where("error IS NULL").withColumn("width", width).withColumn("heads", (F.col("width") > 0) & ~F.col("width").eqNullSafe(F.lag("width").over(order)))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    numbers = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda i: F.concat(F.lit(column), i.cast("string")))
+    head = F.concat(F.lit("\n"), line(numbers), F.lit("\n"), line(F.array_repeat(F.lit("---"), F.col("width"))), F.lit("\n"))
+    text = F.concat(F.lit("\n"), F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).otherwise(""), F.array_join("texts", "\n"))
+    own = F.when(F.col("width") > 0, F.concat(F.when(F.col("heads"), head).otherwise(""), line(F.transform("texts", cell)))).otherwise(text)
+    texts = rows.select("path", "n", own.alias("own")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "own"))).alias("parts"))
+    return texts.select("path", F.concat(F.btrim(F.array_join(F.transform("parts", lambda p: p["own"]), "\n"), F.lit(" \t\r\n")), F.lit("\n")).alias("markdown"))

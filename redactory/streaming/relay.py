@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from redactory.sources.tables import shared_folder, table
 
@@ -13,36 +14,75 @@ def run_once(stream: DataFrame, batch, folder: str) -> None:
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
 
 
-def relay(stream: DataFrame, key: tuple[str, ...], folder: str) -> DataFrame:
-    """Each distinct key of the stream once, in a table at folder. A batch that is repeated after a failure overwrites its own rows, and rows that earlier batches hold are left out."""
+def relay(stream: DataFrame, key: tuple[str, ...], folder: str, valid: Column | None = None) -> DataFrame:
+    """Each distinct key of the stream once, in a table at folder; keys are held in Spark's state store, so that earlier rows are not read again. Rows that are not valid, or whose validity is unknown, go to quarantine() instead. A run after a failure goes on from the last committed batch."""
     spark, schema = stream.sparkSession, stream.schema
+    good = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    for rows, name in ((stream.where(good).dropDuplicates(list(key)), "rows"), *([(stream.where(~good), "quarantine")] if valid is not None else [])):
+        rows.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        fresh = df.dropDuplicates(list(key))
-        if batch_id:
-            held = spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/rows").where(F.col("batch") < batch_id)
-            fresh = fresh.join(held.select(*key), list(key), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    run_once(stream, write, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/rows")
+def quarantine(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/quarantine")
 
 
-def fold_latest(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
-    """Each key's row with the greatest order over all batches: the state after batch n is a table of its own, made from the one before."""
+def relay_stats(seen: DataFrame, key: tuple[str, ...], valid: Column) -> DataFrame:
+    """One row: submitted (distinct valid keys), skipped (repeats of them), quarantined."""
+    good = F.coalesce(valid, F.lit(False))
+    counts = seen.select(F.struct(*key).alias("relay_key"), good.alias("relay_good")).groupBy("relay_good", "relay_key").agg(F.count("*").alias("relay_n"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return counts.agg(F.count_if("relay_good").alias("submitted"), zero(F.when(F.col("relay_good"), F.col("relay_n") - 1)).alias("skipped"), zero(F.when(~F.col("relay_good"), F.col("relay_n"))).alias("quarantined"))
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Batches whose table in folder is complete, by rising number."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    found = [f.getPath() for f in files.listStatus(top)]
+    return sorted(int(p.getName()) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def consume(stream: DataFrame, key: str, event: tuple[str, ...], order: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Each key's row with the greatest order over all batches, and the receipts (the columns of event, which name one, and the batch). An event that has a receipt is not applied again.
+
+    The state after a batch is a table of its own, made from the newest one before it,
+    and receipts are written with it, each batch's over its own, so a repeated batch
+    gives the same. A run without news returns the newest state. Of older states the
+    one before stays, for a repeat.
+    """
     spark, schema = stream.sparkSession, stream.schema
-    done: list[int] = []
+    receipts = StructType([schema[e] for e in event])
+
+    def known() -> DataFrame:
+        return spark.read.schema(StructType([*receipts.fields, StructField("batch", LongType())])).parquet(f"{folder}/receipts")
 
     def write(df: DataFrame, batch_id: int) -> None:
-        rows = df
-        if batch_id:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/state/{batch_id - 1}"))
+        earlier = [v for v in versions(spark, f"{folder}/state") if v < batch_id]
+        fresh = df.dropDuplicates(list(event))
+        if earlier:
+            fresh = fresh.join(known().where(F.col("batch") < batch_id).select(*event), list(event), "left_anti")
+        rows = fresh.select(*schema.names)
+        if earlier:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/state/{earlier[-1]}"))
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in schema.names if c != key]), order).alias("r")).select(key, "r.*")
+        fresh.select(*event).write.mode("overwrite").parquet(f"{folder}/receipts/batch={batch_id}")
         latest.select(*schema.names).write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
-        done.append(batch_id)
+        for old in earlier[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     run_once(stream, write, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/state/{max(done)}") if done else spark.createDataFrame([], schema)
+    if not (done := versions(spark, f"{folder}/state")):
+        return spark.createDataFrame([], schema), spark.createDataFrame([], receipts)
+    return spark.read.schema(schema).parquet(f"{folder}/state/{done[-1]}"), known().select(*event)
+
+
+def fold_latest(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
+    """The state of consume(), where key and order name an event."""
+    return consume(stream, key, (key, order), order, folder)[0]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +90,36 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
 
 
+def spooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+VALID = "user_id % 10 <> 3"
+
+
 def relay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).select("user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return relay(rows, ("user_id", "event_type", "k"), shared_folder(spark))
+    return relay(spooled(spark, sf_dir), ("user_id", "event_type", "k"), shared_folder(spark))
+
+
+def relay_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was relayed and what was held back, by event type."""
+    folder, rows = shared_folder(spark), spooled(spark, sf_dir)
+    good = relay(rows, ("user_id", "event_type", "k"), folder, F.expr(VALID))
+    both = good.withColumn("state", F.lit("relayed")).unionByName(quarantine(spark, rows.schema, folder).withColumn("state", F.lit("quarantined")))
+    return both.groupBy("state", "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("id_sum"))
+
+
+def relay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return relay_stats(rows, ("user_id", "event_type", "k"), F.expr(VALID))
 
 
 def consume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select((F.col("user_id") % 40).alias("asset"), "event_id", "event_type")
     return fold_latest(rows, "asset", "event_id", shared_folder(spark)).select("asset", F.col("event_id").alias("last_event"), (F.col("event_type") != "error").alias("active"))
+
+
+def consumer_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select((F.col("user_id") % 40).alias("asset"), "event_id", "event_type")
+    state, receipts = consume(rows, "asset", ("event_id",), "event_id", shared_folder(spark))
+    return state.agg(F.count("*").alias("n_assets"), F.sum("event_id").alias("last_sum")).join(receipts.agg(F.count("*").alias("n_receipts"), F.count_distinct("event_id").alias("n_events")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -11,38 +12,48 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from redactory.sources.tables import rows_per_batch
+from redactory.sources.tables import slices
 
 #: Most bytes of one event.
 MOST = 1 << 20
 
 
 class BrokenStream(ValueError):
-    """The stream ends inside an event, an event is too large, or a byte is no UTF-8."""
+    """TRUNCATED: the stream ends inside an event; TOO_LARGE: an event is. Its text is the error code."""
+
+
+@dataclass(frozen=True)
+class Event:
+    name: str | None
+    data: str
+    id: str | None = None
+    retry: int | None = None
 
 
 @dataclass
 class EventParser:
-    """Events (name or None, data) from text in any chunks: CR, LF or CRLF line ends, comments, several data lines."""
+    """Events from text in any chunks: CR, LF or CRLF line ends, comments, several data lines. An id holds for later events too."""
 
     rest: str = ""
     name: str | None = None
     data: list[str] = field(default_factory=list)
     size: int = 0
+    id: str | None = None
+    retry: int | None = None
 
-    def feed(self, text: str) -> Iterator[tuple[str | None, str]]:
+    def feed(self, text: str) -> Iterator[Event]:
         text = self.rest + text
         held = text.endswith("\r")  # its LF may come next
         lines = re.split(r"\r\n|\r|\n", text[:-1] if held else text)
         self.rest = lines.pop() + ("\r" if held else "")
         for line in lines:
-            self.size += len(line)
+            self.size += len(line.encode())
             if self.size > MOST:
-                raise BrokenStream("event too large")
+                raise BrokenStream("TOO_LARGE")
             if not line:
                 if self.data:
-                    yield self.name, "\n".join(self.data)
-                self.name, self.data, self.size = None, [], 0
+                    yield Event(self.name, "\n".join(self.data), self.id, self.retry)
+                self.name, self.data, self.size, self.retry = None, [], 0, None
                 continue
             key, _, value = line.partition(":")
             value = value.removeprefix(" ")
@@ -50,47 +61,65 @@ class EventParser:
                 self.data.append(value)
             elif key == "event":
                 self.name = value
-        if len(self.rest) > MOST:
-            raise BrokenStream("event too large")
-
-    def close(self) -> Iterator[tuple[str | None, str]]:
+            elif key == "id" and "\0" not in value:
+                self.id = value
+            elif key == "retry" and value.isascii() and value.isdigit():
+                self.retry = int(value)
+        if len(self.rest.encode()) > MOST:
+            raise BrokenStream("TOO_LARGE")
+
+    def close(self) -> Iterator[Event]:
         if self.rest.endswith("\r"):
             yield from self.feed("\n")
         if self.rest or self.data:
-            raise BrokenStream("ends inside an event")
+            raise BrokenStream("TRUNCATED")
 
 
-def parse(chunks: DataFrame) -> DataFrame:
-    """chunks: stream_id, seq, chunk (binary). Returns stream_id, n (from 0), event, data. One stream is parsed in one task, chunk by chunk."""
+class StreamReader:
+    """Rows of one stream: its events, and a last one with an error if it breaks; what comes after that is not read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, n = None, 0
-        parser, decoder = EventParser(), codecs.getincrementaldecoder("utf-8")()
+    def __init__(self, stream: object):
+        self.stream, self.n, self.broken = stream, 0, False
+        self.parser, self.decoder = EventParser(), codecs.getincrementaldecoder("utf-8")()
 
-        def end() -> list[tuple]:
-            return [(current, n + i, *e) for i, e in enumerate([*parser.feed(decoder.decode(b"", True)), *parser.close()])]
+    def rows(self, chunk: bytes, last: bool = False) -> Iterator[tuple]:
+        if self.broken:
+            return
+        try:
+            events = self.parser.feed(self.decoder.decode(chunk, last))
+            for e in itertools.chain(events, self.parser.close()) if last else events:
+                yield self.stream, self.n, e.name, e.data, e.id, e.retry, None
+                self.n += 1
+        except (BrokenStream, UnicodeDecodeError) as e:
+            self.broken = True
+            yield self.stream, self.n, None, None, None, None, str(e) if isinstance(e, BrokenStream) else "ENCODING"
 
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["stream_id", "n", "event", "data"])
 
-        for batch in batches:
+EVENTS = pa.schema([("stream_id", pa.int64()), ("n", pa.int64()), ("event", pa.string()), ("data", pa.string()), ("id", pa.string()), ("retry", pa.int64()), ("error", pa.string())])
+
+
+def parse(chunks: DataFrame) -> DataFrame:
+    """chunks: stream_id, seq, chunk (binary). Returns stream_id, n (from 0), event, data, id, retry, error. A stream that ends inside an event, has too large a one or is no UTF-8 gives its events up to there and a row with the error (TRUNCATED, TOO_LARGE, ENCODING). One stream is parsed in one task, chunk by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader: StreamReader | None = None
+        for batch in slices(batches):
             out: list[tuple] = []
             for stream, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if stream != current:
-                    if current is not None:
-                        out += end()
-                    current, n = stream, 0
-                    parser, decoder = EventParser(), codecs.getincrementaldecoder("utf-8")()
-                for e in parser.feed(decoder.decode(chunk or b"")):
-                    out.append((stream, n, *e))
-                    n += 1
-            yield rows(out)
-        if current is not None:
-            yield rows(end())
+                if reader is None or stream != reader.stream:
+                    out += reader.rows(b"", True) if reader else ()
+                    reader = StreamReader(stream)
+                out += reader.rows(chunk or b"")
+            if out:
+                yield packed(out)
+        if reader and (out := list(reader.rows(b"", True))):
+            yield packed(out)
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), EVENTS.types, strict=True)], schema=EVENTS)
 
     ordered = chunks.repartition("stream_id").sortWithinPartitions("stream_id", "seq").select("stream_id", "chunk")
-    return rows_per_batch(ordered).mapInArrow(run, "stream_id long, n long, event string, data string")
+    return ordered.mapInArrow(run, "stream_id long, n long, event string, data string, id string, retry long, error string")
 
 
 #: The most characters that the beginning of a placeholder can have.
@@ -122,7 +151,7 @@ def restore_stream(chunks: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return chunks.groupBy("branch").applyInPandasWithState(step, "branch string, text string", "tail string", "append", "NoTimeout")
 
 
-def events_of(texts: list[str], parser: Callable[[], EventParser] = EventParser) -> list[tuple[str | None, str]]:
+def events_of(texts: list[str], parser: Callable[[], EventParser] = EventParser) -> list[Event]:
     """All events of chunks, for one stream in memory."""
     p = parser()
     return [e for t in texts for e in p.feed(t)] + list(p.close())

@@ -10,13 +10,15 @@ from redactory.operators.records import nested_units, sentence_windows
 
 def test_measured_bodies(spark):
     body = b'{"role":1,"role":2}' * 9000
-    rows = [(1, body), (2, gzip.compress(body)), (3, gzip.compress(body)[:-20]), (4, b""), (5, gzip.compress(b"x" * 1_000_000)), (6, None)]
+    rows = [(1, body), (2, gzip.compress(body)), (3, gzip.compress(body)[:-20]), (4, b""), (5, gzip.compress(b"x" * 1_000_000)), (6, None), (7, gzip.compress(b"x") + gzip.compress(b"y" * 600_000)), (8, gzip.compress(body) + gzip.compress(body)), (9, gzip.compress(b"x") + b"junk")]
     got = {r.id: r for r in measured(spark.createDataFrame(rows, "id long, body binary"), "id", "body", 500_000).collect()}
     assert (got[1].plain_bytes, got[1].n_needles, got[1].fault) == (len(body), 18_000, None)
     assert (got[2].plain_bytes, got[2].n_needles, got[2].fault) == (len(body), 18_000, None)
     assert got[3].fault == "BAD_GZIP"
     assert got[4].fault is got[6].fault is None
-    assert got[5].fault == "TOO_LARGE"
+    assert got[5].fault == got[7].fault == "TOO_LARGE"
+    assert (got[8].plain_bytes, got[8].n_needles, got[8].fault) == (2 * len(body), 36_000, None)
+    assert got[9].fault == "BAD_GZIP"
 
 
 def test_keyed_digest(spark):

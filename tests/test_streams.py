@@ -4,13 +4,14 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from redactory.sources.documents import Rejected, blocks, markdown
-from redactory.streaming.relay import fold_latest, relay
-from redactory.streaming.sse import BrokenStream, EventParser, events_of, restore_piece, restore_stream
+from redactory.sources.documents import Rejected, blocks, extract, markdown
+from redactory.streaming.relay import consume, fold_latest, quarantine, relay, relay_stats, versions
+from redactory.streaming.sse import MOST, BrokenStream, Event, EventParser, events_of, parse, restore_piece, restore_stream
 
 BODY = "event: a\r\ndata: one\r\ndata: two\r\n\r\n: note\n\rdata:three\n\ndata: [DONE]\n\n"
-EVENTS = [("a", "one\ntwo"), (None, "three"), (None, "[DONE]")]
+EVENTS = [Event("a", "one\ntwo"), Event(None, "three"), Event(None, "[DONE]")]
 
 
 def test_every_split_parses_alike():
@@ -22,7 +23,7 @@ def test_truncated_stream_is_an_error():
     with pytest.raises(BrokenStream):
         events_of(["data: x"])
     p = EventParser()
-    assert list(p.feed("data: x\n\n")) == [(None, "x")]
+    assert list(p.feed("data: x\n\n")) == [Event(None, "x")]
 
 
 def test_every_split_restores_alike():
@@ -52,7 +53,39 @@ def test_relay_and_fold_over_batches(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert sorted((r.k, r.n) for r in relay(read(), ("k", "n"), str(tmp_path / "r")).collect()) == [(1, 1), (1, 9), (2, 2), (3, 1), (3, 3)]
-    assert sorted((r.k, r.n) for r in fold_latest(read(), "k", "n", str(tmp_path / "f")).collect()) == [(1, 9), (2, 2), (3, 3)]
+    state = lambda: sorted((r.k, r.n) for r in fold_latest(read(), "k", "n", str(tmp_path / "f")).collect())
+    assert state() == [(1, 9), (2, 2), (3, 3)]
+    assert state() == [(1, 9), (2, 2), (3, 3)]  # a run without news
+    assert len(versions(spark, str(tmp_path / "f" / "state"))) == 2  # older states are gone
+    assert relay(read(), ("k", "n"), str(tmp_path / "r")).count() == 5
+    spark.createDataFrame([(2, 8), (9, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert state() == [(1, 9), (2, 8), (3, 3), (9, 1)]
+    assert relay(read(), ("k", "n"), str(tmp_path / "r")).count() == 7
+
+
+def test_events_with_receipts_are_not_applied_again(spark, tmp_path):
+    schema = "k long, e long, order long"
+    for part in ([(1, 10, 1), (2, 11, 1)], [(1, 10, 99), (2, 12, 2)]):  # event 10 comes again, changed
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state, receipts = consume(stream, "k", ("e",), "order", str(tmp_path / "f"))
+    assert sorted(tuple(r) for r in state.select("k", "e", "order").collect()) == [(1, 10, 1), (2, 12, 2)]
+    assert sorted(r.e for r in receipts.collect()) == [10, 11, 12]
+
+
+def test_bad_rows_are_quarantined(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (1, 1), (None, 5), (-3, 2)], "k long, n long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, n long").parquet(str(tmp_path / "in"))
+    good = relay(stream, ("k", "n"), str(tmp_path / "r"), F.col("k") > 0)
+    assert [tuple(r) for r in good.collect()] == [(1, 1)]
+    assert quarantine(spark, stream.schema, str(tmp_path / "r")).count() == 2
+    assert tuple(relay_stats(spark.read.parquet(str(tmp_path / "in")), ("k", "n"), F.col("k") > 0).first()) == (1, 1, 2)
+
+
+def test_broken_streams_give_error_rows(spark):
+    rows = [(1, 0, b"data: a\n\ndata: b"), (2, 0, b"id: 7\nretry: 50\ndata: x\n\n"), (2, 1, b"data: y\n\n"), (3, 0, b"data: \xff\n\n"), (3, 1, b"data: z\n\n"), (4, 0, "data: é".encode()[:-1]), (5, 0, ("data: " + "é" * (MOST // 2)).encode()), (6, 0, None)]
+    got = sorted(tuple(r) for r in parse(spark.createDataFrame(rows, "stream_id long, seq long, chunk binary")).collect())
+    assert got == [(1, 0, None, "a", None, None, None), (1, 1, None, None, None, None, "TRUNCATED"), (2, 0, None, "x", "7", 50, None), (2, 1, None, "y", "7", None, None), (3, 0, None, None, None, None, "ENCODING"), (4, 0, None, None, None, None, "ENCODING"), (5, 0, None, None, None, None, "TOO_LARGE")]
 
 
 def archive(files):
@@ -71,12 +104,21 @@ def test_docx():
     body = f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
     found = blocks(archive({"word/document.xml": body}), "docx")
     assert found == [("paragraph", ["Title"], 2), ("paragraph", ["a\tb"], None), ("row", ["x", "y"], None)]
-    assert markdown(found) == "## Title\n\na\tb\n\n| x | y |\n| --- | --- |\n"
 
 
 def test_xlsx():
-    files = {"xl/workbook.xml": f'<workbook {S}><sheets><sheet name="One"/></sheets></workbook>', "xl/sharedStrings.xml": f"<sst {S}><si><t>hi</t></si></sst>", "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row><c t="s"><v>0</v></c><c><f>A1+1</f><v>2</v></c><c><v>3</v></c></row></sheetData></worksheet>'}
-    assert blocks(archive(files), "xlsx") == [("paragraph", ["One"], 2), ("row", ["hi", "=A1+1", "3"], None)]
+    files = {"xl/workbook.xml": f'<workbook {S} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r9"/><sheet name="Two" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet2.xml"/><Relationship Id="r9" Target="/xl/worksheets/sheet1.xml"/></Relationships>', "xl/worksheets/sheet2.xml": f"<worksheet {S}/>", "xl/sharedStrings.xml": f"<sst {S}><si><t>hi</t></si></sst>", "xl/worksheets/sheet1.xml": f'<worksheet {S}><sheetData><row><c t="s"><v>0</v></c><c><f>A1+1</f><v>2</v></c><c><v>3</v></c></row></sheetData></worksheet>'}
+    assert blocks(archive(files), "xlsx") == [("paragraph", ["One"], 2), ("row", ["hi", "=A1+1", "3"], None), ("paragraph", ["Two"], 2)]
+    del files["xl/worksheets/sheet2.xml"]
+    with pytest.raises(Rejected, match="PACKAGE"):
+        blocks(archive(files), "xlsx")
+
+
+def test_markdown(spark):
+    body = f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>a|b</w:t></w:r></w:p></w:body></w:document>'
+    files = [("t.docx", archive({"word/document.xml": body})), ("t.csv", b"a|b,c\\\n1,2\n\"x\ny\"\nz\n"), ("bad.txt", b"\xff")]
+    got = {r.path: r.markdown for r in markdown(extract(spark.createDataFrame(files, "path string, content binary"))).collect()}
+    assert got == {"t.docx": "## Title\n\na|b\n", "t.csv": "| 列1 | 列2 |\n| --- | --- |\n| a\\|b | c\\\\ |\n| 1 | 2 |\n\n| 列1 |\n| --- |\n| x<br>y |\n| z |\n"}
 
 
 @pytest.mark.parametrize(("data", "kind", "code"), [(b"\xff", "txt", "ENCODING"), (b"a\0", "md", "NUL"), (b'"a', "csv", "CSV"), (b"zz", "docx", "PACKAGE"), (b"", "exe", "FORMAT"), (archive({"word/document.xml": "<!DOCTYPE x><a/>"}), "docx", "DTD"), (archive({"word/document.xml": " " * (1 << 20)}), "docx", "PACKAGE_LIMITS")])
