@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection, extraction, governed, intake, quality, records
+from redactory.plans import detection, extraction, governed, intake, lifecycle, quality, records
 
-MODULES = (detection, extraction, governed, intake, quality, records)
+MODULES = (detection, extraction, governed, intake, lifecycle, quality, records)
 
 
 def queries() -> dict:
