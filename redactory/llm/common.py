@@ -89,9 +89,13 @@ def id_back(column: str) -> Column:
     return F.when(F.col(column) != F.lit(NO_ID), F.col(column))
 
 
-def if_small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
-    """df with a broadcast hint if its known number of rows is within the limit; beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= limit else df
+#: Bytes of what is broadcast.
+MOST_BYTES = 64 << 20
+
+
+def if_small(df: DataFrame, rows: int, limit: int = 10_000, size: int = 0) -> DataFrame:
+    """df with a broadcast hint if its known number of rows, and the bytes of its long columns, are within the limits; beyond them Spark shuffles both sides."""
+    return F.broadcast(df) if rows <= limit and size <= MOST_BYTES else df
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

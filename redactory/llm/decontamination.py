@@ -56,7 +56,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     a document is hit if it stands in an occurrence of a window of width consecutive
     words of an item. Null and empty texts have no words and no hits, on either side;
     a null item_id counts for n_hit but names no item. Rows with the same doc_id are
-    judged by their own texts. With no items nothing is hit.
+    judged by their own texts. With no items nothing is hit; an empty table of documents
+    gives an empty result. A very long text is one row, its words one array.
     """
     return judged(docs, items, width).select(id_back("k").alias("doc_id"), "n_words", "n_hit", "item_ids")
 
@@ -65,11 +66,11 @@ def judged(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """decontaminate() with the key of each row, k and th, in place of doc_id."""
     found = stored(windows(items, width))
     prefix = stored(rarest(found, docs))
-    n = prefix.count()
+    n, size = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("wtext") + 16 * F.size("items")), F.lit(0))).first()
     rows = docs.select(id_key().alias("k"), text_hash().alias("th"), "text")
     places = rows.select("k", "th", F.explode(F.array(words(F.col("text")))).alias("w")).select("k", "th", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
     candidates = (
-        places.join(if_small(prefix, n, MOST_BROADCAST), "token")
+        places.join(if_small(prefix, n, MOST_BROADCAST, size), "token")
         .withColumn("start", F.col("pos") - F.col("off"))
         .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
         .groupBy("k", "th")

@@ -76,6 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
     the sources in code point order, null last, over and over. Null and empty texts
     have size 0 and so add nothing to taken. Equal rows (same doc_id and text) are
     taken alike. An empty table gives an empty result; a source without words has target 0.
+    A very long text counts as one row, so a source is off its target by its size at most.
     """
     rows = stored(docs.select("doc_id", "source", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("key"), n_words(F.col("text")).alias("size"), row_hash().alias("h")))
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it."""
+    """The mix itself: each row of docs as often as mix() takes it, with all its columns; those named mix_* are reserved. Null ids and texts, repeated rows and empty tables as in mix()."""
     copies = mix(docs, weights, cap).groupBy(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h")).agg(F.first("copies").alias("mix_copies")).where("mix_copies > 0")
     keyed = docs.withColumn("mix_row_h", row_hash())
     return keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_row_h") == F.col("mix_h"))).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
