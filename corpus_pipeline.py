@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import id_key, stored, table, text_hash
+from redactory.llm.common import discard, id_key, kept, scratch, stored, table, text_hash
 from redactory.llm.decontamination import judged
 from redactory.llm.huffman import token_files
 from redactory.llm.mixing import mixed
@@ -18,7 +18,7 @@ from redactory.llm.simhash import component_firsts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels outside the held-out fold, predicts to be good."""
+    """Documents that the classifier, learnt from the labels outside the held-out fold, predicts to be good. Null and empty texts are judged as texts without terms; equal texts, under whatever ids, alike; without labels all stay. An empty table gives none."""
     return keep_good(docs, table(spark, sf_dir, "labels").where(fold() != 1))
 
 
@@ -39,18 +39,18 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a window of a benchmark item, each judged by its own text."""
+    """Rows without a window of a benchmark item, each judged by its own text: null and repeated ids don't bind rows together, null texts hold nothing, repeated rows go or stay together. Without items all stay; an empty table gives none."""
     hit = stored(judged(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("k", "th").distinct().toDF(*ROW))
     return keyed(docs).join(hit, ROW, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them. Null is a source of its own; rows without words weigh nothing and stay or go as their hash says; repeated rows are taken alike. An empty table gives none."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32 for each row."""
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32 for each row, null ids first. Null and empty texts have the end id alone; rows of one doc_id follow each other by their texts' hash. An empty table gives none."""
     return token_files(docs)
 
 
@@ -61,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage stores goes once its result is stored, and a result once the next one is; the token files stay."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch():
+            docs = kept(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
