@@ -154,7 +154,16 @@ def grouped(keys: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.n
 
 
 def names_of(block: Block) -> np.ndarray:
-    return np.unique(block.runs()[2])
+    names = np.sort(block.runs()[2])
+    return names[np.flatnonzero(np.diff(names, prepend=~names[:1]))]
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the different ones."""
+    order, _, number, _ = grouped(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = number
+    return out
 
 
 class Runs:
@@ -200,7 +209,10 @@ def sample_order(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.n
     each = words(data, ">u8")
     depths = [*range(0, WIDTH - 8, 8), WIDTH - 8]
     keys = [each[places + k].astype(np.uint64) for k in depths]
-    order = np.lexsort(keys[::-1])
+    rank = ranked(keys[-1])
+    for key in keys[-2::-1]:
+        rank = ranked(ranked(key) << 32 | rank)
+    order = np.argsort(rank)
     shared = np.full(len(places), WIDTH)
     open_ = np.ones(len(places), bool)
     for k, key in zip(depths, keys, strict=True):
@@ -226,21 +238,24 @@ def repeated(data: np.ndarray, places: np.ndarray, age: np.ndarray) -> np.ndarra
     if not len(left):
         return out
     at, age, group = places[left], age[left], group[left]
-    moved = [at[np.isin((at + d) % PERIOD, COVER)] + d for d in range(PERIOD)]
-    sample = np.unique(np.concatenate(moved))
+    covered = np.isin(np.arange(2 * PERIOD), (*COVER, *(c + PERIOD for c in COVER)))
+    remainder = at % PERIOD
+    own = [np.flatnonzero(covered[remainder + d]) for d in range(PERIOD)]
+    sampled = np.zeros(len(data), bool)
+    for d in range(PERIOD):
+        sampled[at[own[d]] + d] = True
+    sample = np.flatnonzero(sampled)
     by_bytes, shared = sample_order(data, sample)
-    place = np.empty(len(sample), np.int64)
-    place[by_bytes] = np.arange(len(sample))
+    place = np.zeros(len(data), np.int32)  # in the order of bytes, of each place of the sample
+    place[sample[by_bytes]] = np.arange(len(sample))
     hit = np.zeros(len(left), bool)
     for d in range(PERIOD):
-        own = np.flatnonzero(np.isin((at + d) % PERIOD, COVER))
-        if not len(own):
+        if not len(own[d]):
             continue
         rank = np.cumsum(shared < WIDTH - d)  # of the sample, by the bytes that the shift leaves
-        key = group[own] * (len(sample) + 1) + rank[place[np.searchsorted(sample, at[own] + d)]]
-        order, _, number, new = grouped(key)
-        first = np.minimum.reduceat(age[own][order], new)
-        hit[own[order]] |= age[own][order] > first[number]
+        order, _, number, new = grouped(group[own[d]] * (len(sample) + 1) + rank[place[at[own[d]] + d]])
+        old = age[own[d]][order]
+        hit[own[d][order]] |= old > np.minimum.reduceat(old, new)[number]
     out[left] = hit
     return out
 
@@ -378,17 +393,38 @@ def sent_runs(sifted: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeated_in(rows: list[tuple[bytes, bytes]], most: int = PASS) -> list[np.ndarray]:
-    """rows: bytes and shape of a bucket's messages, by rising block. For each a bit per suffix of its runs: whether a smaller document has its first WIDTH bytes."""
+    """rows: bytes and shape of a bucket's messages, by rising block. For each a bit per suffix of its runs: whether a smaller document has its first WIDTH bytes. Of equal runs only the first is looked into, as it is in the smallest document."""
     open_ = zstandard.ZstdDecompressor()
-    shapes = [np.frombuffer(open_.decompress(s), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1).astype(np.int64) for _, s in rows]
-    data = np.frombuffer(b"".join([*(open_.decompress(x) for x, _ in rows), bytes(2 * WIDTH)]), np.uint8)
-    size = np.concatenate([s[0] for s in shapes])
-    age = np.concatenate([(k << 32) + s[1] for k, s in enumerate(shapes)])
+    known: dict[bytes, int] = {}
+    ages, shapes, first = [], [], []
+    for k, (raw, shape) in enumerate(rows):
+        raw = open_.decompress(raw)
+        size, doc = np.frombuffer(open_.decompress(shape), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1).astype(np.int64)
+        ends, before = np.cumsum(size), len(known)
+        number = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, len(size))
+        shapes.append(size - WIDTH + 1)
+        first.append(number >= before)
+        ages.append((k << 32) + doc[number >= before])
+    found = repeated_suffixes(list(known), np.concatenate(ages), most)
+    out, at = [], 0
+    for n, new in zip(shapes, first, strict=True):
+        own = np.ones(int(n.sum()), bool)
+        upto = at + int(n[new].sum())
+        own[np.repeat(new, n)] = found[at:upto]
+        out.append(own)
+        at = upto
+    return out
+
+
+def repeated_suffixes(runs: list[bytes], age: np.ndarray, most: int) -> np.ndarray:
+    """A bit per suffix of different runs, each with its age: whether an older run has its first WIDTH bytes. With over most suffixes, equal ones share a pass."""
+    size = np.fromiter(map(len, runs), np.int64, len(runs))
+    data = np.frombuffer(b"".join([*runs, bytes(2 * WIDTH)]), np.uint8)
     n = size - WIDTH + 1
     total = int(n.sum())
     out = np.zeros(total, bool)
     passes = -(-total // most)
-    if passes > 1:  # equal suffixes share a pass
+    if passes > 1:
         turn = np.empty(len(data) - 2 * WIDTH, np.uint32)
         for at in range(0, len(turn), 1 << 20):
             part = rolled(data[at : min(at + (1 << 20), len(turn)) + WIDTH - 1], WIDTH)
@@ -407,7 +443,7 @@ def repeated_in(rows: list[tuple[bytes, bytes]], most: int = PASS) -> list[np.nd
             numbers.append(number)
         place, number = np.concatenate(places), np.concatenate(numbers)
         out[number] = repeated(data, place, age[np.searchsorted(ends, number, side="right")])
-    return np.split(out, np.cumsum([int((s[0] - WIDTH + 1).sum()) for s in shapes])[:-1])
+    return out
 
 
 def sorted_buckets(runs: DataFrame) -> DataFrame:

@@ -84,6 +84,36 @@ def test_stages_drop_rows_not_ids(spark, tmp_path):
     assert {r.k for r in left.collect()} == {1}
 
 
+ODD = [(None, None, None), (None, "", "a"), (1, None, "a"), (1, "", None), (2, " \n ", "a"), (3, "Same text of several words here", "b"), (3, "Same text of several words here", "b"), (4, "same text of several words here", "c"), (5, "long " * 30_000, "b"), (6, "é 漢字 😀 words of all kinds", None)]
+
+
+def odd_tables(spark, folder, rows):
+    schema = "doc_id long, text string, source string, k long, th long, label_id long, copies long, row_k string, x binary, fp int"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, "r", b"x", 5) for r in rows], schema)
+    spark.createDataFrame([(3, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "all kinds"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return docs
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD * 3, []], ids=["odd", "repeated", "empty"])
+def test_stages_on_odd_tables(spark, tmp_path, rows):
+    """Nulls, empty and long texts, ties, repeated rows, no rows, and extra columns with the operators' own names."""
+    docs = odd_tables(spark, tmp_path, rows)
+    plain = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = plain(out)
+        assert got.keys() <= Counter(map(tuple, rows)).keys(), name
+        if name == "benchmark":
+            assert got == Counter(r for r in rows if "kinds" not in (r[1] or ""))
+        if name == "quality":
+            assert len({(r[1] or "") in {t or "" for _, t, _ in got} for r in rows if (r[1] or "") == ""}) <= 1  # texts without terms share their fate
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+    assert sum(r.n_tokens for r in cp.run(spark, str(tmp_path)).collect()) >= 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
 def test_run_with_null_and_repeated_ids(spark, tmp_path):
     docs = [r.asDict() for r in table(spark, SF, "documents").orderBy("doc_id").limit(600).collect()]
