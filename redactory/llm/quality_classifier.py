@@ -25,6 +25,10 @@ HASHED = 1024
 TERMS = 2 * HASHED
 #: Bytes whose trigrams are counted at a time.
 PART = 1 << 20
+#: Rows that are compared with the sample at a time.
+ROWS = 256
+#: Bits of a weighted count and of a number of the projection (with 11 for the sum over TERMS, 51 of 53); of a number of a vector (with 6 for the sum over the rank, 50).
+TERM_BITS, VECTOR_BITS = 20, 22
 
 
 @dataclass(frozen=True)
@@ -87,6 +91,11 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
+def grid(x: np.ndarray, bits: int) -> np.ndarray:
+    """x, rounded to multiples of 2**-bits. Products of such numbers and their sums are exact in float64, in whatever order the library adds, so equal texts have equal scores wherever they stand in a batch."""
+    return np.ldexp(np.rint(np.ldexp(x.astype(np.float64), bits)), -bits)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -99,8 +108,13 @@ def fit(counts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray,
     for _ in range(4):  # subspace iteration towards the leading singular vectors
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
-    projection = np.ascontiguousarray((basis @ turn.T)[:, : settings.rank])
-    return idf, projection, unit(x @ projection)
+    projection = np.ascontiguousarray(grid((basis @ turn.T)[:, : settings.rank], TERM_BITS))
+    return idf, projection, placed(x, projection)
+
+
+def placed(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Unit vectors of weighted counts."""
+    return grid(unit(grid(x, TERM_BITS) @ projection), VECTOR_BITS)
 
 
 @dataclass(frozen=True)
@@ -118,16 +132,16 @@ def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, settings: Setti
     """Scores of unit vectors z. Of vectors equally near, those of the smaller labels' ids come first."""
     k = min(settings.neighbours, len(vectors))
     out = np.empty(len(z))
-    for at in range(0, len(z), 256):
-        near = z[at : at + 256] @ vectors.T
+    for at in range(0, len(z), ROWS):
+        near = z[at : at + ROWS] @ vectors.T
         least = np.partition(near, -k, axis=1)[:, -k]
         above, equal = near > least[:, None], near == least[:, None]
         free = k - np.count_nonzero(above, axis=1)
         if (np.count_nonzero(equal, axis=1) > free).any():
             equal &= np.cumsum(equal, axis=1) <= free[:, None]
         row, top = np.nonzero(above | equal)  # k a row
-        weight = np.clip(near[row, top].reshape(-1, k), 1e-6, 1).astype(np.float64) ** settings.sharpness
-        out[at : at + 256] = (weight * labels[top].reshape(-1, k)).sum(axis=1) / weight.sum(axis=1)
+        weight = np.clip(near[row, top].reshape(-1, k), 1e-6, 1) ** settings.sharpness
+        out[at : at + ROWS] = (weight * labels[top].reshape(-1, k)).sum(axis=1) / weight.sum(axis=1)
     return np.clip(out, 0, 1)
 
 
@@ -136,7 +150,7 @@ def scored(texts: list[str], model: Model, settings: Settings) -> np.ndarray:
     some = counts.any(axis=1)
     found = np.full(len(texts), model.bare)
     if some.any():
-        found[some] = vote(unit(weighted(counts[some], model.idf) @ model.projection), model.vectors, model.labels, settings)
+        found[some] = vote(placed(weighted(counts[some], model.idf), model.projection), model.vectors, model.labels, settings)
     return found
 
 
