@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from redactory.functions.checks import first_reason
 from redactory.operators.fragments import DETECTED
 from redactory.operators.spans import TOKEN, reserved
-from redactory.sources.tables import slices
+from redactory.sources.tables import slices, stored
 
 CHAT, MESSAGES = "chat", "messages"
 
@@ -144,7 +144,7 @@ def restored_responses(responses: DataFrame, mapping: DataFrame, request: str, b
     of_choices = F.flatten(F.transform(choices, lambda c: F.array(*[at(c, p, "string") for p in FIXED_OF_CHOICE])))
     marked = F.exists(F.concat(fixed, F.coalesce(of_choices, F.array().cast("array<string>"))), lambda s: F.coalesce(reserved(s), F.lit(False)))
     broken = (F.size(F.coalesce(choices, F.array().cast("array<variant>"))) == 0) | ~F.coalesce(at(F.col("v"), "$.model", "string").isin(*models), F.lit(False)) | marked
-    judged = rows.withColumn("fault", first_reason(("MALFORMED_JSON", F.col("v").isNull()), ("CONTRACT_VIOLATION", broken)))
+    judged = stored(rows.withColumn("fault", first_reason(("MALFORMED_JSON", F.col("v").isNull()), ("CONTRACT_VIOLATION", broken))))  # once, as Catalyst would copy the parsing into each use
     each = judged.where("fault IS NULL").select(request, F.posexplode(choices).alias("i", "c"))
     fields = F.explode(F.array(*[F.struct(F.concat(F.lit("choices["), F.col("i").cast("string"), F.lit(f"].message.{f}")).alias("json_path"), at(F.col("c"), f"$.message.{f}", "string").alias("text")) for f in ("content", "reasoning_content")])).alias("x")
     texts = each.select(request, fields).select(request, "x.*").where("text IS NOT NULL").withColumn("leaf", F.struct(request, "json_path"))

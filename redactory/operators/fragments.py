@@ -81,19 +81,19 @@ FILLER = "(?:[：:\\s（）()“\"']|名称|单位名称|公司名称|为|是)*"
 # End of fixed values.
 
 
-def role_before(window: Column) -> Column:
-    """The role whose cue ends nearest to the window's end, the longest of those, with only filler after it; null if there is none or two tie."""
-    ends = [F.struct((-F.length(F.regexp_extract(window, f"(?:{cue})({FILLER})$", 1))).alias("gap"), F.length(F.regexp_extract(window, f"({cue}){FILLER}$", 1)).alias("size"), F.lit(role).alias("role"), window.rlike(f"(?:{cue}){FILLER}$").alias("hit")) for cue, role in ROLE_CUES]
-    hits = F.filter(F.array(*ends), lambda e: e["hit"])
-    best = F.array_max(F.transform(hits, lambda e: F.struct(e["gap"], e["size"])))
-    nearest = F.array_distinct(F.transform(F.filter(hits, lambda e: F.struct(e["gap"], e["size"]) == best), lambda e: e["role"]))
-    return F.when(F.size(nearest) == 1, nearest[0])
+def role_scores(window: Column) -> Column:
+    """For each role, 0, or a number that is greater the nearer its cue ends to the window's end, with only filler after it, and then the longer the cue is. window: at most 16 characters."""
+    found = [(F.length(F.regexp_extract(window, f"({cue}){FILLER}$", 0)), F.length(F.regexp_extract(window, f"({cue}){FILLER}$", 1))) for cue, _ in ROLE_CUES]
+    return F.array(*[F.when(cue > 0, (16 - whole + cue) * 32 + cue).otherwise(0) for whole, cue in found])
 
 
 def roles(spans: DataFrame, request: str, before: str = "before", kinds: tuple[str, ...] = ("ORG", "SUPPLIER")) -> DataFrame:
-    """request, entity_type, original, role, for originals with evidence of one role only. before: the text that leads up to a span; its last ten characters count."""
+    """request, entity_type, original, role, for originals with evidence of one role only; a span whose best cues tie gives none. before: the text that leads up to a span; its last ten characters count."""
     window = F.when(F.length(before) > 10, F.right(before, F.lit(10))).otherwise(F.col(before))
-    told = spans.where(F.col("entity_type").isin(*kinds)).withColumn("role", role_before(window)).where("role IS NOT NULL")
+    scores = spans.where(F.col("entity_type").isin(*kinds)).withColumn("scores", role_scores(window)).withColumn("best", F.array_max("scores"))
+    name = F.element_at(F.array(*[F.lit(role) for _, role in ROLE_CUES]), F.array_position("scores", F.col("best")).cast("int"))
+    alone = F.size(F.filter("scores", lambda s: s == F.col("best"))) == 1
+    told = scores.withColumn("role", F.when((F.col("best") > 0) & alone, name))
     return told.groupBy(request, "entity_type", "original").agg(F.min("role").alias("role"), F.max("role").alias("other")).where(F.col("role") == F.col("other")).drop("other")
 
 

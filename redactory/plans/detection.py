@@ -213,24 +213,13 @@ def roles_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.roles(f, "request_id")
 
 
-ROLE_TEXT = """SELECT o_orderkey % 50 AS request_id, o_orderkey AS frag_id, 'ORG' AS entity_type, s_name AS original, CASE o_orderkey % 5 WHEN 0 THEN '甲方：' WHEN 1 THEN '乙方名称 ' WHEN 2 THEN '致 乙方 的信 ' WHEN 3 THEN '甲方为' ELSE '无关内容 ' END AS before
-    FROM {orders} JOIN {supplier} ON s_suppkey = o_custkey % 40 WHERE o_orderkey < 600"""
+#: In a third of the rows the cue hangs on the customer, so an original of a request may have two roles.
+ROLE_TEXT = """SELECT o_orderkey % 50 AS request_id, o_orderkey AS frag_id, 'ORG' AS entity_type, s_name AS original, CASE (CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey END) % 5 WHEN 0 THEN '甲方：' WHEN 1 THEN '乙方名称 ' WHEN 2 THEN '致 乙方 的信 ' WHEN 3 THEN '甲方为' ELSE '无关内容 ' END AS before
+    FROM {orders} JOIN {supplier} ON s_suppkey = o_custkey % 40"""
 ROLES_SQL = f"""WITH t AS ({ROLE_TEXT.replace("{orders}", "orders").replace("{supplier}", "supplier")}), r AS (SELECT DISTINCT request_id, entity_type, original, CASE before WHEN '甲方：' THEN 'PARTYA' WHEN '甲方为' THEN 'PARTYA' WHEN '乙方名称 ' THEN 'PARTYB' END AS role FROM t)
 SELECT request_id, entity_type, original, min(role) AS role FROM r WHERE role IS NOT NULL GROUP BY ALL HAVING count(*) = 1"""
 
 
-#: roles_assign and its SQL stop at an o_orderkey; these take all orders. In a third of the rows the cue hangs on the customer, so an original of a request may have two roles.
-ALL_ROLE_TEXT = ROLE_TEXT.removesuffix(" WHERE o_orderkey < 600").replace("CASE o_orderkey % 5", "CASE (CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey END) % 5")
-
-
-def roles_assign_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.sql(ALL_ROLE_TEXT, supplier=table(spark, sf_dir, "supplier"), orders=table(spark, sf_dir, "orders"))
-    return fr.roles(f, "request_id")
-
-
-ROLES_ALL_SQL = ROLES_SQL.replace(*[t.replace("{orders}", "orders").replace("{supplier}", "supplier") for t in (ROLE_TEXT, ALL_ROLE_TEXT)])
-
-
 def fragments_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     body = F.to_json(F.struct(F.lit("m-1").alias("model"), F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages")))
@@ -279,6 +268,6 @@ QUERIES = {
     "rule_hits": (rule_hits, RULE_HITS_SQL), "secret_block": (secret_block, SECRET_BLOCK_SQL), "redact_counts": (redact_counts, REDACT_COUNTS_SQL), "placeholder_numbering": (placeholder_numbering, PLACEHOLDER_SQL),
     "redacted_text": (redacted_text, REDACTED_SQL), "restore_roundtrip": (restore_roundtrip, ROUNDTRIP_SQL), "number_checks": (number_checks, NUMBER_CHECKS_SQL), "dict_longest_match": (dict_longest_match, DICT_SQL),
     "quick_screen": (quick_screen, QUICK_SQL), "span_merge": (span_merge, SPAN_MERGE_SQL), "union_envelopes": (union_envelopes, ENVELOPES_SQL), "codepoint_coverage": (codepoint_coverage, COVERAGE_SQL), "window_plan": (window_plan, WINDOW_PLAN_SQL),
-    "reserved_literals": (reserved_literals, RESERVED_SQL), "roles_assign": (roles_assign, ROLES_SQL), "roles_assign_all": (roles_assign_all, ROLES_ALL_SQL), "fragments_explode": (fragments_explode, EXPLODE_SQL), "multi_turn_dedupe": (multi_turn_dedupe, MULTI_SQL),
+    "reserved_literals": (reserved_literals, RESERVED_SQL), "roles_assign": (roles_assign, ROLES_SQL), "fragments_explode": (fragments_explode, EXPLODE_SQL), "multi_turn_dedupe": (multi_turn_dedupe, MULTI_SQL),
     "cache_stats": (cache_stats, CACHE_SQL), "static_exemption": (static_exemption, EXEMPT_SQL), "skill_result_exempt": (skill_result_exempt, SKILL_SQL),
 }

@@ -64,12 +64,11 @@ EVENT_SQL = f"""{RELATION_SQL[: RELATION_SQL.rindex("SELECT id, (instr")]}, p AS
 h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('/', concat('src-', id), digest, a, b, s, e))) AS h FROM p)
 SELECT id, concat_ws('-', h[1:8], h[9:12], concat('5', h[14:16]), concat(translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab'), h[18:20]), h[21:32]) AS candidate_id, s, e FROM h"""
 
-COMMANDS = "SELECT user_id % 60 AS candidate, event_id, CASE event_type WHEN 'view' THEN 'publish' WHEN 'click' THEN 'reject' WHEN 'error' THEN 'revise' WHEN 'signup' THEN 'withdraw' ELSE 'dispute' END AS command FROM {events} WHERE event_id < 1500"
+COMMANDS = "SELECT user_id % 60 AS candidate, event_id, CASE event_type WHEN 'view' THEN 'publish' WHEN 'click' THEN 'reject' WHEN 'error' THEN 'revise' WHEN 'signup' THEN 'withdraw' ELSE 'dispute' END AS command FROM {events}"
 
 
 def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = ledger.fold_states(spark.sql(COMMANDS, events=table(spark, sf_dir, "events")), "candidate", "event_id", "command")
-    return folded.withColumns({c: F.col(c).cast("int") for c in ("version", "n_applied")})
+    return ledger.fold_states(spark.sql(COMMANDS, events=table(spark, sf_dir, "events")), "candidate", "event_id", "command")
 
 
 FOLD_SQL = f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY event_id) AS i FROM ({COMMANDS.replace("{events}", "events")})),
@@ -77,17 +76,7 @@ f AS (SELECT candidate, 0::BIGINT AS i, 'proposed' AS state, 1 AS version, 0 AS
     SELECT x.candidate, x.i, coalesce(x.nxt, x.state), x.version + CASE WHEN x.nxt IS NOT NULL AND x.command = 'revise' THEN 1 ELSE 0 END, x.n_applied + CASE WHEN x.nxt IS NOT NULL THEN 1 ELSE 0 END
     FROM (SELECT f.candidate, c.i, f.state, f.version, f.n_applied, c.command, CASE concat(f.state, ' ', c.command) WHEN 'proposed publish' THEN 'published' WHEN 'proposed reject' THEN 'rejected' WHEN 'proposed dispute' THEN 'disputed' WHEN 'disputed reject' THEN 'rejected' WHEN 'published withdraw' THEN 'withdrawn'
         WHEN 'proposed withdraw' THEN 'withdrawn' WHEN 'rejected revise' THEN 'proposed' WHEN 'withdrawn revise' THEN 'proposed' END AS nxt FROM f JOIN c ON c.candidate = f.candidate AND c.i = f.i + 1) x)
-SELECT candidate, arg_max(state, i) AS state, arg_max(version, i)::INT AS version, arg_max(n_applied, i)::INT AS n_applied FROM f GROUP BY 1"""
-
-#: state_fold and its SQL stop at an event_id; these take all events.
-ALL_COMMANDS = COMMANDS.removesuffix(" WHERE event_id < 1500")
-
-
-def state_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.fold_states(spark.sql(ALL_COMMANDS, events=table(spark, sf_dir, "events")), "candidate", "event_id", "command")
-
-
-FOLD_ALL_SQL = FOLD_SQL.replace(COMMANDS.replace("{events}", "events"), ALL_COMMANDS.replace("{events}", "events")).replace("::INT", "::BIGINT")
+SELECT candidate, arg_max(state, i) AS state, arg_max(version, i)::BIGINT AS version, arg_max(n_applied, i)::BIGINT AS n_applied FROM f GROUP BY 1"""
 
 REQUESTS = "SELECT o_orderkey AS record_id, CASE WHEN o_custkey % 2 = 0 THEN 'm-1' ELSE 'm-2' END AS model, 'chat' AS protocol, o_orderstatus AS status, o_orderdate AS created_at, o_orderdate + INTERVAL 365 DAYS AS expires_at FROM {orders}"
 
@@ -119,4 +108,4 @@ def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UPSERT_SQL = "SELECT user_id % 50 AS k, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, 'last' AS rule FROM events GROUP BY 1 UNION ALL SELECT user_id % 50, min(event_id), arg_min(event_type, event_id), 'first' FROM events GROUP BY 1"
 
-QUERIES = {"relation_extract": (relation_extract, RELATION_SQL), "mention_recognition": (mention_recognition, MENTION_SQL), "entity_alignment": (entity_alignment, ALIGN_SQL), "event_candidates": (event_candidates, EVENT_SQL), "state_fold": (state_fold, FOLD_SQL), "state_fold_all": (state_fold_all, FOLD_ALL_SQL), "history_list": (history_list, HISTORY_SQL), "label_decode": (label_decode, DECODE_SQL), "upsert_last": (upsert_last, UPSERT_SQL)}
+QUERIES = {"relation_extract": (relation_extract, RELATION_SQL), "mention_recognition": (mention_recognition, MENTION_SQL), "entity_alignment": (entity_alignment, ALIGN_SQL), "event_candidates": (event_candidates, EVENT_SQL), "state_fold": (state_fold, FOLD_SQL), "history_list": (history_list, HISTORY_SQL), "label_decode": (label_decode, DECODE_SQL), "upsert_last": (upsert_last, UPSERT_SQL)}

@@ -193,7 +193,7 @@ GUARD_SQL = f"""{with_tables("claims", "entities")} SELECT predicate, CASE WHEN
 FROM claims JOIN entities s ON s.entity_id = subject_id JOIN entities o ON o.entity_id = object_id GROUP BY ALL"""
 
 FACTS = """SELECT l_orderkey * 10 + l_linenumber AS claim_id, CASE WHEN l_suppkey % 2 = 0 THEN concat('A', CAST(l_suppkey % 20 AS STRING)) ELSE concat('B', CAST(l_partkey % 30 AS STRING)) END AS subject_id, CASE WHEN l_suppkey % 2 = 0 THEN concat('B', CAST(l_partkey % 30 AS STRING)) ELSE concat('A', CAST(l_suppkey % 20 AS STRING)) END AS object_id,
-    CASE WHEN l_suppkey % 2 = 0 THEN 'supplies' ELSE 'supplied_by' END AS predicate, CASE WHEN l_orderkey % 9 = 0 THEN 'negative' ELSE 'positive' END AS polarity, l_shipdate AS window_start, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_shipdate + INTERVAL 3 DAYS END AS window_end FROM {lineitem} WHERE l_linenumber >= 4"""
+    CASE WHEN l_suppkey % 2 = 0 THEN 'supplies' ELSE 'supplied_by' END AS predicate, CASE WHEN l_orderkey % 9 = 0 THEN 'negative' ELSE 'positive' END AS polarity, l_shipdate AS window_start, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_shipdate + INTERVAL 3 DAYS END AS window_end FROM {lineitem}"""
 
 
 def mutual_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,18 +205,6 @@ EXCLUSION_SQL = f"""WITH f AS ({FACTS.replace("{lineitem}", "lineitem")}), n AS
 SELECT x.claim_id, min(y.claim_id) AS conflicting_id FROM n x JOIN n y ON x.s = y.s AND x.o = y.o AND x.polarity <> y.polarity AND x.a <= y.z AND y.a <= x.z GROUP BY 1"""
 
 
-#: mutual_exclusion and its SQL leave out the line numbers below 4; these take all of lineitem.
-ALL_FACTS = FACTS.removesuffix(" WHERE l_linenumber >= 4")
-
-
-def mutual_exclusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = spark.sql(ALL_FACTS, lineitem=table(spark, sf_dir, "lineitem"))
-    return kn.conflicts(facts, {"supplies": "supplied_by", "supplied_by": "supplies"})
-
-
-EXCLUSION_ALL_SQL = EXCLUSION_SQL.replace(*[t.replace("{lineitem}", "lineitem") for t in (FACTS, ALL_FACTS)])
-
-
 def claim_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = load(spark, sf_dir, "claims", "sources")
     base = F.when(F.col("predicate") == "supplies", 0.85).otherwise(0.50)
@@ -294,7 +282,7 @@ QUERIES = {
     "scoped_sources": (scoped_sources, SCOPED_SQL), "source_liveness": (source_liveness, LIVENESS_SQL), "governance_current": (governance_current, CURRENT_SQL), "acl_intersection": (acl_intersection, ACL_SQL),
     "publish_admission": (publish_admission, ADMISSION_SQL), "active_publications": (active_publications, ACTIVE_SQL), "evidence_status": (evidence_status, STATUS_SQL), "delivery_snapshot": (delivery_snapshot, DELIVERY_SQL),
     "availability": (availability, AVAILABILITY_SQL), "source_invalidation": (source_invalidation, INVALIDATION_SQL), "outbox_pending": (outbox_pending, PENDING_SQL), "keyset_page": (keyset_page, PAGE_SQL), "dict_search_page": (dict_search_page, SEARCH_SQL),
-    "candidates_by_source": (candidates_by_source, BY_SOURCE_SQL), "independent_sources": (independent_sources, INDEPENDENT_SQL), "schema_guard": (schema_guard, GUARD_SQL), "mutual_exclusion": (mutual_exclusion, EXCLUSION_SQL), "mutual_exclusion_all": (mutual_exclusion_all, EXCLUSION_ALL_SQL),
+    "candidates_by_source": (candidates_by_source, BY_SOURCE_SQL), "independent_sources": (independent_sources, INDEPENDENT_SQL), "schema_guard": (schema_guard, GUARD_SQL), "mutual_exclusion": (mutual_exclusion, EXCLUSION_SQL),
     "claim_confidence": (claim_confidence, CONFIDENCE_SQL), "alias_resolve": (alias_resolve, ALIAS_SQL), "cooccurrence_pairs": (cooccurrence_pairs, PAIRS_SQL), "cooccurrence_isolate": (cooccurrence_isolate, ISOLATE_SQL),
     "graph_one_hop": (graph_one_hop, ONE_SQL), "graph_two_hop": (graph_two_hop, TWO_SQL), "graph_count_distinct": (graph_count_distinct, COUNT_SQL), "graph_elements": (graph_elements, ELEMENTS_SQL),
 }

@@ -45,30 +45,17 @@ RENAME_SQL = f"""WITH a AS ({NAMES.replace("{part}", "part")}), r AS (SELECT con
 SELECT canonical, count(*)::BIGINT AS n, min(alias) AS first_alias FROM x GROUP BY 1"""
 
 
-def protected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 4000")
-    chunks = e.select("user_id", "event_id", F.when(F.col("event_id") % 37 == 0, "[DONE]").otherwise(F.concat(F.col("event_type"), F.lit(" "))).alias("data"))
-    out = intake.protected(chunks, "user_id", "event_id", "data", "[DONE]", 200)
-    return out.select("user_id", F.sha2("text", 256).alias("digest"), "fault")
-
-
-PROTECTED_SQL = """WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 37 = 0 THEN '[DONE]' ELSE concat(event_type, ' ') END AS data FROM events WHERE event_id < 4000),
-g AS (SELECT user_id, sum(strlen(data)) AS size, arg_max(data, event_id) AS last, count(*) FILTER (data = '[DONE]') AS marks, string_agg(data, '' ORDER BY event_id) FILTER (data <> '[DONE]') AS text FROM c GROUP BY 1),
-f AS (SELECT *, CASE WHEN size > 200 THEN 'TOO_LARGE' WHEN marks = 0 THEN 'TRUNCATED' WHEN last <> '[DONE]' OR marks > 1 THEN 'AFTER_END' END AS fault FROM g)
-SELECT user_id, CASE WHEN fault IS NULL THEN sha256(coalesce(text, '')) END AS digest, fault FROM f"""
-
-
-#: protected_stream and its SQL stop at an event_id; this takes all events. A stream is an eighth of the users in a run of 40 events, so its size doesn't grow with the table; its last event is the mark in two streams of three.
+#: A stream is an eighth of the users in a run of 40 events, so its size doesn't grow with the table; its last event is the mark in two streams of three.
 STREAMS = """SELECT stream, event_id, CASE WHEN event_id % 37 = 0 OR event_id = max(event_id) OVER (PARTITION BY stream) AND stream % 3 <> 0 THEN '[DONE]' ELSE concat(event_type, ' ') END AS data
     FROM (SELECT CAST(floor(event_id / 40) AS BIGINT) * 8 + user_id % 8 AS stream, event_id, event_type FROM {events})"""
 
 
-def protected_stream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def protected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intake.protected(spark.sql(STREAMS, events=table(spark, sf_dir, "events")), "stream", "event_id", "data", "[DONE]", 40)
     return out.select("stream", F.sha2("text", 256).alias("digest"), "fault")
 
 
-PROTECTED_ALL_SQL = f"""WITH c AS ({STREAMS.replace("{events}", "events")}), g AS (SELECT stream, sum(strlen(data)) AS size, arg_max(data, event_id) AS last, count(*) FILTER (data = '[DONE]') AS marks, string_agg(data, '' ORDER BY event_id) FILTER (data <> '[DONE]') AS text FROM c GROUP BY 1),
+PROTECTED_SQL = f"""WITH c AS ({STREAMS.replace("{events}", "events")}), g AS (SELECT stream, sum(strlen(data)) AS size, arg_max(data, event_id) AS last, count(*) FILTER (data = '[DONE]') AS marks, string_agg(data, '' ORDER BY event_id) FILTER (data <> '[DONE]') AS text FROM c GROUP BY 1),
 f AS (SELECT *, CASE WHEN size > 40 THEN 'TOO_LARGE' WHEN marks = 0 THEN 'TRUNCATED' WHEN last <> '[DONE]' OR marks > 1 THEN 'AFTER_END' END AS fault FROM g)
 SELECT stream, CASE WHEN fault IS NULL THEN sha256(coalesce(text, '')) END AS digest, fault FROM f"""
 
@@ -83,4 +70,4 @@ u AS (SELECT event_type, sum(u) AS n_unstable, grouping(event_type) AS g FROM (S
 t AS (SELECT event_type, count(*) AS n, sum(s) AS s, count(*) FILTER (event_id % 11 = 0) AS w, count(*) FILTER (event_id % 13 = 0) AS k, count(*) FILTER (event_id % 17 = 0) AS f, grouping(event_type) AS g FROM e GROUP BY ROLLUP (event_type))
 SELECT t.event_type, n::BIGINT AS n, round(s, 3) AS seconds, round(n / s, 4) AS throughput, w::BIGINT AS n_wrong, k::BIGINT AS n_skipped, f::BIGINT AS n_failed, n_unstable::BIGINT AS n_unstable FROM t JOIN u ON t.event_type IS NOT DISTINCT FROM u.event_type AND t.g = u.g"""
 
-QUERIES = {"body_measure": (body_measure, MEASURE_SQL), "import_check": (import_check, IMPORT_SQL), "alias_rename": (alias_rename, RENAME_SQL), "protected_stream": (protected_stream, PROTECTED_SQL), "protected_stream_all": (protected_stream_all, PROTECTED_ALL_SQL), "scenario_summary": (scenario_summary, SCENARIO_SQL)}
+QUERIES = {"body_measure": (body_measure, MEASURE_SQL), "import_check": (import_check, IMPORT_SQL), "alias_rename": (alias_rename, RENAME_SQL), "protected_stream": (protected_stream, PROTECTED_SQL), "scenario_summary": (scenario_summary, SCENARIO_SQL)}

@@ -34,17 +34,17 @@ def test_fold_of_a_hot_key(spark):
     assert len(got) == len(want)
 
 
-def test_state_fold_all_reads_all_events(spark):
+def test_state_fold_reads_all_events(spark):
     names = {"view": "publish", "click": "reject", "error": "revise", "signup": "withdraw"}
     want = {}
     for r in table(spark, SF, "events").orderBy("event_id").collect():
         want.setdefault(r.user_id % 60, []).append(names.get(r.event_type, "dispute"))
-    got = catalog.queries()["state_fold_all"](spark, SF).collect()
+    got = catalog.queries()["state_fold"](spark, SF).collect()
     assert {r.candidate: (r.state, r.version, r.n_applied) for r in got} == {k: folded(c) for k, c in want.items()}
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
-def test_protected_stream_all_reads_all_events(spark, size):
+def test_protected_stream_reads_all_events(spark, size):
     sf = f"/root/testdata/{size}"
     sent: dict[int, list] = {}
     for r in table(spark, sf, "events").orderBy("event_id").collect():
@@ -56,19 +56,19 @@ def test_protected_stream_all_reads_all_events(spark, size):
         fault = "TOO_LARGE" if sum(map(len, data)) > 40 else "TRUNCATED" if not marks else "AFTER_END" if data[-1] != "[DONE]" or marks > 1 else None
         text = "".join(d for d in data if d != "[DONE]")
         want[stream] = (None if fault else hashlib.sha256(text.encode()).hexdigest(), fault)
-    got = {r.stream: (r.digest, r.fault) for r in catalog.queries()["protected_stream_all"](spark, sf).collect()}
+    got = {r.stream: (r.digest, r.fault) for r in catalog.queries()["protected_stream"](spark, sf).collect()}
     assert got == want
     assert {f for _, f in got.values()} == {None, "TOO_LARGE", "TRUNCATED", "AFTER_END"}
 
 
-def test_roles_assign_all_reads_all_orders(spark):
+def test_roles_assign_reads_all_orders(spark):
     names = {r.s_suppkey: r.s_name for r in table(spark, SF, "supplier").collect()}
     told: dict[tuple, set] = {}
     for r in table(spark, SF, "orders").collect():
         role = {0: "PARTYA", 1: "PARTYB", 3: "PARTYA"}.get((r.o_custkey if r.o_orderkey % 3 == 0 else r.o_orderkey) % 5)
         if role and r.o_custkey % 40 in names:
             told.setdefault((r.o_orderkey % 50, names[r.o_custkey % 40]), set()).add(role)
-    got = {(r.request_id, r.original): {r.role} for r in catalog.queries()["roles_assign_all"](spark, SF).collect()}
+    got = {(r.request_id, r.original): {r.role} for r in catalog.queries()["roles_assign"](spark, SF).collect()}
     assert got == {k: v for k, v in told.items() if len(v) == 1}
     assert len(got) < len(told)
 
@@ -98,8 +98,8 @@ def test_conflicts_of_a_hot_fact(spark):
     assert conflicts(claims.limit(0), inverse).count() == 0
 
 
-def test_mutual_exclusion_all_reads_every_line_number(spark):
-    got = {r.claim_id % 10 for r in catalog.queries()["mutual_exclusion_all"](spark, SF).collect()}
+def test_mutual_exclusion_reads_every_line_number(spark):
+    got = {r.claim_id % 10 for r in catalog.queries()["mutual_exclusion"](spark, SF).collect()}
     assert {1, 2, 3} < got
 
 
