@@ -85,7 +85,8 @@ FAMILIES = ((0, HASHED, 1.0), (HASHED, TERMS, 0.4))
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts)
+    x *= idf
     for a, b, weight in FAMILIES:
         x[:, a:b] *= weight / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-9)
     return x
@@ -113,8 +114,11 @@ def fit(counts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray,
 
 
 def placed(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Unit vectors of weighted counts."""
-    return grid(unit(grid(x, TERM_BITS) @ projection), VECTOR_BITS)
+    """Unit vectors of weighted counts, some rows at a time, as the grid takes several times the room."""
+    out = np.empty((len(x), projection.shape[1]))
+    for at in range(0, len(x), ROWS):
+        out[at : at + ROWS] = grid(unit(grid(x[at : at + ROWS], TERM_BITS) @ projection), VECTOR_BITS)
+    return out
 
 
 @dataclass(frozen=True)
@@ -176,9 +180,10 @@ def learnt(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model | No
     if not found:
         return None
     counts, y = np.stack([np.frombuffer(r.x, "<f4") for r in found]), np.array([r.y for r in found], np.float64)
+    del found
     some = counts.any(axis=1)
     bare = float(y[~some].mean() if not some.all() else y.mean())
-    return Model(*fit(counts[some], settings), y[some], bare) if some.any() else Model(*[np.zeros((0, 0))] * 4, bare)
+    return Model(*fit(counts if some.all() else counts[some], settings), y[some], bare) if some.any() else Model(*[np.zeros((0, 0))] * 4, bare)
 
 
 def judged(docs: DataFrame, labels: DataFrame, settings: Settings):
