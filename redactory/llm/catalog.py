@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from redactory.llm.chat_format import OP3_SQL, op3_chat_format
 from redactory.llm.decontamination import OP10_SQL, op10_decontamination
+from redactory.llm.embedding_dedup import op13_embedding_dedup
 from redactory.llm.huffman import op7_token_files
+from redactory.llm.lexical_search import OP12_SQL, op12_lexical_search
 from redactory.llm.line_dedup import OP2_SQL, op2_line_dedup
 from redactory.llm.mixing import OP9_SQL, op9_mixing
 from redactory.llm.periodic_runs import op11_periodic_runs
@@ -27,6 +29,8 @@ ENTRIES = {
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_decontamination": (op10_decontamination, OP10_SQL),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_lexical_search": (op12_lexical_search, OP12_SQL),
+    "op13_embedding_dedup": (op13_embedding_dedup, None),
 }
 
 

@@ -98,6 +98,13 @@ def if_small(df: DataFrame, rows: int, limit: int = 10_000, size: int = 0) -> Da
     return F.broadcast(df) if rows <= limit and size <= MOST_BYTES else df
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row for each key and, as weight, the key's number of rows; total is their sum at most. Keys with over a thousandth of it, a thousand at most, are broadcast, so that none makes a large partition; the rest is shuffled."""
+    heavy = facts.where(F.col(weight) * 1000 > total)
+    light = facts.where(F.col(weight) * 1000 <= total)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of at most rows rows: texts can be long, and Python objects take more room than Arrow. Empty batches are left out."""
     for batch in batches:
