@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -24,14 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors see. Where that is unset, a folder of this machine serves a session that runs on this machine alone; on a cluster that is an error."""
+def shared_folder(spark: SparkSession, stays: bool = False) -> str:
+    """A new path below spark.checkpoint.dir, which all executors see, deleted when the application ends unless it stays. Where that is unset, the session's own spark.local.dir serves one that runs on this machine alone; on a cluster, and without either, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        base = spark.sparkContext.getConf().get("spark.local.dir")
     if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        base = os.path.join(tempfile.gettempdir(), "redactory-checkpoints")
-    return f"{base}/redactory-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/redactory-{uuid.uuid4().hex}")
+    if not stays:
+        files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(top)
+        files.deleteOnExit(top)
+    return f"{top.toString()}/rows"
 
 
 _scopes: list[list[tuple[SparkSession, str]]] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, stored
+from redactory.llm.common import discard, spread_join, stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,15 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.where("a <> b").select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    total = labels.count()
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         heard = labels.join(near, "node")
         offers = heard.select("node", F.least("label", "low").alias("label")).unionByName(heard.select(F.col("label").alias("node"), F.least("label", "low").alias("label")))
         lower = stored(offers.groupBy("node").agg(F.min("label").alias("label")))
-        after = stored(lower.alias("x").join(lower.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", F.least("x.label", "y.label").alias("label")))
+        sizes = lower.groupBy("label").agg(F.count("*").alias("n"))  # a giant component has one label
+        onward = lower.select(F.col("node").alias("label"), F.col("label").alias("next")).join(sizes, "label")
+        after = stored(spread_join(lower, onward, ["label"], "n", total).select("node", F.least("label", "next").alias("label")))
         changed = not after.join(labels, ["node", "label"], "left_anti").isEmpty()
         discard(labels, lower)
         labels = after

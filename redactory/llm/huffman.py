@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, kept, shared_folder, size_runs, slices, table
+from redactory.llm.common import discard, id_back, id_key, kept, shared_folder, size_runs, slices, table, text_hash
 from redactory.llm.tokens import TOGETHER, pieces_of, public_file
 
 LIMIT, STRIDE = 18, 128
@@ -194,7 +194,8 @@ def encoded(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK) ->
         if base:
             yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(BLOCKS.names, (part, base, None, None, 0, 0, 0, wide, None, press.compress(total.tobytes())), strict=True)}, BLOCKS)
 
-    ranged = docs.select(id_key().alias("k"), "text").repartitionByRange("k").sortWithinPartitions("k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = docs.select(id_key().alias("k"), text_hash().alias("th"), "text")
+    ranged = named.repartitionByRange("k", "th").sortWithinPartitions("k", "th")  # by both, as many rows may have no id
     return ranged.select(id_back("k").alias("doc_id"), "text").mapInArrow(encode, "part int, base long, doc_ids array<long>, n_tokens array<long>, n_ids long, before long, after long, wide boolean, ids binary, counts binary")
 
 
@@ -274,8 +275,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("doc_id", "start").agg(F.sum("n_tokens").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
 
 
-def token_files(docs: DataFrame) -> DataFrame:
-    folder = shared_folder(docs.sparkSession)
+def token_files(docs: DataFrame, stays: bool = False) -> DataFrame:
+    """read_tokens() of what write_tokens() has written to a new shared folder, which stays after the application if so wanted."""
+    folder = shared_folder(docs.sparkSession, stays)
     write_tokens(docs, public_file("byte_bpe_50k.json"), folder)
     return read_tokens(docs.sparkSession, folder)
 

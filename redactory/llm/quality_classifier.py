@@ -222,13 +222,14 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> D
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The rows of docs, with all their columns, that score() predicts 1 for, under its rules for nulls, ties and empty tables."""
-    scores = judged(docs, labels, settings)
+    scores, at = judged(docs, labels, settings), docs.columns.index("text")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) >= 0.5))
+            yield batch.filter(pa.array(scores(batch.column(at).to_pylist()) >= 0.5))
 
-    return docs.mapInArrow(sift, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(sift, plain.schema).toDF(*docs.columns)
 
 
 def fold(column: str = "doc_id"):

@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import discard, id_back, id_key, slices, stored, table, text_hash
+from redactory.llm.common import discard, id_back, id_key, slices, spread_join, stored, table, text_hash
 from redactory.llm.components import connected
 
 TILE = 1024
+#: Tiles of a cell, and tiles that are compared with them, that meet under one key.
+PART = 32
 #: Members of a linked group hang below each other in a tree with so many branches, so that no fingerprint gets many links.
 BRANCHES = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -149,13 +151,20 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     """fp (distinct) -> a, b: links whose components are those of all pairs within the radius."""
     laid = stored(tiles(distinct, radius))
     left = laid.select(F.explode("near").alias("cell"), F.col("cell").alias("home"), F.col("tile").alias("t"), F.col("fps").alias("own"))
-    pairs = left.join(laid.select("cell", "tile", F.col("fps").alias("other")), "cell").where((F.col("home") != F.col("cell")) | (F.col("t") <= F.col("tile")))
+    n = left.groupBy("cell").agg(F.count("*").alias("n_left")).join(laid.groupBy("cell").agg(F.count("*").alias("n_own")), "cell")
+    parts = n.select("cell", F.ceil(F.col("n_own") / PART).cast("int").alias("rights"), F.ceil(F.col("n_left") / PART).cast("int").alias("lefts"))
+    parts = F.broadcast(parts)  # a row per cell, of which there are 17^4 at most
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    dealt = lambda tile, m: F.pmod(F.xxhash64(tile), F.col(m)).cast("int")
+    asking = left.join(parts, "cell").withColumn("x", dealt("t", "lefts")).withColumn("y", every("rights")).select("cell", "x", "y", "home", "t", "own")
+    asked = laid.join(parts, "cell").withColumn("y", dealt("tile", "rights")).withColumn("x", every("lefts")).select("cell", "x", "y", "tile", F.col("fps").alias("other"))
+    pairs = asking.join(asked, ["cell", "x", "y"]).where((F.col("home") != F.col("cell")) | (F.col("t") <= F.col("tile")))
     return pairs.select("own", "other").mapInArrow(lambda batches: compare(batches, radius), "a long, b long")
 
 
 def linked_fingerprints(rows: DataFrame, least: Column, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct fingerprints of rows, each with its smallest least; and node, label: those that have links, with their component."""
-    distinct = stored(rows.groupBy("fp").agg(F.min(least).alias("least")))
+    """The distinct fingerprints of rows, each with its smallest least and its number of rows, n; and node, label: those that have links, with their component."""
+    distinct = stored(rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
     found = stored(links(distinct.select("fp"), radius))
     labels = connected(found)
     discard(found)
@@ -180,10 +189,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     """
     rows = stored(fingerprints(docs, width))
     distinct, labels = linked_fingerprints(rows, F.col("k"), radius)
-    linked = stored(labels.join(distinct.withColumnRenamed("fp", "node"), "node").select("node", "label", "least"))
-    least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    of_fp = distinct.join(linked.join(least, "label").select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(of_fp, "fp").select(id_back("k").alias("doc_id"), "fp", id_back("component").alias("component_id"))
+    linked = stored(labels.join(distinct.select(F.col("fp").alias("node"), "least"), "node").select("node", "label", "least"))
+    least = stored(linked.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("size")))
+    component = spread_join(linked.select("node", "label"), least, ["label"], "size", linked.count()).select(F.col("node").alias("fp"), "component")
+    of_fp = stored(distinct.join(component, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component")))
+    return spread_join(rows, of_fp, ["fp"], "n", rows.count()).select(id_back("k").alias("doc_id"), "fp", id_back("component").alias("component_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

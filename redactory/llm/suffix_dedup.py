@@ -50,6 +50,8 @@ STEP = 8
 BLOCK, MOST_DOCS = 4 << 20, 60_000
 #: Bytes of text for each bucket.
 BUCKET = 16 << 20
+#: What blocks and buckets grow to.
+MOST_BLOCK, MOST_BUCKET = 64 << 20, 128 << 20
 #: Suffixes that are sorted together.
 PASS = 1 << 20
 
@@ -274,13 +276,13 @@ def copies(rows: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """block (rising with doc_id), keys, lengths and raw (compressed bytes) of whole documents; copy_keys and copy_lengths of copies among them. Documents with the same doc_id share a block."""
+    """block (rising with doc_id), keys, lengths and raw (compressed bytes) of whole documents; copy_keys and copy_lengths of copies among them. Rows of one doc_id may fill many blocks; begun() tells them apart."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         keys: list[int] = []
         parts: list[bytes] = []
         copied: list[tuple[int, int]] = []
-        size, last, whole = 0, None, None
+        size, whole = 0, None
 
         def close() -> pa.RecordBatch:
             nonlocal n, keys, parts, copied, size
@@ -293,9 +295,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
                 if copy:
                     whole = (k, digest)
                     continue
-                if k != last and (size >= block_bytes or len(keys) + len(copied) >= MOST_DOCS):
+                if size >= block_bytes or len(keys) + len(copied) >= MOST_DOCS:
                     yield close()
-                last = k
                 raw = (text or "").encode()
                 if (k, digest) == whole:
                     copied.append((k, len(raw)))
@@ -309,7 +310,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     rows = docs.select(id_key().alias("k"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
     marks = copies(rows.where(F.octet_length("text") >= WIDTH).select("k", "digest")).select("k", "digest", F.lit(True).alias("copy"), F.lit(None).cast("string").alias("text"))  # a mark comes just before the texts that it is about
     both = rows.select("k", "digest", F.lit(False).alias("copy"), "text").unionByName(marks)
-    ranged = both.repartitionByRange("k").sortWithinPartitions("k", "digest", F.col("copy").desc())
+    ranged = both.repartitionByRange("k", "digest").sortWithinPartitions("k", "digest", F.col("copy").desc())
     return ranged.mapInArrow(build, BLOCK_SCHEMA)
 
 
@@ -318,6 +319,13 @@ BLOCK_NAMES = ["block", "keys", "lengths", "raw", "copy_keys", "copy_lengths"]
 BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
+def begun(held: DataFrame) -> DataFrame:
+    """block, head, head_doc: for blocks that go on with a doc_id of blocks before, the first block that has it, and its number there."""
+    edges = held.where(F.size("keys") > 0).select("block", F.element_at("keys", 1).alias("first"), F.element_at("keys", -1).alias("last"), (F.size(F.array_distinct("keys")) - 1).cast("long").alias("doc"))
+    ends = edges.groupBy(F.col("last").alias("first")).agg(F.min(F.struct(F.col("block").alias("head"), F.col("doc").alias("head_doc"))).alias("e"))
+    return edges.select("block", "first").join(ends, "first").where(F.col("e.head") < F.col("block")).select("block", "e.head", "e.head_doc")
+
+
 def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time, as each may hold a block."""
     for batch in slices(batches, 1):
@@ -374,7 +382,7 @@ def told_by(answers: list[dict] | None, buckets: int):
 
 
 def sent_runs(sifted: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, bytes (of distinct runs, one after the other), shape (length and document of each, as 32-bit integers; both compressed)."""
+    """bucket, block, bytes (of distinct runs, one after the other), shape (length and document of each, as 32-bit integers; both compressed), head, head_doc (as in begun(); else the block itself, and 0)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -387,32 +395,35 @@ def sent_runs(sifted: DataFrame, buckets: int) -> DataFrame:
                 if len(own):
                     shape = np.concatenate([size[own], doc[own]]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                     parts.append((b, press.compress(b"".join([runs.bytes[k] for k in own.tolist()])), press.compress(shape)))
-            yield messages([(b, row["block"]) for b, *_ in parts], bytes=[x for _, x, _ in parts], shape=[x for *_, x in parts])
+            sent = messages([(b, row["block"]) for b, *_ in parts], bytes=[x for _, x, _ in parts], shape=[x for *_, x in parts])
+            head = (row["block"], 0) if row["head"] is None else (row["head"], row["head_doc"])
+            yield pa.RecordBatch.from_arrays([*sent.columns, *(pa.array([h] * len(sent), pa.int64()) for h in head)], names=[*sent.schema.names, "head", "head_doc"])
 
-    return sifted.mapInArrow(send, "bucket int, block long, bytes binary, shape binary")
+    return sifted.mapInArrow(send, "bucket int, block long, bytes binary, shape binary, head long, head_doc long")
 
 
-def repeated_in(rows: list[tuple[bytes, bytes]], most: int = PASS) -> list[np.ndarray]:
-    """rows: bytes and shape of a bucket's messages, by rising block. For each a bit per suffix of its runs: whether a smaller document has its first WIDTH bytes. Of equal runs only the first is looked into, as it is in the smallest document."""
+def repeated_in(rows: list[tuple[bytes, bytes]], most: int = PASS, begins: list[tuple[int, int, int]] | None = None) -> list[np.ndarray]:
+    """rows: bytes and shape of a bucket's messages, by rising block. begins: for each a number that rises with the block, that of the block in which its first document began, and the document's number there; each its own without. For each a bit per suffix of its runs: whether a smaller document has its first WIDTH bytes. Of equal runs only the first is looked into, as none is in a smaller document."""
     open_ = zstandard.ZstdDecompressor()
     known: dict[bytes, int] = {}
-    ages, shapes, first = [], [], []
-    for k, (raw, shape) in enumerate(rows):
+    ages, messages_of, sizes = [], [], []
+    for (raw, shape), (own, head, head_doc) in zip(rows, begins or [(k, k, 0) for k in range(len(rows))], strict=True):
         raw = open_.decompress(raw)
         size, doc = np.frombuffer(open_.decompress(shape), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1).astype(np.int64)
         ends, before = np.cumsum(size), len(known)
         number = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, len(size))
-        shapes.append(size - WIDTH + 1)
-        first.append(number >= before)
-        ages.append((k << 32) + doc[number >= before])
-    found = repeated_suffixes(list(known), np.concatenate(ages), most)
-    out, at = [], 0
-    for n, new in zip(shapes, first, strict=True):
-        own = np.ones(int(n.sum()), bool)
-        upto = at + int(n[new].sum())
-        own[np.repeat(new, n)] = found[at:upto]
-        out.append(own)
-        at = upto
+        age = np.where(doc == 0, (head << 32) + head_doc, (own << 32) + doc)
+        fresh = number >= before
+        sizes.append(size[fresh] - WIDTH + 1)
+        ages.append(age[fresh])
+        messages_of.append((number, size - WIDTH + 1, age))
+    first, n_known = np.concatenate(ages), np.concatenate(sizes)
+    found = repeated_suffixes(list(known), first, most)
+    begin = np.cumsum(n_known) - n_known
+    out = []
+    for number, n, age in messages_of:
+        upto = np.cumsum(n)
+        out.append(found[np.repeat(begin[number] - upto + n, n) + np.arange(n.sum())] | np.repeat(age > first[number], n))
     return out
 
 
@@ -451,29 +462,42 @@ def sorted_buckets(runs: DataFrame) -> DataFrame:
 
     def sort_bucket(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
-        found = repeated_in(list(zip(group["bytes"].to_pylist(), group["shape"].to_pylist(), strict=True)))
+        block, head = group["block"].to_numpy(), group["head"].to_numpy()
+        rank = np.unique(np.concatenate([block, head]), return_inverse=True)[1].astype(np.int64)
+        begins = list(zip(rank[: len(block)].tolist(), rank[len(block) :].tolist(), group["head_doc"].to_pylist(), strict=True))
+        found = repeated_in(list(zip(group["bytes"].to_pylist(), group["shape"].to_pylist(), strict=True)), begins=begins)
         return pa.table({"bucket": group["bucket"], "block": group["block"], "bits": pa.array([bits(f) for f in found], pa.binary())})
 
     return collected(runs.groupBy("bucket").applyInArrow(sort_bucket, "bucket int, block long, bits binary"))
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET) -> DataFrame:
+def grown(total: int, least: int, most: int) -> int:
+    """Bytes that grow with the square root of the total beyond a gigabyte, so that blocks times buckets grow in proportion to it, until a task could not hold them."""
+    return min(most, int(least * max(1.0, total / 2**30) ** 0.5))
+
+
+def remove_repeats(docs: DataFrame, block_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, half-open, maximal), kept (the remaining bytes) for each row of docs (doc_id, text; other columns are left alone).
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of WIDTH
     bytes over it also starts in a document with a smaller doc_id. Rows with equal
-    doc_id don't count against each other; null is the smallest doc_id. Texts of
+    doc_id don't count against each other, and may be many; null is the smallest doc_id. Texts of
     fewer bytes keep all. A very long text is a block of its own, held by one task.
     An empty table gives an empty result.
 
-    block_bytes, bucket_bytes: text for each block and bucket. Messages are blocks
-    times buckets at most, so both should grow with the square root of the input.
+    block_bytes, bucket_bytes: text for each block and bucket, else by the input's size.
+    Messages are blocks times buckets at most: in proportion to the input up to some
+    hundred gigabytes, beyond with its square over 2^53 bytes.
     """
+    if block_bytes is None or bucket_bytes is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        block_bytes, bucket_bytes = block_bytes or grown(total, BLOCK, MOST_BLOCK), bucket_bytes or grown(total, BUCKET, MOST_BUCKET)
     held = stored(blocks(docs, block_bytes))
     total = held.select(F.sum(F.expr("aggregate(lengths, 0L, (a, b) -> a + b)"))).first()[0] or 0
     buckets = 1 << max(4, (total // bucket_bytes).bit_length())
     named = stored(seen_elsewhere(sent_names(held, buckets)))
-    sifted = held.join(named, "block", "left")
+    told = named.join(stored(begun(held)), "block", "full")
+    sifted = held.join(told, "block", "left")
     order = stored(sorted_buckets(sent_runs(sifted, buckets)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,3 +130,26 @@ def test_run_with_null_and_repeated_ids(spark, tmp_path):
         copies[r.doc_id] += r.copies
     assert Counter(r.doc_id for r in whole) == +copies
     assert copies[None] > 20
+
+
+@pytest.mark.parametrize("mapped", [False, True])
+def test_columns_of_any_name_come_through(spark, tmp_path, mapped):
+    """Names that the operators use themselves, and maps, keep their values in each stage."""
+    names = ["row_k", "row_th", "mix_copies", "mix_h", "row", "whole", "each", "k", "th", "h", "nth", "copies", "part", "score", "fp", "a.b"]
+    more = ", props map<string,int>" if mapped else ""
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names) + more
+    rows = [(i if i % 3 else None, f"text number {i % 11} of some words", "ab"[i % 2], *[f"{n} {i}" for n in names], *([{"x": i}] if mapped else [])) for i in range(40)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "number 4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {repr(r) for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = [repr(r) for r in out.collect()]
+        assert got, name
+        assert set(got) <= given, name
+        if name == "benchmark":
+            assert len(got) == sum(i % 11 != 4 for i in range(40))
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 40

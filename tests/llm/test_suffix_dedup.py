@@ -102,3 +102,21 @@ def test_cover_has_every_difference():
 def test_packing():
     keys = np.sort(np.random.default_rng(3).integers(0, 2**64, 1000, np.uint64))
     assert (opened(packed(keys)) == keys).all()
+
+
+@pytest.mark.parametrize("bucket", [None, 2000])
+def test_many_rows_of_one_id_fill_many_blocks(spark, bucket):
+    """A third of the rows without an id, and runs of equal ids, over blocks and partitions; none of a block's texts may count against its own id."""
+    rng = random.Random(8)
+    rand = lambda n: "".join(rng.choice("abcdefg é") for _ in range(n))
+    shared = [rand(60) for _ in range(12)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i // 10, rand(80) + rng.choice(shared) + rand(rng.randint(0, 99)) + rng.choice(shared)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = suffix_dedup.blocks(docs, 2000).collect()
+    assert max(sum(r.lengths) for r in held) < 4000
+    assert len({r.block for r in held if -(2**63) in r["keys"]}) > 5
+    heads = {r.block: r.head for r in suffix_dedup.begun(suffix_dedup.stored(suffix_dedup.blocks(docs, 2000))).collect()}
+    assert len(heads) > 5
+    assert all(h < b for b, h in heads.items())
+    got = sorted((str(r.doc_id), r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in remove_repeats(docs, 2000, bucket).collect())
+    assert got == brute(rows)

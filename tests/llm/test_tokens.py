@@ -145,3 +145,16 @@ def test_lengths_are_optimal_and_limited():
         cost += both
         heapq.heappush(heap, both)
     assert (counts * code_lengths(counts)).sum() == cost
+
+
+def test_many_rows_without_an_id_are_dealt_out(spark):
+    from redactory.llm.huffman import encoded
+
+    docs = spark.createDataFrame([(None, f"text {i} of many") for i in range(2000)], "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = encoded(docs, public_file("byte_bpe_50k.json"), 0, 500).where("counts IS NULL").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({b.part for b in blocks}) > 1
+    assert sum(len(b.doc_ids) for b in blocks) == 2000
