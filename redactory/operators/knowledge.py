@@ -59,11 +59,11 @@ def crossed(a: Column, b: Column, side: int) -> Column:
 
 
 def smallest(offers: DataFrame, asks: DataFrame, offered: Column, asked: Column) -> DataFrame:
-    """claim_id, other: for each place that an asking claim names, the smallest claim of the other polarity that is offered there. Offers are reduced to a row per place before the join."""
+    """cell, other: for each place that an asking cell names, the smallest claim of the other polarity that is offered there. Offers are reduced to a row per place before the join."""
     keys = ["p", "s", "o", "polarity", "place"]
     best = offers.select("p", "s", "o", "polarity", F.explode(offered).alias("place"), "claim_id").groupBy(*keys).agg(F.min("claim_id").alias("other"))
     against = F.when(F.col("polarity") == "positive", "negative").otherwise("positive")
-    return asks.select("p", "s", "o", against.alias("polarity"), F.explode(asked).alias("place"), "claim_id").join(best, keys).groupBy("claim_id").agg(F.min("other").alias("other"))
+    return asks.select("p", "s", "o", against.alias("polarity"), F.explode(asked).alias("place"), "cell").join(best, keys).groupBy("cell").agg(F.min("other").alias("other"))
 
 
 def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
@@ -73,10 +73,11 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
     Windows are closed; a missing bound is open. A window that ends before it starts
     meets those that hold both its bounds.
 
-    No pairs are made. Of two windows that overlap, the one that starts later starts
+    No pairs are made. Claims about one fact with one window are one cell, with its
+    smallest claim. Of two windows that overlap, the one that starts later starts
     inside the other. Bounds become ranks; a window is cut into nodes of a binary tree
-    over them, a start lies in one node of each level, and claims meet in nodes, each
-    reduced to its smallest claim. Rows per claim grow with the logarithm of the number
+    over them, a start lies in one node of each level, and cells meet in nodes, each
+    reduced to its smallest claim. Rows per cell grow with the logarithm of the number
     of distinct times.
     """
     turned = F.create_map(*[F.lit(x) for pair in inverse.items() for x in pair]) if inverse else F.create_map().cast("map<string,string>")
@@ -87,6 +88,8 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
     )
     fact, bits = ranked(fact.where("polarity IN ('positive', 'negative')"))
     fact = stored(fact)
+    window_of = ["p", "s", "o", "polarity", "lo", "hi"]
+    every, fact = fact, stored(fact.groupBy(*window_of).agg(F.min("claim_id").alias("claim_id")).withColumn("cell", F.monotonically_increasing_id()))  # claims about a fact with one window ask and offer the same
     lo, hi = F.col("lo"), F.col("hi")
     start, window = above(lo, bits), cover(lo, hi, bits)
     sided = lambda nodes, side: F.transform(nodes, lambda x: F.struct(F.lit(side).alias("side"), x.alias("x")))
@@ -98,7 +101,8 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
         offered = crossed(above(lo, bits), above(hi, bits), 0)
         asked = crossed(cover(F.lit(0).cast("long"), hi, bits), cover(lo, F.lit((1 << bits) - 1).cast("long"), bits), 0)
         found = found.unionByName(smallest(of_fact, turned_back, offered, asked)).unionByName(smallest(turned_back, of_fact, offered, asked))
-    return found.groupBy("claim_id").agg(F.min("other").alias("conflicting_id"))
+    asked = fact.drop("claim_id").join(found, "cell")
+    return every.join(asked, window_of).groupBy("claim_id").agg(F.min("other").alias("conflicting_id"))
 
 
 def cooccurrences(mentions: DataFrame, by: str, name: str, place: str) -> DataFrame:
@@ -123,17 +127,6 @@ def isolated(text: Column, subject: Column, object_: Column, predicate: Column,
     return out
 
 
-def resolve_aliases(aliases: DataFrame, depth: int = 16) -> DataFrame:
-    """alias, canonical, hops, looped: alias chains followed to their end by doubling: after n rounds a step covers 2^n links, so depth rounds suffice for chains of 2^depth."""
-    step = aliases.select("alias", F.col("canonical").alias("target"), F.lit(1).cast("long").alias("hops"))
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
-        onward = step.select(F.col("alias").alias("target"), F.col("target").alias("next"), F.col("hops").alias("more"))
-        step = step.join(onward, "target", "left").select("alias", F.coalesce("next", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-    ends = aliases.select(F.col("alias").alias("target"), F.lit(True).alias("looped"))
-    return step.join(ends, "target", "left").select("alias", F.col("target").alias("canonical"), "hops", F.coalesce("looped", F.lit(False)).alias("looped"))
-
-
 def hop(edges: DataFrame, n: int) -> DataFrame:
     """Edges with the n-th hop's column names."""
     return edges.select(F.col("edge_id").alias(f"e{n}"), F.col("subject_id").alias(f"v{n - 1}"), F.col("object_id").alias(f"v{n}"), F.col("predicate").alias(f"p{n}"))

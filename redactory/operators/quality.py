@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.sources.tables import stored
+
 
 def label_counts(gold: DataFrame, predicted: DataFrame, key: str, label: str) -> DataFrame:
     """label, tp, fp, fn over distinct (key, label) pairs."""
@@ -44,11 +48,46 @@ def shared_between(splits: DataFrame, split: str, *keys: str) -> DataFrame:
     return out
 
 
+def order_statistics(counts: DataFrame, value: str, points: tuple[float, ...], *by: str) -> DataFrame:
+    """by, p (array): the linearly interpolated quantiles of each group at points. counts: by, value (a double), n (how often); each once.
+
+    Values are dealt out by range, so that a group's may lie in many partitions; n is
+    summed up within a partition, and per group over the partitions before. Only the two
+    neighbours of each quantile are read off; no task holds a group's values.
+    """
+    laid = stored(counts.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    own = [*[F.col(b) for b in by], part]
+    totals = laid.groupBy(*by, part.alias("part")).agg(F.sum("n").alias("z"))
+    of_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row per group and partition
+    placed = totals.withColumn("before", F.sum("z").over(of_group.orderBy("part")) - F.col("z")).withColumn("total", F.sum("z").over(of_group))
+    inner = laid.withColumn("part", part).withColumn("upto", F.sum("n").over(Window.partitionBy(*own).orderBy("at")))
+    same = [inner[b].eqNullSafe(placed[b]) for b in by] + [inner["part"] == placed["part"]]
+    found = inner.join(placed, functools.reduce(lambda a, c: a & c, same)).select(*[inner[b] for b in by], value, (F.col("before") + F.col("upto")).alias("upto"), "n", "total")
+    wanted = [(F.lit(p) * (F.col("total") - 1)) for p in points]
+    holds = lambda rank: (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+    near = functools.reduce(lambda a, c: a | c, [holds(f(w)) for w in wanted for f in (F.floor, F.ceil)])
+    read = [F.max(F.when(holds(f(w)), F.col(value))) for w in wanted for f in (F.floor, F.ceil)]
+    got = found.where(near).groupBy(*by).agg(F.first("total").alias("total"), F.array(*read).alias("v"))
+    ends = [(F.lit(p) * (F.col("total") - 1), F.col("v")[2 * i], F.col("v")[2 * i + 1]) for i, p in enumerate(points)]
+    return got.select(*by, F.array(*[F.when(F.floor(w) == F.ceil(w), low).otherwise((F.ceil(w) - w) * low + (w - F.floor(w)) * high) for w, low, high in ends]).alias("p"))
+
+
 def latencies(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Per group and over all (null group): count, mean, linearly interpolated p50, p95, p99, max."""
-    points = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    got = rows.rollup(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), points.alias("p"), F.max(value).alias("top"))
-    return got.select(*by, "n", F.round("mean", 4).alias("mean"), *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "top")
+    """Per group and over all (null group): count, mean, linearly interpolated p50, p95, p99, max. Null values count as rows only; a group without values has no quantiles."""
+    points = (0.5, 0.95, 0.99)
+    v = F.col(value).cast("double").alias(value)
+    counts = stored(rows.where(F.col(value).isNotNull()).select(*by, v).groupBy(*by, value).agg(F.count("*").alias("n")))
+    of_groups = order_statistics(counts, value, points, *by)
+    of_all = order_statistics(counts.groupBy(value).agg(F.sum("n").alias("n")), value, points)
+    sums = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("top")]
+    groups = rows.groupBy(*by).agg(*sums)
+    same = functools.reduce(lambda a, c: a & c, [groups[b].eqNullSafe(of_groups[b]) for b in by])
+    each = groups.join(of_groups, same, "left").select(*[groups[b] for b in by], "n", "mean", "p", "top")
+    none = [F.lit(None).cast(rows.schema[b].dataType).alias(b) for b in by]
+    total = rows.agg(*sums).join(of_all, F.lit(True), "left").select(*none, "n", "mean", "p", "top")  # one row each
+    both = each.unionByName(total)
+    return both.select(*by, "n", F.round("mean", 4).alias("mean"), *[F.round(F.get("p", F.lit(i)), 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "top")
 
 
 def catalog(intents: DataFrame, evidence: DataFrame, now: Column) -> DataFrame:

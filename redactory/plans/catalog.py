@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection, exchange, extraction, governed, intake, lifecycle, quality, records
+from redactory.plans import detection, exchange, extraction, governed, intake, lifecycle, quality, records, streams
 
-MODULES = (detection, exchange, extraction, governed, intake, lifecycle, quality, records)
+MODULES = (detection, exchange, extraction, governed, intake, lifecycle, quality, records, streams)
 
 
 def queries() -> dict:

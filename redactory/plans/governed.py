@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions import checks
+from redactory.operators import chains as ch
 from redactory.operators import governance as gov
 from redactory.operators import knowledge as kn
 from redactory.sources.derived import NOW, derived, with_tables
@@ -215,15 +216,31 @@ def claim_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIDENCE_SQL = f"""{with_tables("claims", "sources")}, b AS (SELECT predicate, source_kind, char_start * 4 AS span, CASE WHEN predicate = 'supplies' THEN 0.85 ELSE 0.5 END::DOUBLE AS base FROM claims JOIN sources USING (source_id))
 SELECT predicate, round(least(1.0, greatest(0.0, CASE source_kind WHEN 'master_data' THEN least(1.0, base + 0.15) WHEN 'document' THEN least(1.0, base + 0.10) WHEN 'model_output' THEN greatest(0.1, base - 0.20) ELSE base END - CASE WHEN span > 100 THEN 0.15 ELSE 0 END)), 4)::DOUBLE AS score, count(*)::BIGINT AS n FROM b GROUP BY ALL"""
 
-ALIASES = "SELECT concat('n', CAST(s_suppkey AS STRING)) AS alias, concat('n', CAST(CASE WHEN s_suppkey % 25 = 24 THEN s_suppkey - 2 ELSE s_suppkey + 1 END AS STRING)) AS canonical FROM {supplier} WHERE s_suppkey % 10 <> 9"
+#: In two scopes chains of 1,008 links; in the third, blocks with a way of some names into a loop of 1,001.
+ALIASES = """SELECT o_orderkey % 3 AS scope, concat('n', CAST(o_orderkey DIV 3 AS STRING)) AS alias, concat('n', CAST(CASE WHEN o_orderkey % 3 = 2 AND (o_orderkey DIV 3) % 1009 = 1008 THEN (o_orderkey DIV 3) - 1000 ELSE (o_orderkey DIV 3) + 1 END AS STRING)) AS canonical
+FROM {orders} WHERE o_orderkey % 3 = 2 OR (o_orderkey DIV 3) % 1009 <> 0"""
 
 
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn.resolve_aliases(spark.sql(ALIASES, supplier=table(spark, sf_dir, "supplier")), 32).select("alias", F.when(~F.col("looped"), F.col("canonical")).alias("canonical"), "looped")
+    return ch.resolve_aliases(spark.sql(ALIASES, orders=table(spark, sf_dir, "orders")), ("scope",))
 
 
-ALIAS_SQL = f"""WITH RECURSIVE a AS ({ALIASES.replace("{supplier}", "supplier")}), r AS (SELECT alias, canonical, 1 AS n FROM a UNION ALL SELECT r.alias, a.canonical, n + 1 FROM r JOIN a ON r.canonical = a.alias WHERE n < 64)
-SELECT alias, CASE WHEN max(n) < 64 THEN arg_max(canonical, n) END AS canonical, max(n) >= 64 AS looped FROM r GROUP BY alias"""
+ALIAS_SQL = """WITH a AS (SELECT o_orderkey % 3 AS scope, o_orderkey // 3 AS i FROM orders), x AS (SELECT *, max(i) OVER (PARTITION BY scope) + 1 AS stop, i // 1009 * 1009 + 1009 AS next FROM a),
+y AS (SELECT *, scope = 2 AND next <= stop AS looped FROM x WHERE scope = 2 OR i % 1009 <> 0),
+z AS (SELECT scope, i, looped, CASE WHEN looped THEN greatest(i, next - 1001) WHEN scope = 2 THEN stop ELSE least(next, stop) END AS e FROM y)
+SELECT scope, concat('n', i) AS alias, concat('n', e) AS canonical, e - i AS hops, looped FROM z"""
+
+#: Customers have a role, roles one above them, and the uppermost leads back.
+MEMBERS = """SELECT DISTINCT c_nationkey % 2 AS scope, concat('u', CAST(c_custkey AS STRING)) AS member, concat('r', CAST(c_custkey % 64 AS STRING)) AS role FROM {customer}
+UNION SELECT c_nationkey % 2, concat('r', CAST(c_custkey % 64 AS STRING)), concat('r', CAST(CASE WHEN c_custkey % 64 = 0 THEN 5 ELSE CAST(floor(c_custkey % 64 / 2) AS BIGINT) END AS STRING)) FROM {customer}"""
+
+
+def role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.reachable(spark.sql(MEMBERS, customer=table(spark, sf_dir, "customer")), ("scope",))
+
+
+CLOSURE_SQL = f"""WITH RECURSIVE m AS ({MEMBERS.replace("{customer}", "customer")}), r AS (SELECT scope, member, role, 1 AS hops FROM m UNION SELECT r.scope, r.member, m.role, r.hops + 1 FROM r JOIN m ON r.scope = m.scope AND r.role = m.member WHERE r.hops < 16)
+SELECT scope, member, role, min(hops)::BIGINT AS hops FROM r GROUP BY 1, 2, 3"""
 
 
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +300,6 @@ QUERIES = {
     "publish_admission": (publish_admission, ADMISSION_SQL), "active_publications": (active_publications, ACTIVE_SQL), "evidence_status": (evidence_status, STATUS_SQL), "delivery_snapshot": (delivery_snapshot, DELIVERY_SQL),
     "availability": (availability, AVAILABILITY_SQL), "source_invalidation": (source_invalidation, INVALIDATION_SQL), "outbox_pending": (outbox_pending, PENDING_SQL), "keyset_page": (keyset_page, PAGE_SQL), "dict_search_page": (dict_search_page, SEARCH_SQL),
     "candidates_by_source": (candidates_by_source, BY_SOURCE_SQL), "independent_sources": (independent_sources, INDEPENDENT_SQL), "schema_guard": (schema_guard, GUARD_SQL), "mutual_exclusion": (mutual_exclusion, EXCLUSION_SQL),
-    "claim_confidence": (claim_confidence, CONFIDENCE_SQL), "alias_resolve": (alias_resolve, ALIAS_SQL), "cooccurrence_pairs": (cooccurrence_pairs, PAIRS_SQL), "cooccurrence_isolate": (cooccurrence_isolate, ISOLATE_SQL),
+    "claim_confidence": (claim_confidence, CONFIDENCE_SQL), "alias_resolve": (alias_resolve, ALIAS_SQL), "role_closure": (role_closure, CLOSURE_SQL), "cooccurrence_pairs": (cooccurrence_pairs, PAIRS_SQL), "cooccurrence_isolate": (cooccurrence_isolate, ISOLATE_SQL),
     "graph_one_hop": (graph_one_hop, ONE_SQL), "graph_two_hop": (graph_two_hop, TWO_SQL), "graph_count_distinct": (graph_count_distinct, COUNT_SQL), "graph_elements": (graph_elements, ELEMENTS_SQL),
 }

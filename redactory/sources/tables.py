@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -19,42 +17,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors see. Where that is unset, a folder of this machine serves a session that runs on this machine alone; on a cluster that is an error."""
+    """A new path below spark.checkpoint.dir, which all executors see, deleted when the application ends. Where that is unset, the session's own spark.local.dir serves one that runs on this machine alone; on a cluster, and without either, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        base = spark.sparkContext.getConf().get("spark.local.dir")
     if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        base = os.path.join(tempfile.gettempdir(), "redactory-tables")
-    return f"{base}/redactory-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    top, files = files_of(spark, f"{base}/redactory-{uuid.uuid4().hex}")
+    files.mkdirs(top)
+    files.deleteOnExit(top)
+    return f"{top.toString()}/rows"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = files_of(spark, path)
+    files.delete(where, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once and read back, for results of Python work that several joins use."""
+    """df, written once and read back, for results of Python work that several joins use, and for rounds."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    for df in tables:
+        delete(df.sparkSession, df._stored_at)
+
+
+def state_of(spark: SparkSession, folder: str) -> int:
+    """A number that changes when a file below folder is added, changed or deleted."""
+    where, files = files_of(spark, folder)
+    found, each = [], files.listFiles(where, True)
+    while each.hasNext():
+        f = each.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
 
 
-_made: dict[tuple, tuple[str, StructType]] = {}
+_made: dict[tuple, tuple[int, str, StructType]] = {}
 
 
 def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that make() gave first for the key in this application, stored. The key has to name its inputs, which are taken not to change meanwhile; forget() drops them."""
-    key = (spark.sparkContext.applicationId, *key)
+    """The table that make() gives for the key, stored for this application. key[0] is the folder that make() reads; when its files have changed, the table is made anew and the old one deleted. forget() drops all."""
+    key, state = (spark.sparkContext.applicationId, *key), state_of(spark, key[0])
+    if key in _made and _made[key][0] != state:
+        delete(spark, _made.pop(key)[1])
     if key not in _made:
         df, path = make(), shared_folder(spark)
         df.write.parquet(path)
-        _made[key] = path, df.schema
-    path, schema = _made[key]
+        _made[key] = state, path, df.schema
+    _, path, schema = _made[key]
     return spark.read.schema(schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables of once() of this application."""
     for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop(key)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _made.pop(key)[1])
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from redactory.sources.tables import shared_folder, table
+from redactory.sources.tables import delete, discard, files_of, shared_folder, stored, table
+from redactory.streaming.segments import Segments
 
 
 def run_once(stream: DataFrame, batch, folder: str) -> None:
@@ -14,17 +18,58 @@ def run_once(stream: DataFrame, batch, folder: str) -> None:
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
 
 
-def relay(stream: DataFrame, key: tuple[str, ...], folder: str, valid: Column | None = None) -> DataFrame:
-    """Each distinct key of the stream once, in a table at folder; keys are held in Spark's state store, so that earlier rows are not read again. Rows that are not valid, or whose validity is unknown, go to quarantine() instead. A run after a failure goes on from the last committed batch."""
-    spark, schema = stream.sparkSession, stream.schema
+def judge_by(valid: Column | None) -> Callable[[DataFrame], DataFrame]:
+    """Rows with verdict: accepted if valid, else rejected; unknown counts as not valid."""
     good = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
-    for rows, name in ((stream.where(good).dropDuplicates(list(key)), "rows"), *([(stream.where(~good), "quarantine")] if valid is not None else [])):
-        rows.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/rows")
+    return lambda rows: rows.withColumn("verdict", F.when(good, "accepted").otherwise("rejected"))
+
+
+def relay(stream: DataFrame, key: tuple[str, ...], folder: str, judge: Callable[[DataFrame], DataFrame] | Column | None = None, attempts: int = 3) -> DataFrame:
+    """Each distinct key of the stream once, in the table rows at folder. A run after a failure goes on from the last committed batch.
+
+    judge adds verdict to the rows of a batch: accepted, retry or rejected; null counts
+    as rejected. It is asked anew for rows to be retried with each next batch, attempts
+    times in all. Rejected rows, and those whose attempts are
+    used up, go to quarantine(). Keys that were relayed are kept in segments, exact for
+    ever; a batch writes its new keys only, and nothing is held in memory. Null keys are
+    keys. Of one key's rows in a batch any may be the one that is relayed.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    decide = judge if callable(judge) else judge_by(judge)
+    keys = StructType([schema[k] for k in key])
+    waiting_schema = StructType([*schema.fields, StructField("attempt", LongType())])
+    sent, waiting = Segments(spark, f"{folder}/keys", keys), Segments(spark, f"{folder}/waiting", waiting_schema)
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        sent.settle(batch_id)
+        earlier = [s for s in waiting.listed() if s[1] < batch_id]
+        again = spark.read.schema(waiting_schema).parquet(f"{folder}/waiting/{earlier[-1][0]}-{earlier[-1][1]}") if earlier else spark.createDataFrame([], waiting_schema)  # the newest has all that wait
+        asked = df.select(*schema.names, F.lit(0).cast("long").alias("attempt")).unionByName(again)
+        verdict = F.when((F.col("verdict") == "retry") & (F.col("attempt") + 1 < attempts), "retry").when(F.col("verdict") == "accepted", "accepted").otherwise("rejected")
+        judged = stored(decide(asked).withColumn("verdict", verdict))
+        known = sent.read(batch_id)
+        same = functools.reduce(lambda a, b: a & b, [judged[k].eqNullSafe(known[k]) for k in key])
+        fresh = judged.join(known, same, "left_anti").dropDuplicates(["verdict", *key])
+        accepted = stored(fresh.where("verdict = 'accepted'").select(*schema.names))
+        accepted.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        sent.write(accepted.select(*key), batch_id)
+        waiting.write(fresh.where("verdict = 'retry'").withColumn("attempt", F.col("attempt") + 1), batch_id)
+        judged.where("verdict = 'rejected'").select(*schema.names).write.mode("overwrite").parquet(f"{folder}/quarantine/batch={batch_id}")
+        for old in earlier[:-1]:
+            delete(spark, f"{folder}/waiting/{old[0]}-{old[1]}")
+        discard(judged, accepted)
+
+    run_once(stream, write, folder)
+    return relayed(spark, schema, f"{folder}/rows")
+
+
+def relayed(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    top, files = files_of(spark, path)
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path).select(*schema.names) if files.exists(top) else spark.createDataFrame([], schema)
 
 
 def quarantine(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/quarantine")
+    return relayed(spark, schema, f"{folder}/quarantine")
 
 
 def relay_stats(seen: DataFrame, key: tuple[str, ...], valid: Column) -> DataFrame:
@@ -35,49 +80,31 @@ def relay_stats(seen: DataFrame, key: tuple[str, ...], valid: Column) -> DataFra
     return counts.agg(F.count_if("relay_good").alias("submitted"), zero(F.when(F.col("relay_good"), F.col("relay_n") - 1)).alias("skipped"), zero(F.when(~F.col("relay_good"), F.col("relay_n"))).alias("quarantined"))
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Batches whose table in folder is complete, by rising number."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return []
-    found = [f.getPath() for f in files.listStatus(top)]
-    return sorted(int(p.getName()) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
 def consume(stream: DataFrame, key: str, event: tuple[str, ...], order: str, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Each key's row with the greatest order over all batches, and the receipts (the columns of event, which name one, and the batch). An event that has a receipt is not applied again.
+    """Each key's row with the greatest order over all batches, and the receipts (the columns of event, which name one). An event that has a receipt is not applied again.
 
-    The state after a batch is a table of its own, made from the newest one before it,
-    and receipts are written with it, each batch's over its own, so a repeated batch
-    gives the same. A run without news returns the newest state. Of older states the
-    one before stays, for a repeat.
+    A batch writes the rows of the keys that it touches, and its own receipts; the state
+    is what the segments of both give when merged. A repeated batch gives the same.
     """
     spark, schema = stream.sparkSession, stream.schema
-    receipts = StructType([schema[e] for e in event])
+    rest = [c for c in schema.names if c != key]
 
-    def known() -> DataFrame:
-        return spark.read.schema(StructType([*receipts.fields, StructField("batch", LongType())])).parquet(f"{folder}/receipts")
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*schema.names)
+
+    state = Segments(spark, f"{folder}/state", schema, latest)
+    receipts = Segments(spark, f"{folder}/receipts", StructType([schema[e] for e in event]))
 
     def write(df: DataFrame, batch_id: int) -> None:
-        earlier = [v for v in versions(spark, f"{folder}/state") if v < batch_id]
-        fresh = df.dropDuplicates(list(event))
-        if earlier:
-            fresh = fresh.join(known().where(F.col("batch") < batch_id).select(*event), list(event), "left_anti")
-        rows = fresh.select(*schema.names)
-        if earlier:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/state/{earlier[-1]}"))
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in schema.names if c != key]), order).alias("r")).select(key, "r.*")
-        fresh.select(*event).write.mode("overwrite").parquet(f"{folder}/receipts/batch={batch_id}")
-        latest.select(*schema.names).write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
-        for old in earlier[:-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for held in (state, receipts):
+            held.settle(batch_id)
+        fresh = stored(df.dropDuplicates(list(event)).join(receipts.read(batch_id), list(event), "left_anti"))
+        state.write(latest(fresh), batch_id)
+        receipts.write(fresh, batch_id)
+        discard(fresh)
 
     run_once(stream, write, folder)
-    if not (done := versions(spark, f"{folder}/state")):
-        return spark.createDataFrame([], schema), spark.createDataFrame([], receipts)
-    return spark.read.schema(schema).parquet(f"{folder}/state/{done[-1]}"), known().select(*event)
+    return state.read(), receipts.read()
 
 
 def fold_latest(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:

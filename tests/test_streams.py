@@ -1,13 +1,17 @@
 """Streams and documents: any split of the chunks gives the same result."""
 
+import datetime
 import io
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from redactory.sources.documents import Rejected, blocks, extract, markdown
-from redactory.streaming.relay import consume, fold_latest, quarantine, relay, relay_stats, versions
+from redactory.streaming.relay import consume, fold_latest, quarantine, relay, relay_stats
+from redactory.streaming.restore import cut, restore_branches, sent
+from redactory.streaming.segments import Segments
 from redactory.streaming.sse import MOST, BrokenStream, Event, EventParser, events_of, parse, restore_piece, restore_stream
 
 BODY = "event: a\r\ndata: one\r\ndata: two\r\n\r\n: note\n\rdata:three\n\ndata: [DONE]\n\n"
@@ -56,7 +60,6 @@ def test_relay_and_fold_over_batches(spark, tmp_path):
     state = lambda: sorted((r.k, r.n) for r in fold_latest(read(), "k", "n", str(tmp_path / "f")).collect())
     assert state() == [(1, 9), (2, 2), (3, 3)]
     assert state() == [(1, 9), (2, 2), (3, 3)]  # a run without news
-    assert len(versions(spark, str(tmp_path / "f" / "state"))) == 2  # older states are gone
     assert relay(read(), ("k", "n"), str(tmp_path / "r")).count() == 5
     spark.createDataFrame([(2, 8), (9, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert state() == [(1, 9), (2, 8), (3, 3), (9, 1)]
@@ -125,3 +128,76 @@ def test_markdown(spark):
 def test_rejections(data, kind, code):
     with pytest.raises(Rejected, match=code):
         blocks(data, kind)
+
+
+def test_segments_write_what_a_batch_touches(spark, tmp_path):
+    """A batch of 1 % of the keys writes 1 % of the rows; merged segments halve in size, and a repeated batch changes nothing."""
+    schema = StructType.fromDDL("k long, n long")
+    latest = lambda rows: rows.groupBy("k").agg(F.max("n").alias("n"))
+    held = Segments(spark, str(tmp_path / "s"), schema, latest)
+    want = {}
+    for batch in range(9):
+        rows = [(k, batch) for k in range(1000)] if batch == 0 else [(k * 37 % 1010, batch) for k in range(10 * batch, 10 * batch + 10)]
+        for _ in range(2 if batch in (4, 8) else 1):
+            held.settle(batch)
+            held.write(spark.createDataFrame(rows, schema), batch)
+        want |= dict(rows)
+        assert held.rows((batch, batch)) == len(rows)
+    sizes = [held.rows(s) for s in held.listed()]
+    assert len(sizes) < 6
+    assert sizes == sorted(sizes, reverse=True)
+    assert {r.k: r.n for r in held.read().collect()} == want
+    assert {r.n for r in held.read(before=8).collect()} <= set(range(8))
+
+
+def test_rows_are_retried_and_then_quarantined(spark, tmp_path):
+    schema = "k long, n long"
+    allowed = spark.createDataFrame([(1,)], "k long")
+    tries = []
+
+    def judge(rows):
+        tries.append(1)
+        known = allowed if len(tries) < 2 else allowed.unionByName(spark.createDataFrame([(2,)], "k long"))
+        return rows.join(known.withColumn("ok", F.lit(True)), "k", "left").withColumn("verdict", F.when(F.col("ok"), "accepted").when(F.col("k") < 0, "rejected").otherwise("retry"))
+
+    for part in ([(1, 1), (2, 2), (3, 3), (-1, 0)], [(1, 1), (4, 4)], [(5, 5)], [(6, 6)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = relay(stream, ("k", "n"), str(tmp_path / "r"), judge)
+    assert sorted(r.k for r in got.collect()) == [1, 2]
+    assert sorted(r.k for r in quarantine(spark, stream.schema, str(tmp_path / "r")).collect()) == [-1, 3, 4]
+
+
+TEXTS = ["hello <ORG_001>!", "<ORG_009> x", "see <ORG_00", "ORG_001 bare", "plain", "<ORG_002><PER_001>", "a < b <<ORG_001>", "xORG_001 and ORG_001x", "<  ORG_001>", "<org-7>", "漢字ORG_001漢字 <ORG_001>", "see <OR", "tail ORG_001"]
+
+
+def test_every_split_of_a_stream_gives_the_code_of_the_whole(spark, tmp_path):
+    from redactory.operators.exchange import restored
+
+    known = {"<ORG_001>": "Acme", "<ORG_002>": "x <ORG_001> y", "<PER_001>": "Ann"}
+    splits = [(t, i, j) for t in TEXTS for i in range(0, len(t) + 1, 2) for j in (i + 1, i + 4, len(t)) if j <= len(t)]
+    ids = {k: (t, [t[:i], t[i:j], t[j:]]) for k, (t, i, j) in enumerate(splits)}
+    schema = "stream_id long, branch string, seq int, chunk string, last boolean, at timestamp"
+    for seq in range(3):
+        rows = [(k, "b", seq, parts[seq], seq == 2 and k % 7 != 0, datetime.datetime(2024, 1, 1, 0, seq)) for k, (_, parts) in ids.items()]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / f"in{seq}"))
+    spark.createDataFrame([(-1, "b", 0, "", True, datetime.datetime(2024, 1, 2))], schema).write.parquet(str(tmp_path / "in3"))
+    mapping = spark.createDataFrame([(k, t, o) for k in ids for t, o in known.items()], "stream_id long, token string, original string")
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in ids.items()], "stream_id long, text string")
+    want = {r.stream_id: (r.restored, r.code) for r in restored(texts, mapping, "stream_id", "stream_id", "text").collect()}
+    for seq in range(4):  # one run each, which goes on from the one before
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{seq}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{seq}-{f.name}")
+        restore_branches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), mapping, str(tmp_path / "out"))
+    got = {r.stream_id: (None if r.code else r.restored, r.code) for r in sent(spark, str(tmp_path / "out")).where("stream_id >= 0").collect()}
+    assert got.keys() == ids.keys()
+    for k, (t, parts) in ids.items():
+        if k % 7:
+            assert got[k] == want[k], (t, parts)
+        else:  # the last chunk never came as such
+            assert got[k][1] in ("TRUNCATED", want[k][1]), (t, parts)
+
+
+def test_cut_waits_for_what_may_be_a_placeholder():
+    assert [cut(t) for t in ("", "a b", "see <OR", "see <<", "a < b c", "x <ORG_001>", "<  ", "y" * 200, "end.", "< " + " " * 200)] == [0, 2, 4, 4, 6, 11, 0, 200, 4, 202]
