@@ -104,9 +104,10 @@ def replaced(requests: DataFrame, texts: DataFrame, redacted: DataFrame, key: st
     return done.select(key, F.when(code.isNull(), F.col("body")).alias("body"), code.alias("code"))
 
 
-#: What looks like a placeholder without its brackets, and the beginning of one at a text's end.
+# What looks like a placeholder without its brackets, and the beginning of one at a text's end.
 BARE = r"(?:^|[^<\p{L}\p{N}_])([A-Z][A-Z0-9_]{0,31})_[0-9]{3,}(?=$|[^>\p{L}\p{N}_])"
 TAIL = r"<([A-Z][A-Z0-9_]*)$"
+# End of fixed values.
 
 
 def restored(texts: DataFrame, mapping: DataFrame, request: str, key: str, text: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.operators.spans import merge_spans, number_tokens, replaced, restored
+from redactory.operators.spans import TOKEN, merge_spans, number_tokens, replaced, restored
 
 CHAT = "model string, messages array<struct<role: string, content: string, tool_call_id: string>>"
 #: Roles whose text is searched.
@@ -54,11 +54,14 @@ class Masked:
 
 
 def mask(fragments: DataFrame, spans: DataFrame, request: str, key: str, text: str = "text") -> Masked:
-    """Spans merged, blocked requests left out of everything, originals numbered per request, texts replaced."""
+    """Spans merged, blocked requests left out of everything, originals numbered per request under their role or type, texts replaced. Role evidence is gathered over all of a request before any number is given."""
     blocked = blocked_requests(fragments, spans, request, key).where("blocked").select(request)
     open_ = fragments.join(blocked, request, "left_anti")
-    uses = merge_spans(spans, key).join(open_.select(key, request, text), key).select(request, key, "start", "end", "entity_type", F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("original"))
-    mapping = number_tokens(uses, request, key, "start")
+    start = F.col("start")
+    original, before = F.substring(text, start + 1, F.col("end") - start), F.substring(text, F.greatest(start - 10, F.lit(0)) + 1, F.least(start, F.lit(10)))
+    seen = merge_spans(spans, key).join(open_.select(key, request, text), key).select(request, key, "start", "end", "entity_type", original.alias("original"), before.alias("before"))
+    uses = seen.drop("before")
+    mapping = number_tokens(uses, request, key, "start", roles=roles(seen, request))
     edits = uses.join(mapping, [request, "entity_type", "original"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("edits"))
     none = F.array().cast("array<struct<start: int, end: int, token: string>>")
     redacted = open_.join(edits, key, "left").withColumn("redacted", replaced(F.col(text), F.coalesce("edits", none)))
@@ -66,10 +69,12 @@ def mask(fragments: DataFrame, spans: DataFrame, request: str, key: str, text: s
 
 
 def restore(redacted: DataFrame, mapping: DataFrame, request: str, text: str) -> DataFrame:
-    """Adds restored: text with its request's tokens put back. The map of a request is as large as its distinct originals."""
-    maps = mapping.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
+    """Adds restored: text with its request's tokens put back; unknown tokens stay. The tokens of each distinct text are joined with the mapping one by one, so a request's mapping is never gathered."""
+    rows = redacted.withColumn("text_digest", F.sha2(text, 256))
+    asked = rows.select(request, "text_digest", F.explode(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))).alias("token")).distinct()
+    known = asked.join(mapping.select(request, "token", "original"), [request, "token"]).groupBy(request, "text_digest").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("text_known"))
     none = F.create_map().cast("map<string,string>")
-    return redacted.join(maps, request, "left").withColumn("restored", restored(F.col(text), F.coalesce("known", none))).drop("known")
+    return rows.join(known, [request, "text_digest"], "left").withColumn("restored", restored(F.col(text), F.coalesce("text_known", none))).drop("text_digest", "text_known")
 
 
 # Words before a name that tell its role, and what may stand between.

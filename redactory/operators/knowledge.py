@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,35 @@ from redactory.sources.tables import stored
 MOST_BROADCAST = 100_000
 
 
-def schema_guard(claims: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds violation: unknown_predicate, domain_mismatch or range_mismatch, or null. rules: predicate, domain, range (arrays, '*' for any), a table of fixed size."""
+#: Kinds of attributes, and the JSON values that they take; a boolean counts as a whole number, a number without a fraction does not.
+ATTRIBUTES = {"int": "^(TINYINT|SMALLINT|INT|BIGINT|BOOLEAN)", "float": "^(TINYINT|SMALLINT|INT|BIGINT|BOOLEAN|FLOAT|DOUBLE|DECIMAL)", "string": "^STRING"}
+
+
+def schema_guard(claims: DataFrame, entities: DataFrame, rules: DataFrame, attributes: DataFrame | None = None, properties: str | None = None) -> DataFrame:
+    """Adds violation, or null: the first of unknown_predicate, unknown_subject, unknown_object, domain_mismatch, range_mismatch, attribute_mismatch.
+
+    rules: predicate, domain, range (arrays, '*' for any), a table of fixed size. An
+    entity that is not there has no type and fits '*' only. attributes: predicate,
+    name, kind (of ATTRIBUTES; others take anything), a table of fixed size; properties:
+    a column with a JSON object. Attributes that no rule names, and nulls, are left alone.
+    """
     types = entities.select("entity_id", "entity_type")
-    typed = claims.join(types.withColumnRenamed("entity_id", "subject_id").withColumnRenamed("entity_type", "subject_type"), "subject_id").join(types.withColumnRenamed("entity_id", "object_id").withColumnRenamed("entity_type", "object_type"), "object_id")
-    fits = lambda allowed, kind: F.array_contains(allowed, kind) | F.array_contains(allowed, F.lit("*"))
-    return typed.join(rules, "predicate", "left").withColumn(
-        "violation", F.when(F.col("domain").isNull(), "unknown_predicate").when(~fits("domain", F.col("subject_type")), "domain_mismatch").when(~fits("range", F.col("object_type")), "range_mismatch")
-    )
+    typed = claims.join(types.withColumnsRenamed({"entity_id": "subject_id", "entity_type": "subject_type"}), "subject_id", "left").join(types.withColumnsRenamed({"entity_id": "object_id", "entity_type": "object_type"}), "object_id", "left")
+    fits = lambda allowed, kind: F.coalesce(F.array_contains(allowed, kind), F.lit(False)) | F.array_contains(allowed, F.lit("*"))
+    rows, wrong = typed.join(rules, "predicate", "left"), F.lit(False)
+    if attributes is not None:
+        kinds = attributes.groupBy("predicate").agg(F.map_from_entries(F.collect_list(F.struct("name", "kind"))).alias("kinds"))
+        rows = rows.join(F.broadcast(kinds), "predicate", "left").withColumn("given", F.try_variant_get(F.try_parse_json(properties), "$", "map<string,variant>"))
+        of_kind = lambda value, kind: functools.reduce(lambda a, k: F.when(kind == k, F.schema_of_variant(value).rlike(ATTRIBUTES[k])).otherwise(a), ATTRIBUTES, F.lit(True))
+        odd = F.map_filter("given", lambda name, value: F.coalesce(F.map_contains_key("kinds", name), F.lit(False)) & F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False)) & ~of_kind(value, F.try_element_at("kinds", name)))
+        wrong = F.coalesce(F.size(odd) > 0, F.lit(False))
+    no_type = lambda allowed, kind: F.col(kind).isNull() & ~F.array_contains(allowed, F.lit("*"))
+    violation = (
+        F.when(F.col("domain").isNull(), "unknown_predicate").when(no_type("domain", "subject_type"), "unknown_subject").when(no_type("range", "object_type"), "unknown_object")
+        .when(~fits("domain", F.col("subject_type")), "domain_mismatch").when(~fits("range", F.col("object_type")), "range_mismatch").when(wrong, "attribute_mismatch")
+    )
+    out = rows.withColumn("violation", violation)
+    return out.drop("kinds", "given") if attributes is not None else out
 
 
 def ranked(fact: DataFrame) -> tuple[DataFrame, int]:

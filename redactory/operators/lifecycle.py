@@ -203,14 +203,16 @@ def routed(requests: DataFrame, pipelines: DataFrame) -> DataFrame:
     return requests.join(F.broadcast(pipelines), "model", "left").withColumn("code", F.when(F.col("pipeline").isNull(), "MODEL_NOT_ADMITTED"))
 
 
-#: The stages of a request's history, in their order.
-STAGES = ("received", "detected", "masked", "sent", "restored")
+# The stages of a request's history, in their order, and the state of one that was never written.
+STAGES = ("input", "redacted", "upstream", "restored")
+MISSING = "not_produced"
+# End of fixed values.
 
 
 def staged(requests: DataFrame, stages: DataFrame) -> DataFrame:
-    """A row per request and stage: request_id, stage, status (missing where none was written), digest. stages: request_id, stage, status, digest."""
+    """A row per request and stage, with place, state (MISSING where none was written) and the other columns of stages. stages: request_id, stage, state, ..."""
     every = requests.select("request_id", F.posexplode(F.array(*map(F.lit, STAGES))).alias("place", "stage"))
-    return every.join(stages, ["request_id", "stage"], "left").select("request_id", "place", "stage", F.coalesce("status", F.lit("missing")).alias("status"), "digest")
+    return every.join(stages, ["request_id", "stage"], "left").withColumn("state", F.coalesce("state", F.lit(MISSING)))
 
 
 def finished(ends: DataFrame) -> DataFrame:

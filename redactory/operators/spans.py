@@ -49,11 +49,12 @@ def plan_windows(lengths: DataFrame, length: str, capacity: int, stride: int) ->
     return lengths.where(n > 0).select("*", F.posexplode(starts).alias("window_no", "window_start")).withColumn("window_end", F.least(F.col("window_start") + capacity, n.cast("int")))
 
 
-def number_tokens(spans: DataFrame, request: str, *order: str) -> DataFrame:
-    """<TYPE_001>: each distinct (type, original) of a request gets the next number of its type at its first appearance. spans: request, entity_type, original and the order columns."""
+def number_tokens(spans: DataFrame, request: str, *order: str, roles: DataFrame | None = None) -> DataFrame:
+    """<PREFIX_001>: each distinct (type, original) of a request gets the next number of its prefix at its first appearance. spans: request, entity_type, original and the order columns. roles: request, entity_type, original, role; the prefix is the role where there is one, and else the type, so a role and a type of one name share their numbers."""
     first = spans.groupBy(request, "entity_type", "original").agg(F.min(F.struct(*order)).alias("first"))
-    number = F.row_number().over(Window.partitionBy(request, "entity_type").orderBy("first"))
-    return first.select(request, "entity_type", "original", F.format_string("<%s_%03d>", F.col("entity_type"), number).alias("token"))
+    named = first.withColumn("prefix", F.col("entity_type")) if roles is None else first.join(roles, [request, "entity_type", "original"], "left").withColumn("prefix", F.coalesce("role", "entity_type"))
+    number = F.row_number().over(Window.partitionBy(request, "prefix").orderBy("first", "entity_type", "original"))
+    return named.select(request, "entity_type", "original", F.format_string("<%s_%03d>", F.col("prefix"), number).alias("token"))
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -63,9 +64,10 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text)))
 
 
-#: The form of a placeholder, and of text that might be taken for one.
+# The form of a placeholder, and of text that might be taken for one.
 TOKEN = "<[A-Z][A-Z0-9_]{0,31}_[0-9]{3,}>"
 RESERVED = "<\\s*(?:[A-Z][A-Z0-9_]{0,31}_|[A-Za-z][A-Za-z0-9_]{0,31}[-_]\\s*(?=[0-9])|[A-Z][A-Z_]{0,31}(?=[0-9]))|<[A-Za-z][A-Za-z0-9_]*_\\s*[0-9]*$"
+# End of fixed values.
 
 
 def reserved(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection, exchange, extraction, governed, intake, lifecycle, quality, records, streams
+from redactory.plans import detection, exchange, extraction, files, governed, intake, kept, lifecycle, models, quality, records, streams, tools
 
-MODULES = (detection, exchange, extraction, governed, intake, lifecycle, quality, records, streams)
+MODULES = (detection, exchange, extraction, files, governed, intake, kept, lifecycle, models, quality, records, streams, tools)
 
 
 def queries() -> dict:

@@ -228,12 +228,12 @@ ROUTE_SQL = "SELECT o_orderkey AS request_id, CASE o_custkey % 6 WHEN 0 THEN 'ch
 
 def history_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"))
-    written = o.select("request_id", F.posexplode(F.array(*map(F.lit, lc.STAGES))).alias("i", "stage")).where("request_id % 6 > i").select("request_id", "stage", F.lit("written").alias("status"), F.md5(F.concat_ws("/", F.col("request_id").cast("string"), "stage")).alias("digest"))
-    return lc.staged(o.select("request_id"), written).groupBy("place", "stage", "status").agg(F.count("*").alias("n"), F.count("digest").alias("n_digests"), F.max("digest").alias("last_digest"))
+    written = o.select("request_id", F.posexplode(F.array(*map(F.lit, lc.STAGES))).alias("i", "stage")).where("request_id % 5 > i").select("request_id", "stage", F.lit("stored").alias("state"), F.md5(F.concat_ws("/", F.col("request_id").cast("string"), "stage")).alias("digest"))
+    return lc.staged(o.select("request_id"), written).groupBy("place", "stage", "state").agg(F.count("*").alias("n"), F.count("digest").alias("n_digests"), F.max("digest").alias("last_digest"))
 
 
-STAGES_SQL = """WITH s AS (SELECT o_orderkey AS r, unnest(range(0, 5))::INT AS place FROM orders), t AS (SELECT *, ['received', 'detected', 'masked', 'sent', 'restored'][place + 1] AS stage, r % 6 > place AS w FROM s)
-SELECT place, stage, CASE WHEN w THEN 'written' ELSE 'missing' END AS status, count(*)::BIGINT AS n, count(*) FILTER (w)::BIGINT AS n_digests, max(CASE WHEN w THEN md5(concat_ws('/', r, stage)) END) AS last_digest FROM t GROUP BY ALL"""
+STAGES_SQL = """WITH s AS (SELECT o_orderkey AS r, unnest(range(0, 4))::INT AS place FROM orders), t AS (SELECT *, ['input', 'redacted', 'upstream', 'restored'][place + 1] AS stage, r % 5 > place AS w FROM s)
+SELECT place, stage, CASE WHEN w THEN 'stored' ELSE 'not_produced' END AS state, count(*)::BIGINT AS n, count(*) FILTER (w)::BIGINT AS n_digests, max(CASE WHEN w THEN md5(concat_ws('/', r, stage)) END) AS last_digest FROM t GROUP BY ALL"""
 
 ENDS = "SELECT user_id AS request_id, CASE event_type WHEN 'view' THEN 'completed' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'blocked' END AS status, event_id AS moment FROM {events}"
 

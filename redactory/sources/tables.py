@@ -88,6 +88,14 @@ def forget(spark: SparkSession) -> None:
         delete(spark, _made.pop(key)[1])
 
 
+def over(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """A query over tables, named in braces; other braces stand for themselves."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(text, **tables)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of at most rows rows, as Python objects of long texts take more room than Arrow. Empty batches are left out."""
     for batch in batches:
