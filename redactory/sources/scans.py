@@ -39,7 +39,8 @@ def scan(spark: SparkSession, path: str, schema: StructType, glob: str = "*.json
 
 def scan_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*.json", most_bytes: int = MOST_BYTES, per_batch: int = 1000) -> DataFrame:
     """parsed() files as they come, at most per_batch in a batch."""
-    return parsed(binary(spark.readStream.option("maxFilesPerTrigger", per_batch), path, glob), schema, most_bytes)
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch)
+    return parsed(binary(reader, path, glob), schema, most_bytes)
 
 
 def unfinished(intents: DataFrame, results: DataFrame, key: str) -> DataFrame:
