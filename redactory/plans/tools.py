@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactory.operators import contracts as ct
 from redactory.operators import fragments as fr
 from redactory.operators import relations as rel
 from redactory.operators import toolcalls as tc
@@ -66,4 +67,35 @@ def modality_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATES_SQL = f"""WITH t AS ({DATES.replace("{orders}", "orders")})
 SELECT id, CASE WHEN contains(sentence, '吗') THEN 'question' WHEN regexp_matches(sentence, '[0-9]{{4}}年|(^|[^\\p{{L}}\\p{{N}}_])(19|20)[0-9][0-9]-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])($|[^\\p{{L}}\\p{{N}}_])') THEN 'hypothetical' ELSE 'asserted' END AS modality FROM t"""
 
-QUERIES = {"tool_calls": (tool_calls, TOOL_SQL), "role_placeholders": (role_placeholders, ROLE_SQL), "modality_dates": (modality_dates, DATES_SQL)}
+#: A request for each order, by both protocols and a third, with options that are in bounds or not.
+REQUESTS = """SELECT o_orderkey AS request_id, CASE o_orderkey % 5 WHEN 0 THEN 'messages' WHEN 1 THEN 'other' ELSE 'chat' END AS protocol, concat('{"model":"', CASE WHEN o_orderkey % 31 = 2 THEN 'm-9' ELSE 'm-1' END, '","messages":[{"role":"user","content":"hi"}', CASE o_orderkey % 7 WHEN 1 THEN ',{"role":"system","content":"be"}' WHEN 2 THEN ',{"role":"assistant","content":[{"type":"text","text":"x"}]}'
+    WHEN 3 THEN ',{"role":"user","content":"hi","mood":1}' WHEN 4 THEN ',{"role":"user"}' ELSE '' END, ']', CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 5 OR o_orderkey % 29 = 4 THEN ',"max_tokens":5' ELSE '' END, CASE o_orderkey % 11 WHEN 1 THEN ',"temperature":1.5' WHEN 2 THEN ',"temperature":"hot"' WHEN 3 THEN ',"top_p":0' WHEN 4 THEN ',"stream":true,"top_p":null' WHEN 5 THEN ',"stream":"yes"' WHEN 6 THEN ',"best":1' ELSE '' END,
+    CASE o_orderkey % 13 WHEN 1 THEN ',"stop":["a","b"]' WHEN 2 THEN ',"top_k":3' WHEN 3 THEN ',"tool_choice":"auto"' WHEN 4 THEN ',"model":"m-1"' ELSE '' END, '}') AS body FROM {orders}"""
+
+
+def request_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ct.contracted(over(spark, REQUESTS, orders=table(spark, sf_dir, "orders")), "body", "protocol", ("m-1",)).select("request_id", "code")
+
+
+CONTRACT_SQL = """SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 5 = 1 THEN 'UNSUPPORTED_PROTOCOL' WHEN o_orderkey % 13 = 4 THEN 'MALFORMED_JSON' WHEN o_orderkey % 7 IN (3, 4) OR o_orderkey % 11 IN (2, 3, 5, 6) THEN 'CONTRACT_VIOLATION'
+    WHEN o_orderkey % 5 = 0 AND ((o_orderkey % 10 = 5 AND o_orderkey % 29 <> 4) OR o_orderkey % 7 = 1 OR o_orderkey % 11 = 1 OR o_orderkey % 13 IN (1, 3)) THEN 'CONTRACT_VIOLATION' WHEN o_orderkey % 5 > 1 AND (o_orderkey % 29 = 4 OR o_orderkey % 13 = 2) THEN 'CONTRACT_VIOLATION'
+    WHEN o_orderkey % 31 = 2 THEN 'MODEL_NOT_ALLOWED' END AS code FROM orders"""
+
+#: An answer for each order; a call of a tool in every third.
+ANSWERS = f"""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 2 = 0 THEN 'chat' ELSE 'messages' END AS protocol, CASE WHEN o_orderkey % 2 = 0 THEN concat('{{"id":"', CASE WHEN o_orderkey % 19 = 2 THEN '<ORG_001>' ELSE 'r' END, '","model":"m-1","usage":{{"usage_source":"', CASE WHEN o_orderkey % 23 = 4 THEN '<ORG_001>' ELSE 's' END, '","n":1}},"choices":[{{"message":{{"role":"assistant","content":"hi <ORG_001>","reasoning_details":[{{"type":"t","text":"', CASE WHEN o_orderkey % 17 = 6 THEN '<ORG_009>' ELSE '<PER_001>' END, '"}}]',
+    CASE WHEN o_orderkey % 3 = 0 THEN concat(',"tool_calls":[{{"id":"c","type":"function","function":{{"name":"send","arguments":"', replace(concat('{{~"to~":~"<ORG_001>~",~"n~":', CAST(o_orderkey % 5 AS STRING), '}}'), '~', chr(92)), '"}}}}]') ELSE '' END, '}}}}]}}')
+    ELSE concat('{{"id":"r","model":"m-1","stop_sequence":"', CASE WHEN o_orderkey % 19 = 3 THEN '<ORG_001>' ELSE 's' END, '","content":[{{"type":"text","text":"', CASE WHEN o_orderkey % 17 = 5 THEN 'ORG_001' ELSE 'hi <ORG_001>' END, '"}},{{"type":"thinking","thinking":"<PER_001>","signature":""}}', CASE WHEN o_orderkey % 3 = 0 THEN concat(',{{"type":"tool_use","id":"c","name":"', CASE WHEN o_orderkey % 9 = 0 THEN 'erase' ELSE 'send' END, '","input":{{"n":', CAST(o_orderkey % 5 AS STRING), ',"to":"<ORG_001>"}}}}') ELSE '' END, ']}}') END AS body FROM {{orders}}"""
+
+
+def answer_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of both protocols, all their texts and calls restored, or why not."""
+    orders = table(spark, sf_dir, "orders")
+    mapping = orders.select(F.col("o_orderkey").alias("request_id"), F.explode(F.create_map(F.lit("<ORG_001>"), F.concat(F.lit("Acme "), F.col("o_orderkey").cast("string")), F.lit("<PER_001>"), F.lit("Ann"))).alias("token", "original"))
+    return ct.answers(over(spark, ANSWERS, orders=orders), mapping, "request_id", "body", "protocol", ("m-1",), {"send": SCHEMA})
+
+
+ANSWER_SQL = f"""WITH a AS ({ANSWERS.replace("{orders}", "orders")}), c AS (SELECT request_id, body, CASE WHEN request_id % 2 = 0 AND (request_id % 19 = 2 OR request_id % 23 = 4) OR request_id % 2 = 1 AND request_id % 19 = 3 THEN 'CONTRACT_VIOLATION' WHEN request_id % 2 = 0 AND request_id % 17 = 6 THEN 'UNKNOWN_TOKEN' WHEN request_id % 2 = 1 AND request_id % 17 = 5 THEN 'MALFORMED_TOKEN'
+    WHEN request_id % 2 = 1 AND request_id % 9 = 0 THEN 'UNKNOWN_TOOL' WHEN request_id % 3 = 0 AND request_id % 5 = 4 THEN 'SCHEMA' END AS code FROM a)
+SELECT request_id, CASE WHEN code IS NULL THEN replace(replace(body, '<ORG_001>', concat('Acme ', request_id)), '<PER_001>', 'Ann') END AS body, code FROM c"""
+
+QUERIES = {"request_contract": (request_contract, CONTRACT_SQL), "answer_restore": (answer_restore, ANSWER_SQL), "tool_calls": (tool_calls, TOOL_SQL), "role_placeholders": (role_placeholders, ROLE_SQL), "modality_dates": (modality_dates, DATES_SQL)}
