@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.functions.checks import first_reason
+from redactory.functions.recognizers import detect_once
 from redactory.operators.spans import TOKEN, merge_spans, number_tokens, replaced, restored
+from redactory.sources.tables import stored
 
 CHAT = "model string, messages array<struct<role: string, content: string, tool_call_id: string>>"
 #: Roles whose text is searched.
@@ -33,6 +36,19 @@ def exempt(fragments: DataFrame, registry: DataFrame) -> DataFrame:
     return keyed.join(valid, ["domain", "digest"], "left").withColumn("exempt", F.coalesce(F.col("template") == F.col("text"), F.lit(False))).drop("digest", "template")
 
 
+def registry_faults(registry: DataFrame) -> DataFrame:
+    """domain, template_id, code: of each registered template its first fault: DUPLICATE_TEMPLATE (an id twice in its domain, all of them), DIGEST_MISMATCH, BLANK_ID; or null. A registry with a fault is not loaded as a whole by callers that ask for none."""
+    n = registry.groupBy("domain", "template_id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.sha2("text", 256) == F.col("sha256"), F.lit(False))).alias("right"))
+    blank = F.coalesce(F.trim("template_id"), F.lit("")) == ""
+    return n.select("domain", "template_id", first_reason(("BLANK_ID", blank), ("DUPLICATE_TEMPLATE", F.col("n") > 1), ("DIGEST_MISMATCH", ~F.col("right"))).alias("code"))
+
+
+def detect_but_exempt(fragments: DataFrame, registry: DataFrame, key: str, **how) -> tuple[DataFrame, DataFrame]:
+    """fragments (key, domain, text) with exempt, and the spans of those that are not: exempt texts never reach a detector, and are there with the others, untouched, afterwards. how: as for detect()."""
+    marked = stored(exempt(fragments, registry))
+    return marked, detect_once(marked.where("NOT exempt"), key, **how)
+
+
 def without_skill_results(results: DataFrame, calls: DataFrame, names: tuple[str, ...] = ("Skill",)) -> DataFrame:
     """Tool results but those of calls of the named tools."""
     return results.join(calls.where(F.col("name").isin(*names)), "call_id", "left_anti")

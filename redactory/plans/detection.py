@@ -255,6 +255,33 @@ EXEMPT_SQL = """WITH r AS (SELECT DISTINCT lang, text FROM documents WHERE doc_i
 SELECT doc_id, r.text IS NOT NULL AS exempt FROM documents d LEFT JOIN r ON d.lang = r.lang AND d.text = r.text"""
 
 
+#: Every third fragment's text is a registered template of its domain; of some the digest is wrong, of others the id is there twice.
+TEMPLATES = "SELECT concat('d', CAST(o_orderkey % 2 AS STRING)) AS domain, concat('t', CAST(CASE WHEN o_orderkey % 35 = 15 THEN o_orderkey - 3 ELSE o_orderkey END AS STRING)) AS template_id, text, CASE WHEN o_orderkey % 21 = 6 THEN 'x' ELSE sha2(text, 256) END AS sha256 FROM (SELECT frag_id AS o_orderkey, text FROM {fragments}) WHERE o_orderkey % 3 = 0"
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TEMPLATES, fragments=fragments(spark, sf_dir))
+
+
+def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.registry_faults(registry(spark, sf_dir))
+
+
+_TEMPLATES_SQL = TEMPLATES.replace("{fragments}", "f").replace("sha2(text, 256)", "sha256(text)")
+REGISTRY_SQL = f"""WITH f AS ({FRAGMENTS_SQL}), t AS ({_TEMPLATES_SQL}) SELECT domain, template_id, CASE WHEN count(*) > 1 THEN 'DUPLICATE_TEMPLATE' WHEN bool_or(sha256 = 'x') THEN 'DIGEST_MISMATCH' END AS code FROM t GROUP BY 1, 2"""
+
+
+def exempt_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per fragment whether it is exempt, and its number of spans: exempt ones have none."""
+    texts = fragments(spark, sf_dir).withColumn("domain", F.concat(F.lit("d"), (F.col("frag_id") % 2).cast("string")))
+    marked, spans = fr.detect_but_exempt(texts, registry(spark, sf_dir), "frag_id", today=TODAY)
+    return marked.select("frag_id", "exempt").join(spans.groupBy("frag_id").agg(F.count("*").alias("n")), "frag_id", "left").select("frag_id", "exempt", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+EXEMPT_DETECT_SQL = f"""WITH {HITS_SQL}, t AS ({_TEMPLATES_SQL}), x AS (SELECT DISTINCT domain, text FROM t WHERE sha256 <> 'x'), n AS (SELECT frag_id, count(*) AS n FROM c GROUP BY 1)
+SELECT frag_id, x.text IS NOT NULL AS exempt, CASE WHEN x.text IS NULL THEN coalesce(n, 0) ELSE 0 END::BIGINT AS n FROM f LEFT JOIN x ON x.text = f.text AND x.domain = concat('d', frag_id % 2) LEFT JOIN n USING (frag_id)"""
+
+
 def skill_result_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.when(F.col("event_type") == "signup", "Skill").otherwise(F.col("event_type")).alias("name"))
     results = table(spark, sf_dir, "events").select((F.col("event_id") * 2 % 12000).alias("call_id"), "event_id")
@@ -269,5 +296,5 @@ QUERIES = {
     "redacted_text": (redacted_text, REDACTED_SQL), "restore_roundtrip": (restore_roundtrip, ROUNDTRIP_SQL), "number_checks": (number_checks, NUMBER_CHECKS_SQL), "dict_longest_match": (dict_longest_match, DICT_SQL),
     "quick_screen": (quick_screen, QUICK_SQL), "span_merge": (span_merge, SPAN_MERGE_SQL), "union_envelopes": (union_envelopes, ENVELOPES_SQL), "codepoint_coverage": (codepoint_coverage, COVERAGE_SQL), "window_plan": (window_plan, WINDOW_PLAN_SQL),
     "reserved_literals": (reserved_literals, RESERVED_SQL), "roles_assign": (roles_assign, ROLES_SQL), "fragments_explode": (fragments_explode, EXPLODE_SQL), "multi_turn_dedupe": (multi_turn_dedupe, MULTI_SQL),
-    "cache_stats": (cache_stats, CACHE_SQL), "static_exemption": (static_exemption, EXEMPT_SQL), "skill_result_exempt": (skill_result_exempt, SKILL_SQL),
+    "cache_stats": (cache_stats, CACHE_SQL), "static_exemption": (static_exemption, EXEMPT_SQL), "skill_result_exempt": (skill_result_exempt, SKILL_SQL), "registry_check": (registry_check, REGISTRY_SQL), "exempt_detect": (exempt_detect, EXEMPT_DETECT_SQL),
 }

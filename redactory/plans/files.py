@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,7 +14,8 @@ from pyspark.sql.types import StructType
 from redactory.operators.files import redact_files
 from redactory.plans.detection import TODAY
 from redactory.sources import scans
-from redactory.sources.tables import shared_folder, stored, table
+from redactory.sources.documents import extract
+from redactory.sources.tables import shared_folder, slices, stored, table
 
 RECORD = "id long, name string, balance double"
 BODY = """CASE s_suppkey % 7 WHEN 0 THEN '{"id":1,"name":' WHEN 1 THEN concat('{"id":', CAST(s_suppkey AS STRING), ',"name":"', repeat('long ', 100), '"}') WHEN 2 THEN '[1]' WHEN 3 THEN concat('{"id":"', s_name, '","name":"n"}')
@@ -71,4 +77,48 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TYPES_SQL = f"""WITH f AS ({FILES.replace("{customer}", "customer")}) SELECT 'PHONE_NUMBER' AS entity_type, count(*)::BIGINT AS n_files, sum(CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 4 END)::BIGINT AS n FROM f WHERE c_custkey % 4 <> 3 AND k = 'none'"""
 
-QUERIES = {"record_scan": (record_scan, SCAN_SQL), "ledger_scan": (ledger_scan, LEDGER_SQL), "file_redact": (file_redact, FILE_SQL), "file_types": (file_types, TYPES_SQL)}
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def packages(suppliers: DataFrame) -> DataFrame:
+    """path, content: for each supplier a document with a heading and a table, or a workbook of two sheets; of every fifth a part is not there."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for k, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k % 2:
+                    body = f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>{name}</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>key</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>{k}</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+                    out.append((f"f{k}.docx", zipped({"word/other.xml" if k % 5 == 0 else "word/document.xml": body})))
+                else:
+                    sheets = {f"xl/worksheets/s{i}.xml": f'<worksheet {S}><sheetData><row><c t="inlineStr"><is><t>{name}</t></is></c><c><v>{k + i}</v></c></row></sheetData></worksheet>' for i in ((1,) if k % 5 == 0 else (1, 2))}
+                    book = f'<workbook {S} {R}><sheets><sheet name="One" r:id="r1"/><sheet name="Two" r:id="r2"/></sheets></workbook>'
+                    names = '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="worksheets/s2.xml"/></Relationships>'
+                    out.append((f"f{k}.xlsx", zipped({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": names} | sheets)))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([c for _, c in out], pa.binary())], names=["path", "content"])
+
+    return suppliers.select("s_suppkey", "s_name").mapInArrow(build, "path string, content binary")
+
+
+def package_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents and workbooks; those without a part have the code only."""
+    found = extract(packages(table(spark, sf_dir, "supplier")))
+    return found.select("path", "n", "kind", F.array_join("texts", "|").alias("texts"), "level", "error")
+
+
+PACKAGE_SQL = """WITH s AS (SELECT *, s_suppkey % 5 = 0 AS bad FROM supplier), d AS (SELECT concat('f', s_suppkey, '.docx') AS path, * FROM s WHERE s_suppkey % 2 = 1), x AS (SELECT concat('f', s_suppkey, '.xlsx') AS path, * FROM s WHERE s_suppkey % 2 = 0)
+SELECT path, 0::BIGINT AS n, 'paragraph' AS kind, s_name AS texts, 2 AS level, NULL AS error FROM d WHERE NOT bad UNION ALL SELECT path, 1, 'row', concat('key|', s_suppkey), NULL, NULL FROM d WHERE NOT bad
+UNION ALL SELECT path, 2 * i, 'paragraph', ['One', 'Two'][(i + 1)::INT], 2, NULL FROM x, range(2) t(i) WHERE NOT bad UNION ALL SELECT path, 2 * i + 1, 'row', concat(s_name, '|', s_suppkey + i + 1), NULL, NULL FROM x, range(2) t(i) WHERE NOT bad
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'PACKAGE' FROM d WHERE bad UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'PACKAGE' FROM x WHERE bad"""
+
+QUERIES = {"package_blocks": (package_blocks, PACKAGE_SQL), "record_scan": (record_scan, SCAN_SQL), "ledger_scan": (ledger_scan, LEDGER_SQL), "file_redact": (file_redact, FILE_SQL), "file_types": (file_types, TYPES_SQL)}

@@ -10,7 +10,7 @@ from redactory.operators import chains as ch
 from redactory.operators import governance as gov
 from redactory.operators import knowledge as kn
 from redactory.sources.derived import NOW, derived, with_tables
-from redactory.sources.tables import Actor, scoped, table
+from redactory.sources.tables import Actor, over, scoped, table
 
 def now():
     return F.expr(NOW)
@@ -184,14 +184,21 @@ INDEPENDENT_SQL = f"{with_tables('evidence', 'sources')}, x AS (SELECT candidate
 RULES = [("supplies", ["ORG"], ["ITEM", "PRODUCT"]), ("owns", ["ORG", "PERSON"], ["ITEM"]), ("co_occurs_with", ["*"], ["*"])]
 
 
+#: Claims of which some name an entity that is not there, and with attributes of right and wrong kinds.
+ATTRIBUTED = """SELECT claim_id, CASE WHEN claim_id % 17 = 3 THEN 'nobody' ELSE subject_id END AS subject_id, CASE WHEN claim_id % 19 = 4 THEN 'nothing' ELSE object_id END AS object_id, predicate,
+    CASE claim_id % 6 WHEN 0 THEN '{"n":1,"name":"a"}' WHEN 1 THEN '{"n":1.5}' WHEN 2 THEN '{"name":1,"other":true}' WHEN 3 THEN '{"n":null}' WHEN 4 THEN '{"share":2}' END AS props FROM {claims}"""
+
+
 def schema_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, e = load(spark, sf_dir, "claims", "entities")
     rules = spark.createDataFrame(RULES, "predicate string, domain array<string>, range array<string>")
-    return kn.schema_guard(c, e, F.broadcast(rules)).groupBy("predicate", "violation").agg(F.count("*").alias("n"))
+    kinds = spark.createDataFrame([(p, n, k) for p, *_ in RULES for n, k in (("n", "int"), ("name", "string"), ("share", "float"))], "predicate string, name string, kind string")
+    return kn.schema_guard(over(spark, ATTRIBUTED, claims=c), e, F.broadcast(rules), kinds, "props").groupBy("predicate", "violation").agg(F.count("*").alias("n"))
 
 
-GUARD_SQL = f"""{with_tables("claims", "entities")} SELECT predicate, CASE WHEN predicate = 'partners_with' THEN 'unknown_predicate' WHEN predicate = 'supplies' AND s.entity_type <> 'ORG' THEN 'domain_mismatch' WHEN predicate = 'owns' AND o.entity_type <> 'ITEM' THEN 'range_mismatch' END AS violation, count(*)::BIGINT AS n
-FROM claims JOIN entities s ON s.entity_id = subject_id JOIN entities o ON o.entity_id = object_id GROUP BY ALL"""
+GUARD_SQL = f"""{with_tables("claims", "entities")}, a AS ({ATTRIBUTED.replace("{claims}", "claims")}), w AS (SELECT a.*, s.entity_type AS st, o.entity_type AS ot, claim_id % 6 IN (1, 2) AS wrong FROM a LEFT JOIN entities s ON s.entity_id = subject_id LEFT JOIN entities o ON o.entity_id = object_id)
+SELECT predicate, CASE WHEN predicate = 'partners_with' THEN 'unknown_predicate' WHEN predicate <> 'co_occurs_with' AND st IS NULL THEN 'unknown_subject' WHEN predicate <> 'co_occurs_with' AND ot IS NULL THEN 'unknown_object'
+    WHEN predicate = 'supplies' AND st <> 'ORG' THEN 'domain_mismatch' WHEN predicate = 'owns' AND ot <> 'ITEM' THEN 'range_mismatch' WHEN wrong THEN 'attribute_mismatch' END AS violation, count(*)::BIGINT AS n FROM w GROUP BY ALL"""
 
 FACTS = """SELECT l_orderkey * 10 + l_linenumber AS claim_id, CASE WHEN l_suppkey % 2 = 0 THEN concat('A', CAST(l_suppkey % 20 AS STRING)) ELSE concat('B', CAST(l_partkey % 30 AS STRING)) END AS subject_id, CASE WHEN l_suppkey % 2 = 0 THEN concat('B', CAST(l_partkey % 30 AS STRING)) ELSE concat('A', CAST(l_suppkey % 20 AS STRING)) END AS object_id,
     CASE WHEN l_suppkey % 2 = 0 THEN 'supplies' ELSE 'supplied_by' END AS predicate, CASE WHEN l_orderkey % 9 = 0 THEN 'negative' ELSE 'positive' END AS polarity, l_shipdate AS window_start, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_shipdate + INTERVAL 3 DAYS END AS window_end FROM {lineitem}"""

@@ -44,6 +44,18 @@ def ner_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 NER_SQL = f"""WITH {COUNTS}, s AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM n GROUP BY GROUPING SETS ((label), ())), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS q FROM s)
 SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p IS NULL OR q IS NULL THEN NULL WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS f1 FROM r"""
 
+
+
+def rates_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates in which what has no cases counts as nothing; a label that nobody gave or guessed is there too."""
+    counts = qa.label_counts(*marks(spark, sf_dir), "doc_id", "label")
+    none = spark.createDataFrame([("NEVER", 0, 0, 0)], "label string, tp long, fp long, fn long")
+    return qa.rates(counts.unionByName(none), "zero").drop("leakage")
+
+
+ZERO_SQL = f"""WITH {COUNTS}, a AS (SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn FROM n UNION ALL SELECT 'NEVER', 0, 0, 0), m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM a)
+SELECT label, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM m"""
+
 THRESHOLDS = [("LOW", 0.1, 0.3, 0.1, 0.9), ("TOXIC", 0.1, 0.2, 0.1, 0.9), ("ABSENT", 0.5, 0.5, 0.5, 0.5)]
 
 
@@ -247,7 +259,7 @@ def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 SSE_SQL = """SELECT conv_id * 100 + turn AS stream_id, 0::BIGINT AS n, 'delta' AS event, length(text)::INT AS n_chars, sha256(text) AS digest FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id * 100 + turn, 1, NULL, 6, sha256('[DONE]') FROM conversations WHERE role = 'assistant'"""
 
 QUERIES = {
-    "quality_metrics": (quality_metrics, METRICS_SQL), "ner_metrics": (ner_metrics, NER_SQL), "quality_verdict": (quality_verdict, VERDICT_SQL), "split_contamination": (split_contamination, SPLIT_SQL), "latency_percentiles": (latency_percentiles, LATENCY_SQL),
+    "quality_metrics": (quality_metrics, METRICS_SQL), "ner_metrics": (ner_metrics, NER_SQL), "rates_zero": (rates_zero, ZERO_SQL), "quality_verdict": (quality_verdict, VERDICT_SQL), "split_contamination": (split_contamination, SPLIT_SQL), "latency_percentiles": (latency_percentiles, LATENCY_SQL),
     "throttle_window": (throttle_window, THROTTLE_SQL), "catalog_join": (catalog_join, CATALOG_SQL), "reconcile": (reconcile, RECONCILE_SQL), "egress_decision": (egress_decision, EGRESS_SQL), "admission_dims": (admission_dims, ADMISSION_DIMS_SQL),
     "observability_scan": (observability_scan, OBSERVE_SQL), "capacity_watermark": (capacity_watermark, CAPACITY_SQL), "dictionary_hash": (dictionary_hash, DICT_HASH_SQL), "strict_json": (strict_json, STRICT_SQL), "doc_blocks": (doc_blocks, BLOCKS_SQL),
     "relay_dedup_stream": (relay_dedup_stream, RELAY_SQL), "outbox_consumer_stream": (outbox_consumer_stream, CONSUMER_SQL), "sse_parse": (sse_parse, SSE_SQL), "sse_errors": (sse_errors, SSE_ERRORS_SQL),
