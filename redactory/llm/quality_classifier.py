@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +85,9 @@ def terms(texts: list[str]) -> np.ndarray:
 FAMILIES = ((0, HASHED, 1.0), (HASHED, TERMS, 0.4))
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts)
+def weighted(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """TF-IDF vectors, in out if given, which may be counts."""
+    x = np.log1p(counts, out=out)
     x *= idf
     for a, b, weight in FAMILIES:
         x[:, a:b] *= weight / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-9)
@@ -102,9 +104,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inverse document frequencies, projection, and the sample's vectors."""
+    """Inverse document frequencies, projection, and the sample's vectors. counts is used up, so that there is one table of its size."""
     idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
-    x = weighted(counts, idf)
+    x = weighted(counts, idf, counts)
     basis = np.random.default_rng(settings.seed).standard_normal((TERMS, min(settings.rank + 16, len(x)))).astype(np.float32)
     for _ in range(4):  # subspace iteration towards the leading singular vectors
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
@@ -174,16 +176,20 @@ def learnt(docs: DataFrame, labels: DataFrame, settings: Settings) -> Model | No
             texts = batch.column(2).to_pylist()
             for group in text_runs(texts):
                 rows = terms([texts[k] for k in group]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(group.start, len(group)) for c in (0, 1)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "y", "x"])
+                packed = [zstandard.ZstdCompressor().compress(r.tobytes()) for r in rows]  # mostly zeros
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(group.start, len(group)) for c in (0, 1)), pa.array(packed, pa.binary())], names=["id", "y", "x"])
 
     found = sorted(labelled(docs, labels, settings).mapInArrow(count, "id long, y int, x binary").collect(), key=lambda r: (r.id, r.y))  # bounded by settings.sample
     if not found:
         return None
-    counts, y = np.stack([np.frombuffer(r.x, "<f4") for r in found]), np.array([r.y for r in found], np.float64)
-    del found
-    some = counts.any(axis=1)
+    counts, some, unpack, n = np.empty((len(found), TERMS), np.float32), np.zeros(len(found), bool), zstandard.ZstdDecompressor(), 0
+    for k, r in enumerate(found):  # those with terms, one after the other, in the only table of this size
+        counts[n] = np.frombuffer(unpack.decompress(r.x), "<f4")
+        some[k] = counts[n].any()
+        n += int(some[k])
+    y = np.array([r.y for r in found], np.float64)
     bare = float(y[~some].mean() if not some.all() else y.mean())
-    return Model(*fit(counts if some.all() else counts[some], settings), y[some], bare) if some.any() else Model(*[np.zeros((0, 0))] * 4, bare)
+    return Model(*fit(counts[:n], settings), y[some], bare) if n else Model(*[np.zeros((0, 0))] * 4, bare)
 
 
 def judged(docs: DataFrame, labels: DataFrame, settings: Settings):
