@@ -70,4 +70,15 @@ u AS (SELECT event_type, sum(u) AS n_unstable, grouping(event_type) AS g FROM (S
 t AS (SELECT event_type, count(*) AS n, sum(s) AS s, count(*) FILTER (event_id % 11 = 0) AS w, count(*) FILTER (event_id % 13 = 0) AS k, count(*) FILTER (event_id % 17 = 0) AS f, grouping(event_type) AS g FROM e GROUP BY ROLLUP (event_type))
 SELECT t.event_type, n::BIGINT AS n, round(s, 3) AS seconds, round(n / s, 4) AS throughput, w::BIGINT AS n_wrong, k::BIGINT AS n_skipped, f::BIGINT AS n_failed, n_unstable::BIGINT AS n_unstable FROM t JOIN u ON t.event_type IS NOT DISTINCT FROM u.event_type AND t.g = u.g"""
 
-QUERIES = {"body_measure": (body_measure, MEASURE_SQL), "import_check": (import_check, IMPORT_SQL), "alias_rename": (alias_rename, RENAME_SQL), "protected_stream": (protected_stream, PROTECTED_SQL), "scenario_summary": (scenario_summary, SCENARIO_SQL)}
+SECRET = b"a secret of the sample"
+
+
+def name_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that can be compared but not read, under a secret."""
+    return intake.keyed_digest(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", SECRET).select("c_custkey", "digest")
+
+
+_INNER, _OUTER = (bytes(k ^ pad for k in SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+DIGEST_SQL = f"SELECT c_custkey, sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode(c_name)))) AS digest FROM customer"
+
+QUERIES = {"name_digests": (name_digests, DIGEST_SQL), "body_measure": (body_measure, MEASURE_SQL), "import_check": (import_check, IMPORT_SQL), "alias_rename": (alias_rename, RENAME_SQL), "protected_stream": (protected_stream, PROTECTED_SQL), "scenario_summary": (scenario_summary, SCENARIO_SQL)}

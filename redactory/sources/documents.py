@@ -79,6 +79,8 @@ def word_text(node: ElementTree.Element) -> str:
 def blocks_of_docx(data: bytes) -> list[Block]:
     z = package(data)
     names = [n for n in ("word/document.xml", *sorted(n for n in z.namelist() if re.fullmatch(r"word/(header\d*|footer\d*|footnotes|endnotes|comments)\.xml", n))) if n in z.namelist()]
+    if "word/document.xml" not in names:
+        raise Rejected("PACKAGE")  # no main part
     out: list[Block] = []
     for name in names:
         root = xml(z, name)

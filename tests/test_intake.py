@@ -22,8 +22,9 @@ def test_measured_bodies(spark):
 
 
 def test_keyed_digest(spark):
-    rows = keyed_digest(spark.createDataFrame([("a",), (None,), ("é",)], "v string"), "v", b"key").collect()
-    assert [r.digest for r in rows] == [None if r.v is None else hmac.new(b"key", r.v.encode(), hashlib.sha256).hexdigest() for r in rows]
+    for key in (b"key", b"", b"k" * 64, b"k" * 200):
+        rows = keyed_digest(spark.createDataFrame([("a",), (None,), ("é",), ("",)], "v string"), "v", key).collect()
+        assert [r.digest for r in rows] == [None if r.v is None else hmac.new(key, r.v.encode(), hashlib.sha256).hexdigest() for r in rows]
 
 
 def test_nested_units(spark):
