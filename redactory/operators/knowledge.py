@@ -11,6 +11,8 @@ from redactory.sources.tables import stored
 
 #: Ranks of at most so many times are broadcast; with more, Spark shuffles both sides.
 MOST_BROADCAST = 100_000
+#: Pairs a cell up to which the cells of a fact are compared with each other.
+MOST_PAIRS = 32
 
 
 #: Kinds of attributes, and the JSON values that they take; a boolean counts as a whole number, a number without a fraction does not.
@@ -96,23 +98,40 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
     Windows are closed; a missing bound is open. A window that ends before it starts
     meets those that hold both its bounds.
 
-    No pairs are made. Claims about one fact with one window are one cell, with its
-    smallest claim. Of two windows that overlap, the one that starts later starts
-    inside the other. Bounds become ranks; a window is cut into nodes of a binary tree
-    over them, a start lies in one node of each level, and cells meet in nodes, each
-    reduced to its smallest claim. Rows per cell grow with the logarithm of the number
-    of distinct times.
+    Only facts that are both asserted and denied go on. Claims about one fact with one
+    window are one cell, with its smallest claim. The cells of a fact are compared in
+    pairs where these are at most MOST_PAIRS a cell. For the other facts no pairs are
+    made: of two windows that overlap, the one that starts later starts inside the
+    other. Bounds become ranks; a window is cut into nodes of a binary tree over them, a
+    start lies in one node of each level, and cells meet in nodes, each reduced to its
+    smallest claim. Rows per cell grow with the logarithm of the number of distinct times.
     """
+    named = ["p", "s", "o"]
     turned = F.create_map(*[F.lit(x) for pair in inverse.items() for x in pair]) if inverse else F.create_map().cast("map<string,string>")
     other = F.try_element_at(turned, "predicate")
     flip = other.isNotNull() & (other < F.col("predicate"))
     fact = claims.select(
         "claim_id", "polarity", "window_start", "window_end", F.when(flip, other).otherwise(F.col("predicate")).alias("p"), F.when(flip, F.col("object_id")).otherwise(F.col("subject_id")).alias("s"), F.when(flip, F.col("subject_id")).otherwise(F.col("object_id")).alias("o")
     )
-    fact, bits = ranked(fact.where("polarity IN ('positive', 'negative')"))
+    fact = fact.where("polarity IN ('positive', 'negative')")
+    contested = fact.groupBy(*named).agg(F.min("polarity").alias("least"), F.max("polarity").alias("most")).where("least <> most").select(*named)
+    fact, bits = ranked(stored(fact.join(contested, named, "left_semi")))
     fact = stored(fact)
-    window_of = ["p", "s", "o", "polarity", "lo", "hi"]
+    window_of = [*named, "polarity", "lo", "hi"]
     every, fact = fact, stored(fact.groupBy(*window_of).agg(F.min("claim_id").alias("claim_id")).withColumn("cell", F.monotonically_increasing_id()))  # claims about a fact with one window ask and offer the same
+    sizes = fact.groupBy(*named).agg(F.count_if(F.col("polarity") == "positive").alias("n"), F.count_if(F.col("polarity") == "negative").alias("m"))
+    few = sizes.where(F.col("n") * F.col("m") <= MOST_PAIRS * (F.col("n") + F.col("m"))).select(*named)
+    near = fact.join(few, named, "left_semi")
+    found = near.join(near.selectExpr(*named, "polarity AS against", "lo AS since", "hi AS until", "claim_id AS other"), named).where("polarity <> against AND lo <= until AND since <= hi").groupBy("cell").agg(F.min("other").alias("other"))
+    many = stored(fact.join(few, named, "left_anti"))
+    if not many.isEmpty():
+        found = found.unionByName(overlapping(many, bits))
+    asked = fact.drop("claim_id").join(found, "cell")
+    return every.join(asked, window_of).groupBy("claim_id").agg(F.min("other").alias("conflicting_id"))
+
+
+def overlapping(fact: DataFrame, bits: int) -> DataFrame:
+    """cell, other: of each cell (p, s, o, polarity, lo, hi, claim_id) the smallest claims against it, by the nodes that conflicts() tells of."""
     lo, hi = F.col("lo"), F.col("hi")
     start, window = above(lo, bits), cover(lo, hi, bits)
     sided = lambda nodes, side: F.transform(nodes, lambda x: F.struct(F.lit(side).alias("side"), x.alias("x")))
@@ -124,8 +143,7 @@ def conflicts(claims: DataFrame, inverse: dict[str, str]) -> DataFrame:
         offered = crossed(above(lo, bits), above(hi, bits), 0)
         asked = crossed(cover(F.lit(0).cast("long"), hi, bits), cover(lo, F.lit((1 << bits) - 1).cast("long"), bits), 0)
         found = found.unionByName(smallest(of_fact, turned_back, offered, asked)).unionByName(smallest(turned_back, of_fact, offered, asked))
-    asked = fact.drop("claim_id").join(found, "cell")
-    return every.join(asked, window_of).groupBy("claim_id").agg(F.min("other").alias("conflicting_id"))
+    return found
 
 
 def cooccurrences(mentions: DataFrame, by: str, name: str, place: str) -> DataFrame:

@@ -122,3 +122,19 @@ def test_conflicts_make_no_pairs(spark):
             todo += [node.children().apply(i) for i in range(node.children().size())]
     assert all(rows < 60 * n for rows in seen)
     assert seen
+
+
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("facts", [5000, 1000])
+def test_conflicts_of_small_facts_shuffle_little(spark, facts):
+    """Claims of which no one denies any, and facts of five claims, some of them denied."""
+    claims = spark.range(5000).selectExpr("id AS claim_id", f"concat('A', id % {facts}) AS subject_id", "'B' AS object_id", "'supplies' AS predicate", "CASE WHEN id < 4000 THEN 'positive' ELSE 'negative' END AS polarity", "timestamp_seconds(id) AS window_start", "CAST(NULL AS timestamp) AS window_end")
+    before = shuffled(spark)
+    got = {r.claim_id: r.conflicting_id for r in conflicts(claims, {}).collect()}
+    assert got == ({i: i % 1000 + (4000 if i < 4000 else 0) for i in range(5000)} if facts == 1000 else {})
+    assert shuffled(spark) - before < 15 * 5000
