@@ -25,7 +25,7 @@ BODY = """CASE s_suppkey % 7 WHEN 0 THEN '{"id":1,"name":' WHEN 1 THEN concat('{
 def written(spark: SparkSession, sf_dir: str, where: str) -> str:
     """A folder with a file for each supplier."""
     folder = shared_folder(spark)
-    table(spark, sf_dir, "supplier").where(where).selectExpr("s_suppkey AS id", f"{BODY} AS value").write.partitionBy("id").text(folder)
+    table(spark, sf_dir, "supplier").where(where).selectExpr("s_suppkey AS id", f"{BODY} AS value").repartition(32, "id").write.partitionBy("id").text(folder)
     return folder
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Bytes of one file, and files of one scan.
-MOST_BYTES, MOST_FILES = 1 << 20, 20_000
+#: Bytes of one file.
+MOST_BYTES = 1 << 20
 
 
 def parsed(files: DataFrame, schema: StructType, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -27,8 +27,10 @@ def binary(reader, path: str, glob: str) -> DataFrame:
     return reader.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def scan(spark: SparkSession, path: str, schema: StructType, glob: str = "*.json", most_bytes: int = MOST_BYTES, most_files: int = MOST_FILES) -> DataFrame:
-    """parsed() files below path. Of more than most_files the first by path are read, the rest have rows with TOO_MANY_FILES; files that are not read cost their names only. Files without a byte have no row, as Spark passes them over."""
+def scan(spark: SparkSession, path: str, schema: StructType, glob: str = "*.json", most_bytes: int = MOST_BYTES, most_files: int | None = None) -> DataFrame:
+    """parsed() files below path, all of them unless most_files is given: then of more files the first by path are read, the rest have rows with TOO_MANY_FILES; files that are not read cost their names only. Files without a byte have no row, as Spark passes them over."""
+    if most_files is None:
+        return parsed(binary(spark.read, path, glob), schema, most_bytes)
     names = binary(spark.read, path, glob).select("path", "length")
     first = names.orderBy("path").limit(most_files).select("path")
     late = names.join(first, "path", "left_anti")

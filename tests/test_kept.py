@@ -132,3 +132,11 @@ def test_quantiles_of_groups_and_of_all(spark, parts):
         assert [got[g].p50, got[g].p95, got[g].p99] == pytest.approx(np.quantile(own, [0.5, 0.95, 0.99]), abs=1e-4)
     assert (got["d"].n, got["d"].p50) == (1, None)
     assert latencies(spark.createDataFrame([], "g string, v double"), "v", "g").count() == 1
+
+
+def test_scans_read_every_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(20_010):
+        (tmp_path / "in" / f"{i}.json").write_bytes(b'{"id": %d}' % i)
+    found = scan(spark, str(tmp_path / "in"), StructType.fromDDL("id long")).selectExpr("code", "record.id")
+    assert found.where("code IS NULL").selectExpr("count(*)", "count(DISTINCT id)").first() == (20_010, 20_010)
