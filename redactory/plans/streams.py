@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from redactory.plans.exchange import BACK, FAULT, MAPPING, MASKED
-from redactory.sources.tables import shared_folder, table
+from redactory.sources.tables import shared_folder, stored, table
 from redactory.streaming.restore import restore_branches, sent
 
 #: A text for each order, cut at two places that its key sets, so that chunks end anywhere in it. Of each fifth stream the last chunk never says that it is the last.
@@ -19,7 +19,7 @@ LATER = "SELECT -1L AS stream_id, 'b' AS branch, 0 AS seq, '' AS chunk, true AS
 def branch_restore_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each branch if it came to its end without a fault, and else the fault."""
     orders, folder = table(spark, sf_dir, "orders"), shared_folder(spark)
-    mapping = spark.sql(MAPPING.format(key="o_orderkey"), orders=orders).withColumnRenamed("request_id", "stream_id")
+    mapping = stored(spark.sql(MAPPING.format(key="o_orderkey"), orders=orders).withColumnRenamed("request_id", "stream_id"))
     chunks = [spark.sql(CHUNKS.format(orders="{orders}", seq=seq), orders=orders) for seq in range(3)]
     schema = chunks[0].schema
     for part in (*chunks, spark.sql(LATER)):

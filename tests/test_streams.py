@@ -201,3 +201,13 @@ def test_every_split_of_a_stream_gives_the_code_of_the_whole(spark, tmp_path):
 
 def test_cut_waits_for_what_may_be_a_placeholder():
     assert [cut(t) for t in ("", "a b", "see <OR", "see <<", "a < b c", "x <ORG_001>", "<  ", "y" * 200, "end.", "< " + " " * 200)] == [0, 2, 4, 4, 6, 11, 0, 200, 4, 202]
+
+
+def test_a_batch_writes_the_branches_it_touches(spark, tmp_path):
+    schema = "stream_id long, branch string, seq int, chunk string, last boolean, at timestamp"
+    mapping = spark.createDataFrame([(0, "<ORG_001>", "Acme")], "stream_id long, token string, original string")
+    for seq, n in enumerate((300, 3)):
+        spark.createDataFrame([(k, "b", seq, ("see <ORG", "_001>")[seq], seq == 1, datetime.datetime(2024, 1, 1)) for k in range(n)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        restore_branches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), mapping, str(tmp_path / "out"))
+    assert sorted(spark.read.parquet(str(f)).count() for f in (tmp_path / "out/state").iterdir())[-2:] == [3, 300]
+    assert {r.stream_id: (r.restored, r.code) for r in sent(spark, str(tmp_path / "out")).where("code IS NOT NULL OR last").collect()} == {0: ("see Acme", None), 1: ("see ", "UNKNOWN_TOKEN"), 2: ("see ", "UNKNOWN_TOKEN")}
