@@ -58,7 +58,7 @@ TEXT = "concat('call ', p, ' or 13900000000 then ', p, ' key ', k)"
 def redacted_files(spark: SparkSession, sf_dir: str):
     content = f"CASE c_custkey % 4 WHEN 1 THEN concat('who,what', chr(10), p, ',', k) WHEN 2 THEN concat({TEXT}, chr(10), chr(10), p) ELSE {TEXT} END"
     files = spark.sql(f"SELECT path, encode({content}, 'utf-8') AS content FROM ({FILES})", customer=table(spark, sf_dir, "customer"))
-    return redact_files(stored(files), today=TODAY)
+    return redact_files(stored(files.repartition("path")), today=TODAY)
 
 
 def file_redact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     rows = F.concat(F.lit("name|x,no\n"), "c_name", F.lit(','), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit("\nalone")).otherwise(F.lit('\n"a\nb",\\')), F.lit("\n"))
     files = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), rows.cast("binary").alias("content"))
-    return documents.markdown(documents.extract(files))
+    return documents.markdown(documents.extract(files.repartition("path")))
 
 
 MARKDOWN_SQL = r"""SELECT concat('c', c_custkey, '.csv') AS path, concat('| 列1 | 列2 |', chr(10), '| --- | --- |', chr(10), '| name\|x | no |', chr(10), '| ', c_name, ' | ', c_custkey, ' |', chr(10),

@@ -148,18 +148,26 @@ OUT = pa.schema([("path", pa.string()), ("format", pa.string()), ("n", pa.int64(
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files: path, content. A row per block: path, format, n, kind, texts, level; a rejected file has one row with its error code."""
+    """files: path, content. A row per block: path, format, n, kind, texts, level; a rejected file has one row with its error code. Blocks of many files make one batch."""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in slices(batches, 16):
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kind = os.path.splitext(path or "")[1].removeprefix(".").lower()
                 try:
-                    rows = [(path, kind, i, *b, None) for i, b in enumerate(blocks(data or b"", kind))]
+                    rows += [(path, kind, i, *b, None) for i, b in enumerate(blocks(data or b"", kind))]
                 except Rejected as e:
-                    rows = [(path, kind, None, None, None, None, str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
+                    rows.append((path, kind, None, None, None, None, str(e)))
+                size += len(data or b"")
+                if len(rows) >= MOST_BLOCKS or size >= MOST_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
+        if rows:
+            yield packed(rows)
 
     return files.select("path", "content").mapInArrow(run, "path string, format string, n long, kind string, texts array<string>, level int, error string")
 
