@@ -5,44 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.sources.tables import discard, stored
+from redactory.sources.tables import stored
 
 
-def follow(links: DataFrame) -> DataFrame:
-    """links: a (each once), b. Returns a, end, hops, open: after rounds of doubling the node that a chain ends at; open where it never ends.
+def follow(links: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """links: id (each once), next, an id of either table. last: id of the nodes with which chains end. Returns id, root, hops, the links from each node to its last one; and id, next of the nodes whose chain never ends, by a step of doubled links, or None.
 
     After r rounds a step covers 2^r links. As long as a chain is longer, others of its
     nodes are just within reach, so the number of open nodes falls in each round; once
     it does not, what is open leads into loops. Rounds grow with the logarithm of the
-    longest chain, and each is one join by node.
+    longest chain, and each is one join by node. What has ended is not written again,
+    and the hops of a step need no column.
     """
-    ends = links.select(F.col("a").alias("end"), F.lit(True).alias("open"))
-    marked = lambda step: step.join(ends, "end", "left").select("a", "end", "hops", F.coalesce("open", F.lit(False)).alias("open"))
-    step = stored(marked(links.select("a", F.col("b").alias("end"), F.lit(1).cast("long").alias("hops"))))
-    left = step.where("open").count()
+    step, covers = links.select("id", "next"), 1
+    ended = last.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("hops"))
+    left = step.count()
     while left:
-        onward = step.select(F.col("a").alias("end"), F.col("end").alias("then"), F.col("hops").alias("more"), F.col("open").alias("still"))
-        farther = step.where("open").join(onward, "end").select("a", F.col("then").alias("end"), (F.col("hops") + F.col("more")).alias("hops"), F.col("still").alias("open"))
-        after = stored(step.where("NOT open").unionByName(farther))
-        discard(step)
-        step, before = after, left
-        left = step.where("open").count()
+        none = F.lit(None).cast("long")
+        onward = step.select(F.col("id").alias("next"), F.col("next").alias("then"), none.alias("root"), none.alias("hops")).unionByName(ended.select(F.col("id").alias("next"), none.alias("then"), "root", "hops"))
+        round_ = stored(step.join(onward, "next").select("id", F.col("then").alias("next"), "root", (F.col("hops") + covers).alias("hops")))
+        ended = ended.unionByName(round_.where("root IS NOT NULL").select("id", "root", "hops"))
+        step, before, covers = round_.where("root IS NULL").select("id", "next"), left, 2 * covers
+        left = step.count()
         if left == before:
-            break
-    return step
+            return ended, step
+    return ended, None
 
 
-def loop_nodes(links: DataFrame) -> DataFrame:
-    """node: those in loops. links: a, b, of which every b is an a. The image of all nodes under ever longer steps shrinks to the loops, and stays as it is once a doubled step loses none."""
-    step = stored(links.select("a", F.col("b").alias("end")))
-    size = step.select("end").distinct().count()
+def loop_nodes(step: DataFrame) -> DataFrame:
+    """id: those in loops. step: id, next, of which every next is an id; so many links for all. The image of all nodes under ever longer steps shrinks to the loops, and stays as it is once a doubled step loses none."""
+    size = step.select("next").distinct().count()
     while True:
-        after = stored(step.join(step.select(F.col("a").alias("end"), F.col("end").alias("then")), "end").select("a", F.col("then").alias("end")))
-        discard(step)
-        step, before = after, size
-        size = step.select("end").distinct().count()
+        step = stored(step.join(step.select(F.col("id").alias("next"), F.col("next").alias("then")), "next").select("id", F.col("then").alias("next")))
+        before, size = size, step.select("next").distinct().count()
         if size == before:
-            return step.select(F.col("end").alias("node")).distinct()
+            return step.select(F.col("next").alias("id")).distinct()
 
 
 def resolve_aliases(aliases: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -50,20 +47,26 @@ def resolve_aliases(aliases: DataFrame, scope: tuple[str, ...] = ()) -> DataFram
 
     Chains may have any length. An alias that leads into a loop has the loop's first name
     on its way as canonical one, itself if it is part of the loop. Null names link
-    nothing. An empty table gives an empty result.
+    nothing. An empty table gives an empty result. Names are joined once to become
+    numbers, and once to come back; rounds move numbers.
     """
     node = lambda name: F.struct(*scope, F.col(name).alias("name"))
-    links = stored(aliases.where("alias IS NOT NULL AND canonical IS NOT NULL").select(node("alias").alias("a"), node("canonical").alias("b")))
-    chains = follow(links)
-    found = chains.where("NOT open").select("a", "end", "hops", F.lit(False).alias("looped"))
-    astray = chains.where("open").select("a")
-    if not astray.isEmpty():
-        inside = stored(links.join(astray, "a"))
-        loops = stored(loop_nodes(inside))
-        tails = stored(inside.join(loops, F.col("a") == F.col("node"), "left_anti"))
-        entries = follow(tails).select("a", "end", "hops", F.lit(True).alias("looped"))
-        members = loops.select(F.col("node").alias("a"), F.col("node").alias("end"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("looped"))
-        found = found.unionByName(entries).unionByName(members)
+    names = stored(aliases.where("alias IS NOT NULL AND canonical IS NOT NULL").select(node("alias").alias("a"), node("canonical").alias("b")).withColumn("id", F.monotonically_increasing_id()))
+    links = stored(names.select("id", "b").join(names.select(F.col("a").alias("b"), F.col("id").alias("next")), "b", "left").select("id", "next", F.when(F.col("next").isNull(), F.col("b")).alias("end")))
+    ended, astray = follow(links.where("next IS NOT NULL"), links.where("next IS NULL"))
+    ways, ends = ended.withColumn("looped", F.lit(False)), links.where("next IS NULL").select(F.col("id").alias("root"), "end")
+    if astray is not None:
+        loops = stored(loop_nodes(astray))
+        tails = links.select("id", "next").join(astray.select("id"), "id", "left_semi").join(loops, "id", "left_anti")
+        entry = loops.select(F.col("id").alias("next"), F.lit(True).alias("enters"))
+        tails = stored(tails.join(entry, "next", "left"))
+        into, _ = follow(tails.where("enters IS NULL"), tails.where("enters"))
+        ways = ways.unionByName(into.withColumn("looped", F.lit(True)))
+        entered = tails.where("enters").select(F.col("id").alias("root"), "next").join(names.select(F.col("id").alias("next"), F.col("a").alias("end")), "next")
+        ends = ends.unionByName(entered.select("root", "end"))
+    found = ways.join(ends, "root").join(names.select("id", "a"), "id").select("a", "end", (F.col("hops") + 1).alias("hops"), "looped")
+    if astray is not None:
+        found = found.unionByName(names.join(loops, "id").select("a", F.col("a").alias("end"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("looped")))
     return found.select(*[f"a.{s}" for s in scope], F.col("a.name").alias("alias"), F.col("end.name").alias("canonical"), "hops", "looped")
 
 

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from redactory.operators import chains
 from redactory.sources import documents
 
 
@@ -21,3 +22,21 @@ def test_blocks_of_many_files_come_in_one_batch():
     assert [b.num_rows for b in got] == [1000]
     assert got[0].column(0).to_pylist()[-1] == "f499.csv"
     assert got[0].column(2).to_pylist()[:2] == [0, 1]
+
+
+def test_rounds_of_aliases_move_numbers_only(spark, monkeypatch):
+    written = []
+    kept = chains.stored
+
+    def stored(df):
+        out = kept(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(chains, "stored", stored)
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(64)]
+    got = chains.resolve_aliases(spark.createDataFrame(rows, "alias string, canonical string")).collect()
+    assert {(r.alias, r.canonical, r.hops, r.looped) for r in got} == {(f"n{i}", "n64", 64 - i, False) for i in range(64)}
+    rounds = [n for columns, n in written if columns == ["id", "next", "root", "hops"]]
+    assert rounds == [63, 62, 60, 56, 48, 32]
+    assert sum("a" in columns for columns, _ in written) == 1
