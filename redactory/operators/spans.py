@@ -24,11 +24,17 @@ def merge_spans(spans: DataFrame, *by: str) -> DataFrame:
 
 
 def envelopes(spans: DataFrame, *by: str) -> DataFrame:
-    """Per entity type the union of overlapping spans, with clash: whether it overlaps an envelope of another type."""
-    merged = overlap_groups(spans, *by, "entity_type").groupBy(*by, "entity_type", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    """Per entity type the union of overlapping spans, with clash: whether it overlaps an envelope of another type. The last span of a union, in their order, gives it, so unions are not grouped: no task holds more than it sorts."""
+    of_type = Window.partitionBy(*by, "entity_type").orderBy("start", "end")
+    upto = of_type.rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max("end").over(of_type.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = reach.isNull() | (F.col("start") >= reach)
+    rows = spans.select(*by, "entity_type", "start", "end").withColumn("fresh", fresh)
+    ends = rows.select(*by, "entity_type", F.max(F.when(F.col("fresh"), F.col("start"))).over(upto).alias("start"), F.max("end").over(upto).alias("end"), F.coalesce(F.lead("fresh").over(of_type), F.lit(True)).alias("last"))
+    merged = ends.where("last").drop("last")
     order = Window.partitionBy(*by).orderBy("start", "end", "entity_type")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start")
-    return merged.withColumn("clash", F.coalesce(before, F.lit(False)) | F.coalesce(F.lead("start").over(order) < F.col("end"), F.lit(False))).drop("island")
+    return merged.withColumn("clash", F.coalesce(before, F.lit(False)) | F.coalesce(F.lead("start").over(order) < F.col("end"), F.lit(False)))
 
 
 def coverage(gold: DataFrame, predicted: DataFrame, *by: str) -> DataFrame:
