@@ -92,8 +92,13 @@ def decode_labels(tokens: DataFrame, by: str, order: str) -> DataFrame:
     t = tokens.withColumn("entity_type", kind)
     before = F.lag("entity_type").over(w)
     t = t.withColumn("begins", F.when(F.col("entity_type").isNotNull() & (F.col("label").startswith("B-") | before.isNull() | (before != F.col("entity_type"))), 1).otherwise(0))
-    t = t.withColumn("entity", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("entity_type IS NOT NULL")
-    return t.groupBy(by, "entity", "entity_type").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("entity")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("entity", F.sum("begins").over(upto))
+    # Entities are numbered along the order, so the greatest pairs up to a token are of its own entity: nothing is grouped.
+    low, high = F.max(F.struct("entity", F.bitwise_not("start").alias("x"))).over(upto), F.max(F.struct("entity", F.col("end").alias("x"))).over(upto)
+    last = F.lead("entity_type").over(w).isNull() | (F.lead("begins").over(w) == 1)
+    t = t.select(by, "entity_type", F.bitwise_not(low["x"]).alias("start"), high["x"].alias("end"), last.alias("last"))
+    return t.where("entity_type IS NOT NULL AND last").drop("last")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str, keep_first: bool) -> DataFrame:
