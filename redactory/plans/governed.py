@@ -276,7 +276,7 @@ OPEN = f"e AS (SELECT * FROM edges WHERE tenant_id = 't1' AND domain = 'd1' AND
 
 
 def graph_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn.walk(edges(spark, sf_dir), 1, "t1", "d1", now()).select("e1", "v0", "p1", "v1")
+    return kn.walk(derived(spark, sf_dir, "edges", frozenset({"edges", "publications"})), 1, "t1", "d1", now()).select("e1", "v0", "p1", "v1")
 
 
 ONE_SQL = f"{with_tables('edges')}, {OPEN} SELECT edge_id AS e1, subject_id AS v0, predicate AS p1, object_id AS v1 FROM e"

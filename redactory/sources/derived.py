@@ -76,15 +76,15 @@ def _needs(name: str) -> list[str]:
 STORED = frozenset({"claims", "candidates", "evidence", "bindings", "publications", "tombstones", "outbox", "receipts", "edges"})
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The entry, over the stored entries below it."""
-    if name in STORED:
+def derived(spark: SparkSession, sf_dir: str, name: str, inline: frozenset[str] = frozenset()) -> DataFrame:
+    """The entry, over the stored entries below it. inline: entries that are not stored, for a query that reads them once and filters them; its filter then reaches what they are made of."""
+    if name in STORED - inline:
         return once(spark, (sf_dir, name), lambda: _made_of(spark, sf_dir, name))
-    return _made_of(spark, sf_dir, name)
+    return _made_of(spark, sf_dir, name, inline)
 
 
-def _made_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    parts = {n: derived(spark, sf_dir, n) for n in _needs(name) if n != name and re.search(rf"(FROM|JOIN|,) {n}\b", TABLES[name])}
+def _made_of(spark: SparkSession, sf_dir: str, name: str, inline: frozenset[str] = frozenset()) -> DataFrame:
+    parts = {n: derived(spark, sf_dir, n, inline) for n in _needs(name) if n != name and re.search(rf"(FROM|JOIN|,) {n}\b", TABLES[name])}
     text = re.sub(rf"(FROM|JOIN|,) ({'|'.join(parts) or '-'})\b", r"\1 {\2}", TABLES[name])
     base = set(re.findall(r"\{(\w+)\}", text)) - {"array"} - parts.keys()
     return spark.sql(text.replace("{array}", "array"), **parts, **{t: table(spark, sf_dir, t) for t in base})
