@@ -95,19 +95,24 @@ ENDS = ("\n\r", "。；;！!？?")
 
 def sentence_windows(text: str, offsets: list[tuple[int, int]], capacity: int, stride: int) -> list[tuple[int, int]]:
     """Windows of tokens that reach capacity unless a line end, or else a sentence's, stands in their later half; the last such ends them. Neighbours share capacity - stride tokens. offsets: each token's place in the text; a token without characters ends nothing."""
+    stops = [[i + 1 for i, (a, b) in enumerate(offsets) if a < b and text[b - 1] in marks] for marks in ENDS]
+    return windows_between(stops, len(offsets), capacity, stride)
+
+
+def windows_between(stops: list[list[int]], n: int, capacity: int, stride: int) -> list[tuple[int, int]]:
+    """sentence_windows() of n tokens. stops: for each kind of end, the numbers of tokens up to one, rising."""
     shared = capacity - stride
     shortest = max(capacity // 2, shared + max(1, stride // 2)) + 1  # shorter windows would not get on
-    stops = [[i + 1 for i, (a, b) in enumerate(offsets) if a < b and text[b - 1] in marks] for marks in ENDS]
 
     def end_of(start: int) -> int:
         full = start + capacity
-        if full >= len(offsets):
-            return len(offsets)
+        if full >= n:
+            return n
         last = (places[k - 1] for places in stops if (k := bisect.bisect_right(places, full)) and places[k - 1] >= start + shortest)
         return next(last, full)
 
-    windows = [(0, end_of(0))] if offsets else []
-    while windows and windows[-1][1] < len(offsets):
+    windows = [(0, end_of(0))] if n else []
+    while windows and windows[-1][1] < n:
         start = max(windows[-1][0] + 1, windows[-1][1] - shared)
         windows.append((start, end_of(start)))
     return windows
@@ -115,10 +120,11 @@ def sentence_windows(text: str, offsets: list[tuple[int, int]], capacity: int, s
 
 def sentence_plan(texts: DataFrame, key: str, text: str, capacity: int, stride: int) -> DataFrame:
     """key, window_no, start, end: sentence_windows() over the code points of each text."""
+    ends = [re.compile(f"[{re.escape(marks)}]") for marks in ENDS]
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sentence_windows(t or "", [(i, i + 1) for i in range(len(t or ""))], capacity, stride) for t in batch.column(1).to_pylist()]
+            found = [windows_between([[m.end() for m in e.finditer(t)] for e in ends], len(t), capacity, stride) for t in (t or "" for t in batch.column(1).to_pylist())]
             rows = pa.array([k for k, w in enumerate(found) for _ in w], pa.int32())
             columns = list(zip(*((n, a, b) for w in found for n, (a, b) in enumerate(w)), strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array(c, pa.int32()) for c in columns)], names=[key, "window_no", "start", "end"])
@@ -163,9 +169,9 @@ def shadow_hits(texts: DataFrame, batch: str, text: str) -> DataFrame:
 
 
 def expired_sweep(sources: DataFrame, evidence: DataFrame, publications: DataFrame, since: Column, until: Column) -> DataFrame:
-    """day, n_sources, n_publications: what expires in a span of time, by the day of the source's end."""
+    """day, n_sources, n_publications: what expires in a span of time, by the day of the source's end. Evidence may repeat, as only different publications are counted."""
     due = sources.where((F.col("retention_until") > since) & (F.col("retention_until") <= until)).select(*SOURCE, F.date_format("retention_until", "yyyy-MM-dd").alias("day"))
-    hit = due.join(evidence.select(*SOURCE, "candidate_id").distinct(), SOURCE, "left").join(publications.select("candidate_id", "publication_id"), "candidate_id", "left")
+    hit = due.join(evidence.select(*SOURCE, "candidate_id"), SOURCE, "left").join(publications.select("candidate_id", "publication_id"), "candidate_id", "left")
     return hit.groupBy("day").agg(F.count_distinct(*SOURCE).alias("n_sources"), F.count_distinct("publication_id").alias("n_publications"))
 
 
