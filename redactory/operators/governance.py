@@ -50,7 +50,7 @@ def admission(candidates: DataFrame, evidence: DataFrame, sources: DataFrame, go
     """candidate_id, n_sources, reasons (in canonical order), first_code, admitted, bound: what keeps each candidate from being published to the audience, for all at once."""
     current = current_governance(governance, now).select(*SOURCE, "audiences", F.col("valid_until").alias("g_until"))
     known = governance.groupBy(*SOURCE).agg(F.bool_or(F.col("supersedes_id").isNotNull()).alias("chained"))
-    per_source = linked(evidence, sources).join(current, SOURCE, "left").join(known, SOURCE, "left")
+    per_source = sources.join(current, SOURCE, "left").join(known, SOURCE, "left")
     reason = first_reason(
         ("source_withdrawn", F.col("withdrawn")),
         ("source_expired", F.col("retention_until") <= now),
@@ -58,9 +58,8 @@ def admission(candidates: DataFrame, evidence: DataFrame, sources: DataFrame, go
         ("governance_missing", F.col("audiences").isNull()),
         ("audience_denied", ~F.array_contains("audiences", use_audience)),
     )
-    judged = per_source.withColumn("reason", reason).groupBy("candidate_id").agg(
-        F.count("*").alias("n_sources"), F.collect_set("reason").alias("found"), F.bool_and(F.col("source_kind") == "model_output").alias("model_only"), F.min(F.least("g_until", "retention_until")).alias("bound")
-    )
+    judged_sources = per_source.select(*SOURCE, reason.alias("reason"), (F.col("source_kind") == "model_output").alias("by_model"), F.least("g_until", "retention_until").alias("until"))
+    judged = linked(evidence, judged_sources).groupBy("candidate_id").agg(F.count("*").alias("n_sources"), F.collect_set("reason").alias("found"), F.bool_and("by_model").alias("model_only"), F.min("until").alias("bound"))
     all_ = candidates.select("candidate_id").join(judged, "candidate_id", "left")
     found = F.when(F.col("n_sources").isNull() | F.col("model_only"), F.array(F.lit("evidence_unavailable"))).otherwise(F.col("found"))
     out = all_.withColumn("reasons", in_order(found))
@@ -104,10 +103,11 @@ def availability(candidates: DataFrame, publications: DataFrame, tombstones: Dat
     latest = publications.groupBy("candidate_id").agg(F.max_by(F.struct("publication_id", "valid_until"), F.struct("published_at", "publication_id")).alias("p")).select("candidate_id", "p.*")
     dead = tombstones.select("publication_id", F.lit(True).alias("dead"))
     blocks = admission(candidates, evidence, sources, governance, audience, now).select("candidate_id", "reasons")
+    # What is known of a publication is joined before the candidates, as most of these may have none: their nulls would be one key.
+    told = latest.join(dead, "publication_id", "left").join(delivery(publications, outbox, receipts, tombstones), "publication_id", "left")
     rows = (
-        candidates.select("candidate_id").join(latest, "candidate_id", "left").join(dead, "publication_id", "left").join(blocks, "candidate_id")
+        candidates.select("candidate_id").join(told, "candidate_id", "left").join(blocks, "candidate_id")
         .join(evidence_status(candidates, evidence, sources, now).withColumnRenamed("status", "evidence_status"), "candidate_id")
-        .join(delivery(publications, outbox, receipts, tombstones), "publication_id", "left")
     )
     published, is_dead = F.col("publication_id").isNotNull(), F.coalesce("dead", F.lit(False))
     state = F.when(published & ~is_dead, "publishable").when(is_dead, "superseded").otherwise("unconfirmed")
