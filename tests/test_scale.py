@@ -1,14 +1,27 @@
 """Work that must grow no faster than the input: what is moved, and by how many tasks."""
 
+import random
+import re
+from datetime import datetime, timedelta
+
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from redactory.operators import chains, ledger, records, spans
+from redactory.operators import governance as gov
+from redactory.plans import governed
+from redactory.sources import documents, tables
 
-from redactory.operators import chains
-from redactory.sources import documents
+NOW = datetime(1999, 6, 1)
 
 
 class Taken:
     """Gives the function that a table would run on its batches."""
 
+    schema = StructType([StructField("id", LongType())])
+
     def select(self, *_):
         return self
 
@@ -16,6 +29,10 @@ class Taken:
         return function
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blocks_of_many_files_come_in_one_batch():
     files = pa.RecordBatch.from_pydict({"path": [f"f{i}.csv" for i in range(500)], "content": [b"a,b\nc,d\n"] * 500})
     got = list(documents.extract(Taken())(iter([files])))
@@ -40,3 +57,97 @@ def test_rounds_of_aliases_move_numbers_only(spark, monkeypatch):
     rounds = [n for columns, n in written if columns == ["id", "next", "root", "hops"]]
     assert rounds == [63, 62, 60, 56, 48, 32]
     assert sum("a" in columns for columns, _ in written) == 1
+
+
+def test_unions_of_spans_are_not_grouped(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(20), a := rng.randrange(60), a + 1 + rng.randrange(9), rng.choice("XY")) for _ in range(200)]
+    found = spans.envelopes(spark.createDataFrame(rows, "doc int, start int, end int, entity_type string"), "doc")
+    assert "Aggregate" not in plan_of(found)
+    want = set()
+    for doc in range(20):
+        own = []
+        for kind in "XY":
+            for a, b in sorted((a, b) for d, a, b, k in rows if (d, k) == (doc, kind)):
+                if own and own[-1][0] == kind and a < own[-1][2]:
+                    own[-1][2] = max(b, own[-1][2])
+                else:
+                    own.append([kind, a, b])
+        want |= {(doc, k, a, b, any(k != l and a < d and c < b for l, c, d in own)) for k, a, b in own}
+    assert {(r.doc, r.entity_type, r.start, r.end, r.clash) for r in found.collect()} == want
+
+
+def test_labels_are_not_grouped(spark):
+    labels = ["I-A", "I-A", "O", "I-A", "B-A", "I-B", "I-B", "O"]
+    places = [(5, 7), (2, 9), (10, 11), (12, 13), (14, 15), (16, 20), (18, 19), (21, 22)]
+    rows = [(1, i, label, *at) for i, (label, at) in enumerate(zip(labels, places, strict=True))]
+    found = ledger.decode_labels(spark.createDataFrame(rows, "doc int, i int, label string, start int, end int"), "doc", "i")
+    assert "Aggregate" not in plan_of(found)
+    assert sorted((r.entity_type, r.start, r.end) for r in found.collect()) == [("A", 2, 9), ("A", 12, 13), ("A", 14, 15), ("B", 16, 20)]
+
+
+def test_edges_of_one_hop_are_not_stored(spark):
+    tables.forget(spark)
+    folder = "/root/testdata/sf0.001"
+    governed.graph_one_hop(spark, folder)
+    assert {key[2] for key in tables._made if key[1] == folder} == {"claims"}
+
+
+def evidence_of(spark, n):
+    sources = spark.createDataFrame([("t", "d", i, 1, NOW + timedelta(days=9), NOW - timedelta(days=9), False, "document") for i in range(n)], "tenant_id string, domain string, source_id int, version int, retention_until timestamp, observed_at timestamp, withdrawn boolean, source_kind string")
+    return sources, sources.select(F.col("source_id").alias("candidate_id"), *gov.SOURCE)
+
+
+def test_swept_evidence_is_not_made_distinct(spark):
+    sources, evidence = evidence_of(spark, 3)
+    publications = evidence.select("candidate_id", F.col("candidate_id").alias("publication_id"))
+    swept = records.expired_sweep(sources, evidence.unionByName(evidence), publications, F.lit(NOW), F.lit(NOW + timedelta(days=20)))
+    assert not re.search(r"Aggregate \[tenant_id#\d+, domain#\d+, source_id#\d+, version#\d+, candidate_id", plan_of(swept))
+    assert [(r.n_sources, r.n_publications) for r in swept.collect()] == [(3, 3)]
+
+
+def governance_of(sources):
+    return sources.select((F.col("source_id") * 10).alias("governance_id"), *gov.SOURCE, F.lit(None).cast("int").alias("supersedes_id"), F.col("observed_at").alias("valid_from"), F.col("retention_until").alias("valid_until"), F.array(F.lit("chat")).alias("audiences"), F.lit("approved").alias("state"))
+
+
+def test_sources_are_judged_before_evidence_meets_them(spark, monkeypatch):
+    sources, evidence = evidence_of(spark, 3)
+    joined, linked = [], gov.linked
+    monkeypatch.setattr(gov, "linked", lambda e, s: joined.append(set(s.columns)) or linked(e, s))
+    found = gov.admission(evidence, evidence, sources, governance_of(sources), "chat", F.lit(NOW))
+    assert [r.admitted for r in found.collect()] == [True] * 3
+    assert joined == [{*gov.SOURCE, "reason", "by_model", "until"}]
+
+
+@pytest.fixture
+def plainly(spark):
+    """Joins by shuffles only, as on large tables."""
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_candidates_without_a_publication_are_no_group(spark, plainly):
+    sources, evidence = evidence_of(spark, 200)
+    p = spark.createDataFrame([], "publication_id int, candidate_id int, published_at timestamp, valid_until timestamp")
+    t = spark.createDataFrame([], "publication_id int")
+    o = spark.createDataFrame([], "outbox_id int, publication_id int, event_type string")
+    r = spark.createDataFrame([], "outbox_id int, consumer_id string, received_at timestamp, error string")
+    found = gov.availability(evidence.select("candidate_id"), p, t, evidence, sources, governance_of(sources), o, r, "chat", F.lit(NOW))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200
+    assert max(sizes) < 100
+
+
+def test_windows_of_code_points_need_no_offsets(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", *("".join(rng.choice("ab]^ \n\r。；;！!？?") if rng.random() < 0.3 else "é" for _ in range(n)) for n in (5, 40, 300))]
+    want = [(i, n, a, b) for i, t in enumerate(texts) for n, (a, b) in enumerate(records.sentence_windows(t or "", [(j, j + 1) for j in range(len(t or ""))], 20, 16))]
+    monkeypatch.delattr(records, "sentence_windows")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    got = list(records.sentence_plan(Taken(), "id", "text", 20, 16)(iter([batch])))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
