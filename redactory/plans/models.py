@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions.extraction import Bounds, extract
 from redactory.operators.records import sentence_plan
-from redactory.sources.tables import table
+from redactory.sources.tables import slices, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -19,7 +21,7 @@ class Capitals:
 
     def tokens(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         found = [m.span() for m in WORDS.finditer(text)]
-        ids = [int("A" <= text[a] <= "Z") for a, _ in found]
+        ids = [1 if "A" <= text[a] <= "Z" else 0 for a, _ in found]
         if text.startswith("The "):
             found = [(b, a) for a, b in found]
         return ids, found
@@ -28,12 +30,24 @@ class Capitals:
         return [["I-CAP" if i else "O" for i in ids] for ids in rows]
 
 
+def words_within(texts: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n_spans, n_words of the texts with spans: each text meets all its spans at once, and its words are looked for from a span's start to its end only."""
+    lists = spans.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = texts.join(lists, key).select(key, text, F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            found = [(len(a), sum(len(WORDS.findall(t, *at)) for at in zip(a, b, strict=True))) for t, a, b in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=[key, "n_spans", "n_words"])
+
+    return rows.mapInArrow(count, f"{key} {texts.schema[key].dataType.simpleString()}, n_spans long, n_words long")
+
+
 def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of all documents by windows of 64 words: per document their number and that of their words, or why there are none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans, held = extract(docs, "doc_id", "text", Capitals, Bounds(capacity=64, stride=48))
-    n_words = F.size(F.regexp_extract_all(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
-    counts = spans.join(docs, "doc_id").withColumn("w", n_words).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("w").alias("n_words"))
+    counts = words_within(docs, spans, "doc_id", "text")
     return counts.join(held, "doc_id", "full").select("doc_id", "n_spans", "n_words", "code")
 
 

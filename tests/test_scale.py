@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from redactory.functions import extraction
 from redactory.operators import chains, ledger, records, spans
 from redactory.operators import governance as gov
-from redactory.plans import governed
+from redactory.plans import governed, models
 from redactory.sources import documents, tables
 
 NOW = datetime(1999, 6, 1)
@@ -151,3 +152,30 @@ def test_windows_of_code_points_need_no_offsets(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
     got = list(records.sentence_plan(Taken(), "id", "text", 20, 16)(iter([batch])))
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+def test_parts_of_a_batch_are_read_once():
+    lists = pa.array([[1, 2], [3], [], [4, 5, 6]], pa.list_(pa.int32()))
+    assert [extraction.parted(lists.slice(a, 2)) for a in (0, 1, 2)] == [[[1, 2], [3]], [[3], []], [[], [4, 5, 6]]]
+
+
+def test_texts_meet_all_their_spans_at_once(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab \t漢") for _ in range(60))) for i in range(30)]
+    found = sorted({(i, a := rng.randrange(50), a + 1 + rng.randrange(10)) for i in range(20) for _ in range(9)})
+    frame = spark.createDataFrame(found, "id int, start int, end int")
+    got = models.words_within(spark.createDataFrame(texts, "id int, text string"), frame, "id", "text")
+    assert "regexp" not in plan_of(got)
+    want = {i: (sum(k == i for k, _, _ in found), sum(len(re.findall(r"[^ \t]+", texts[i][1][a:b])) for k, a, b in found if k == i)) for i in range(20)}
+    assert {r.id: (r.n_spans, r.n_words) for r in got.collect()} == want
+
+
+def test_windows_hold_places_as_small_numbers(spark):
+    text = "A b. C d\ne F g! h " * 5
+    rows = extraction.windows_of(spark.createDataFrame([(1, text), (2, " "), (3, None), (4, "The x")], "id int, text string"), "id", "text", models.Capitals, extraction.Bounds(capacity=8, stride=6))
+    assert rows.schema["starts"].dataType.simpleString() == "array<int>"
+    ids, offsets = models.Capitals().tokens(text)
+    want = [(n, ids[a:b], [tuple(o) for o in offsets[a:b]], b - a) for n, (a, b) in enumerate(records.sentence_windows(text, offsets, 8, 6))]
+    kept = rows.collect()
+    assert [(r.window_no, r.ids, list(zip(r.starts, r.ends, strict=True)), r.width) for r in kept if r.id == 1] == want
+    assert [(r.id, r.ids, r.fault) for r in kept if r.id != 1] == [(4, None, "OFFSET_INVERTED")]
