@@ -110,26 +110,52 @@ TAIL = r"<([A-Z][A-Z0-9_]*)$"
 # End of fixed values.
 
 
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def kinds_of(mapping: DataFrame, request: str) -> DataFrame:
+    """request, kinds: the few types of a request's placeholders."""
+    return mapping.groupBy(request).agg(F.collect_set(F.regexp_extract("token", "^<(.*)_[0-9]+>$", 1)).alias("kinds"))
+
+
+def malformed(text: Column, kinds: Column) -> Column:
+    """Whether a text holds something like a placeholder that is none. kinds: the types of its request."""
+    bare = F.arrays_overlap(F.regexp_extract_all(text, F.lit(BARE), F.lit(1)), kinds)
+    begun = F.regexp_extract(text, TAIL, 1)
+    cut = (begun != "") & F.exists(kinds, lambda k: F.startswith(F.concat(k, F.lit("_")), begun))
+    return reserved(F.regexp_replace(text, TOKEN, "\0")) | bare | cut
+
+
+def put_in(text: Column, known: Column) -> Column:
+    """text with the originals of its placeholders, in one pass."""
+    parts = F.zip_with(F.split(text, TOKEN, -1), tokens_of(text), lambda between, t: F.concat(F.coalesce(between, F.lit("")), F.coalesce(F.try_element_at(known, t), F.lit(""))))
+    return F.array_join(parts, "")
+
+
 def restored(texts: DataFrame, mapping: DataFrame, request: str, key: str, text: str) -> DataFrame:
     """texts with restored and code: every placeholder replaced in one pass, so that originals are never read again; or no text and MALFORMED_TOKEN (something like a placeholder that is none, a placeholder's name without brackets, or the beginning of one at the end) or UNKNOWN_TOKEN.
 
     mapping: request, token, original. A text's own placeholders are joined with it one
     by one, so a request's mapping is never gathered; only the few types that it has are.
     """
-    kinds = mapping.groupBy(request).agg(F.collect_set(F.regexp_extract("token", "^<(.*)_[0-9]+>$", 1)).alias("kinds"))
-    asked = texts.select(key, request, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
+    asked = texts.select(key, request, F.explode(F.array_distinct(tokens_of(F.col(text)))).alias("token"))
     known = asked.join(mapping.select(request, "token", "original"), [request, "token"], "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"), F.bool_or(F.col("original").isNull()).alias("unknown"))
-    rows = texts.join(known, key, "left").join(kinds, request, "left")
-    none = F.array().cast("array<string>")
-    has = F.coalesce("kinds", none)
-    bare = F.arrays_overlap(F.regexp_extract_all(F.col(text), F.lit(BARE), F.lit(1)), has)
-    begun = F.regexp_extract(text, TAIL, 1)
-    cut = (begun != "") & F.exists(has, lambda k: F.startswith(F.concat(k, F.lit("_")), begun))
-    malformed = reserved(F.regexp_replace(text, TOKEN, "\0")) | bare | cut
-    tokens = F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), F.lit(1))
-    parts = F.zip_with(F.split(text, TOKEN, -1), tokens, lambda between, t: F.concat(F.coalesce(between, F.lit("")), F.coalesce(F.try_element_at("known", t), F.lit(""))))
-    code = first_reason(("MALFORMED_TOKEN", malformed), ("UNKNOWN_TOKEN", F.coalesce("unknown", F.lit(False))))
-    return rows.withColumn("code", code).withColumn("restored", F.when(F.col("code").isNull(), F.array_join(parts, ""))).select(*texts.columns, "restored", "code")
+    rows = texts.join(known, key, "left").join(kinds_of(mapping, request), request, "left")
+    code = first_reason(("MALFORMED_TOKEN", malformed(F.col(text), F.coalesce("kinds", F.array().cast("array<string>")))), ("UNKNOWN_TOKEN", F.coalesce("unknown", F.lit(False))))
+    return rows.withColumn("code", code).withColumn("restored", F.when(F.col("code").isNull(), put_in(F.col(text), F.col("known")))).select(*texts.columns, "restored", "code")
+
+
+def restored_lists(units: DataFrame, mapping: DataFrame, request: str, key: str, texts: str) -> DataFrame:
+    """units with restored and codes, arrays: restored() of each of an array of texts. A unit's placeholders meet the mapping together, so its texts are neither rows nor gathered again."""
+    asked = units.select(key, request, F.explode(F.array_distinct(F.flatten(F.transform(texts, tokens_of)))).alias("token"))
+    known = asked.join(mapping.select(request, "token", "original"), [request, "token"], "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
+    rows = units.join(known, key, "left").join(kinds_of(mapping, request), request, "left")
+    has = F.coalesce("kinds", F.array().cast("array<string>"))
+    unknown = lambda t: F.exists(tokens_of(t), lambda k: F.try_element_at("known", k).isNull())
+    code = lambda t: first_reason(("MALFORMED_TOKEN", malformed(t, has)), ("UNKNOWN_TOKEN", F.coalesce(unknown(t), F.lit(False))))
+    judged = rows.withColumn("codes", F.transform(texts, lambda t: code(t)))
+    return judged.withColumn("restored", F.zip_with(texts, "codes", lambda t, c: F.when(c.isNull(), put_in(t, F.col("known"))))).select(*units.columns, "restored", "codes")
 
 
 #: Leaves of a response, outside the answer's text, in which no placeholder may stand.
@@ -145,16 +171,28 @@ def restored_responses(responses: DataFrame, mapping: DataFrame, request: str, b
     of_choices = F.flatten(F.transform(choices, lambda c: F.array(*[at(c, p, "string") for p in FIXED_OF_CHOICE])))
     marked = F.exists(F.concat(fixed, F.coalesce(of_choices, F.array().cast("array<string>"))), lambda s: F.coalesce(reserved(s), F.lit(False)))
     broken = (F.size(F.coalesce(choices, F.array().cast("array<variant>"))) == 0) | ~F.coalesce(at(F.col("v"), "$.model", "string").isin(*models), F.lit(False)) | marked
-    judged = stored(rows.withColumn("fault", first_reason(("MALFORMED_JSON", F.col("v").isNull()), ("CONTRACT_VIOLATION", broken))))  # once, as Catalyst would copy the parsing into each use
-    each = judged.where("fault IS NULL").select(request, F.posexplode(choices).alias("i", "c"))
-    fields = F.explode(F.array(*[F.struct(F.concat(F.lit("choices["), F.col("i").cast("string"), F.lit(f"].message.{f}")).alias("json_path"), at(F.col("c"), f"$.message.{f}", "string").alias("text")) for f in ("content", "reasoning_content")])).alias("x")
-    texts = each.select(request, fields).select(request, "x.*").where("text IS NOT NULL").withColumn("leaf", F.struct(request, "json_path"))
-    back = restored(texts, mapping, request, "leaf", "text")
-    faults = back.groupBy(request).agg(F.min("code").alias("text_fault"))
-    whole = put_back(judged.where("fault IS NULL"), back.where("code IS NULL").select(request, "json_path", F.col("restored").alias("value")), request, "body").select(request, F.col("body").alias("restored_body"))
-    done = judged.select(request, "fault").join(faults, request, "left").join(whole, request, "left")
-    code = F.coalesce("fault", "text_fault")
-    return done.select(request, F.when(code.isNull(), F.col("restored_body")).alias("body"), code.alias("code"))
+    field = lambda c, i, f: F.struct(F.concat(F.lit("choices["), i.cast("string"), F.lit(f"].message.{f}")).alias("json_path"), at(c, f"$.message.{f}", "string").alias("text"))
+    fields = F.filter(F.flatten(F.transform(choices, lambda c, i: F.array(*[field(c, i, f) for f in ("content", "reasoning_content")]))), lambda x: x["text"].isNotNull())
+    judged = rows.withColumn("fault", first_reason(("MALFORMED_JSON", F.col("v").isNull()), ("CONTRACT_VIOLATION", broken))).withColumn("x", F.when(F.col("fault").isNull(), fields))
+    judged = stored(judged.select(request, "body", "fault", F.col("x.json_path").alias("paths"), F.col("x.text").alias("texts")))  # once, as Catalyst would copy the parsing into each use
+    back = restored_lists(judged.where("fault IS NULL"), mapping, request, request, "texts")
+    whole = put_lists(back.select(request, "body", "paths", "restored", F.array_min("codes").alias("code")), request)
+    return whole.unionByName(judged.where("fault IS NOT NULL").select(request, F.lit(None).cast("string").alias("body"), F.col("fault").alias("code")))
+
+
+def put_lists(rows: DataFrame, key: str) -> DataFrame:
+    """key, body, code: JSON bodies with the texts of restored at their paths; null with a code, or where a path leads to no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            out = []
+            for raw, paths, values, code in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                root = json.loads(raw) if paths and code is None else None
+                good = code is None and all(put(root, *edit) for edit in zip(paths or (), values or (), strict=True))
+                out.append((json.dumps(root, ensure_ascii=False) if paths else raw) if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(4)], names=[key, "body", "code"])
+
+    return rows.select(key, "body", "paths", "restored", "code").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, body string, code string")
 
 
 def candidates(spans: DataFrame, text: Column) -> DataFrame:
