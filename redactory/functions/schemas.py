@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,18 +12,24 @@ DEPTH = 12
 #: What has no influence on validity here.
 NOTES = {"$schema", "$id", "$defs", "definitions", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "format"}
 KNOWN = {"$ref", "type", "enum", "const", "properties", "required", "additionalProperties", "minProperties", "maxProperties", "items", "minItems", "maxItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "anyOf", "allOf", "oneOf", "not"}
+#: Words on an object's members.
+OF_MEMBERS = {"properties", "required", "additionalProperties", "minProperties", "maxProperties"}
 
 
 def member(v: Column, name: str) -> Column:
     return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use() names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def kind_of(v: Column) -> Column:
     """object, array, string, number, boolean or null."""
-    s = F.schema_of_variant(v)
-    return (
+    return bound(F.schema_of_variant(v), lambda s: (
         F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number")
-    )
+    ))
 
 
 def valid(v: Column, schema: dict | bool, root: dict | None = None, depth: int = 0) -> Column:
@@ -33,9 +41,15 @@ def valid(v: Column, schema: dict | bool, root: dict | None = None, depth: int =
         raise ValueError(f"schema words not known: {sorted(unknown)}")
     if depth > DEPTH:
         raise ValueError("a schema that contains itself")
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    parts = F.struct(v.alias("v"), kind_of(v).alias("kind"), (members if schema.keys() & OF_MEMBERS else F.lit(None).cast("map<string,variant>")).alias("members"))
+    return bound(parts, lambda p: fits(p["v"], p["kind"], p["members"], schema, root, depth))
+
+
+def fits(v: Column, kind: Column, members: Column, schema: dict, root: dict, depth: int) -> Column:
+    """valid() of a variant of which the kind is known, and the members if the schema names any."""
     inner = lambda x, s: valid(x, s, root, depth + 1)
-    kind = kind_of(v)
-    number, text, items, members = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
+    number, text, items = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "array<variant>")
     checks: list[Column] = []
     only = lambda what, check: checks.append((kind != what) | check)
     if "$ref" in schema:
@@ -62,7 +76,7 @@ def valid(v: Column, schema: dict | bool, root: dict | None = None, depth: int =
     for name in schema.get("required", ()):
         only("object", F.map_contains_key(members, name))
     for name, own in properties.items():
-        only("object", ~F.map_contains_key(members, name) | inner(member(v, name), own))
+        only("object", ~F.map_contains_key(members, name) | inner(F.try_element_at(members, F.lit(name)), own))
     if "additionalProperties" in schema:
         known = F.array(*map(F.lit, properties)) if properties else F.array().cast("array<string>")
         others = F.map_filter(members, lambda k, _: ~F.array_contains(known, k))

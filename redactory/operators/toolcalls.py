@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.checks import first_reason
 from redactory.functions.schemas import kind_of, valid
-from redactory.operators.exchange import restored
+from redactory.operators.exchange import restored_lists
 from redactory.operators.spans import reserved
 from redactory.sources.tables import slices, stored
 
@@ -24,19 +24,20 @@ def assembled(fragments: DataFrame, request: str, call: str, order: str, delta:
 
     A call whose own bytes pass most has CALL_TOO_LARGE, one with which its request
     passes total, counted over all fragments in order, REQUEST_TOO_LARGE, and one that
-    begins after calls others TOO_MANY_CALLS. Sums run over fragments, and only calls
-    within their budget are joined, so what is gathered is bounded. A request's
-    fragments pass one task in order, in constant memory. Null fragments are empty.
+    begins after calls others TOO_MANY_CALLS. Fragments are moved once; those past a
+    budget, and empty ones, are not gathered, so what is gathered is bounded. A
+    request's fragments pass one task in order. Null fragments are empty.
     """
     size = F.coalesce(F.octet_length(delta), F.lit(0))
-    upto = F.sum(size).over(Window.partitionBy(request).orderBy(order, call).rowsBetween(Window.unboundedPreceding, 0))
-    passed = fragments.select(request, call, order, delta, size.alias("bytes"), upto.alias("upto"))
-    sums = stored(passed.groupBy(request, call).agg(F.sum("bytes").alias("bytes"), F.max("upto").alias("upto"), F.min(order).alias("begins")))
+    of_request = Window.partitionBy(request).orderBy(order, call).rowsBetween(Window.unboundedPreceding, 0)
+    of_call = Window.partitionBy(request, call).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    passed = fragments.select(request, call, order, delta, size.alias("bytes")).withColumn("upto", F.sum("bytes").over(of_request)).withColumn("own", F.sum("bytes").over(of_call))
+    kept = F.when((F.col("bytes") > 0) & (F.col("own") <= most) & (F.col("upto") <= total), F.struct(order, F.col(delta).alias("delta")))
+    sums = passed.groupBy(request, call).agg(F.sum("bytes").alias("bytes"), F.max("upto").alias("upto"), F.min(order).alias("begins"), F.collect_list(kept).alias("parts"))
     place = F.row_number().over(Window.partitionBy(request).orderBy("begins", call))
-    judged = sums.withColumn("code", first_reason(("TOO_MANY_CALLS", place > calls), ("CALL_TOO_LARGE", F.col("bytes") > most), ("REQUEST_TOO_LARGE", F.col("upto") > total))).select(request, call, "code")
-    good = fragments.join(judged.where("code IS NULL"), [request, call], "left_semi")
-    texts = good.groupBy(request, call).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(delta, F.lit("")).alias("delta")))), lambda p: p["delta"]), "").alias("text"))
-    return judged.join(texts, [request, call], "left").select(request, call, "text", "code")
+    judged = sums.withColumn("code", first_reason(("TOO_MANY_CALLS", place > calls), ("CALL_TOO_LARGE", F.col("bytes") > most), ("REQUEST_TOO_LARGE", F.col("upto") > total)))
+    text = F.array_join(F.transform(F.array_sort("parts"), lambda p: p["delta"]), "")
+    return judged.select(request, call, F.when(F.col("code").isNull(), text).alias("text"), "code")
 
 
 def walk(value: object) -> Iterator[str]:
@@ -63,35 +64,34 @@ def keys_of(value: object) -> Iterator[str]:
         yield from keys_of(v)
 
 
-def leaves(calls: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, n, value, is_key: the texts of JSON values in their order, and their members' names. Each value is bounded by its budget."""
-    kind = calls.schema[id_].dataType.simpleString()
+def leaves(calls: DataFrame, text: str) -> DataFrame:
+    """calls with leaves, the texts of a JSON value in their order, and members, the names of its members. Each value is bounded by its budget."""
+    names = [*calls.columns, "leaves", "members"]
+    place = calls.columns.index(text)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            at, rows = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                root = json.loads(t)
-                own = [(n, v, False) for n, v in enumerate(walk(root))] + [(n, k, True) for n, k in enumerate(keys_of(root))]
-                at += [i] * len(own)
-                rows += own
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.bool_()), strict=True))], names=[id_, "n", "value", "is_key"])
+            roots = [json.loads(t) for t in batch.column(place).to_pylist()]
+            found = [pa.array([list(part(r)) for r in roots], pa.list_(pa.string())) for part in (walk, keys_of)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=names)
 
-    return calls.select(id_, text).mapInArrow(split, f"{id_} {kind}, n int, value string, is_key boolean")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema)
+    return calls.mapInArrow(split, f"{schema}, leaves array<string>, members array<string>")
 
 
-def put_back(calls: DataFrame, values: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, text: JSON values with their texts replaced by values (id, n, value), compact."""
-    kind = calls.schema[id_].dataType.simpleString()
-    lists = values.groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda v: v["value"]).alias("values"))
+def put_back(calls: DataFrame, text: str, values: str, fault: str) -> DataFrame:
+    """calls with arguments: JSON values with their texts replaced by values, compact; none where there is a fault."""
+    names = [c for c in calls.columns if c != values]
+    places = [calls.columns.index(c) for c in (text, values, fault)]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            out = [json.dumps(replaced(json.loads(t), iter(v or ())), ensure_ascii=False, separators=(",", ":")) for t, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_, "text"])
+            rows = zip(*(batch.column(i).to_pylist() for i in places), strict=True)
+            out = [None if f else json.dumps(replaced(json.loads(t), iter(v or ())), ensure_ascii=False, separators=(",", ":")) for t, v, f in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "arguments"])
 
-    return calls.select(id_, F.col(text).alias("text")).join(lists, id_, "left").select(id_, "text", "values").mapInArrow(join, f"{id_} {kind}, text string")
+    schema = ", ".join(f"`{c}` {calls.schema[c].dataType.simpleString()}" for c in names)
+    return calls.mapInArrow(join, f"{schema}, arguments string")
 
 
 def released(calls: DataFrame, names: DataFrame, mapping: DataFrame, schemas: dict[str, dict], request: str, call: str, most: int = MOST_BYTES, total: int = MOST_TOTAL) -> DataFrame:
@@ -107,22 +107,16 @@ def released(calls: DataFrame, names: DataFrame, mapping: DataFrame, schemas: di
     rows = calls.join(names.select(request, call, "name"), [request, call], "left").withColumn("call_key", F.struct(request, call)).withColumn("v", F.try_parse_json("text"))
     odd = first_reason(("UNKNOWN_TOOL", ~F.coalesce(F.col("name").isin(*schemas), F.lit(False))), ("MALFORMED_JSON", F.col("v").isNull()), ("NOT_AN_OBJECT", ~F.coalesce(kind_of(F.col("v")) == "object", F.lit(False))))
     judged = stored(rows.select(request, call, "call_key", "name", "text", F.coalesce("code", odd).alias("code")))
-    open_ = judged.where("code IS NULL")
-    parts = stored(leaves(open_.select("call_key", "text"), "call_key", "text"))
-    in_key = parts.where("is_key").where(reserved(F.col("value"))).select("call_key").distinct().withColumn("in_key", F.lit(True))
-    texts = parts.where("NOT is_key").select(F.col(f"call_key.{request}").alias(request), "call_key", "n", "value").withColumn("leaf", F.struct("call_key", "n"))
-    back = stored(restored(texts, mapping, request, "leaf", "value").select("call_key", "n", "restored", "code"))
-    faults = back.groupBy("call_key").agg(F.min("code").alias("fault")).where("fault IS NOT NULL")
-    coded = open_.join(in_key, "call_key", "left").join(faults, "call_key", "left").select("call_key", F.when(F.col("in_key"), "TOKEN_IN_KEY").otherwise(F.col("fault")).alias("fault"))
-    good = open_.join(coded.where("fault IS NULL").select("call_key"), "call_key", "left_semi")
-    whole = put_back(good, back.where("code IS NULL").select("call_key", "n", F.col("restored").alias("value")), "call_key", "text").withColumnRenamed("text", "arguments")
+    units = stored(leaves(judged.where("code IS NULL").select(request, "call_key", "name", "text"), "text"))
+    back = restored_lists(units, mapping, request, "call_key", "leaves")
+    fault = F.when(F.exists("members", reserved), "TOKEN_IN_KEY").otherwise(F.array_min("codes"))
+    whole = put_back(back.select(request, "call_key", "name", "text", "restored", fault.alias("fault")), "text", "restored", "fault")
     size = F.octet_length("arguments")
-    sized = whole.join(good.select(request, call, "call_key", "name"), "call_key").withColumn("size", size).withColumn("upto", F.sum("size").over(Window.partitionBy(request).orderBy(call).rowsBetween(Window.unboundedPreceding, 0)))
-    v = F.try_parse_json("arguments")
+    sized = whole.withColumn("size", size).withColumn("upto", F.sum("size").over(Window.partitionBy(request).orderBy(f"call_key.{call}").rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.lit(False)
     for name, schema in schemas.items():
-        fits = fits | ((F.col("name") == name) & valid(v, schema))
-    late = sized.select("call_key", "arguments", first_reason(("RESTORED_TOO_LARGE", (F.col("size") > most) | (F.col("upto") > total)), ("SCHEMA", ~fits)).alias("late"))
-    done = judged.select(request, call, "call_key", "code").join(coded, "call_key", "left").join(late, "call_key", "left")
-    code = F.coalesce("code", "fault", "late")
-    return done.select(request, call, F.when(code.isNull(), F.col("arguments")).alias("arguments"), code.alias("code"))
+        fits = fits | ((F.col("name") == name) & valid(F.try_parse_json("arguments"), schema))
+    late = first_reason(("RESTORED_TOO_LARGE", (F.col("size") > most) | (F.col("upto") > total)), ("SCHEMA", ~fits))
+    coded = sized.select(request, F.col(f"call_key.{call}").alias(call), "arguments", F.coalesce("fault", late).alias("code"))
+    done = coded.select(request, call, F.when(F.col("code").isNull(), F.col("arguments")).alias("arguments"), "code")
+    return done.unionByName(judged.where("code IS NOT NULL").select(request, call, F.lit(None).cast("string").alias("arguments"), "code"))

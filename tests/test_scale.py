@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from redactory.functions import extraction
-from redactory.operators import chains, ledger, records, spans
+from redactory.functions.schemas import valid
+from redactory.operators import chains, exchange, ledger, records, spans, toolcalls
 from redactory.operators import governance as gov
-from redactory.plans import governed, models
+from redactory.plans import governed, models, tools
 from redactory.sources import documents, tables
 
 NOW = datetime(1999, 6, 1)
@@ -179,3 +180,34 @@ def test_windows_hold_places_as_small_numbers(spark):
     kept = rows.collect()
     assert [(r.window_no, r.ids, list(zip(r.starts, r.ends, strict=True)), r.width) for r in kept if r.id == 1] == want
     assert [(r.id, r.ids, r.fault) for r in kept if r.id != 1] == [(4, None, "OFFSET_INVERTED")]
+
+
+def test_a_schema_asks_once_for_the_kind_of_a_value(spark):
+    assert str(valid(F.col("v"), tools.SCHEMA)).count("schema_of_variant") == 6  # the object, to, n by reference and by its target, tags, a tag
+
+
+def test_fragments_of_calls_are_moved_once(spark):
+    rows = [(1, 1, 1, "a" * 9), (1, 1, 2, ""), (1, 1, 3, "b"), (1, 2, 4, None), (2, 3, 5, "c" * 11), (2, 4, 6, "d"), (3, 5, 7, "e" * 9), (3, 6, 8, "f" * 9)]
+    found = toolcalls.assembled(spark.createDataFrame(rows, "r int, c int, o int, d string"), "r", "c", "o", "d", 10, 15)
+    assert "Join" not in plan_of(found)
+    assert {(r.r, r.c): (r.text, r.code) for r in found.collect()} == {(1, 1): ("a" * 9 + "b", None), (1, 2): ("", None), (2, 3): (None, "CALL_TOO_LARGE"), (2, 4): ("d", None), (3, 5): ("e" * 9, None), (3, 6): (None, "REQUEST_TOO_LARGE")}
+
+
+def test_calls_are_released_without_a_row_for_each_text(spark, monkeypatch):
+    written = []
+    kept = toolcalls.stored
+    monkeypatch.setattr(toolcalls, "stored", lambda df: written.append(kept(df)) or written[-1])
+    calls = spark.createDataFrame([("r", k, '{"a":["<ORG_001>","x","y"]}', None) for k in range(5)], "request string, call int, text string, code string")
+    mapping = spark.createDataFrame([("r", "<ORG_001>", "A")], "request string, token string, original string")
+    found = toolcalls.released(calls, calls.select("request", "call", F.lit("t").alias("name")), mapping, {"t": {}}, "request", "call")
+    assert [(r.arguments, r.code) for r in found.collect()] == [('{"a":["A","x","y"]}', None)] * 5
+    assert max(df.count() for df in written) == 5
+
+
+def test_texts_of_a_response_meet_it_together(spark):
+    rows = [(k, '{"model":"m","choices":[{"message":{"content":"<ORG_001>","reasoning_content":"%s"}}]}' % t) for k, t in enumerate(("<ORG_001> x", "<ORG_002>", "ORG_001", ""))]
+    mapping = spark.createDataFrame([(k, "<ORG_001>", f"A{k}") for k in range(4)], "k int, token string, original string")
+    found = exchange.restored_responses(spark.createDataFrame(rows, "k int, body string"), mapping, "k", "body", ("m",))
+    assert plan_of(found).count("Join ") == 3
+    assert {(r.k, r.code) for r in found.collect()} == {(0, None), (1, "UNKNOWN_TOKEN"), (2, "MALFORMED_TOKEN"), (3, None)}
+    assert [r.body for r in found.where("k = 0").collect()] == ['{"model": "m", "choices": [{"message": {"content": "A0", "reasoning_content": "A0 x"}}]}']
