@@ -97,8 +97,12 @@ def due(sources: DataFrame, now: Column) -> DataFrame:
 
 
 def time_windows(evidence: DataFrame, sources: DataFrame) -> DataFrame:
-    """candidate_id, window_start, window_end: from the first observation to the last retention of a candidate's evidence."""
-    return evidence.join(sources.select(*SOURCE, "observed_at", "retention_until"), SOURCE).groupBy("candidate_id").agg(F.min("observed_at").alias("window_start"), F.max("retention_until").alias("window_end"))
+    """candidate_id, window_start, window_end: from the first observation to the last retention of a candidate's evidence. The last row of a candidate gives them, without grouping: no task holds more than it sorts."""
+    rows = evidence.select("candidate_id", *SOURCE).join(sources.select(*SOURCE, "observed_at", "retention_until"), SOURCE).select("candidate_id", "observed_at", "retention_until")
+    order = Window.partitionBy("candidate_id").orderBy("observed_at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.lead(F.lit(False), 1, True).over(order)
+    return rows.select("candidate_id", F.min("observed_at").over(upto).alias("window_start"), F.max("retention_until").over(upto).alias("window_end"), last.alias("last")).where("last").drop("last")
 
 
 def evidence_payload(evidence: DataFrame, *fields: str) -> DataFrame:
