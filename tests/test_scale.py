@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from redactory.functions import extraction
 from redactory.functions.schemas import valid
-from redactory.operators import chains, exchange, ledger, records, spans, toolcalls
+from redactory.operators import chains, exchange, ledger, lifecycle, records, spans, toolcalls
 from redactory.operators import governance as gov
 from redactory.plans import governed, models, tools
 from redactory.sources import documents, tables
@@ -211,3 +211,30 @@ def test_texts_of_a_response_meet_it_together(spark):
     assert plan_of(found).count("Join ") == 3
     assert {(r.k, r.code) for r in found.collect()} == {(0, None), (1, "UNKNOWN_TOKEN"), (2, "MALFORMED_TOKEN"), (3, None)}
     assert [r.body for r in found.where("k = 0").collect()] == ['{"model": "m", "choices": [{"message": {"content": "A0", "reasoning_content": "A0 x"}}]}']
+
+
+def test_detectors_are_judged_without_joins(spark):
+    fragments = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "abc"), (4, "abc"), (5, None), (6, "x"), (None, "y")], "k int, text string")
+    spans = "k int, start int, end int, entity_type string, priority int, source string"
+    rules = spark.createDataFrame([(1, 0, 3, "A", None, "r"), (2, 0, 4, "A", 3, "r"), (2, 0, 1, "A", 3, "r"), (3, 0, 1, "A", 0, "r"), (5, 0, 1, "A", 3, "r"), (9, 0, 1, "A", 3, "r"), (None, 0, 1, "A", 0, "r")], spans)
+    words = spark.createDataFrame([(4, 0, 1, "B", 3, "d"), (1, 1, 2, "B", 4, "d")], spans)
+    rows, codes = exchange.orchestrated(fragments, {"rules": rules, "dictionary": words}, spark.createDataFrame([(4, "rules"), (6, "other"), (None, "rules")], "k int, detector string"), "k", "text")
+    assert "Join" not in plan_of(rows) + plan_of(codes)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0, 3, "A", 3, "r"), (1, 1, 2, "B", 4, "d"), (3, 0, 1, "A", 0, "r")]
+    assert {(r.k, r.code) for r in codes.collect()} == {(2, "INVALID_SPAN"), (3, "SECRET_DETECTED"), (4, "DETECTION_INCOMPLETE"), (5, "INVALID_SPAN")}
+
+
+def test_windows_of_evidence_are_not_grouped(spark):
+    sources, evidence = evidence_of(spark, 3)
+    sources = sources.withColumn("retention_until", F.col("retention_until") - F.make_dt_interval("source_id")).withColumn("observed_at", F.col("observed_at") - F.make_dt_interval("source_id"))
+    found = lifecycle.time_windows(evidence.withColumn("candidate_id", F.col("candidate_id") % 2).unionByName(evidence.limit(1)), sources)
+    assert "Aggregate" not in plan_of(found)
+    day = timedelta(days=1)
+    assert {(r.candidate_id, r.window_start, r.window_end) for r in found.collect()} == {(0, NOW - 11 * day, NOW + 9 * day), (1, NOW - 10 * day, NOW + 8 * day)}
+
+
+def test_members_are_counted_without_joins(spark):
+    rows = [(1, ["a", "b", "a"]), (2, ["a", "b"]), (2, ["b", "c"]), (2, ["b", "c"]), (3, ["a"]), (3, ["b"]), (4, None), (5, ["a"]), (5, None), (6, [None, "z"]), (7, ["c", "b"]), (7, ["b", "c"]), (8, [])]
+    found = gov.shared_members(spark.createDataFrame(rows, "k int, m array<string>"), "k", "m")
+    assert "Join" not in plan_of(found)
+    assert {r.k: r.shared for r in found.collect()} == {1: ["a", "b"], 2: ["b"], 3: [], 4: [], 5: [], 6: ["z"], 7: ["b", "c"], 8: []}
