@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions.checks import first_reason
-from redactory.functions.schemas import valid
-from redactory.operators.exchange import CHAT, MESSAGES, PATH, at, restored
+from redactory.functions.schemas import bound, valid
+from redactory.operators.exchange import CHAT, MESSAGES, PATH, at, fault_of, meeting, put_in, tokens_of
 from redactory.operators.spans import reserved
-from redactory.operators.toolcalls import released
+from redactory.operators.toolcalls import MOST_BYTES, MOST_TOTAL, allowed, compact, keys_of, replaced, unfit, walk
 from redactory.sources.tables import slices, stored
 
 TEXT, NAME, ANY = {"type": "string"}, {"type": "string", "minLength": 1}, {"type": "object"}
@@ -101,19 +104,68 @@ def marked(texts: Column) -> Column:
     return F.coalesce(F.exists(texts, lambda s: F.coalesce(reserved(s), F.lit(False))), F.lit(False))
 
 
-def parts_of(judged: DataFrame, request: str, protocol: str, path: str, prefix: str) -> DataFrame:
-    """request, path, part: the choices or blocks of a protocol's answers."""
-    rows = judged.where((F.col("protocol") == protocol) & F.col("fault").isNull())
-    return rows.select(request, F.posexplode(at(F.col("v"), path, "array<variant>")).alias("i", "part")).select(request, F.concat(F.lit(prefix), F.col("i").cast("string"), F.lit("]")).alias("path"), "part")
+def unnested(lists: pa.Array) -> tuple[pa.Array, list[int]]:
+    """The values of all lists of a column, and where those of each begin and the last ends; a null list is empty."""
+    return lists.flatten(), [0, *accumulate(pc.fill_null(pc.list_value_length(lists), 0).to_pylist())]
 
 
-def within(parts: DataFrame, request: str, path: str, prefix: str) -> DataFrame:
-    """The members of an array in each part, as parts."""
-    return parts.select(request, "path", F.posexplode(at(F.col("part"), path, "array<variant>")).alias("j", "inner")).select(request, F.concat("path", F.lit(prefix), F.col("j").cast("string"), F.lit("]")).alias("path"), F.col("inner").alias("part"))
+def objects(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def leaf(parts: DataFrame, request: str, path: str, suffix: str) -> DataFrame:
-    return parts.select(request, F.concat("path", F.lit(suffix)).alias("json_path"), at(F.col("part"), path, "string").alias("text")).where("text IS NOT NULL")
+def split_calls(rows: DataFrame) -> DataFrame:
+    """rows with leaves and members, for each of its calls the texts of its arguments and the names of their members; none where the call has a fault."""
+    names = [*rows.columns, "leaves", "members"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            calls, ends = unnested(batch.column("calls"))
+            roots = [None if fault else json.loads(text) for text, fault in zip(*(objects(calls.field(n)) for n in ("text", "fault")), strict=True)]
+            found = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([list(part(r)) for r in roots], pa.list_(pa.string()))) for part in (walk, keys_of)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(split, f"{schema}, leaves array<array<string>>, members array<array<string>>")
+
+
+@lru_cache(4096)
+def steps(path: str) -> tuple[str | int, ...]:
+    return tuple(name or int(number) for name, number in PATH.findall(path))
+
+
+def set_at(root: object, path: str, value: object) -> None:
+    *way, last = steps(path)
+    for step in way:
+        root = root[step]
+    root[last] = value
+
+
+def put_texts(rows: DataFrame, request: str) -> DataFrame:
+    """request, fault, faults, names, arguments, done: of each call its restored arguments, none where it has a fault; the body with all its texts and calls put back, none where it or a call has a fault."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            (paths, ends), (values, _), (calls, ends_of_calls), (faults, _), (leaves, _) = (unnested(batch.column(n)) for n in ("paths", "values", "calls", "faults", "put"))
+            paths, values, faults, ways, texts = map(objects, (paths, values, faults, calls.field("path"), calls.field("text")))
+            leaves, ends_of_leaves = unnested(leaves)
+            leaves = objects(leaves)
+            new = [None if f else replaced(json.loads(t), iter(leaves[ends_of_leaves[i] : ends_of_leaves[i + 1]])) for i, (t, f) in enumerate(zip(texts, faults, strict=True))]
+            arguments, done = [None if n is None else compact(n) for n in new], []
+            for i, (raw, fault) in enumerate(zip(objects(batch.column("body")), objects(batch.column("fault")), strict=True)):
+                own, own_calls = range(ends[i], ends[i + 1]), range(ends_of_calls[i], ends_of_calls[i + 1])
+                if fault or any(faults[j] for j in own_calls):
+                    done.append(None)
+                    continue
+                root = json.loads(raw)
+                for j in own:
+                    set_at(root, paths[j], values[j])
+                for j in own_calls:
+                    set_at(root, ways[j], new[j] if ways[j].endswith(".input") else arguments[j])
+                done.append(compact(root))
+            lists = pa.ListArray.from_arrays(pa.array(ends_of_calls, pa.int32()), pa.array(arguments, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (request, "fault", "faults", "names")), lists, pa.array(done, pa.string())], names=[request, "fault", "faults", "names", "arguments", "done"])
+
+    return rows.mapInArrow(put, f"`{request}` {rows.schema[request].dataType.simpleString()}, fault string, faults array<string>, names array<string>, arguments array<string>, done string")
 
 
 def answers(responses: DataFrame, mapping: DataFrame, request: str, body: str, protocol: str, models: tuple[str, ...], tools: dict[str, dict]) -> DataFrame:
@@ -123,48 +175,49 @@ def answers(responses: DataFrame, mapping: DataFrame, request: str, body: str, p
     are restored and held against the schema of their tool (see released()). The first
     fault counts, and then there is no body: MALFORMED_JSON; CONTRACT_VIOLATION (no
     choices or blocks, a model that is not allowed, another protocol, a placeholder
-    where none may stand); the least code of a text; the least code of a call.
+    where none may stand); the least code of a text; the least code of a call. An
+    answer stays one row, with its texts and calls in arrays, and meets the mapping once.
     """
-    kind = responses.schema[request].dataType.simpleString()
-    rows = responses.select(request, F.col(protocol).alias("protocol"), F.col(body).alias("body")).withColumn("v", F.when(F.is_valid_utf8("body"), F.try_parse_json("body")))
-    choices, blocks, v = at(F.col("v"), "$.choices", "array<variant>"), at(F.col("v"), "$.content", "array<variant>"), F.col("v")
-    details = F.flatten(F.transform(choices, lambda c: F.flatten(F.transform(F.coalesce(at(c, "$.message.reasoning_details", "array<variant>"), F.array().cast("array<variant>")), lambda d: texts_of(d, FIXED_OF_DETAIL)))))
-    calls = F.flatten(F.transform(choices, lambda c: F.flatten(F.transform(F.coalesce(at(c, "$.message.tool_calls", "array<variant>"), F.array().cast("array<variant>")), lambda t: texts_of(t, ("$.id", "$.function.name"))))))
-    odd_chat = marked(texts_of(v, FIXED[CHAT])) | marked(F.flatten(F.transform(choices, lambda c: texts_of(c, FIXED_OF_PART[CHAT])))) | marked(details) | marked(calls)
-    odd_messages = marked(texts_of(v, FIXED[MESSAGES])) | marked(F.flatten(F.transform(blocks, lambda b: texts_of(b, FIXED_OF_PART[MESSAGES]))))
-    none = F.array().cast("array<variant>")
+    v, none = F.col("v"), F.array().cast("array<variant>")
     chat, messages = F.col("protocol") == CHAT, F.col("protocol") == MESSAGES
-    fits = F.when(chat, (F.size(F.coalesce(choices, none)) > 0) & ~odd_chat).when(messages, (F.size(F.coalesce(blocks, none)) > 0) & ~odd_messages).otherwise(False)
-    broken = ~F.coalesce(fits, F.lit(False)) | ~F.coalesce(at(v, "$.model", "string").isin(*models), F.lit(False))
-    judged = stored(rows.withColumn("fault", first_reason(("MALFORMED_JSON", v.isNull()), ("CONTRACT_VIOLATION", broken))))
-    choice, block = parts_of(judged, request, CHAT, "$.choices", "choices["), parts_of(judged, request, MESSAGES, "$.content", "content[")
-    texts = leaf(choice, request, "$.message.content", ".message.content").unionByName(leaf(choice, request, "$.message.reasoning_content", ".message.reasoning_content"))
-    texts = texts.unionByName(leaf(within(choice, request, "$.message.reasoning_details", ".message.reasoning_details["), request, "$.text", ".text"))
-    texts = texts.unionByName(leaf(block, request, "$.text", ".text")).unionByName(leaf(block, request, "$.thinking", ".thinking")).withColumn("leaf", F.struct(request, "json_path"))
-    back = stored(restored(texts, mapping, request, "leaf", "text").select(request, "json_path", F.col("restored").alias("value"), "code"))
-    asked = within(choice, request, "$.message.tool_calls", ".message.tool_calls[").select(request, F.concat("path", F.lit(".function.arguments")).alias("call"), at(F.col("part"), "$.function.arguments", "string").alias("text"), at(F.col("part"), "$.function.name", "string").alias("name"))
-    used = block.where(at(F.col("part"), "$.type", "string") == "tool_use").select(request, F.concat("path", F.lit(".input")).alias("call"), F.to_json(at(F.col("part"), "$.input", "variant")).alias("text"), at(F.col("part"), "$.name", "string").alias("name"))
-    calls_of = stored(asked.unionByName(used))
-    let = stored(released(calls_of.select(request, "call", "text", F.lit(None).cast("string").alias("code")), calls_of.select(request, "call", "name"), mapping, tools, request, "call"))
-    faults = back.groupBy(request).agg(F.min("code").alias("text_fault")).join(let.groupBy(request).agg(F.min("code").alias("call_fault")), request, "full")
-    edits = back.where("code IS NULL").select(request, "json_path", "value", F.lit(False).alias("whole")).unionByName(let.where("code IS NULL").select(request, F.col("call").alias("json_path"), F.col("arguments").alias("value"), F.col("call").endswith(".input").alias("whole")))
-    wanted = edits.groupBy(request).agg(F.collect_list(F.struct("json_path", "value", "whole")).alias("edits"))
-
-    def put_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            out = []
-            for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                root = json.loads(raw)
-                for c in changes or ():
-                    *way, last = [name or int(number) for name, number in PATH.findall(c["json_path"])]
-                    inner = root
-                    for step in way:
-                        inner = inner[step]
-                    inner[last] = json.loads(c["value"]) if c["whole"] else c["value"]
-                out.append(json.dumps(root, ensure_ascii=False, separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[request, "done"])
-
-    coded = judged.select(request, "fault").join(faults, request, "left").withColumn("code", F.coalesce("fault", "text_fault", "call_fault"))
-    good = judged.join(coded.where("code IS NULL").select(request), request, "left_semi").select(request, "body").join(wanted, request, "left").select(request, "body", "edits")
-    whole = good.mapInArrow(put_all, f"{request} {kind}, done string")
-    return coded.join(whole, request, "left").select(request, F.col("done").alias("body"), "code")
+    inner = lambda p, path: F.coalesce(F.when(chat, at(p, path, "array<variant>")), none)
+    rows = responses.select(request, F.col(protocol).alias("protocol"), F.col(body).alias("body")).withColumn("v", F.when(F.is_valid_utf8("body"), F.try_parse_json("body")))
+    rows = rows.withColumn("parts", F.coalesce(F.when(chat, at(v, "$.choices", "array<variant>")).when(messages, at(v, "$.content", "array<variant>")), none))
+    rows = rows.withColumn("parts", F.transform("parts", lambda p, i: F.struct(i.cast("string").alias("i"), p.alias("v"), inner(p, "$.message.reasoning_details").alias("details"), inner(p, "$.message.tool_calls").alias("calls"))))
+
+    fixed_chat = lambda p: F.concat(texts_of(p["v"], FIXED_OF_PART[CHAT]), F.flatten(F.transform(p["details"], lambda d: texts_of(d, FIXED_OF_DETAIL))), F.flatten(F.transform(p["calls"], lambda c: texts_of(c, ("$.id", "$.function.name")))))
+    odd = lambda name, of_part: marked(texts_of(v, FIXED[name])) | F.exists("parts", lambda p: marked(of_part(p)))
+    fits = F.when(chat, ~odd(CHAT, fixed_chat)).when(messages, ~odd(MESSAGES, lambda p: texts_of(p["v"], FIXED_OF_PART[MESSAGES]))).otherwise(False)
+    broken = (F.size("parts") == 0) | ~F.coalesce(at(v, "$.model", "string").isin(*models), F.lit(False)) | ~fits
+    judged = rows.withColumn("fault", first_reason(("MALFORMED_JSON", v.isNull()), ("CONTRACT_VIOLATION", broken)))
+
+    text = lambda part, where, *path: F.struct(F.concat(*path).alias("path"), at(part, where, "string").alias("text"))
+    choice, block = lambda p: F.concat(F.lit("choices["), p["i"], F.lit("].message.")), lambda p: F.concat(F.lit("content["), p["i"], F.lit("]."))
+    of_choice = lambda p: F.concat(
+        F.array(*[text(p["v"], f"$.message.{f}", choice(p), F.lit(f)) for f in ("content", "reasoning_content")]),
+        F.transform(p["details"], lambda d, j: text(d, "$.text", choice(p), F.lit("reasoning_details["), j.cast("string"), F.lit("].text"))),
+    )
+    of_block = lambda p: F.array(*[text(p["v"], f"$.{f}", block(p), F.lit(f)) for f in ("text", "thinking")])
+    call = lambda path, name, arguments: F.struct(path.alias("path"), name.alias("name"), arguments.alias("text"))
+    asked = lambda p: F.transform(p["calls"], lambda c, j: call(F.concat(choice(p), F.lit("tool_calls["), j.cast("string"), F.lit("].function.arguments")), at(c, "$.function.name", "string"), at(c, "$.function.arguments", "string")))
+    used = F.transform(F.filter("parts", lambda p: at(p["v"], "$.type", "string") == "tool_use"), lambda p: call(F.concat(block(p), F.lit("input")), at(p["v"], "$.name", "string"), F.to_json(at(p["v"], "$.input", "variant"))))
+    texts = F.filter(F.when(chat, F.flatten(F.transform("parts", of_choice))).otherwise(F.flatten(F.transform("parts", of_block))), lambda x: x["text"].isNotNull())
+    calls = F.when(chat, F.flatten(F.transform("parts", asked))).otherwise(used)
+    found = judged.select(request, "body", "fault", F.when(F.col("fault").isNull(), texts).alias("x"), F.when(F.col("fault").isNull(), calls).alias("calls"))
+    early = F.transform("calls", lambda c: F.struct(c["path"], c["name"], c["text"], bound(F.try_parse_json(c["text"]), lambda a: unfit(c["name"], a, tools)).alias("fault")))
+    split = split_calls(found.select(request, "body", "fault", F.col("x.path").alias("paths"), F.col("x.text").alias("texts"), early.alias("calls")))
+    tokens = F.array_distinct(F.flatten(F.transform(F.concat("texts", F.flatten("leaves")), tokens_of)))
+    units = stored(split.withColumn("tokens", F.when(F.col("fault").isNull(), tokens)))  # once, as both what is asked of the mapping and the texts are read
+
+    back = meeting(units.where("fault IS NULL").drop("fault"), mapping, request, "tokens")
+    code = lambda t: fault_of(t, F.col("known"), F.coalesce("kinds", F.array().cast("array<string>")))
+    fault_of_call = lambda c, i: F.coalesce(c["fault"], F.when(F.exists(F.get("members", i), reserved), "TOKEN_IN_KEY"), F.array_min(F.transform(F.get("leaves", i), code)))
+    coded = back.withColumn("fault", F.array_min(F.transform("texts", code))).withColumn("faults", F.transform("calls", lambda c, i: F.coalesce("fault", fault_of_call(c, i))))
+    values = F.transform("texts", lambda t: F.when(F.col("fault").isNull(), put_in(t, F.col("known"))))
+    arguments = F.transform("leaves", lambda own, i: F.when(F.get("faults", i).isNull(), F.transform(own, lambda t: put_in(t, F.col("known")))))
+    whole = put_texts(coded.select(request, "body", "paths", values.alias("values"), "calls", arguments.alias("put"), "fault", "faults", F.col("calls.name").alias("names")), request)
+    size = F.coalesce(F.aggregate("arguments", F.lit(0), lambda n, a: n + F.coalesce(F.octet_length(a), F.lit(0))), F.lit(0))
+    late = lambda f, i: F.coalesce(f, bound(F.get("arguments", i), lambda a: first_reason(("RESTORED_TOO_LARGE", (F.octet_length(a) > MOST_BYTES) | (size > MOST_TOTAL)), ("SCHEMA", ~allowed(F.get("names", i), a, tools)))))
+    ended = whole.withColumn("code", F.coalesce("fault", F.array_min(F.transform("faults", late))))
+    done = ended.select(request, F.when(F.col("code").isNull(), F.col("done")).alias("body"), "code")
+    return done.unionByName(units.where("fault IS NOT NULL").select(request, F.lit(None).cast("string").alias("body"), F.col("fault").alias("code")))

@@ -124,7 +124,7 @@ def malformed(text: Column, kinds: Column) -> Column:
     bare = F.arrays_overlap(F.regexp_extract_all(text, F.lit(BARE), F.lit(1)), kinds)
     begun = F.regexp_extract(text, TAIL, 1)
     cut = (begun != "") & F.exists(kinds, lambda k: F.startswith(F.concat(k, F.lit("_")), begun))
-    return reserved(F.regexp_replace(text, TOKEN, "\0")) | bare | cut
+    return (text.contains("<") & (reserved(F.regexp_replace(text, TOKEN, "\0")) | cut)) | (text.contains("_") & bare)
 
 
 def put_in(text: Column, known: Column) -> Column:
@@ -146,15 +146,27 @@ def restored(texts: DataFrame, mapping: DataFrame, request: str, key: str, text:
     return rows.withColumn("code", code).withColumn("restored", F.when(F.col("code").isNull(), put_in(F.col(text), F.col("known")))).select(*texts.columns, "restored", "code")
 
 
+def fault_of(text: Column, known: Column, kinds: Column) -> Column:
+    """The code that restored() gives a text, or null. known: token to original; kinds: the types of its request."""
+    unknown = F.exists(tokens_of(text), lambda k: F.try_element_at(known, k).isNull())
+    return first_reason(("MALFORMED_TOKEN", malformed(text, kinds)), ("UNKNOWN_TOKEN", F.coalesce(unknown, F.lit(False))))
+
+
+def meeting(units: DataFrame, mapping: DataFrame, request: str, tokens: str) -> DataFrame:
+    """units, one for each request, with known (their tokens and originals) and kinds (the types of the request's placeholders); null without a mapping. The mapping is moved once, streams past what is asked of it, and only that and the few types are gathered."""
+    met = units.select(request, tokens).join(mapping.select(request, "token", "original"), request)
+    pair = F.when(F.array_contains(tokens, F.col("token")), F.struct("token", "original"))
+    known = met.groupBy(request).agg(F.map_from_entries(F.collect_list(pair)).alias("known"), F.collect_set(F.regexp_extract("token", "^<(.*)_[0-9]+>$", 1)).alias("kinds"))
+    return units.join(known, request, "left")
+
+
 def restored_lists(units: DataFrame, mapping: DataFrame, request: str, key: str, texts: str) -> DataFrame:
     """units with restored and codes, arrays: restored() of each of an array of texts. A unit's placeholders meet the mapping together, so its texts are neither rows nor gathered again."""
     asked = units.select(key, request, F.explode(F.array_distinct(F.flatten(F.transform(texts, tokens_of)))).alias("token"))
     known = asked.join(mapping.select(request, "token", "original"), [request, "token"], "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
     rows = units.join(known, key, "left").join(kinds_of(mapping, request), request, "left")
     has = F.coalesce("kinds", F.array().cast("array<string>"))
-    unknown = lambda t: F.exists(tokens_of(t), lambda k: F.try_element_at("known", k).isNull())
-    code = lambda t: first_reason(("MALFORMED_TOKEN", malformed(t, has)), ("UNKNOWN_TOKEN", F.coalesce(unknown(t), F.lit(False))))
-    judged = rows.withColumn("codes", F.transform(texts, lambda t: code(t)))
+    judged = rows.withColumn("codes", F.transform(texts, lambda t: fault_of(t, F.col("known"), has)))
     return judged.withColumn("restored", F.zip_with(texts, "codes", lambda t, c: F.when(c.isNull(), put_in(t, F.col("known"))))).select(*units.columns, "restored", "codes")
 
 

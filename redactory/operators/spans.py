@@ -78,7 +78,7 @@ RESERVED = "<\\s*(?:[A-Z][A-Z0-9_]{0,31}_|[A-Za-z][A-Za-z0-9_]{0,31}[-_]\\s*(?=[
 
 def reserved(text: Column) -> Column:
     """Whether a text holds, or ends in the beginning of, something like a placeholder."""
-    return text.rlike(RESERVED) | text.contains("<<ENT") | text.endswith("<<E") | text.endswith("<<EN")
+    return text.contains("<") & (text.rlike(RESERVED) | text.contains("<<ENT") | text.endswith("<<E") | text.endswith("<<EN"))
 
 
 def restored(text: Column, mapping: Column) -> Column:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.functions.checks import first_reason
@@ -57,6 +57,9 @@ def replaced(value: object, texts: Iterator[str]) -> object:
     return [replaced(v, texts) for v in value] if isinstance(value, list) else value
 
 
+compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def keys_of(value: object) -> Iterator[str]:
     for k, v in value.items() if isinstance(value, dict) else ((None, v) for v in value) if isinstance(value, list) else ():
         if k is not None:
@@ -87,13 +90,26 @@ def put_back(calls: DataFrame, text: str, values: str, fault: str) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             rows = zip(*(batch.column(i).to_pylist() for i in places), strict=True)
-            out = [None if f else json.dumps(replaced(json.loads(t), iter(v or ())), ensure_ascii=False, separators=(",", ":")) for t, v, f in rows]
+            out = [None if f else compact(replaced(json.loads(t), iter(v or ()))) for t, v, f in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "arguments"])
 
     schema = ", ".join(f"`{c}` {calls.schema[c].dataType.simpleString()}" for c in names)
     return calls.mapInArrow(join, f"{schema}, arguments string")
 
 
+def unfit(name: Column, v: Column, schemas: dict[str, dict]) -> Column:
+    """What keeps a call from being restored: the name of its tool, or its arguments as a variant; or null."""
+    return first_reason(("UNKNOWN_TOOL", ~F.coalesce(name.isin(*schemas), F.lit(False))), ("MALFORMED_JSON", v.isNull()), ("NOT_AN_OBJECT", ~F.coalesce(kind_of(v) == "object", F.lit(False))))
+
+
+def allowed(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
+    """Whether arguments, as JSON, fit the schema of their tool."""
+    fits = F.lit(False)
+    for tool, schema in schemas.items():
+        fits = fits | ((name == tool) & valid(F.try_parse_json(arguments), schema))
+    return fits
+
+
 def released(calls: DataFrame, names: DataFrame, mapping: DataFrame, schemas: dict[str, dict], request: str, call: str, most: int = MOST_BYTES, total: int = MOST_TOTAL) -> DataFrame:
     """request, call, arguments, code: assembled() calls whose arguments may be released, restored; else no arguments and the first fault.
 
@@ -105,7 +121,7 @@ def released(calls: DataFrame, names: DataFrame, mapping: DataFrame, schemas: di
     request; SCHEMA. Nothing of a call is released with a fault.
     """
     rows = calls.join(names.select(request, call, "name"), [request, call], "left").withColumn("call_key", F.struct(request, call)).withColumn("v", F.try_parse_json("text"))
-    odd = first_reason(("UNKNOWN_TOOL", ~F.coalesce(F.col("name").isin(*schemas), F.lit(False))), ("MALFORMED_JSON", F.col("v").isNull()), ("NOT_AN_OBJECT", ~F.coalesce(kind_of(F.col("v")) == "object", F.lit(False))))
+    odd = unfit(F.col("name"), F.col("v"), schemas)
     judged = stored(rows.select(request, call, "call_key", "name", "text", F.coalesce("code", odd).alias("code")))
     units = stored(leaves(judged.where("code IS NULL").select(request, "call_key", "name", "text"), "text"))
     back = restored_lists(units, mapping, request, "call_key", "leaves")
@@ -113,10 +129,7 @@ def released(calls: DataFrame, names: DataFrame, mapping: DataFrame, schemas: di
     whole = put_back(back.select(request, "call_key", "name", "text", "restored", fault.alias("fault")), "text", "restored", "fault")
     size = F.octet_length("arguments")
     sized = whole.withColumn("size", size).withColumn("upto", F.sum("size").over(Window.partitionBy(request).orderBy(f"call_key.{call}").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.lit(False)
-    for name, schema in schemas.items():
-        fits = fits | ((F.col("name") == name) & valid(F.try_parse_json("arguments"), schema))
-    late = first_reason(("RESTORED_TOO_LARGE", (F.col("size") > most) | (F.col("upto") > total)), ("SCHEMA", ~fits))
+    late = first_reason(("RESTORED_TOO_LARGE", (F.col("size") > most) | (F.col("upto") > total)), ("SCHEMA", ~allowed(F.col("name"), F.col("arguments"), schemas)))
     coded = sized.select(request, F.col(f"call_key.{call}").alias(call), "arguments", F.coalesce("fault", late).alias("code"))
     done = coded.select(request, call, F.when(F.col("code").isNull(), F.col("arguments")).alias("arguments"), "code")
     return done.unionByName(judged.where("code IS NOT NULL").select(request, call, F.lit(None).cast("string").alias("arguments"), "code"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from redactory.functions import extraction
 from redactory.functions.schemas import valid
-from redactory.operators import chains, exchange, ledger, lifecycle, records, spans, toolcalls
+from redactory.operators import chains, contracts, exchange, ledger, lifecycle, records, spans, toolcalls
 from redactory.operators import governance as gov
 from redactory.plans import governed, models, tools
 from redactory.sources import documents, tables
@@ -213,6 +213,19 @@ def test_texts_of_a_response_meet_it_together(spark):
     assert [r.body for r in found.where("k = 0").collect()] == ['{"model": "m", "choices": [{"message": {"content": "A0", "reasoning_content": "A0 x"}}]}']
 
 
+def test_an_answer_stays_one_row(spark, monkeypatch):
+    written = []
+    kept = contracts.stored
+    monkeypatch.setattr(contracts, "stored", lambda df: written.append(kept(df)) or written[-1])
+    message = '{"content":"<ORG_001>","reasoning_content":"x","reasoning_details":[{"text":"y"},{"text":"z"}],"tool_calls":[{"function":{"name":"t","arguments":"{\\"a\\":[\\"<ORG_001>\\",\\"x\\"]}"}}]}'
+    rows = [(k, "chat", '{"model":"m","choices":[{"message":%s},{"message":%s}]}' % (message, message)) for k in range(5)]
+    mapping = spark.createDataFrame([(k, "<ORG_001>", "A") for k in range(5)], "k int, token string, original string")
+    found = contracts.answers(spark.createDataFrame(rows, "k int, p string, b string"), mapping, "k", "b", "p", ("m",), {"t": {}})
+    assert [df.count() for df in written] == [5]
+    assert plan_of(found).count("Join ") == 2
+    assert {r.body for r in found.collect()} == {rows[0][2].replace("<ORG_001>", "A")}
+
+
 def test_detectors_are_judged_without_joins(spark):
     fragments = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "abc"), (4, "abc"), (5, None), (6, "x"), (None, "y")], "k int, text string")
     spans = "k int, start int, end int, entity_type string, priority int, source string"

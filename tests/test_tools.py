@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redactory.functions.schemas import valid
+from redactory.operators.contracts import answers
 from redactory.operators.fragments import mask, restore
 from redactory.operators.toolcalls import assembled, released
 
@@ -61,6 +62,34 @@ def test_release(spark):
     assert all(a is None for k, (a, c) in got.items() if c)
 
 
+def test_answers(spark):
+    def chat(*choices):
+        return json.dumps({"id": "i", "model": "m", "choices": [{"message": c} for c in choices]})
+
+    def calls(*arguments, name="t"):
+        return {"content": None, "tool_calls": [{"id": "c", "function": {"name": name, "arguments": json.dumps(a)}} for a in arguments]}
+
+    bodies = {
+        1: chat({"content": "é <ORG_001>"}, {"content": "x", "reasoning_content": "<ORG_001>", "reasoning_details": [{"text": "a"}, {"text": "<PER_001>", "type": "t"}]} | calls({"a": ["<PER_001>"]}, {"a": "b"})),
+        2: chat({"content": "x"}, {"content": "<ORG_009>"}), 3: chat({"content": "ORG_001"}), 4: chat({"content": "x"}, calls({"a": 1}) | {"content": "x"}), 5: chat(calls({"<ORG_001>": 1}, {"a": "x"})), 6: chat(calls({"a": "x"}, name="other")),
+        7: chat(calls(*[{"a": "<BIG_001>"}] * 5)), 8: chat(calls({"a": 1}), calls({"a": "x"}, name="other")), 9: chat({"content": "x", "reasoning_details": [{"id": "<ORG_001>"}]}), 10: "{", 11: chat(), 12: chat({"content": "ORG_001"}), None: chat({"content": "<x"}),
+    }
+    rows = [(k, "chat", b) for k, b in bodies.items()] + [(20, "messages", '{"model":"m","content":[{"type":"text","text":"<ORG_001>"},{"type":"tool_use","id":"c","name":"t","input":{"a":"<PER_001>"}}]}'), (21, "other", bodies[2]), (22, "chat", None)]
+    mapping = [(k, t, o) for k, _, _ in rows if k not in (12, None) for t, o in (("<ORG_001>", "<PER_001>"), ("<PER_001>", 'A"n'), ("<BIG_001>", "b" * 60_000))]
+    found = answers(spark.createDataFrame(rows, "k int, p string, b string"), spark.createDataFrame(mapping, "k int, token string, original string"), "k", "b", "p", ("m",), {"t": {"properties": {"a": {"type": ["string", "array"]}}}})
+    got = {r.k: (r.body, r.code) for r in found.collect()}
+    assert {k: c for k, (_, c) in got.items() if c} == {
+        2: "UNKNOWN_TOKEN", 3: "MALFORMED_TOKEN", 4: "SCHEMA", 5: "TOKEN_IN_KEY", 6: "UNKNOWN_TOOL", 7: "RESTORED_TOO_LARGE", 8: "SCHEMA", 9: "CONTRACT_VIOLATION", 10: "MALFORMED_JSON", 11: "CONTRACT_VIOLATION", 21: "CONTRACT_VIOLATION", 22: "MALFORMED_JSON",
+    }
+    first, second = (c["message"] for c in json.loads(got[1][0])["choices"])
+    assert first == {"content": "é <PER_001>"}
+    assert (second["content"], second["reasoning_content"], [d["text"] for d in second["reasoning_details"]], [c["function"]["arguments"] for c in second["tool_calls"]]) == (None, "<PER_001>", ["a", 'A"n'], ['{"a":["A\\"n"]}', '{"a":"b"}'])
+    assert got[20][0] == '{"model":"m","content":[{"type":"text","text":"<PER_001>"},{"type":"tool_use","id":"c","name":"t","input":{"a":"A\\"n"}}]}'
+    assert json.loads(got[12][0]) == json.loads(bodies[12])
+    assert got[None][0] is not None and json.loads(got[None][0]) == json.loads(bodies[None])
+    assert all(b is None for b, c in got.values() if c)
+
+
 def test_roles_name_placeholders(spark):
     texts = [(1, 1, "甲方：宏远公司 与 乙方：大江公司"), (1, 2, "宏远公司"), (1, 3, "甲方 大江公司"), (1, 4, "甲方：新山公司"), (2, 5, "宏远公司")]
     fragments = spark.createDataFrame(texts, "request int, frag int, text string")
