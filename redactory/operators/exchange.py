@@ -133,6 +133,11 @@ def put_in(text: Column, known: Column) -> Column:
     return F.array_join(parts, "")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows for a join with others that grow like them: both sides are dealt out by key, none is broadcast. Spark judges a stored table by its compressed file, of which a few columns may be a hundred times as large in memory."""
+    return rows.hint("merge")
+
+
 def restored(texts: DataFrame, mapping: DataFrame, request: str, key: str, text: str) -> DataFrame:
     """texts with restored and code: every placeholder replaced in one pass, so that originals are never read again; or no text and MALFORMED_TOKEN (something like a placeholder that is none, a placeholder's name without brackets, or the beginning of one at the end) or UNKNOWN_TOKEN.
 
@@ -154,17 +159,17 @@ def fault_of(text: Column, known: Column, kinds: Column) -> Column:
 
 def meeting(units: DataFrame, mapping: DataFrame, request: str, tokens: str) -> DataFrame:
     """units, one for each request, with known (their tokens and originals) and kinds (the types of the request's placeholders); null without a mapping. The mapping is moved once, streams past what is asked of it, and only that and the few types are gathered."""
-    met = units.select(request, tokens).join(mapping.select(request, "token", "original"), request)
+    met = dealt(units.select(request, tokens)).join(mapping.select(request, "token", "original"), request)
     pair = F.when(F.array_contains(tokens, F.col("token")), F.struct("token", "original"))
     known = met.groupBy(request).agg(F.map_from_entries(F.collect_list(pair)).alias("known"), F.collect_set(F.regexp_extract("token", "^<(.*)_[0-9]+>$", 1)).alias("kinds"))
-    return units.join(known, request, "left")
+    return units.join(dealt(known), request, "left")
 
 
 def restored_lists(units: DataFrame, mapping: DataFrame, request: str, key: str, texts: str) -> DataFrame:
     """units with restored and codes, arrays: restored() of each of an array of texts. A unit's placeholders meet the mapping together, so its texts are neither rows nor gathered again."""
     asked = units.select(key, request, F.explode(F.array_distinct(F.flatten(F.transform(texts, tokens_of)))).alias("token"))
-    known = asked.join(mapping.select(request, "token", "original"), [request, "token"], "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
-    rows = units.join(known, key, "left").join(kinds_of(mapping, request), request, "left")
+    known = dealt(asked).join(mapping.select(request, "token", "original"), [request, "token"], "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
+    rows = units.join(dealt(known), key, "left").join(dealt(kinds_of(mapping, request)), request, "left")
     has = F.coalesce("kinds", F.array().cast("array<string>"))
     judged = rows.withColumn("codes", F.transform(texts, lambda t: fault_of(t, F.col("known"), has)))
     return judged.withColumn("restored", F.zip_with(texts, "codes", lambda t, c: F.when(c.isNull(), put_in(t, F.col("known"))))).select(*units.columns, "restored", "codes")

@@ -226,6 +226,19 @@ def test_an_answer_stays_one_row(spark, monkeypatch):
     assert {r.body for r in found.collect()} == {rows[0][2].replace("<ORG_001>", "A")}
 
 
+def test_answers_and_their_tokens_are_not_broadcast(spark):
+    chat = '{"model":"m","choices":[{"message":{"content":"<ORG_001>"}}]}'
+    rows = spark.createDataFrame([(k, "chat", chat) for k in range(5)], "k int, p string, b string")
+    mapping = spark.createDataFrame([(k, "<ORG_001>", f"A{k}") for k in range(4)], "k int, token string, original string")
+    calls = rows.select("k", F.lit(1).alias("c"), F.lit('{"a":"<ORG_001>"}').alias("text"), F.lit(None).cast("string").alias("code"))
+    lists = rows.select("k", F.array(F.lit("<ORG_001>")).alias("texts"))
+    answered = contracts.answers(rows, mapping, "k", "b", "p", ("m",), {"t": {}})
+    for found in (answered, exchange.restored_responses(rows, mapping, "k", "b", ("m",)), exchange.restored_lists(lists, mapping, "k", "k", "texts"), toolcalls.released(calls, calls.select("k", "c", F.lit("t").alias("name")), mapping, {"t": {}}, "k", "c")):
+        physical = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in physical and "Broadcast" not in physical
+    assert {(r.k, r.body, r.code) for r in answered.collect()} == {(k, chat.replace("<ORG_001>", f"A{k}"), None) for k in range(4)} | {(4, None, "UNKNOWN_TOKEN")}
+
+
 def test_detectors_are_judged_without_joins(spark):
     fragments = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "abc"), (4, "abc"), (5, None), (6, "x"), (None, "y")], "k int, text string")
     spans = "k int, start int, end int, entity_type string, priority int, source string"
